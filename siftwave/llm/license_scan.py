@@ -92,17 +92,21 @@ def _labelled(starts: Column, label: str) -> Column:
     return F.transform(starts, lambda x: F.struct(x.alias("at"), F.lit(label).alias("label")))
 
 
-def _matches(hits: Column, templates, postings: Column, top: int, votes_needed: int, least: float) -> Column:
+def _matches(hits: Column, templates, idf: dict[str, float], top: int, votes_needed: int, least: float) -> Column:
     """Structs of label and score for every verified template place."""
-    rarities = F.flatten(F.transform(hits, lambda h: F.transform(F.filter(postings, lambda p: p["w"] == h["w"]), lambda p: F.struct(p["idf"], p["w"]))))
-    rarest = F.transform(F.slice(F.sort_array(F.array_distinct(rarities), asc=False), 1, top), lambda r: r["w"])
+    postings = _postings(templates, idf)
+    indexed = F.filter(F.transform(hits, lambda h, i: F.when(h["w"].isin(sorted(idf)), F.struct(h["w"].alias("w"), h["p"].alias("p"), i.alias("i")))), F.isnotnull)
+
+    def rarest(found: Column) -> Column:
+        ranked = F.transform(F.array_distinct(F.transform(found, lambda h: h["w"])), lambda w: F.struct(F.filter(postings, lambda p: p["w"] == w)[0]["idf"].alias("idf"), w.alias("w")))
+        return F.transform(F.slice(F.sort_array(ranked, asc=False), 1, top), lambda r: r["w"])
 
-    def votes(rare: Column) -> Column:
-        def of(h: Column, i: Column) -> Column:
-            vote = lambda p: F.struct(p["t"].alias("t"), (h["p"] - p["q"]).alias("at"), i.alias("i"))
-            return F.transform(F.filter(postings, lambda p: (p["w"] == h["w"]) & F.array_contains(rare, h["w"])), vote)
+    def votes(found: Column, rare: Column) -> Column:
+        def of(h: Column) -> Column:
+            vote = lambda p: F.struct(p["t"].alias("t"), (h["p"] - p["q"]).alias("at"), h["i"].alias("i"))
+            return F.transform(F.filter(postings, lambda p: p["w"] == h["w"]), vote)
 
-        return F.sort_array(F.flatten(F.transform(hits, of)))
+        return F.sort_array(F.flatten(F.transform(F.filter(found, lambda h: F.array_contains(rare, h["w"])), of)))
 
     def agreed(v: Column) -> Column:
         same = lambda x, y: F.coalesce((x["t"] == y["t"]) & (x["at"] == y["at"]), F.lit(False))
@@ -121,7 +125,9 @@ def _matches(hits: Column, templates, postings: Column, top: int, votes_needed:
             out = F.when(c["t"] == t, F.when(whole & (same >= least * n), match)).otherwise(out)
         return out
 
-    return let(rarest, lambda rare: let(votes(rare), lambda v: F.filter(F.transform(agreed(v), verified), F.isnotnull)))
+    matched = lambda found, rare: let(votes(found, rare), lambda v: F.filter(F.transform(agreed(v), verified), F.isnotnull))
+    nothing = F.array().cast("array<struct<label:string,score:double>>")
+    return let(indexed, lambda found: F.when(F.size(found) < votes_needed, nothing).otherwise(let(rarest(found), lambda rare: matched(found, rare))))
 
 
 def scan_licenses(df: DataFrame, text: str = "text", templates=TEMPLATES, top: int = 8, index_share: float = 0.2, votes_needed: int = 2, least: float = 0.6, out: str = "licence") -> DataFrame:
@@ -145,11 +151,8 @@ def scan_licenses(df: DataFrame, text: str = "text", templates=TEMPLATES, top: i
     total, counts = document_frequency(held)
     base_words = {w for p in BASE for w in p.split()}
     idf = {w: math.log((1 + total) / (1 + counts.get(w, 0))) for w in known if counts.get(w, 0) <= index_share * total or w in base_words}
-    postings = _postings(templates, idf)
-    rare = F.exists("_hits", lambda h: h["w"].isin(sorted(idf)))
-    nothing = F.array().cast("array<struct<label:string,score:double>>")
     base = lambda h: F.sort_array(F.concat(*[_labelled(_phrase_starts(h, p), BASE[p]) for p in BASE]))
-    matches = F.when(rare, _matches(F.col("_hits"), templates, postings, top, votes_needed, least)).otherwise(nothing)
+    matches = _matches(F.col("_hits"), templates, idf, top, votes_needed, least)
     return held.select(*[F.col(f"_row.`{c}`").alias(c) for c in kept], F.struct(F.col("_n").alias("n_words"), base(F.col("_hits")).alias("base"), matches.alias("matches")).alias(out))
 
 

@@ -38,7 +38,9 @@ def let(value: Column, body) -> Column:
 
 def fold_ascii(text: Column) -> Column:
     """text with A-Z lower-cased and every other character kept; null becomes empty."""
-    return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, lower))
 
 
 def hold_out(doc_id: Column, modulus: int) -> Column:
