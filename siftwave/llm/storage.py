@@ -46,3 +46,8 @@ def fold_ascii(text: Column) -> Column:
 def hold_out(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text modulo modulus (a null id counts as an empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def schema_with(df: DataFrame, **fields: str):
+    """df's schema with more fields, given as name=type."""
+    return df.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in fields.items()]).schema
