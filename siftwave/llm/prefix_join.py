@@ -15,13 +15,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwave.llm.blocks import mix, put, runs, split_words, take, text_blocks, word_ids
 from siftwave.llm.storage import shards, stored
 
 BITS = 48  # of a shingle's hash, for order and comparison; sizes are counted with all 64
+OFFERS = 4  # hubs that a group is compared with in each round before all remaining pairs are
 OFTEN = 16  # documents of a block from which a shingle's list stays with the block
 
 
@@ -231,7 +232,7 @@ def _close(left: str, right: str, percent: int):
     return F.expr(f"100 * least({left}, {right}) >= {percent} * greatest({left}, {right})")
 
 
-def join_similar(docs: DataFrame, width: int = 5, percent: int = 75, hubs: int = 2) -> DataFrame:
+def join_similar(docs: DataFrame, width: int = 5, percent: int = 75, hubs: int = 3) -> DataFrame:
     """One row per document: doc_id, rid (unique), n_shingles, class (its set, where a partner is possible) and component.
 
     docs: doc_id and text. A document's set is its distinct `width`-word shingles, or its whole word
@@ -257,7 +258,8 @@ def join_similar(docs: DataFrame, width: int = 5, percent: int = 75, hubs: int =
         placed = _placed(postings.select("token", F.col("g").alias("node"), "n"), connected(links) if r else None)
         hub = placed.groupBy("token").agg(F.min_by(F.struct("node", "n", "component"), F.xxhash64("component", F.lit(r))).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
         offers = placed.join(hub.where("low != high").select("token", "hub"), "token").where("component != hub.component").where(_close("n", "hub.n", percent))
-        best = offers.groupBy("node", F.col("hub.node").alias("b")).count().groupBy("node").agg(F.max_by("b", F.struct("count", F.xxhash64("b"))).alias("b"))
+        rivals = Window.partitionBy("node").orderBy(F.desc("count"), F.xxhash64("b"))
+        best = offers.groupBy("node", F.col("hub.node").alias("b")).count().withColumn("r", F.row_number().over(rivals)).where(F.col("r") <= OFFERS)
         links = stored(links.unionByName(_verify(best.select(F.col("node").alias("a"), "b"), sets, percent)), "links")
 
     labels = stored(connected(links), "labels")
@@ -272,7 +274,7 @@ def join_similar(docs: DataFrame, width: int = 5, percent: int = 75, hubs: int =
     within = members.groupBy("g").count().where("count > 1").select(F.col("g").alias("node_a"), F.col("g").alias("node_b"))
     inside = _placed(members.select("g", F.col("rep").alias("node")), labels)
     a, b = (inside.select(F.col("g").alias(f"node_{x}"), F.col("node").alias(x), F.col("component").alias(f"at_{x}")) for x in "ab")
-    pairs = able.select("node_a", "node_b").unionByName(within).join(a, "node_a").join(b, "node_b").where("at_a != at_b and a < b").select("a", "b")
+    pairs = able.select("node_a", "node_b").unionByName(within).join(a, "node_a").join(b, "node_b").where("at_a != at_b and (node_a < node_b or a < b)").select("a", "b")
     links = stored(links.unionByName(_verify(pairs, sets, percent)), "links")
 
     final = connected(links)
