@@ -62,13 +62,15 @@ def shingle_hashes(texts, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def _put_sorted(a: np.ndarray) -> bytes:
     """Ascending numbers as their differences."""
-    gaps = np.diff(a, prepend=np.uint64(0))
+    first, gaps = a[:1].tobytes(), np.diff(a)
     narrow = not len(gaps) or gaps.max() < 2**32
-    return (b"4" if narrow else b"8") + put(gaps, "<u4" if narrow else "<u8")
+    return (b"4" if narrow else b"8") + first + (put(gaps, "<u4" if narrow else "<u8") if len(gaps) else b"")
 
 
 def _take_sorted(cell: bytes) -> np.ndarray:
-    return np.cumsum(take(cell[1:], f"<u{cell[:1].decode()}"), dtype=np.uint64)
+    first = np.frombuffer(cell[1:9], "<u8")
+    gaps = take(cell[9:], f"<u{cell[:1].decode()}").astype(np.uint64) if len(cell) > 9 else first[:0]
+    return np.cumsum(np.concatenate([first, gaps]), dtype=np.uint64)
 
 
 LISTS = "shard int, block long, token binary, count binary, doc binary, ids binary, no_id binary, sizes binary, often binary, often_count binary, often_doc binary"
@@ -232,7 +234,7 @@ def _close(left: str, right: str, percent: int):
     return F.expr(f"100 * least({left}, {right}) >= {percent} * greatest({left}, {right})")
 
 
-def join_similar(docs: DataFrame, width: int = 5, percent: int = 75, hubs: int = 3) -> DataFrame:
+def join_similar(docs: DataFrame, width: int = 5, percent: int = 75, hubs: int = 2) -> DataFrame:
     """One row per document: doc_id, rid (unique), n_shingles, class (its set, where a partner is possible) and component.
 
     docs: doc_id and text. A document's set is its distinct `width`-word shingles, or its whole word
@@ -249,32 +251,39 @@ def join_similar(docs: DataFrame, width: int = 5, percent: int = 75, hubs: int =
     sets = alive.join(classes.select(F.col("rep").alias("rid")), "rid").select(F.col("rid").alias("rep"), "n", "span", "tokens", "prefix", F.md5(F.concat_ws(" ", "n", "prefix")).alias("key"))
     grouped = sets.groupBy("key").agg(F.min("rep").alias("g")).join(sets.select("key", "rep", "n", "span", "prefix"), "key")
     members = stored(grouped.select("g", "rep", "n", "span", F.when(F.col("g") == F.col("rep"), F.col("prefix")).alias("prefix")), "groups")
-    postings = members.where("g = rep").select(F.explode("prefix").alias("token"), "g", "n", "span")
+    postings = members.where("g = rep").select(F.explode("prefix").alias("token"), "g", "n", "span", (F.col("span") - F.size("prefix")).alias("lonely"))
     repeated = postings.groupBy("token").count().where("count > 1").select("token")
     postings = stored(postings.join(repeated, "token", "left_semi"), "postings")
 
     links = stored(_verify(members.where("g != rep").select(F.col("rep").alias("a"), F.col("g").alias("b")), sets, percent), "links")
     for r in range(hubs):
-        placed = _placed(postings.select("token", F.col("g").alias("node"), "n"), connected(links) if r else None)
-        hub = placed.groupBy("token").agg(F.min_by(F.struct("node", "n", "component"), F.xxhash64("component", F.lit(r))).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
+        labels = connected(links) if r else None
+        placed = _placed(postings.select("token", F.col("g").alias("node"), "n", "lonely"), labels)
+        # First the groups with the least of their own, as an original has; later members of large components.
+        rank = F.struct(F.col("lonely") / F.col("n"), F.xxhash64("node"))
+        if r:
+            placed = placed.join(labels.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component", "left")
+            rank = F.struct(-F.coalesce("size", F.lit(1)), F.xxhash64("node", "token", F.lit(r)))
+        hub = placed.groupBy("token").agg(F.min_by(F.struct("node", "n", "component"), rank).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
         offers = placed.join(hub.where("low != high").select("token", "hub"), "token").where("component != hub.component").where(_close("n", "hub.n", percent))
         rivals = Window.partitionBy("node").orderBy(F.desc("count"), F.xxhash64("b"))
         best = offers.groupBy("node", F.col("hub.node").alias("b")).count().withColumn("r", F.row_number().over(rivals)).where(F.col("r") <= OFFERS)
         links = stored(links.unionByName(_verify(best.select(F.col("node").alias("a"), "b"), sets, percent)), "links")
 
     labels = stored(connected(links), "labels")
-    placed = _placed(postings.select("token", F.col("g").alias("node"), "n", "span"), labels)
+    inside = stored(_placed(members.select("g", F.col("rep").alias("node")), labels), "inside")
+    # A group's classes may lie in several components; each of these is compared.
+    placed = postings.select("token", F.col("g").alias("node"), "n", "span").join(inside.select(F.col("g").alias("node"), "component").distinct(), "node")
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token")
     placed = placed.join(mixed, "token", "left_semi")
     one, two = (placed.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "span", "component")]) for x in "ab")
     near = one.join(two, "token").where("node_a < node_b and component_a != component_b").where(_close("n_a", "n_b", percent))
-    counted = near.groupBy("node_a", "node_b").agg(F.count(F.lit(1)).alias("k"), *[F.first(c).alias(c) for c in ("n_a", "n_b", "span_a", "span_b")])
+    counted = near.groupBy("node_a", "component_a", "node_b", "component_b").agg(F.count(F.lit(1)).alias("k"), *[F.first(c).alias(c) for c in ("n_a", "n_b", "span_a", "span_b")])
     # What can be common beyond the shared part of the shorter prefix, against what must be.
     able = counted.where(f"(k + greatest(n_a - span_a, n_b - span_b)) * {100 + percent} >= {percent} * (n_a + n_b)")
     within = members.groupBy("g").count().where("count > 1").select(F.col("g").alias("node_a"), F.col("g").alias("node_b"))
-    inside = _placed(members.select("g", F.col("rep").alias("node")), labels)
     a, b = (inside.select(F.col("g").alias(f"node_{x}"), F.col("node").alias(x), F.col("component").alias(f"at_{x}")) for x in "ab")
-    pairs = able.select("node_a", "node_b").unionByName(within).join(a, "node_a").join(b, "node_b").where("at_a != at_b and (node_a < node_b or a < b)").select("a", "b")
+    pairs = able.select("node_a", "node_b").distinct().unionByName(within).join(a, "node_a").join(b, "node_b").where("at_a != at_b and (node_a < node_b or a < b)").select("a", "b")
     links = stored(links.unionByName(_verify(pairs, sets, percent)), "links")
 
     final = connected(links)
