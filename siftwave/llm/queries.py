@@ -42,3 +42,8 @@ def queries() -> dict:
         "op10_byte_bpe": lambda spark, sf_dir: bpe_rows(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN),
         "pipeline": _pipeline,
     }
+
+
+def oracle_sql() -> dict[str, str]:
+    """None yet: tests hold these queries against brute force, round trips and held-out labels."""
+    return {}
