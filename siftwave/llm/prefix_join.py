@@ -276,14 +276,16 @@ def join_similar(docs: DataFrame, width: int = 5, percent: int = 75, hubs: int =
     placed = postings.select("token", F.col("g").alias("node"), "n", "span").join(inside.select(F.col("g").alias("node"), "component").distinct(), "node")
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token")
     placed = placed.join(mixed, "token", "left_semi")
-    one, two = (placed.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "span", "component")]) for x in "ab")
-    near = one.join(two, "token").where("node_a < node_b and component_a != component_b").where(_close("n_a", "n_b", percent))
-    counted = near.groupBy("node_a", "component_a", "node_b", "component_b").agg(F.count(F.lit(1)).alias("k"), *[F.first(c).alias(c) for c in ("n_a", "n_b", "span_a", "span_b")])
-    # What can be common beyond the shared part of the shorter prefix, against what must be.
-    able = counted.where(f"(k + greatest(n_a - span_a, n_b - span_b)) * {100 + percent} >= {percent} * (n_a + n_b)")
+    placed = placed.join(members.where("g = rep").select(F.col("g").alias("node"), "prefix"), "node")
+    one, two = (placed.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "span", "component", "prefix")]) for x in "ab")
+    shared = F.array_intersect("prefix_a", "prefix_b")
+    # A pair comes up once, at its smallest common shingle. What can be common beyond the prefixes,
+    # against what must be, leaves few pairs; both are conditions of the join itself.
+    able = F.expr(f"(greatest(n_a - span_a, n_b - span_b) + size(array_intersect(prefix_a, prefix_b))) * {100 + percent} >= {percent} * (n_a + n_b)")
+    near = one.join(two, "token").where("node_a < node_b and component_a != component_b").where(_close("n_a", "n_b", percent)).where(F.array_min(shared) == F.col("token")).where(able)
     within = members.groupBy("g").count().where("count > 1").select(F.col("g").alias("node_a"), F.col("g").alias("node_b"))
     a, b = (inside.select(F.col("g").alias(f"node_{x}"), F.col("node").alias(x), F.col("component").alias(f"at_{x}")) for x in "ab")
-    pairs = able.select("node_a", "node_b").distinct().unionByName(within).join(a, "node_a").join(b, "node_b").where("at_a != at_b and (node_a < node_b or a < b)").select("a", "b")
+    pairs = near.select("node_a", "node_b").distinct().unionByName(within).join(a, "node_a").join(b, "node_b").where("at_a != at_b and (node_a < node_b or a < b)").select("a", "b")
     links = stored(links.unionByName(_verify(pairs, sets, percent)), "links")
 
     final = connected(links)
