@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 
-BLOCK = 12_000_000  # bytes of text in a block, unless one text is longer
+BLOCK = 6_000_000  # bytes of text in a block, unless one text is longer
 
 
 def split_words(text: str | None) -> list[bytes]:

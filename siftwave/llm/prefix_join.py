@@ -35,6 +35,7 @@ def shingle_hashes(texts, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         sizes.append(len(w))
     sizes = np.array(sizes, np.int64)
     ids, _, hashes = word_ids(words)
+    del words
     h = mix(hashes)[ids] if len(ids) else np.zeros(0, np.uint64)
     text = np.repeat(np.arange(len(sizes)), sizes)
     out, of = [], []
