@@ -13,7 +13,7 @@ from siftwave.llm.mil_quality import quality_scores
 from siftwave.llm.packing import packed_rows
 from siftwave.llm.pitman_yor import lm_rows
 from siftwave.llm.prefix_join import near_duplicate_rows
-from siftwave.llm.quality_rules import quality_rows
+from siftwave.llm.quality_rules import STOP_WORDS, quality_rows
 from siftwave.llm.warc import warc_rows
 
 
@@ -44,6 +44,54 @@ def queries() -> dict:
     }
 
 
+CHAT_SQL = """
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), escaped AS (
+  SELECT *, length(replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;'), chr(10), '&nl;'))
+    + length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;')) + length('<|im_start|>' || '<|im_end|>') + 2 AS n
+  FROM said
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+RULES_SQL = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS s
+  FROM documents
+), windows AS (
+  SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM split)
+), repeated AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM windows) WHERE n > 1
+), covered AS (
+  SELECT r, count(DISTINCT i + k) AS n FROM repeated, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r
+), measured AS (
+  SELECT doc_id, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    len(s) - len(list_distinct(s)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, len(s) AS n_lines,
+    len(list_filter(w, lambda x: x IN (STOP_WORDS))) AS n_stop,
+    len(list_filter(s, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•][\x20\x09-\x0D]'))) AS n_bullet,
+    len(list_filter(s, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipsis
+  FROM split LEFT JOIN covered USING (r)
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND word_chars >= 2.0 * n_words AND word_chars <= 14.0 * n_words AND n_symbols <= 0.1 * n_words
+    AND n_stop >= 0.02 * n_words AND n_dup_lines <= 0.5 * n_lines AND n_bullet <= 0.9 * n_lines AND n_ellipsis <= 0.5 * n_lines AS kept
+FROM judged
+""".replace("STOP_WORDS", ", ".join(f"'{w}'" for w in STOP_WORDS))
+
+
 def oracle_sql() -> dict[str, str]:
-    """None yet: tests hold these queries against brute force, round trips and held-out labels."""
-    return {}
+    """SQL of the two operators that it can express; tests hold the others against brute force, round trips and held-out labels."""
+    return {"op5_chat": CHAT_SQL, "op9_quality_rules": RULES_SQL}
