@@ -14,7 +14,23 @@ from pyspark.sql import DataFrame
 
 from siftwave.llm.storage import schema_with
 
-CACHE = 400_000
+CACHE = 500_000  # matches, and pairs of ids, that a worker remembers
+
+
+class Pieces(dict):
+    """Packed ids of the pattern's matches; a missing one is encoded, and kept unless it is long."""
+
+    def __init__(self, bpe: TreeBPE):
+        super().__init__()
+        self.bpe = bpe
+
+    def __missing__(self, piece: str) -> bytes:
+        cell = np.array(self.bpe.encode_bytes(piece.encode()), "<u4").tobytes()
+        if len(piece) <= 64:
+            if len(self) >= CACHE:
+                self.clear()
+            self[piece] = cell
+        return cell
 
 
 class TreeBPE:
@@ -30,7 +46,7 @@ class TreeBPE:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.stable: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces = Pieces(self)
 
     def merge(self, raw: bytes) -> list[int]:
         """The plain merge loop: the lowest-ranked pair first, leftmost among equals."""
@@ -99,7 +115,7 @@ class TreeBPE:
                 return left[: len(left) - i] + window + right[j:]
             i, j = min(len(left), 2 * i) if more_left else i, min(len(right), 2 * j) if more_right else j
 
-    def encode_bytes(self, raw: bytes, leaf: int = 8) -> list[int]:
+    def encode_bytes(self, raw: bytes, leaf: int = 16) -> list[int]:
         whole = self.ranks.get(raw)
         if whole is not None:
             return [whole]
@@ -108,23 +124,16 @@ class TreeBPE:
         half = len(raw) // 2
         return self.join(self.encode_bytes(raw[:half], leaf), self.encode_bytes(raw[half:], leaf))
 
+    def encode_cell(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
+
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        pieces = self.pieces
-        for piece in self.pattern.findall(text):
-            ids = pieces.get(piece)
-            if ids is None:
-                ids = tuple(self.encode_bytes(piece.encode()))
-                if len(piece) <= 64:
-                    if len(pieces) >= CACHE:
-                        pieces.clear()
-                    pieces[piece] = ids
-            out += ids
-        return out
+        return np.frombuffer(self.encode_cell(text), "<u4").tolist()
 
     def decode(self, ids) -> bytes:
         """Concatenation up a balanced tree."""
-        parts = [self.bytes_of[i] for i in ids]
+        parts = list(map(self.bytes_of.__getitem__, ids))
         while len(parts) > 1:
             parts = [b"".join(parts[i : i + 64]) for i in range(0, len(parts), 64)]
         return parts[0] if parts else b""
@@ -153,7 +162,7 @@ def encode_column(df: DataFrame, path: str, pattern: str, text: str = "text", ou
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = load(path, pattern)
         for b in batches:
-            b[out] = [np.array(bpe.encode(t or ""), np.int32) for t in b[text]]
+            b[out] = [np.frombuffer(bpe.encode_cell(t or ""), "<i4") for t in b[text]]
             yield b
 
     return df.select(*columns).mapInPandas(run, schema)
@@ -177,10 +186,15 @@ def bpe_rows(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """The digest columns of op10: counts and hashes of the ids and of the bytes they decode to."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bpe = load(path, pattern)
         sha = lambda raw: hashlib.sha256(raw).hexdigest()
         for b in batches:
-            ids = [np.asarray(x, "<u4") for x in b["ids"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [len(x) for x in ids], "ids_sha256": [sha(x.tobytes()) for x in ids], "decoded_sha256": [sha(x) for x in b["decoded"]]})
-
-    coded = decode_column(encode_column(df.select("doc_id", "text"), path, pattern).drop("text"), path, pattern)
-    return coded.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            rows = []
+            for text in b["text"]:
+                cell = bpe.encode_cell(text or "")
+                rows.append((len(cell) // 4, sha(cell), sha(bpe.decode(np.frombuffer(cell, "<u4").tolist()))))
+            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            out.insert(0, "doc_id", b["doc_id"].array)
+            yield out
+
+    return df.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
