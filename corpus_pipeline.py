@@ -19,11 +19,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores 0.5 or more. Where only one quality is labelled, it keeps all."""
-    bags, labels = training_bags(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    if len(set(labels)) < 2:
-        return docs
-    return score_documents(docs, fit(bags, labels), out="_score").where("_score >= 0.5").drop("_score")
+    """Documents that the classifier, fitted on labelled documents of the whole table, scores 0.5 or more."""
+    model = fit(*training_bags(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return score_documents(docs, model, out="_score").where("_score >= 0.5").drop("_score")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -220,3 +220,16 @@ def test_pipeline_stages(spark, sf):
         before = after
     packed = cp.STAGES[-1][1](spark, before, sf)
     assert packed.select("doc_id").distinct().count() == before.count()
+
+
+def test_pipeline_classifier_rejects_what_only_it_can_see(spark):
+    import corpus_pipeline as cp
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    lines = [f"the of and {' '.join(f'{a}{b}{c}OUND!!' for c in 'RST')}" for a in "BDFGHKLM" for b in "AEIOU"]
+    planted = spark.createDataFrame([(-1, "\n".join(lines), "en", "x", 0)], docs.schema)
+    ruled = cp.stored(cp.quality_rules(spark, docs.unionByName(planted), sf), "test-ruled")
+    assert ruled.where("doc_id = -1").count() == 1
+    left = cp.quality_classifier(spark, ruled, sf)
+    assert left.where("doc_id = -1").count() == 0 and left.where("doc_id >= 0").count() > 0
