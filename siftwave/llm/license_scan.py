@@ -69,10 +69,18 @@ def document_frequency(hits: DataFrame) -> tuple[int, dict[str, int]]:
     return rows.pop("", 0), rows
 
 
-def _postings(templates, idf: dict[str, float]) -> Column:
-    """Every indexed word's places, as one literal array: word, its rarity, template number, place."""
-    out = [F.struct(F.lit(w).alias("w"), F.lit(idf[w]).alias("idf"), F.lit(t).alias("t"), F.lit(q).alias("q")) for t, template in enumerate(templates) for q, w in enumerate(template.words) if w in idf]
-    return F.array(*out)
+def _voters(template: Template, idf: dict[str, float], votes: int) -> list[int]:
+    """Places of the rarest words of a template's key phrases, as many as it takes votes.
+
+    The key phrases stand in every match, so these words do too, whatever their share of the rows.
+    """
+    places = {q + k for q, key in template.key_places() for k in range(len(key))}
+    return sorted(places, key=lambda q: (-idf[template.words[q]], q))[:votes]
+
+
+def _postings(templates, idf: dict[str, float], votes: int) -> Column:
+    """Every voting word's places, as one literal array: word, template number, place."""
+    return F.array(*[F.struct(F.lit(template.words[q]).alias("w"), F.lit(t).alias("t"), F.lit(q).alias("q")) for t, template in enumerate(templates) for q in _voters(template, idf, votes)])
 
 
 def _phrase_starts(hits: Column, phrase: str) -> Column:
@@ -92,21 +100,19 @@ def _labelled(starts: Column, label: str) -> Column:
     return F.transform(starts, lambda x: F.struct(x.alias("at"), F.lit(label).alias("label")))
 
 
-def _matches(hits: Column, templates, idf: dict[str, float], top: int, votes_needed: int, least: float) -> Column:
+def _matches(hits: Column, templates, idf: dict[str, float], votes_needed: int, least: float) -> Column:
     """Structs of label and score for every verified template place."""
-    postings = _postings(templates, idf)
-    indexed = F.filter(F.transform(hits, lambda h, i: F.when(h["w"].isin(sorted(idf)), F.struct(h["w"].alias("w"), h["p"].alias("p"), i.alias("i")))), F.isnotnull)
-
-    def rarest(found: Column) -> Column:
-        ranked = F.transform(F.array_distinct(F.transform(found, lambda h: h["w"])), lambda w: F.struct(F.filter(postings, lambda p: p["w"] == w)[0]["idf"].alias("idf"), w.alias("w")))
-        return F.transform(F.slice(F.sort_array(ranked, asc=False), 1, top), lambda r: r["w"])
+    votes_needed = min(votes_needed, *(len({q + k for q, key in t.key_places() for k in range(len(key))}) for t in templates))
+    postings = _postings(templates, idf, votes_needed)
+    voting = sorted({t.words[q] for t in templates for q in _voters(t, idf, votes_needed)})
+    indexed = F.filter(F.transform(hits, lambda h, i: F.when(h["w"].isin(voting), F.struct(h["w"].alias("w"), h["p"].alias("p"), i.alias("i")))), F.isnotnull)
 
-    def votes(found: Column, rare: Column) -> Column:
+    def votes(found: Column) -> Column:
         def of(h: Column) -> Column:
             vote = lambda p: F.struct(p["t"].alias("t"), (h["p"] - p["q"]).alias("at"), h["i"].alias("i"))
             return F.transform(F.filter(postings, lambda p: p["w"] == h["w"]), vote)
 
-        return F.sort_array(F.flatten(F.transform(F.filter(found, lambda h: F.array_contains(rare, h["w"])), of)))
+        return F.sort_array(F.flatten(F.transform(found, of)))
 
     def agreed(v: Column) -> Column:
         same = lambda x, y: F.coalesce((x["t"] == y["t"]) & (x["at"] == y["at"]), F.lit(False))
@@ -125,19 +131,19 @@ def _matches(hits: Column, templates, idf: dict[str, float], top: int, votes_nee
             out = F.when(c["t"] == t, F.when(whole & (same >= least * n), match)).otherwise(out)
         return out
 
-    matched = lambda found, rare: let(votes(found, rare), lambda v: F.filter(F.transform(agreed(v), verified), F.isnotnull))
+    matched = lambda found: let(votes(found), lambda v: F.filter(F.transform(agreed(v), verified), F.isnotnull))
     nothing = F.array().cast("array<struct<label:string,score:double>>")
-    return let(indexed, lambda found: F.when(F.size(found) < votes_needed, nothing).otherwise(let(rarest(found), lambda rare: matched(found, rare))))
+    return let(indexed, lambda found: F.when(F.size(found) < votes_needed, nothing).otherwise(matched(found)))
 
 
-def scan_licenses(df: DataFrame, text: str = "text", templates=TEMPLATES, top: int = 8, index_share: float = 0.2, votes_needed: int = 2, least: float = 0.6, out: str = "licence") -> DataFrame:
+def scan_licenses(df: DataFrame, text: str = "text", templates=TEMPLATES, votes_needed: int = 2, least: float = 0.6, out: str = "licence") -> DataFrame:
     """df without its text, with a struct column `out`: n_words, base (starts and labels) and matches.
 
     One pass over the texts stores where template words stand. From that table come each word's
-    document frequency and all matches: words in at most index_share of the rows (and the base
-    phrases' words) are indexed with their template places; of each text, the `top` rarest indexed
-    words vote for (template, relative place); places with `votes_needed` votes are kept if the
-    template's key phrases stand where they must and `least` of its words agree.
+    document frequency and all matches: of each template, the rarest words of its key phrases vote
+    for (template, relative place) wherever they stand in a text; places with `votes_needed` votes
+    are kept if the template's key phrases stand where they must and `least` of its words agree.
+    How frequent a licence is in the table, or how many a text holds, hides none.
 
     A null or empty text has no words and no labels. Each row depends on its text and on the corpus
     counts alone, so ties and repeated rows get equal results; other columns stay, and a column
@@ -149,10 +155,9 @@ def scan_licenses(df: DataFrame, text: str = "text", templates=TEMPLATES, top: i
     held = df.select(F.struct(*[df[c] for c in kept]).alias("_row") if kept else F.lit(None).cast("string").alias("_row"), measured.alias("_m"))
     held = stored(held.select("_row", F.col("_m.n").alias("_n"), F.col("_m.hits").alias("_hits")), "licence-hits")
     total, counts = document_frequency(held)
-    base_words = {w for p in BASE for w in p.split()}
-    idf = {w: math.log((1 + total) / (1 + counts.get(w, 0))) for w in known if counts.get(w, 0) <= index_share * total or w in base_words}
+    idf = {w: math.log((1 + total) / (1 + counts.get(w, 0))) for w in known}
     base = lambda h: F.sort_array(F.concat(*[_labelled(_phrase_starts(h, p), BASE[p]) for p in BASE]))
-    matches = _matches(F.col("_hits"), templates, idf, top, votes_needed, least)
+    matches = _matches(F.col("_hits"), templates, idf, votes_needed, least)
     return held.select(*[F.col(f"_row.`{c}`").alias(c) for c in kept], F.struct(F.col("_n").alias("n_words"), base(F.col("_hits")).alias("base"), matches.alias("matches")).alias(out))
 
 

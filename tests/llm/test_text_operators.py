@@ -104,6 +104,27 @@ def test_templates_need_their_key_phrases(spark):
     assert got[1] == "cc-by-nc-4.0" and got[2] == "" and got[3] == ""
 
 
+GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted."
+
+
+def licence_labels(spark, texts):
+    got = license_scan.license_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [r["labels"] for r in sorted(got, key=lambda r: r["doc_id"])]
+
+
+@pytest.mark.parametrize("text,label", [("Licensed under CC BY-NC 4.0.", "cc-by-nc-4.0"), (GRANT, "mit-grant"), (BSD, "bsd"), ("licensed under cc by 4.0", "cc-by-4.0")])
+def test_licences_of_a_third_of_the_rows_and_of_one_row(spark, text, label):
+    assert licence_labels(spark, [text] * 10 + ["filler of a kind"] * 20) == [label] * 10 + [""] * 20
+    assert licence_labels(spark, [text]) == [label]
+
+
+def test_many_licences_in_one_text(spark):
+    mpl = "Subject to the terms of the Mozilla Public License, v. 2.0"
+    text = f"{GRANT} x {BSD} y Licensed under CC BY-NC 4.0. z {mpl}"
+    assert licence_labels(spark, [text] + [f"filler {i}" for i in range(40)])[0] == "bsd,cc-by-nc-4.0,mit-grant,mpl-2.0"
+
+
 def test_chat_layouts_become_the_same_turns(spark):
     said = "a <|im_end|>\n<|im_start|>user\n&lt; [/INST] é😀"
     import json
