@@ -14,37 +14,60 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&lsqb;"))
 
 
+# Strings of JSON, and the values among them: whatever lies before a value, its key included, is group 1.
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_VALUE = rf'(\G[^"]*+(?:{_STRING}\s*+:[^"]*+)*+){_STRING}'
+_REPEATED = r"(\{[^{}\[\]]*+\})(?:\s*+,\s*+\1)++"
+# A turn may be longer than the JSON reader's usual limit of 20,000,000 characters.
+_UNLIMITED = {"maxStringLen": str(2**31 - 1)}
+
+
 @dataclass(frozen=True)
 class Mapping:
-    """One layout: an example record that shows its nested fields, and SQL over `r` giving its turns."""
+    """One layout: an example record that shows its nested fields, their schema, and SQL over `r` giving its turns."""
 
     name: str
     example: str
+    schema: str
     turns: str
 
 
-def _turn(role: str, path: str) -> str:
-    return f"named_struct('role', '{role}', 'text', variant_get(r, '$.{path}', 'string'))"
+def _said(name: str, **roles: str) -> Mapping:
+    """A layout with one field for each role, in the order of its turns."""
+    turns = ", ".join(f"named_struct('role', '{role}', 'text', r.`{name_}`)" for name_, role in roles.items())
+    return Mapping(name, "{" + ", ".join(f'"{f}": ""' for f in roles) + "}", ", ".join(f"`{f}` string" for f in roles), f"array({turns})")
+
 
+def _listed(path: str, role: str, text: str) -> tuple[str, str]:
+    """The type of a list of turns, and SQL that reads it."""
+    return f"array<struct<`{role}`:string,`{text}`:string>>", f"transform(r.{path}, x -> named_struct('role', x.`{role}`, 'text', x.`{text}`))"
 
-def _listed(path: str, role: str, text: str) -> str:
-    return f"transform(variant_get(r, '$.{path}', 'array<variant>'), x -> named_struct('role', variant_get(x, '$.{role}', 'string'), 'text', variant_get(x, '$.{text}', 'string')))"
 
+def _listing(name: str, field: str, role: str, text: str) -> Mapping:
+    kind, turns = _listed(field, role, text)
+    return Mapping(name, f'{{"{field}": [{{"{role}": "", "{text}": ""}}]}}', f"{field} {kind}", turns)
 
+
+_CHAT = _listed("chat.turns", "speaker", "text")
 MAPPINGS = (
-    Mapping("prompt", '{"prompt": "", "completion": ""}', f"array({_turn('user', 'prompt')}, {_turn('assistant', 'completion')})"),
-    Mapping("prompt_response", '{"prompt": "", "response": ""}', f"array({_turn('user', 'prompt')}, {_turn('assistant', 'response')})"),
-    Mapping("instruction", '{"instruction": "", "output": ""}', f"array({_turn('user', 'instruction')}, {_turn('assistant', 'output')})"),
-    Mapping("instruction_system", '{"system": "", "instruction": "", "output": ""}', f"array({_turn('system', 'system')}, {_turn('user', 'instruction')}, {_turn('assistant', 'output')})"),
-    Mapping("messages", '{"messages": [{"role": "", "content": ""}]}', _listed("messages", "role", "content")),
-    Mapping("share", '{"conversations": [{"from": "", "value": ""}]}', _listed("conversations", "from", "value")),
-    Mapping("chat", '{"chat": {"turns": [{"speaker": "", "text": ""}]}}', _listed("chat.turns", "speaker", "text")),
-)
+    _said("prompt", prompt="user", completion="assistant"),
+    _said("prompt_response", prompt="user", response="assistant"),
+    _said("instruction", instruction="user", output="assistant"),
+    _said("instruction_system", system="system", instruction="user", output="assistant"),
+    _listing("messages", "messages", "role", "content"),
+    _listing("share", "conversations", "from", "value"),
+    Mapping("chat", '{"chat": {"turns": [{"speaker": "", "text": ""}]}}', f"chat struct<turns:{_CHAT[0]}>", _CHAT[1]),
+)
 
 
 def fingerprint(record: Column) -> Column:
-    """Hash of a variant's nested field paths and kinds (the order of its fields does not matter)."""
-    return F.xxhash64(F.schema_of_variant(record))
+    """Hash of a JSON record's nested field paths and kinds (the order of its fields does not matter).
+
+    Only the shape is parsed: string values are emptied and runs of equal flat objects become one,
+    so the length of a record's texts and lists does not matter. Broken JSON gives that of null.
+    """
+    shape = F.regexp_replace(F.regexp_replace(record, _VALUE, '$1""'), _REPEATED, "$1")
+    return F.xxhash64(F.schema_of_variant(F.try_parse_json(shape)))
 
 
 def canonical_turns(df: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS, out: str = "turns") -> DataFrame:
@@ -55,15 +78,16 @@ def canonical_turns(df: DataFrame, record: str = "record", mappings: tuple[Mappi
     that already have these names are replaced; all others stay.
     """
     spark = df.sparkSession
-    examples = spark.range(1).select(*[fingerprint(F.parse_json(F.lit(m.example))).alias(m.name) for m in mappings]).first()
-    shape = F.xxhash64(F.schema_of_variant(F.col("r")))
+    examples = spark.range(1).select(*[fingerprint(F.lit(m.example)).alias(m.name) for m in mappings]).first()
     turns, layout = F.lit(None).cast(TURNS), F.lit(None).cast("string")
+    options = ", ".join(f"'{k}', '{v}'" for k, v in _UNLIMITED.items())
     for m in reversed(mappings):
         fits = F.col("_h") == examples[m.name]
-        turns, layout = F.when(fits, F.expr(m.turns).cast(TURNS)).otherwise(turns), F.when(fits, F.lit(m.name)).otherwise(layout)
+        read = F.expr(f"transform(array(from_json(_json, '{m.schema}', map({options}))), r -> {m.turns})[0]")
+        turns, layout = F.when(fits, read.cast(TURNS)).otherwise(turns), F.when(fits, F.lit(m.name)).otherwise(layout)
     kept = [c for c in df.columns if c not in (out, "layout", "schema_hash")]
-    read = df.select(F.struct(*[df[c] for c in kept]).alias("_row"), F.try_parse_json(df[record]).alias("r")).withColumn("_h", shape)
-    return read.select(*[F.col(f"_row.`{c}`").alias(c) for c in kept], turns.alias(out), layout.alias("layout"), F.col("_h").alias("schema_hash"))
+    shaped = df.select(F.struct(*[df[c] for c in kept]).alias("_row"), df[record].alias("_json"), fingerprint(df[record]).alias("_h"))
+    return shaped.select(*[F.col(f"_row.`{c}`").alias(c) for c in kept], turns.alias(out), layout.alias("layout"), F.col("_h").alias("schema_hash"))
 
 
 def escape(text: Column) -> Column:
@@ -143,7 +167,9 @@ def chat_rows(conversations: DataFrame) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
     records = records_of(conversations.select("conv_id", "turn", "role", "text").unionByName(extra))
-    formatted = format_turns(canonical_turns(records), "conv_id")
+    read = canonical_turns(records)
+    unread = F.raise_error(F.concat(F.lit("no turns could be read of the record of conv_id "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))
+    formatted = format_turns(read.withColumn("turns", F.when(F.col("turns").isNull(), unread).otherwise(F.col("turns"))), "conv_id")
     lost = F.transform("loss_spans", lambda s: unescape(F.substr("formatted", (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int"))))
     read = formatted.select("conv_id", read_turns(F.col("formatted")).alias("turns"), F.array_join(lost, "").alias("lost"), F.length("formatted").cast("long").alias("formatted_chars"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

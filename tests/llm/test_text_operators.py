@@ -151,6 +151,20 @@ def test_chat_layouts_become_the_same_turns(spark):
     assert read[0]["formatted"][span["start"] : span["stop"]] == "ok" and read[6]["formatted"] == ""
 
 
+def test_chat_keeps_turns_longer_than_the_json_reader_takes(spark):
+    df = spark.createDataFrame([(1, 0, "user", 'q "\\ :'), (2, 0, "user", "x"), (2, 1, "user", "y")], "conv_id long, turn long, role string, text string")
+    long = spark.range(1).select(F.lit(1).cast("long").alias("conv_id"), F.lit(1).cast("long").alias("turn"), F.lit("assistant").alias("role"), F.repeat(F.lit('a"b\\c:'), 3_500_000).alias("text"))
+    got = {r["conv_id"]: r for r in chat_format.chat_rows(df.unionByName(long)).collect()}
+    assert (got[1]["n_turns"], got[1]["loss_chars"], got[2]["n_turns"]) == (2, 21_000_000, 2)
+    assert got[1]["loss_sha256"] == hashlib.sha256(b'a"b\\c:' * 3_500_000).hexdigest()
+
+
+def test_chat_raises_where_a_record_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "records_of", lambda c: c.select("conv_id", F.lit("{broken").alias("record")))
+    with pytest.raises(Exception, match="no turns could be read"):
+        chat_format.chat_rows(spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")).collect()
+
+
 def test_bpe_equals_tiktoken_and_decodes(docs, texts):
     import tiktoken
 
