@@ -176,6 +176,15 @@ def test_packing_is_gapless_and_tight(docs, texts):
     assert got["sequence_id"].nunique() <= 1.03 * -(-got["length"].sum() // 2048) + 1
 
 
+def test_word_ids_equal_an_untouched_tokenizer():
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(TOKENS)
+    texts = ["hello <|endoftext|> world", "a<|startoftext|>b<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> <|endof text|>", "x\n<|endoftext|>\té", "<|endoftext", ""]
+    assert [x.tolist() for x in packing.WordIds(TOKENS).texts(texts)] == [coder.encode(t, add_special_tokens=False).ids for t in texts]
+    assert packing.WordIds(TOKENS).texts(texts[:1])[0].tolist() == [3306, 49407, 1002]
+
+
 def test_swap_search_never_adds_bins_and_raises_squared_fill():
     rng = np.random.default_rng(5)
     for _ in range(20):
