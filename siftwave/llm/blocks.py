@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 
 BLOCK = 6_000_000  # bytes of text in a block, unless one text is longer
+ROWS = 2**20 - 1  # texts in a block, so that a place in it fits 20 bits
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -19,20 +20,21 @@ def split_words(text: str | None) -> list[bytes]:
 
 
 def text_blocks(batches: Iterator[pd.DataFrame], text: str, size: int = BLOCK) -> Iterator[pd.DataFrame]:
-    """The same rows in frames of about `size` bytes of text, across batch borders."""
-    held, held_size = [], 0
+    """The same rows in frames of about `size` bytes of text and at most ROWS rows, across batch borders."""
+    held, held_size, held_rows = [], 0, 0
     for b in batches:
         ends = np.cumsum([len(t or "") for t in b[text]])
         at = 0
         while at < len(b):
             done = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, done + size - held_size, "right")))
+            to = min(max(at + 1, int(np.searchsorted(ends, done + size - held_size, "right"))), at + ROWS - held_rows)
             held.append(b.iloc[at:to])
             held_size += int(ends[to - 1] - done)
+            held_rows += to - at
             at = to
-            if held_size >= size:
+            if held_size >= size or held_rows >= ROWS:
                 yield pd.concat(held, ignore_index=True)
-                held, held_size = [], 0
+                held, held_size, held_rows = [], 0, 0
     if held:
         yield pd.concat(held, ignore_index=True)
 

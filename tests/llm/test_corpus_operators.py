@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from siftwave.llm import mil_quality, packing, pitman_yor, prefix_join
+from siftwave.llm import blocks, mil_quality, packing, pitman_yor, prefix_join
 from siftwave.llm.queries import queries
 
 SPACE = "[^\x20\x09-\x0d]+"
@@ -83,6 +83,15 @@ def test_near_duplicates_of_edited_copies(spark, seed):
     assert got == want
 
 
+def test_text_blocks_hold_fewer_rows_than_20_bits_number():
+    import pandas as pd
+
+    n = 2**20 + 7
+    batches = (pd.DataFrame({"i": np.arange(a, min(a + 300_000, n)), "text": ""}) for a in range(0, n, 300_000))
+    got = list(blocks.text_blocks(batches, "text"))
+    assert max(map(len, got)) < 2**20 and np.concatenate([b["i"] for b in got]).tolist() == list(range(n))
+
+
 def test_language_model_base_score_and_gain(docs, texts):
     out = pitman_yor.lm_rows(docs).toPandas()
     tokens = [[*re.findall(SPACE, fold(t)), None] for _, t in texts]
