@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,45 +21,117 @@ from siftwave.llm.storage import stored
 
 CAPACITY = 2048
 GROUP = 4096  # pieces that are packed together
-CACHE = 500_000  # words whose ids a worker remembers
-SLICE = 4_000_000  # bytes of text that a worker splits into words at once
+CACHE = 1_000_000  # words and runs whose ids a worker remembers
+SLICE = 4_000_000  # characters of text that a worker splits into words at once
+
+
+class Numbers(dict):
+    """Words in order of first sight; a missing one gets the next number and is noted as new."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        number = self[word] = len(self)
+        return number
+
+
+class Rows:
+    """Id lists of numbered items, appended in order of number."""
+
+    def __init__(self):
+        self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def append(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat = np.concatenate([self.flat, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+
+    def sizes(self, items: np.ndarray) -> np.ndarray:
+        return self.ends[items + 1] - self.ends[items]
+
+    def of(self, items: np.ndarray) -> np.ndarray:
+        """The lists of some items, one after the other."""
+        sizes = self.sizes(items)
+        before = np.cumsum(sizes) - sizes
+        return self.flat[np.repeat(self.ends[items] - before, sizes) + np.arange(sizes.sum())]
 
 
 class WordIds:
-    """Token ids of texts whose tokenizer drops white space, so that words can be coded on their own."""
+    """Token ids of texts for a tokenizer that folds case, drops white space and codes the runs of a pattern on their own.
+
+    A plain text (PLAIN characters, for which folding is that of Python and composition does nothing)
+    is folded and split into words, a new word into runs, and new runs are coded together: the last id
+    of a run carries the end-of-word mark, so the ids of many runs can be told apart. Every other
+    text is split at ASCII white space alone and each of its new words is coded by the tokenizer.
+    """
+
+    PLAIN = re.compile("[\\t-\\r -~\u00a0-\u024f\u2010-\u2027\u20ac]*")
+    SPECIAL = "<|"  # begins the special strings, which the tokenizer finds before it folds
+    # The tokenizer's pattern over plain characters: contractions, letters, single digits, all else but white space.
+    RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµº\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9²³¹¼½¾]|[^\\sa-z0-9ªµº²³¹¼½¾\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.ends = [np.zeros(0, np.int32)], [0]
+        self.words, self.odd_words, self.runs = Numbers(), Numbers(), Numbers()
+        self.word_ids, self.odd_ids, self.run_ids = Rows(), Rows(), Rows()
+
+    def _code(self, items: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
+
+    def _learn_odd(self) -> None:
+        new, self.odd_words.new = self.odd_words.new, []
+        for i in range(0, len(new), 20_000):
+            coded = self._code(new[i : i + 20_000])
+            self.odd_ids.append(np.fromiter(chain.from_iterable(coded), np.int32), np.fromiter(map(len, coded), np.int64))
+
+    def _learn(self) -> None:
+        new, self.words.new = self.words.new, []
+        split = list(map(self.RUNS.findall, new))
+        run = np.fromiter(map(self.runs.__getitem__, chain.from_iterable(split)), np.int64)
+        runs, self.runs.new = self.runs.new, []
+        for i in range(0, len(runs), 20_000):
+            some = runs[i : i + 20_000]
+            ids = np.fromiter(chain.from_iterable(self._code([" ".join(some[k : k + 500]) for k in range(0, len(some), 500)])), np.int32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer doesn't end each run of characters with an end-of-word token")
+            self.run_ids.append(ids, np.diff(np.append(0, ends)))
+        ends = np.append(0, np.cumsum(self.run_ids.sizes(run)))
+        self.word_ids.append(self.run_ids.of(run), np.diff(ends[np.cumsum([0, *map(len, split)])]))
 
     def texts(self, texts: list[str]) -> list[np.ndarray]:
-        """One id array for each text; words are separated by ASCII white space."""
-        split = [t.encode().split() for t in texts]
-        if len(self.known) > CACHE:
+        """One id array for each text."""
+        if len(self.words) + len(self.odd_words) + len(self.runs) > CACHE:
             self.clear()
-        new = list(set().union(*split) - self.known.keys())
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]
-            for w, ids in zip(some, coded, strict=True):
-                self.known[w] = len(self.ends) - 1
-                self.ends.append(self.ends[-1] + len(ids))
-            self.flat.append(np.fromiter(chain.from_iterable(coded), np.int32))
-        flat, ends = np.concatenate(self.flat), np.array(self.ends)
-        self.flat = [flat]
-        word = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64)
-        starts, sizes = ends[word], ends[word + 1] - ends[word]
-        before = np.cumsum(sizes) - sizes
-        ids = flat[np.repeat(starts - before, sizes) + np.arange(sizes.sum())]
-        cuts = np.append(0, np.cumsum(sizes))[np.cumsum([0, *map(len, split)])]
-        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        plain = [self.SPECIAL not in t and self.PLAIN.fullmatch(t) is not None for t in texts]
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
+        for wanted, numbers, rows, learn in ((True, self.words, self.word_ids, self._learn), (False, self.odd_words, self.odd_ids, self._learn_odd)):
+            some = [i for i, p in enumerate(plain) if p is wanted]
+            if not some:
+                continue
+            words = pc.ascii_split_whitespace(pa.array([texts[i].lower() if wanted else texts[i] for i in some], pa.large_string()))
+            coded = words.flatten().dictionary_encode()
+            listed = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.string()))
+            distinct = pc.binary_join(listed, "\n")[0].as_py().split("\n")  # far quicker than one object at a time
+            number = np.fromiter(map(numbers.__getitem__, distinct), np.int64, len(distinct))
+            learn()
+            word = number[coded.indices.to_numpy(zero_copy_only=False)]
+            ids, ends = rows.of(word), np.append(0, np.cumsum(rows.sizes(word)))
+            cuts = ends[words.offsets.to_numpy()]
+            for i, a, b in zip(some, cuts, cuts[1:], strict=False):
+                out[i] = ids[a:b]
+        return out
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -85,7 +161,8 @@ def cut_pieces(df: DataFrame, path: str, text: str = "text", key: str = "doc_id"
 
     A document's ids are its text's and then id 0, so a null or empty text is one piece of length 1.
     Only documents longer than `capacity` are cut; the last piece may be shorter. path: a tokenizer
-    file that is installed on every executor. Rows with equal keys are cut each on its own.
+    file that is installed on every executor. Rows with equal or null keys are cut each on its own,
+    very long texts are coded whole, and an empty table gives no rows.
     """
     kind = df.select(key).schema[0].dataType.simpleString()
     schema = f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
@@ -148,12 +225,25 @@ class Bins:
         self.sorted.pop(b, None)
 
     def _items(self, b: int) -> tuple[list, list, list, list]:
-        """A bin's items and pairs of items in order of size: the sizes, the items, the sizes of pairs, the pairs."""
+        """A bin's distinct sizes with an item of each, and its distinct sizes of pairs with a pair of each, ascending.
+
+        Items of equal size are interchangeable, and a bin's distinct sizes add up to its capacity at
+        most, so there are at most about sqrt(2 * capacity) of them, however many items it holds.
+        """
         if b not in self.sorted:
-            size, items = self.sizes, self.bins[b]
-            one = sorted((size[j], j) for j in items)
-            two = sorted((size[x] + size[y], x, y) for n, x in enumerate(items) for y in items[:n]) if len(items) <= 64 else []
-            self.sorted[b] = [s for s, _ in one], [[j] for _, j in one], [p[0] for p in two], [[x, y] for _, x, y in two]
+            by_size: dict[int, list[int]] = {}
+            for j in self.bins[b]:
+                by_size.setdefault(self.sizes[j], []).append(j)
+            ones = sorted(by_size)
+            pairs: dict[int, list[int]] = {}
+            for n, s in enumerate(ones):
+                for t in ones[: n + 1]:
+                    if s != t:
+                        pairs.setdefault(s + t, [by_size[s][0], by_size[t][0]])
+                    elif len(by_size[s]) > 1:
+                        pairs.setdefault(2 * s, by_size[s][:2])
+            twos = sorted(pairs)
+            self.sorted[b] = ones, [[by_size[s][0]] for s in ones], twos, [pairs[s] for s in twos]
         return self.sorted[b]
 
     def _best(self, a: int, b: int) -> tuple[int, list[int], list[int]]:
@@ -162,28 +252,30 @@ class Bins:
         With b at least as full as a, the squared fills grow with every token that b gains, so the
         best exchange is the one that moves the most tokens that b has room for.
         """
-        size, best, found = self.sizes, 0, ([], [])
+        best, found = 0, ([], [])
         room = self.capacity - self.fill[b]
         sizes, items, pair_sizes, pairs = self._items(b)
         n_items, n_pairs = len(sizes), len(pairs)
-        bin_a = self.bins[a]
-        for n, x in enumerate(bin_a):
-            s = size[x]
-            if best < s <= room:
-                best, found = s, ([x], [])
+        own, own_items, own_pair_sizes, own_pairs = self._items(a)
+        for n in range(len(own) - 1, -1, -1):
+            s = own[n]
+            if s <= best:
+                break
+            if s <= room:
+                best, found = s, (own_items[n], [])
             k = bisect_left(sizes, s - room)
             if k < n_items and s - sizes[k] > best:
-                best, found = s - sizes[k], ([x], items[k])
+                best, found = s - sizes[k], (own_items[n], items[k])
             k = bisect_left(pair_sizes, s - room)
             if k < n_pairs and s - pair_sizes[k] > best:
-                best, found = s - pair_sizes[k], ([x], pairs[k])
-            for y in bin_a[:n] if len(bin_a) <= 64 else []:
-                t = s + size[y]
-                k = bisect_left(sizes, t - room)
-                if k < n_items and t - sizes[k] > best:
-                    best, found = t - sizes[k], ([x, y], items[k])
-            if best == room:
+                best, found = s - pair_sizes[k], (own_items[n], pairs[k])
+        for n in range(len(own_pairs) - 1, -1, -1):
+            if best == room or own_pair_sizes[n] - sizes[0] <= best:
                 break
+            t = own_pair_sizes[n]
+            k = bisect_left(sizes, t - room)
+            if k < n_items and t - sizes[k] > best:
+                best, found = t - sizes[k], (own_pairs[n], items[k])
         return best, *found
 
     def search(self) -> None:
@@ -218,13 +310,18 @@ class Bins:
 def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """pieces with `sequence_id` and `offset`; in each sequence offsets run from 0 without a gap.
 
-    Pieces are dealt evenly into groups of about `group` rows; each group is packed on its own, so
-    a group wastes less than one sequence more than its own packing does. Lengths must be from 1 to
-    capacity. Equal pieces are told apart by their place in the input; an empty input gives no rows.
+    Pieces are dealt evenly into groups of about `group` rows, and each group is packed on its own.
+    Pieces of sequences that are not full are then dealt anew, into as many fewer groups, and so on
+    while that leaves at most half of them: so all underfull sequences end in one group and exchange
+    pieces, unless most of the pieces can't fill a sequence anyway. Lengths must be from 1 to
+    capacity; a null or other length is an error. Equal pieces and repeated rows are told apart by
+    their place in the input, an empty input gives no rows, and columns that already have the new
+    names are replaced.
     """
-    numbered = stored(pieces.withColumn("_n", F.monotonically_increasing_id()), "pieces")
-    groups = max(1, -(-numbered.count() // group))
-    columns = pieces.columns
+    columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    fits = F.when(F.col(length).between(1, capacity), F.monotonically_increasing_id())
+    left = stored(pieces.select(*columns, F.coalesce(fits, F.raise_error(F.lit("a piece's length is not from 1 to the capacity")).cast("long")).alias("_n")), "pieces")
+    schema = left.select("*", *[F.lit(0).cast("long").alias(c) for c in ("sequence_id", "offset")], F.lit(True).alias("_full")).schema
 
     def solve(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("_n", ignore_index=True)
@@ -236,13 +333,29 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, gr
         sizes = g[length].to_numpy()[order]
         before = np.cumsum(sizes) - sizes
         first = np.append(0, np.flatnonzero(np.diff(sequence)) + 1)
-        out = g.iloc[order][columns].copy()
-        out["sequence_id"] = (g["_g"].iloc[0] << 32) + sequence
+        out = g.iloc[order][[*columns, "_n"]].copy()
+        out["sequence_id"] = (g["_g"].iloc[0] << 24) + sequence
         out["offset"] = before - before[first][sequence]
+        out["_full"] = np.array(bins.fill)[sequence] == capacity
         return out
 
-    schema = pieces.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
-    return numbered.withColumn("_g", F.pmod(F.xxhash64("_n"), F.lit(groups)).cast("long")).groupBy("_g").applyInPandas(solve, schema)
+    n, parts = left.count(), []
+    while True:
+        groups, deal = max(1, -(-n // group)), len(parts)
+        number = (F.pmod(F.xxhash64("_n", F.lit(deal)), F.lit(groups)) + F.lit(deal << 34)).cast("long")
+        solved = left.withColumn("_g", number).groupBy("_g").applyInPandas(solve, schema)
+        if groups == 1:
+            parts.append(solved)
+            break
+        solved = stored(solved, "packed")
+        underfull = solved.where("not _full").drop("sequence_id", "offset", "_full")
+        before, n = n, underfull.count()
+        if n > before // 2:
+            parts.append(solved)
+            break
+        parts.append(solved.where("_full"))
+        left = underfull
+    return reduce(DataFrame.unionByName, parts).select(*columns, "sequence_id", "offset")
 
 
 def packed_rows(df: DataFrame, path: str) -> DataFrame:

@@ -171,7 +171,6 @@ def test_packing_is_gapless_and_tight(docs, texts):
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_file(TOKENS)
-    coder.encode_special_tokens = True
     got = packing.packed_rows(docs, TOKENS).toPandas()
     want = []
     for i, t in texts:
@@ -190,10 +189,86 @@ def test_word_ids_equal_an_untouched_tokenizer():
 
     coder = Tokenizer.from_file(TOKENS)
     texts = ["hello <|endoftext|> world", "a<|startoftext|>b<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> <|endof text|>", "x\n<|endoftext|>\té", "<|endoftext", ""]
+    texts += ["It's WE'LL don'T 'sort 's", "İstanbul ΟΔΟΣ Σ ŉ ǆ Ǆ ẞ", "e\u0301 \u1fef \u0345", "a\xa0b\u2003c\u3000d \x85e\x1cf", "½ ² ١٢ 12a3 €5 “q” … a—b", "日本語 テキスト 😀👍🏽 \u200d", "!!! ###$$$ a_b-c", "x" * 5000, "ab" * 3000 + " é" * 50, " \t\n"]
     assert [x.tolist() for x in packing.WordIds(TOKENS).texts(texts)] == [coder.encode(t, add_special_tokens=False).ids for t in texts]
     assert packing.WordIds(TOKENS).texts(texts[:1])[0].tolist() == [3306, 49407, 1002]
 
 
+def test_words_equal_an_untouched_tokenizer_on_random_characters():
+    from tokenizers import Tokenizer
+
+    coder, ids, rng = Tokenizer.from_file(TOKENS), packing.WordIds(TOKENS), np.random.default_rng(1)
+    low, high = [chr(c) for c in range(9, 0x300)], [chr(c) for c in (*range(0x300, 0x600), *range(0x2000, 0x2200), 0xFB01, 0x1F600)]
+    texts = ["".join(rng.choice(low, 40)) for _ in range(300)] + ["".join(rng.choice(low + high, 40)) for _ in range(300)]
+    texts += ["".join(rng.choice(list("aAsStTlL'’ré  "), 30)) for _ in range(300)]
+    assert [x.tolist() for x in ids.texts(texts)] == [coder.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def fewest_bins(sizes, capacity):
+    """By trying every placement."""
+    best = len(sizes)
+
+    def place(i, fill):
+        nonlocal best
+        if len(fill) >= best:
+            return
+        if i == len(sizes):
+            best = len(fill)
+            return
+        for b in range(len(fill)):
+            if fill[b] + sizes[i] <= capacity:
+                place(i + 1, (*fill[:b], fill[b] + sizes[i], *fill[b + 1 :]))
+        place(i + 1, (*fill, sizes[i]))
+
+    place(0, ())
+    return best
+
+
+def test_search_against_every_placement():
+    rng = np.random.default_rng(8)
+    over = []
+    for _ in range(60):
+        sizes = sorted(rng.integers(1, 20, 9).tolist(), reverse=True)
+        b = packing.Bins(sizes, 24)
+        b.best_fit()
+        b.search()
+        over.append(len(b.bins) - fewest_bins(sizes, 24))
+    assert min(over) >= 0 and sum(over) <= 2
+
+
+def test_no_exchange_is_left_after_the_search():
+    rng = np.random.default_rng(9)
+    for high in (3, 30):
+        sizes = rng.integers(1, high, 300).tolist()
+        b = packing.Bins(sizes, 101)
+        b.bins = [[int(i) for i in x] for x in np.array_split(rng.permutation(300), 1 + sum(sizes) // 60)]
+        b.bins = [x for x in b.bins if sum(sizes[i] for i in x) <= 101]
+        b.fill = [sum(sizes[i] for i in x) for x in b.bins]
+        b.search()
+        for x, f in zip(b.bins, b.fill, strict=True):
+            for y, g in zip(b.bins, b.fill, strict=True):
+                if x is y or f > g or g == 101:
+                    continue
+                one = lambda z: [(sizes[i],) for i in z]
+                two = lambda z: [(sizes[i], sizes[j]) for k, i in enumerate(z) for j in z[:k]]
+                moves = [sum(o) - sum(i) for o in one(x) for i in [(), *one(y), *two(y)]] + [sum(o) - sum(i) for o in two(x) for i in one(y)]
+                assert not any(0 < m <= 101 - g for m in moves)
+
+
+def test_underfull_sequences_of_groups_meet_again(spark):
+    sizes = np.random.default_rng(4).integers(1, 60, 3000).tolist()
+    pieces = spark.createDataFrame([(i, s, "own") for i, s in enumerate(sizes)], "doc_id long, length long, offset string")
+    got = packing.pack(pieces, capacity=100, group=64).toPandas()
+    assert sorted(got["doc_id"]) == list(range(3000)) and got["sequence_id"].nunique() <= -(-sum(sizes) // 100) + 1
+    for _, g in got.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g["offset"].tolist() == [0, *g["length"].cumsum()[:-1]] and g["length"].sum() <= 100
+    wide = spark.createDataFrame([(i, 70) for i in range(300)], "doc_id long, length long")
+    assert packing.pack(wide, capacity=100, group=64).select("sequence_id").distinct().count() == 300
+    with pytest.raises(Exception, match="length"):
+        packing.pack(spark.createDataFrame([(1, None)], "doc_id long, length long")).collect()
+
+
 def test_swap_search_never_adds_bins_and_raises_squared_fill():
     rng = np.random.default_rng(5)
     for _ in range(20):
