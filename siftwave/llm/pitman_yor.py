@@ -299,7 +299,7 @@ def _add(sums: np.ndarray, cells) -> np.ndarray:
 
 def _summed(state: DataFrame, samples: int, size: int) -> np.ndarray:
     """The shards' vectors, added in about as many groups as the root of their number, and those on the driver."""
-    groups = max(1, round(shards(state.sparkSession) ** 0.5))
+    groups = max(1, round(state.count() ** 0.5))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([_packed(_add(np.zeros((samples, size)), zip(g["totals_at"], g["totals"], strict=True)))])
@@ -504,9 +504,9 @@ def score_texts(docs: DataFrame, contexts: int = CONTEXTS, rounds: int = 2, burn
     null doc_id counts as an empty id. Repeated rows are scored one by one, an empty table gives no
     rows, and without training rows all tokens are unknown.
     """
-    total = shards(docs.sparkSession)
     rng = np.random.default_rng(seed)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (hold_out(F.col("doc_id"), 10) != 0).alias("train"))
+    total = shards(docs)
     counts = stored(_word_counts(docs), "word-counts")
     known, tokens = (int(x or 0) for x in counts.agg(F.count("c"), F.sum("c")).first())
     top = counts.orderBy(F.desc("c"), "h").limit(contexts).toPandas()

@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwave.llm.blocks import mix, put, runs, split_words, take, text_blocks, word_ids
-from siftwave.llm.storage import shards, stored
+from siftwave.llm.storage import discard, shards, stored
 
-BITS = 48  # of a shingle's hash, for order and comparison; sizes are counted with all 64
 OFFERS = 4  # hubs that a group is compared with in each round before all remaining pairs are
+SPLIT = 256  # groups that share a shingle from which its pairs are dealt over several tasks
 OFTEN = 16  # documents of a block from which a shingle's list stays with the block
 
 
@@ -83,15 +83,12 @@ def _lists(docs: DataFrame, width: int, total: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get().partitionId() << 16
         for number, b in enumerate(text_blocks(batches, "text")):
-            h, doc, sizes = shingle_hashes(b["text"], width)
-            token = h >> np.uint64(64 - BITS)
-            new = np.append(True, (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])) if len(token) else np.zeros(0, bool)
-            token, doc = token[new], doc[new]
+            token, doc, sizes = shingle_hashes(b["text"], width)
             at = runs(token)
             count = np.diff(np.append(at, len(token)))
             often = count >= OFTEN
             listed = np.repeat(~often, count)
-            shard = (token[at] * np.uint64(total) >> np.uint64(BITS)).astype(np.int64)
+            shard = ((token[at] >> np.uint64(32)) * np.uint64(total) >> np.uint64(32)).astype(np.int64)
             cuts = np.unique(np.append(runs(shard), len(shard)))
             before = np.append(0, np.cumsum(np.where(often, 0, count)))
             light = doc[listed]
@@ -211,23 +208,25 @@ def connected(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     left = stored(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    labels = spark.createDataFrame([], "node long, component long")
-    first = True
+    labels = None
     while left.take(1):
         ends = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = ends.groupBy("a").agg(F.min("b").alias("h")).select(F.col("a").alias("node"), F.least("a", "h").alias("up"))
+        hooks = stored(ends.groupBy("a").agg(F.min("b").alias("h")).select(F.col("a").alias("node"), F.least("a", "h").alias("up")), "hooks")
         for _ in range(2):
             above = hooks.select(F.col("node").alias("up"), F.col("up").alias("higher"))
-            hooks = stored(hooks.join(above, "up").select("node", F.col("higher").alias("up")), "hooks")
-        if first:
-            labels, first = hooks.select("node", F.col("up").alias("component")), False
+            before, hooks = hooks, stored(hooks.join(above, "up").select("node", F.col("higher").alias("up")), "hooks")
+            discard(before)
+        if labels is None:
+            labels = stored(hooks.select("node", F.col("up").alias("component")), "labels")
         else:
             up = hooks.select(F.col("node").alias("component"), F.col("up"))
-            labels = labels.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
-        labels = stored(labels, "labels")
+            before, labels = labels, stored(labels.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component")), "labels")
+            discard(before)
         a, b = (hooks.select(F.col("node").alias(x), F.col("up").alias(f"up_{x}")) for x in "ab")
-        left = stored(left.join(a, "a").join(b, "b").where("up_a != up_b").select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct(), "edges")
-    return labels
+        before, left = left, stored(left.join(a, "a").join(b, "b").where("up_a != up_b").select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct(), "edges")
+        discard(before, hooks)
+    discard(left)
+    return spark.createDataFrame([], "node long, component long") if labels is None else labels
 
 
 def _close(left: str, right: str, percent: int):
@@ -241,11 +240,14 @@ def join_similar(docs: DataFrame, width: int = 5, percent: int = 75, hubs: int =
     docs: doc_id and text. A document's set is its distinct `width`-word shingles, or its whole word
     sequence as one shingle if it is shorter; null texts and those without words have empty sets and
     no links. Documents link when 100 * intersection >= percent * union; equal sets always do.
-    `component` is the smallest doc_id reachable by links. A null doc_id takes part but is no
-    component's name unless all its members are null. Ties and repeated rows need no special case.
+    Shingles are compared by 64-bit hashes, and whole sets are equal if their sizes and two 64-bit
+    digests over all shingles are. `component` is the smallest doc_id reachable by links. A null
+    doc_id takes part but is no component's name unless all its members are null. Very long texts are
+    taken whole, ties and repeated rows need no special case, other columns of docs are not read, and
+    an empty table gives no rows.
     """
-    total = shards(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    total = shards(docs)
     table = stored(_documents(_shared(_lists(docs, width, total)), percent), "shingle-sets")
     alive = table.where(F.col("class").isNotNull())
     classes = alive.groupBy("class").agg(F.min("rid").alias("rep"))
@@ -256,7 +258,7 @@ def join_similar(docs: DataFrame, width: int = 5, percent: int = 75, hubs: int =
     repeated = postings.groupBy("token").count().where("count > 1").select("token")
     postings = stored(postings.join(repeated, "token", "left_semi"), "postings")
 
-    links = stored(_verify(members.where("g != rep").select(F.col("rep").alias("a"), F.col("g").alias("b")), sets, percent), "links")
+    links, labels = stored(_verify(members.where("g != rep").select(F.col("rep").alias("a"), F.col("g").alias("b")), sets, percent), "links"), None
     for r in range(hubs):
         labels = connected(links) if r else None
         placed = _placed(postings.select("token", F.col("g").alias("node"), "n", "lonely"), labels)
@@ -269,21 +271,24 @@ def join_similar(docs: DataFrame, width: int = 5, percent: int = 75, hubs: int =
         offers = placed.join(hub.where("low != high").select("token", "hub"), "token").where("component != hub.component").where(_close("n", "hub.n", percent))
         rivals = Window.partitionBy("node").orderBy(F.desc("count"), F.xxhash64("b"))
         best = offers.groupBy("node", F.col("hub.node").alias("b")).count().withColumn("r", F.row_number().over(rivals)).where(F.col("r") <= OFFERS)
-        links = stored(links.unionByName(_verify(best.select(F.col("node").alias("a"), "b"), sets, percent)), "links")
+        before, links = links, stored(links.unionByName(_verify(best.select(F.col("node").alias("a"), "b"), sets, percent)), "links")
+        discard(before)
 
-    labels = stored(connected(links), "labels")
+    labels = connected(links)
     inside = stored(_placed(members.select("g", F.col("rep").alias("node")), labels), "inside")
     # A group's classes may lie in several components; each of these is compared.
     placed = postings.select("token", F.col("g").alias("node"), "n", "span").join(inside.select(F.col("g").alias("node"), "component").distinct(), "node")
-    mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token")
-    placed = placed.join(mixed, "token", "left_semi")
+    mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("parts"))
+    placed = placed.join(mixed.where("low != high").select("token", "parts"), "token")
     placed = placed.join(members.where("g = rep").select(F.col("g").alias("node"), "prefix"), "node")
-    one, two = (placed.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "span", "component", "prefix")]) for x in "ab")
+    # A shingle of many groups is dealt over tasks: one side of its pairs by group, the other in full to each part.
+    deal = {"a": F.pmod(F.xxhash64("node"), "parts").cast("int"), "b": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))}
+    one, two = (placed.select("token", deal[x].alias("part"), *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "span", "component", "prefix")]) for x in "ab")
     shared = F.array_intersect("prefix_a", "prefix_b")
     # A pair comes up once, at its smallest common shingle. What can be common beyond the prefixes,
     # against what must be, leaves few pairs; both are conditions of the join itself.
     able = F.expr(f"(greatest(n_a - span_a, n_b - span_b) + size(array_intersect(prefix_a, prefix_b))) * {100 + percent} >= {percent} * (n_a + n_b)")
-    near = one.join(two, "token").where("node_a < node_b and component_a != component_b").where(_close("n_a", "n_b", percent)).where(F.array_min(shared) == F.col("token")).where(able)
+    near = one.join(two, ["token", "part"]).where("node_a < node_b and component_a != component_b").where(_close("n_a", "n_b", percent)).where(F.array_min(shared) == F.col("token")).where(able)
     within = members.groupBy("g").count().where("count > 1").select(F.col("g").alias("node_a"), F.col("g").alias("node_b"))
     a, b = (inside.select(F.col("g").alias(f"node_{x}"), F.col("node").alias(x), F.col("component").alias(f"at_{x}")) for x in "ab")
     pairs = near.select("node_a", "node_b").distinct().unionByName(within).join(a, "node_a").join(b, "node_b").where("at_a != at_b and (node_a < node_b or a < b)").select("a", "b")

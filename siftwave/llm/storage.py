@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where the session names none (tests)."""
+    """The cluster's checkpoint folder. Where the session names none, a temporary one if it is local, else an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="siftwave-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
@@ -23,12 +26,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def shards(spark: SparkSession) -> int:
-    """How many pieces keyed binary state is dealt into: the session's shuffle partitions."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `stored` wrote and that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def shards(docs: DataFrame, text: str = "text", size: int = 32_000_000) -> int:
+    """How many pieces keyed binary state is dealt into: one for each `size` bytes of text, the session's shuffle partitions at least."""
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // size))
 
 
 def let(value: Column, body) -> Column:
