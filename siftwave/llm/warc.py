@@ -7,6 +7,8 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,12 +17,12 @@ from pyspark.sql import functions as F
 
 VERSION = b"WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
-HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template|head)\b.*?</\1\s*>|<![^>]*>")
-BREAK = re.compile(r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|blockquote|pre|hr|title)\b[^>]*>")
-TAG = re.compile(r"<[^>]*>")
-TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
-LANGUAGE = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)")
-LINK = re.compile(r"(?is)<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+# Elements whose content is no text, and those that end a line.
+HIDDEN = frozenset("script style noscript template head".split())
+BREAKS = frozenset("p div br li ul ol h1 h2 h3 h4 h5 h6 tr table section article header footer nav blockquote pre hr title".split())
+NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9-]*)")
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*+(?:=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?+")
+DECODED = 256_000_000  # bytes of a decoded payload; a longer one is an error of its record
 
 
 def digest(raw: bytes) -> str:
@@ -44,20 +46,29 @@ def _one_line(value: str) -> str:
     return re.sub(r"[\r\n]+", " ", value)
 
 
-def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of every record; ValueError where one is cut."""
+def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes] | ValueError]:
+    """Headers (names in lower case) and block of every record, in order.
+
+    Where a record is broken or cut, its error stands for it, and reading goes on at the next line
+    that begins a record, so that valid records before and after it are kept.
+    """
     at = 0
     while at < len(raw):
         end = raw.find(b"\r\n\r\n", at)
-        if end < 0 or not raw.startswith(b"WARC/", at):
-            raise ValueError("broken record header")
-        lines = raw[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers.get("content-length", "-1"))
-        if size < 0 or end + 4 + size > len(raw):
-            raise ValueError("broken record length")
-        yield headers, raw[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        wrong = "broken record header" if end < 0 or not raw.startswith(b"WARC/", at) else None
+        if wrong is None:
+            lines = raw[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+            headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+            size = headers.get("content-length", "")
+            stop = end + 4 + int(size) if re.fullmatch("[0-9]{1,18}", size) else -1
+            if 0 <= stop <= len(raw):
+                yield headers, raw[end + 4 : stop]
+                at = stop + 4 if raw.startswith(b"\r\n\r\n", stop) else stop
+                continue
+            wrong = "broken record length"
+        yield ValueError(wrong)
+        after = raw.find(b"\nWARC/", at)
+        at = after + 1 if after >= 0 else len(raw)
 
 
 def split_http(block: bytes) -> tuple[str, dict[str, str], bytes]:
@@ -69,11 +80,138 @@ def split_http(block: bytes) -> tuple[str, dict[str, str], bytes]:
     return status, {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, payload
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, int, int]]:
+    """Kind (text, tag or mark), name of a tag in lower case, start and stop of each part of a page.
+
+    One pass from left to right: what has been searched once is not searched again, so the time grows
+    with the length of a page, whatever it holds. Comments and declarations are marks; an opening
+    without an end is text, and so is "<" before no name.
+    """
+    at, n = 0, len(page)
+    missing: set[str] = set()  # ends that no longer occur
+
+    def find(what: str, begin: int) -> int:
+        if what in missing:
+            return -1
+        found = page.find(what, begin)
+        if found < 0:
+            missing.add(what)
+        return found
+
+    while at < n:
+        low = page.find("<", at)
+        if low < 0:
+            break
+        if low > at:
+            yield "text", "", at, low
+        name = NAME.match(page, low + 1)
+        if page.startswith("<!--", low):
+            stop, size, kind = find("-->", low + 4), 3, "mark"
+        elif page.startswith(("<!", "<?"), low):
+            stop, size, kind = find(">", low + 2), 1, "mark"
+        elif name:
+            stop, size, kind = find(">", name.end()), 1, "tag"
+        else:
+            stop, size, kind = -1, 0, "text"
+        at = stop + size if stop >= 0 else low + 1
+        yield (kind, name[1].lower() if kind == "tag" else "", low, at) if stop >= 0 else ("text", "", low, at)
+    if at < n:
+        yield "text", "", at, n
+
+
+def attributes(tag: str) -> dict[str, str]:
+    """The attributes of a tag, names in lower case; of equal names the first."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(tag, NAME.match(tag, 1).end(), len(tag) - 1):
+        out.setdefault(m[1].lower(), html.unescape(next((x for x in m.groups()[1:] if x is not None), "")))
+    return out
+
+
+def read_page(page: str) -> tuple[str, str, str, list[str]]:
+    """Shown text, title, language and links of a page.
+
+    Scripts, styles, the head and comments are not shown, tags are dropped, and blocks stand on lines
+    of their own. A hidden element that never ends hides nothing.
+    """
+    ends = {name: [m.start() for m in re.finditer(rf"(?i)</{name}\s*+>", page)] for name in HIDDEN}
+    shown, titles, links, language = [], [], [], ""
+    title_at, skip = -1, 0
+    for kind, name, start, stop in tokens(page):
+        opening = kind == "tag" and page[start + 1] != "/"
+        if kind == "tag" and name == "title":
+            if opening and title_at < 0 and not titles:
+                title_at = stop
+            elif not opening and title_at >= 0 and not titles:
+                titles.append(page[title_at:start])
+        if opening and name == "html" and not language:
+            language = attributes(page[start:stop]).get("lang", "")
+        if start < skip:
+            continue
+        if opening and name in HIDDEN:
+            after = bisect_left(ends[name], stop)
+            if after < len(ends[name]):
+                skip = page.index(">", ends[name][after]) + 1
+                shown.append(" ")
+        elif kind == "text":
+            shown.append(html.unescape(page[start:stop]))
+        elif kind == "mark" or name in BREAKS:
+            shown.append("\n" if name in BREAKS else " ")
+        if opening and name == "a" and start >= skip and "href" in (found := attributes(page[start:stop])):
+            links.append(found["href"])
+    lines = (" ".join(line.split()) for line in "".join(shown).split("\n"))
+    return "\n".join(line for line in lines if line), " ".join(html.unescape(titles[0]).split()) if titles else "", language, links
+
+
 def plain_text(page: str) -> str:
-    """The text that a page shows: no scripts, styles, comments or tags; blocks on lines of their own."""
-    text = html.unescape(TAG.sub("", BREAK.sub("\n", HIDDEN.sub(" ", page))))
-    lines = (" ".join(line.split()) for line in text.split("\n"))
-    return "\n".join(line for line in lines if line)
+    """The text that a page shows."""
+    return read_page(page)[0]
+
+
+def _unchunked(payload: bytes) -> bytes:
+    parts, at = [], 0
+    while True:
+        end = payload.find(b"\r\n", at)
+        size = payload[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(b"[0-9a-fA-F]{1,8}", size):
+            raise ValueError("broken chunk")
+        n, at = int(size, 16), end + 2
+        if not n:
+            return b"".join(parts)
+        if at + n > len(payload):
+            raise ValueError("cut chunk")
+        parts.append(payload[at : at + n])
+        at += n + 2
+
+
+def _inflated(payload: bytes, bits: int) -> bytes:
+    out, rest = [], payload
+    while rest:
+        z = zlib.decompressobj(bits)
+        out.append(z.decompress(rest, DECODED + 1 - sum(map(len, out))))
+        if z.unconsumed_tail or sum(map(len, out)) > DECODED:
+            raise ValueError("decoded payload is too long")
+        if not z.eof:
+            raise ValueError("cut payload")
+        rest = z.unused_data
+    return b"".join(out)
+
+
+def decode_transfer(headers: dict[str, str], payload: bytes) -> bytes:
+    """The payload without its transfer and content codings (chunked, gzip, deflate, identity); ValueError for others."""
+    steps = [x.strip().lower() for k in ("content-encoding", "transfer-encoding") for x in headers.get(k, "").split(",")]
+    for step in reversed(steps):
+        try:
+            if step == "chunked":
+                payload = _unchunked(payload)
+            elif step in ("gzip", "x-gzip"):
+                payload = _inflated(payload, 31)
+            elif step == "deflate":
+                payload = _inflated(payload, 15 if payload[:1] == b"\x78" else -15)
+            elif step not in ("", "identity"):
+                raise ValueError(f"content coding {step} can't be decoded here")
+        except zlib.error as e:
+            raise ValueError(f"broken {step} payload") from e
+    return payload
 
 
 def decode_payload(headers: dict[str, str], payload: bytes) -> str:
@@ -84,25 +222,33 @@ def decode_payload(headers: dict[str, str], payload: bytes) -> str:
         return payload.decode("utf-8", "replace")
 
 
-def derive(raw: bytes) -> list[bytes]:
-    """A metadata and a conversion record for each response record in raw, in that order."""
+def derive(raw: bytes) -> list[bytes | ValueError]:
+    """A metadata and a conversion record for each response record in raw, in order; an error stands for a record that is broken."""
+    out: list[bytes | ValueError] = []
+    for found in parse(raw):
+        if isinstance(found, ValueError):
+            out.append(found)
+        elif found[0].get("warc-type") == "response":
+            try:
+                out += _derivatives(*found)
+            except ValueError as e:
+                out.append(e)
+    return out
+
+
+def _derivatives(headers: dict[str, str], block: bytes) -> list[bytes]:
+    status, source, payload = split_http(block)
+    text, title, language, links = read_page(decode_payload(source, decode_transfer(source, payload)))
+    link = {"WARC-Target-URI": headers.get("warc-target-uri", ""), "WARC-Date": headers.get("warc-date", DATE)}
+    refers = {"WARC-Refers-To": headers["warc-record-id"], "WARC-Refers-To-Target-URI": link["WARC-Target-URI"], "WARC-Refers-To-Date": link["WARC-Date"]} if "warc-record-id" in headers else {}
+    fields = {"status": status, **{f"source-{k}": v for k, v in sorted(source.items())}, "source-payload-digest": headers.get("warc-payload-digest", digest(payload)), "source-block-digest": headers.get("warc-block-digest", digest(block)), "language": language, "title": title}
+    about = "".join(f"{k}: {_one_line(v)}\r\n" for k, v in fields.items()) + "".join(f"outlink: {_one_line(x)}\r\n" for x in links)
     out = []
-    for headers, block in parse(raw):
-        if headers.get("warc-type") != "response":
-            continue
-        status, source, payload = split_http(block)
-        page = decode_payload(source, payload)
-        link = {"WARC-Target-URI": headers.get("warc-target-uri", ""), "WARC-Date": headers.get("warc-date", DATE)}
-        refers = {"WARC-Refers-To": headers["warc-record-id"], "WARC-Refers-To-Target-URI": link["WARC-Target-URI"], "WARC-Refers-To-Date": link["WARC-Date"]} if "warc-record-id" in headers else {}
-        language, title = LANGUAGE.search(page), TITLE.search(page)
-        fields = {"status": status, **{f"source-{k}": v for k, v in sorted(source.items())}, "source-payload-digest": headers.get("warc-payload-digest", digest(payload)), "source-block-digest": headers.get("warc-block-digest", digest(block)), "language": language[1] if language else "", "title": " ".join(html.unescape(title[1]).split()) if title else ""}
-        links = [html.unescape(next(x for x in m.groups() if x is not None)) for m in LINK.finditer(HIDDEN.sub(" ", page))]
-        about = "".join(f"{k}: {_one_line(v)}\r\n" for k, v in fields.items()) + "".join(f"outlink: {_one_line(x)}\r\n" for x in links)
-        for kind, content, body in (("metadata", "application/warc-fields", about.encode()), ("conversion", "text/plain; charset=utf-8", plain_text(page).encode())):
-            named = {"WARC-Record-ID": record_id(kind, headers.get("warc-record-id"), digest(block)), **link, **refers, "WARC-Block-Digest": digest(body)}
-            if kind == "conversion":
-                named["WARC-Source-Payload-Digest"] = fields["source-payload-digest"]
-            out.append(record(kind, named | {"Content-Type": content}, body))
+    for kind, content, body in (("metadata", "application/warc-fields", about.encode("utf-8", "replace")), ("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace"))):
+        named = {"WARC-Record-ID": record_id(kind, headers.get("warc-record-id"), digest(block)), **link, **refers, "WARC-Block-Digest": digest(body)}
+        if kind == "conversion":
+            named["WARC-Source-Payload-Digest"] = fields["source-payload-digest"]
+        out.append(record(kind, named | {"Content-Type": content}, body))
     return out
 
 
@@ -120,8 +266,10 @@ DERIVED = "warc_type string, record_id string, refers_to string, target_uri stri
 def derive_records(df: DataFrame, warc: str = "warc", key: str = "page_id") -> DataFrame:
     """A row for every derivative of the records in column `warc`: key, DERIVED and error.
 
-    A null cell or one without responses gives no rows; a broken cell gives one row that holds its
-    error and nothing else. Repeated rows give repeated records.
+    A null cell or one without responses gives no rows, nor does an empty table. A record that is
+    broken, cut or coded in a way that can't be read gives one row that holds its error and nothing
+    else; the other records of its cell are derived. Repeated rows and null keys give repeated
+    records, very long pages are read whole in one pass, and other columns are not read.
     """
     kind = df.select(key).schema[0].dataType.simpleString()
     names = [c.split()[0] for c in DERIVED.split(", ")]
@@ -130,12 +278,10 @@ def derive_records(df: DataFrame, warc: str = "warc", key: str = "page_id") -> D
         for b in batches:
             rows = []
             for i, raw in enumerate(b["warc"]):
-                try:
-                    made = derive(raw) if raw is not None else []
-                except ValueError as e:
-                    rows.append((i, *[None] * len(names), str(e)))
-                    continue
-                for x in made:
+                for x in derive(raw) if raw is not None else []:
+                    if isinstance(x, ValueError):
+                        rows.append((i, *[None] * len(names), str(x)))
+                        continue
                     ((h, body),) = parse(x)
                     rows.append((i, h["warc-type"], h["warc-record-id"], h.get("warc-refers-to"), h["warc-target-uri"], h["warc-block-digest"], h.get("warc-source-payload-digest"), body.decode("utf-8", "replace"), x, None))
             out = pd.DataFrame(rows, columns=["i", *names, "error"])
@@ -146,7 +292,7 @@ def derive_records(df: DataFrame, warc: str = "warc", key: str = "page_id") -> D
 
 
 def response_records(pages: DataFrame, out: str = "warc") -> DataFrame:
-    """page_id and one response record for each page."""
+    """page_id and one response record for each page; null urls and pages are empty, very long ones whole."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
