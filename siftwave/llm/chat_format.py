@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwave.llm.storage import let
+
 TURNS = "array<struct<role:string,text:string>>"
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 # Control characters of the template and of other common chat templates, and what stands for each
@@ -24,72 +27,125 @@ _UNLIMITED = {"maxStringLen": str(2**31 - 1)}
 
 @dataclass(frozen=True)
 class Mapping:
-    """One layout: an example record that shows its nested fields, their schema, and SQL over `r` giving its turns."""
+    """One layout: the field paths it needs, those it can use, a schema, and SQL over `r` giving its turns.
+
+    A list is written with [] and its elements' fields behind it, as in `messages[].role`.
+    """
 
     name: str
-    example: str
+    needs: tuple[str, ...]
+    uses: tuple[str, ...]
     schema: str
     turns: str
 
+    def path_sets(self) -> list[tuple[str, ...]]:
+        """The needed paths with every choice of the others."""
+        return [tuple(sorted((*self.needs, *some))) for n in range(len(self.uses) + 1) for some in combinations(self.uses, n)]
 
-def _said(name: str, **roles: str) -> Mapping:
-    """A layout with one field for each role, in the order of its turns."""
-    turns = ", ".join(f"named_struct('role', '{role}', 'text', r.`{name_}`)" for name_, role in roles.items())
-    return Mapping(name, "{" + ", ".join(f'"{f}": ""' for f in roles) + "}", ", ".join(f"`{f}` string" for f in roles), f"array({turns})")
+
+def _said(name: str, user: str, assistant: str, more: str | None = None) -> Mapping:
+    """A layout with one field for each role, a system field and perhaps one that is added to the user's."""
+    said = lambda role, text: f"named_struct('role', '{role}', 'text', {text})"
+    asked = f"coalesce(r.`{user}`, '')" + (f" || if(coalesce(r.`{more}`, '') = '', '', '\\n\\n' || r.`{more}`)" if more else "")
+    turns = f"filter(array(if(r.system IS NULL, NULL, {said('system', 'r.system')}), {said('user', asked)}, {said('assistant', f"coalesce(r.`{assistant}`, '')")}), t -> t IS NOT NULL)"
+    others = ("system", more) if more else ("system",)
+    return Mapping(name, (user, assistant), others, ", ".join(f"`{f}` string" for f in (user, assistant, *others)), turns)
 
 
 def _listed(path: str, role: str, text: str) -> tuple[str, str]:
-    """The type of a list of turns, and SQL that reads it."""
-    return f"array<struct<`{role}`:string,`{text}`:string>>", f"transform(r.{path}, x -> named_struct('role', x.`{role}`, 'text', x.`{text}`))"
+    """The type of a list of turns, and SQL that reads it; an element that is null is no turn."""
+    turn = f"named_struct('role', coalesce(x.`{role}`, ''), 'text', coalesce(x.`{text}`, ''))"
+    return f"array<struct<`{role}`:string,`{text}`:string>>", f"coalesce(transform(filter(r.{path}, x -> x IS NOT NULL), x -> {turn}), array())"
 
 
 def _listing(name: str, field: str, role: str, text: str) -> Mapping:
     kind, turns = _listed(field, role, text)
-    return Mapping(name, f'{{"{field}": [{{"{role}": "", "{text}": ""}}]}}', f"{field} {kind}", turns)
+    return Mapping(name, (f"{field}[]",), (f"{field}[].{role}", f"{field}[].{text}"), f"{field} {kind}", turns)
 
 
 _CHAT = _listed("chat.turns", "speaker", "text")
 MAPPINGS = (
-    _said("prompt", prompt="user", completion="assistant"),
-    _said("prompt_response", prompt="user", response="assistant"),
-    _said("instruction", instruction="user", output="assistant"),
-    _said("instruction_system", system="system", instruction="user", output="assistant"),
+    _said("prompt", "prompt", "completion"),
+    _said("prompt_response", "prompt", "response"),
+    _said("instruction", "instruction", "output", "input"),
     _listing("messages", "messages", "role", "content"),
     _listing("share", "conversations", "from", "value"),
-    Mapping("chat", '{"chat": {"turns": [{"speaker": "", "text": ""}]}}', f"chat struct<turns:{_CHAT[0]}>", _CHAT[1]),
+    Mapping("chat", ("chat", "chat.turns[]"), ("chat.turns[].speaker", "chat.turns[].text"), f"chat struct<turns:{_CHAT[0]}>", _CHAT[1]),
 )
 
 
-def fingerprint(record: Column) -> Column:
-    """Hash of a JSON record's nested field paths and kinds (the order of its fields does not matter).
+def field_paths(record: Column, known: tuple[str, ...]) -> Column:
+    """Those of the known field paths that a JSON record has, in their order; null for broken JSON and for what is no object.
 
     Only the shape is parsed: string values are emptied and runs of equal flat objects become one,
-    so the length of a record's texts and lists does not matter. Broken JSON gives that of null.
+    so the length of a record's texts and lists does not matter. A field whose value is null is
+    there; a null list is an empty one.
     """
     shape = F.regexp_replace(F.regexp_replace(record, _VALUE, '$1""'), _REPEATED, "$1")
-    return F.xxhash64(F.schema_of_variant(F.try_parse_json(shape)))
+    nothing = F.array().cast("array<string>")
+    keys = lambda o: F.coalesce(F.json_object_keys(o), nothing)
+
+    def inside(o: Column) -> Column:
+        found = []
+        for parent in dict.fromkeys(p.rpartition(".")[0] for p in known):
+            place = parent.removesuffix("[]")
+            value = F.get_json_object(o, f"$.{place}") if place else o
+            if parent.endswith("[]"):
+                names = F.array_distinct(F.flatten(F.transform(F.coalesce(F.from_json(value, "array<string>"), nothing), keys)))
+            else:
+                names = keys(value)
+            for p in known:
+                if p.rpartition(".")[0] == parent:
+                    name = p.rpartition(".")[2]
+                    there = F.array_contains(names, name.removesuffix("[]"))
+                    if name.endswith("[]"):
+                        listed = F.get_json_object(value, f"$.{name.removesuffix('[]')}")
+                        there = there & (listed.isNull() | F.startswith(listed, F.lit("[")))
+                    found.append(F.when(there, F.lit(p)))
+        return F.array_compact(F.array(*found))
+
+    return let(shape, lambda o: F.when(F.json_object_keys(o).isNotNull(), inside(o)))
+
+
+def fingerprint(paths: Column) -> Column:
+    """Hash of a set of field paths; their order, kinds of values and further fields do not matter. Null stays null."""
+    return F.when(paths.isNotNull(), F.xxhash64(F.array_join(F.array_sort(paths), "\n")))
 
 
 def canonical_turns(df: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS, out: str = "turns") -> DataFrame:
     """df, its JSON `record` read by the mapping that its fingerprint selects.
 
-    Adds `out` (array of role and text, null where no mapping fits or the JSON is broken), `layout`
-    (the mapping's name) and `schema_hash`. An empty list of messages gives an empty list. Columns
-    that already have these names are replaced; all others stay.
+    The fingerprint is taken over the field paths that some mapping knows, so further fields do no
+    harm; a record that has the paths of two mappings fits none. Adds `out` (array of role and text,
+    null where no mapping fits, the record is null or its JSON is broken), `layout` (the mapping's
+    name) and `schema_hash`. Null roles and texts are empty, an empty or null list of messages gives
+    an empty list, and a value that is no string is taken as its JSON. Columns that already have
+    these names are replaced; all others stay. An empty table gives an empty one.
     """
     spark = df.sparkSession
-    examples = spark.range(1).select(*[fingerprint(F.lit(m.example)).alias(m.name) for m in mappings]).first()
+    known = tuple(dict.fromkeys(p for m in mappings for p in (*m.needs, *m.uses)))
+    sets = [(m.name, paths) for m in mappings for paths in m.path_sets()]
+    hashed = spark.range(1).select(*[fingerprint(F.lit(list(paths))).alias(f"h{i}") for i, (_, paths) in enumerate(sets)]).first()
+    names: dict[int, str] = {}
+    for (name, paths), h in zip(sets, hashed, strict=True):
+        if names.setdefault(h, name) != name:
+            raise ValueError(f"mappings {names[h]} and {name} can't be told apart by {paths}")
     turns, layout = F.lit(None).cast(TURNS), F.lit(None).cast("string")
     options = ", ".join(f"'{k}', '{v}'" for k, v in _UNLIMITED.items())
     for m in reversed(mappings):
-        fits = F.col("_h") == examples[m.name]
+        fits = F.col("_h").isin([h for h, name in names.items() if name == m.name])
         read = F.expr(f"transform(array(from_json(_json, '{m.schema}', map({options}))), r -> {m.turns})[0]")
         turns, layout = F.when(fits, read.cast(TURNS)).otherwise(turns), F.when(fits, F.lit(m.name)).otherwise(layout)
     kept = [c for c in df.columns if c not in (out, "layout", "schema_hash")]
-    shaped = df.select(F.struct(*[df[c] for c in kept]).alias("_row"), df[record].alias("_json"), fingerprint(df[record]).alias("_h"))
+    shaped = df.select(F.struct(*[df[c] for c in kept]).alias("_row"), df[record].alias("_json"), fingerprint(field_paths(df[record], known)).alias("_h"))
     return shaped.select(*[F.col(f"_row.`{c}`").alias(c) for c in kept], turns.alias(out), layout.alias("layout"), F.col("_h").alias("schema_hash"))
 
 
+def layout_counts(read: DataFrame) -> DataFrame:
+    """Records by layout and fingerprint; those without a layout are what no mapping takes."""
+    return read.groupBy("layout", "schema_hash").agg(F.count(F.lit(1)).alias("n"))
+
+
 def escape(text: Column) -> Column:
     for plain, coded in ESCAPES:
         text = F.replace(text, F.lit(plain), F.lit(coded))

@@ -151,6 +151,36 @@ def test_chat_layouts_become_the_same_turns(spark):
     assert read[0]["formatted"][span["start"] : span["stop"]] == "ok" and read[6]["formatted"] == ""
 
 
+def test_chat_optional_null_and_further_fields(spark):
+    import json
+
+    cases = [
+        ({"messages": []}, [], "messages"),
+        ({"messages": None, "id": 3}, [], "messages"),
+        ({"instruction": None, "output": "x"}, [("user", ""), ("assistant", "x")], "instruction"),
+        ({"instruction": "do", "input": "this", "output": "x", "system": "be"}, [("system", "be"), ("user", "do\n\nthis"), ("assistant", "x")], "instruction"),
+        ({"instruction": "do", "input": "", "output": "x", "meta": {"a": [1, {"b": "}"}]}}, [("user", "do"), ("assistant", "x")], "instruction"),
+        ({"messages": [{"role": "user", "content": None}, {"role": "assistant", "content": "y", "name": "n"}], "tools": []}, [("user", ""), ("assistant", "y")], "messages"),
+        ({"messages": [{"role": "user"}, None, {"content": 5}]}, [("user", ""), ("", "5")], "messages"),
+        ({"prompt": "p", "response": "r", "name": "messages"}, [("user", "p"), ("assistant", "r")], "prompt_response"),
+        ({"chat": {"turns": [{"speaker": "user", "text": "q"}], "lang": "en"}}, [("user", "q")], "chat"),
+        ({"messages": "no list"}, None, None),
+        ({"prompt": "p", "completion": "c", "messages": []}, None, None),
+        ([1, 2], None, None),
+        ({}, None, None),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r), "kept") for i, (r, _, _) in enumerate(cases)], "id long, record string, turns string")
+    read = chat_format.canonical_turns(df, out="t")
+    got = {r["id"]: r for r in read.collect()}
+    for i, (_, turns, layout) in enumerate(cases):
+        assert (None if got[i]["t"] is None else [tuple(t) for t in got[i]["t"]], got[i]["layout"], got[i]["turns"]) == (turns, layout, "kept"), cases[i]
+    counts = chat_format.layout_counts(read).where("layout is null").groupBy().sum("n").first()[0]
+    assert counts == 4
+    assert chat_format.canonical_turns(df.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="told apart"):
+        chat_format.canonical_turns(df, mappings=(chat_format.MAPPINGS[0], chat_format._said("again", "prompt", "completion")))
+
+
 def test_chat_keeps_turns_longer_than_the_json_reader_takes(spark):
     df = spark.createDataFrame([(1, 0, "user", 'q "\\ :'), (2, 0, "user", "x"), (2, 1, "user", "y")], "conv_id long, turn long, role string, text string")
     long = spark.range(1).select(F.lit(1).cast("long").alias("conv_id"), F.lit(1).cast("long").alias("turn"), F.lit("assistant").alias("role"), F.repeat(F.lit('a"b\\c:'), 3_500_000).alias("text"))
@@ -231,10 +261,54 @@ def test_warc_odd_cells(spark):
     other = warc.record("request", {"WARC-Record-ID": "<r>"}, b"x")
     df = spark.createDataFrame([(1, good + other + good), (2, None), (3, b""), (4, other), (5, b"WARC/1.1\r\nContent-Length: 99\r\n\r\nx")], "page_id long, warc binary")
     got = warc.derive_records(df).toPandas()
+    assert list(warc.parse(good))[0][0]["warc-type"] == "response"
     assert got["page_id"].tolist() == [1, 1, 1, 1, 5] and got["error"].notna().tolist() == [False] * 4 + [True]
     assert got["content"][1].split("\n") == ["T", "one", "two & three"]
 
 
+def test_warc_keeps_what_is_whole_in_a_broken_cell(spark):
+    good = warc.response(1, "http://a/", "<p>one")
+    cells = [good[:-30] + b"\r\n" + good, good + b"junk\r\n" + good, good + good[:80], good.replace(b"Content-Length: ", b"Content-Length: x", 1) + good]
+    for cell, errors in zip(cells, (0, 1, 1, 1), strict=True):
+        made = warc.derive(cell)
+        assert sum(isinstance(x, ValueError) for x in made) >= errors
+        assert sum(not isinstance(x, ValueError) and b"conversion" in x for x in made) >= 1
+    df = spark.createDataFrame([(1, cells[1], "clash")], "page_id long, warc binary, error string")
+    got = warc.derive_records(df).toPandas()
+    assert sorted(got["warc_type"].dropna()) == ["conversion", "conversion", "metadata", "metadata"] and got["error"].notna().sum() == 1
+
+
+def test_warc_decodes_content_and_transfer_codings():
+    import gzip
+
+    page = "<p>caf\xe9 one<p>two".encode("latin-1")
+    for coding, body in (("", page), ("Content-Encoding: gzip\r\n", gzip.compress(page)), ("Content-Encoding: deflate\r\n", zlib.compress(page)), ("Content-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n", b"%x\r\n%s\r\n0\r\n\r\n" % (len(gzip.compress(page)), gzip.compress(page)))):
+        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=latin-1\r\n{coding}\r\n".encode() + body
+        _, text = warc.derive(warc.record("response", {"WARC-Record-ID": "<u>"}, block))
+        ((headers, shown),) = warc.parse(text)
+        assert shown.decode() == "café one\ntwo" and headers["warc-source-payload-digest"] == warc.digest(body)
+    for coding, body in (("Content-Encoding: br", page), ("Content-Encoding: gzip", gzip.compress(page)[:-9]), ("Transfer-Encoding: chunked", b"zz\r\n")):
+        (error,) = warc.derive(warc.record("response", {}, f"HTTP/1.1 200 OK\r\n{coding}\r\n\r\n".encode() + body))
+        assert isinstance(error, ValueError)
+
+
+def test_pages_are_read_in_linear_time():
+    import time
+
+    for part in ("<!--", "<a href='", "<script>", "<", "<title>", "<html lang", "<p", "</script ", "&#", "<!", "<a b=c "):
+        start = time.time()
+        warc.read_page(part * (200_000 // len(part)))
+        assert time.time() - start < 1.5, part
+
+
+def test_page_parts():
+    page = """<!DOCTYPE html><html LANG='de'><head><title>A &amp; B</title><style>x</style></head><body a="1>"><p>1 < 2<!-- no --> 3<script>if (a<b) {}</script><a href="/x?a&amp;b">L</a><A HREF=y>M</a><br>end <b>bold</b>ly</body>"""
+    text, title, language, links = warc.read_page(page)
+    assert (title, language, links) == ("A & B", "de", ["/x?a&b", "y"])
+    assert text.split("\n")[-2:] == ["1 < 2 3 LM", "end boldly"]
+    assert warc.read_page("<script>never closed") == ("never closed", "", "", []) and warc.read_page("") == ("", "", "", [])
+
+
 @pytest.mark.parametrize("name", ["op2_media", "op3_licenses", "op5_chat", "op9_quality_rules", "op10_byte_bpe", "op4_warc"])
 def test_empty_tables(spark, sf, tmp_path, name):
     for t in ("documents", "conversations", "pages"):
