@@ -1,8 +1,8 @@
 """ISO media containers: writing payloads as sample tracks, and reading their metadata without decoding.
 
 `mux` stores a payload in one track of 8-bit samples; `probe` walks the nested boxes of any
-container, decodes the sample tables of every track, and reports codec, duration and the byte
-ranges of keyframes. Both run inside tasks on one row at a time and keep no state between rows.
+container, decodes the sample tables and fragment runs of every track, and reports codec, duration
+and the byte ranges of keyframes. Both run inside tasks on one row at a time and keep no state between rows.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,6 @@ from pyspark.sql import DataFrame
 
 from siftwave.llm.storage import schema_with
 
-PARENTS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"udta", b"mvex", b"moof", b"traf", b"dinf"}
 SAMPLE, PER_CHUNK, KEY_EVERY, RATE = 64, 128, 16, 8000
 TRACK = "struct<track:int,handler:string,codec:string,timescale:long,duration:long,n_samples:long,media_bytes:long,keyframes:array<struct<start:long,stop:long>>>"
 
@@ -151,33 +151,116 @@ def sample_places(data, stbl: dict[bytes, tuple[int, int]]) -> tuple[np.ndarray,
     return offsets[chunk] + before - before[first][chunk], sizes
 
 
-def probe(data: bytes) -> list[dict]:
-    """One record per track, from the headers and sample tables alone."""
-    out = []
-    top = [(k, a, b) for k, a, b in walk(data)]
-    moov = next(((a, b) for k, a, b in top if k == b"moov"), None)
+NOT_SYNC = 0x10000  # the flag of samples that are no keyframes
+
+
+@dataclass
+class Track:
+    """What headers, sample tables and movie fragments say of a track, all of its samples in order."""
+
+    track: int
+    handler: str
+    codec: str
+    timescale: int
+    duration: int
+    starts: np.ndarray
+    sizes: np.ndarray
+    keys: np.ndarray  # numbers of its keyframes
+
+    def extend(self, starts: np.ndarray, sizes: np.ndarray, sync: np.ndarray, duration: int) -> None:
+        self.keys = np.append(self.keys, len(self.sizes) + np.flatnonzero(sync))
+        self.starts, self.sizes = np.append(self.starts, starts), np.append(self.sizes, sizes)
+        self.duration += duration
+
+
+def _track(data, place: tuple[int, int]) -> Track:
+    mdia = _find(data, place, b"mdia")
+    tkhd, mdhd, hdlr = _find(data, place, b"tkhd"), _find(data, mdia, b"mdhd"), _find(data, mdia, b"hdlr")
+    stbl = _children(data, *_find(data, mdia, b"minf", b"stbl"))
+    timescale, duration = struct.unpack_from(">IQ", data, mdhd[0] + 20) if data[mdhd[0]] == 1 else struct.unpack_from(">II", data, mdhd[0] + 12)
+    (number,) = struct.unpack_from(">I", data, tkhd[0] + (20 if data[tkhd[0]] == 1 else 12))
+    codec = bytes(data[stbl[b"stsd"][0] + 12 : stbl[b"stsd"][0] + 16]).decode("latin-1") if b"stsd" in stbl else ""
+    starts, sizes = sample_places(data, stbl)
+    keys = _table(data, stbl[b"stss"], 1)[:, 0] - 1 if b"stss" in stbl else np.arange(len(sizes))
+    if len(keys) and not 0 <= keys.min() <= keys.max() < len(sizes):
+        raise ValueError("keyframe table names samples that aren't there")
+    return Track(number, bytes(data[hdlr[0] + 8 : hdlr[0] + 12]).decode("latin-1"), codec, timescale, duration, starts, sizes, keys)
+
+
+def _optional(data, at: int, flags: int, *fields: tuple[int, str]) -> tuple[dict[int, int], int]:
+    """The fields whose flag is set, by flag, and the place behind them."""
+    found = {}
+    for flag, kind in fields:
+        if flags & flag:
+            (found[flag],) = struct.unpack_from(kind, data, at)
+            at += struct.calcsize(kind)
+    return found, at
+
+
+def _fragment(data, begin: int, place: tuple[int, int], tracks: dict[int, Track], defaults: dict[int, tuple[int, int, int]]) -> None:
+    """Add the samples of one movie fragment, whose box begins at `begin`, to their tracks."""
+    behind = begin
+    for kind, a, b in walk(data, *place):
+        if kind != b"traf":
+            continue
+        head, _ = _find(data, (a, b), b"tfhd")
+        version_flags, number = struct.unpack_from(">II", data, head)
+        flags = version_flags & 0xFFFFFF
+        own, _ = _optional(data, head + 8, flags, (0x1, ">Q"), (0x2, ">I"), (0x8, ">I"), (0x10, ">I"), (0x20, ">I"))
+        if number not in tracks:
+            raise ValueError("fragment of a track that isn't there")
+        lasting, size, marks = (own.get(f, d) for f, d in zip((0x8, 0x10, 0x20), defaults.get(number, (0, 0, 0)), strict=True))
+        base = own.get(0x1, begin if flags & 0x20000 else behind)
+        behind = base
+        for run, x, y in walk(data, a, b):
+            if run != b"trun":
+                continue
+            run_flags, n = struct.unpack_from(">II", data, x)
+            first, at = _optional(data, x + 8, run_flags, (0x1, ">i"), (0x4, ">I"))
+            columns = [f for f in (0x100, 0x200, 0x400, 0x800) if run_flags & f]
+            if at + 4 * n * len(columns) > y:
+                raise ValueError("fragment run does not fit")
+            table = dict(zip(columns, np.frombuffer(data, ">u4", n * len(columns), at).reshape(n, len(columns)).astype(np.int64).T, strict=True))
+            sizes, flagged = table.get(0x200, np.full(n, size)), table.get(0x400, np.full(n, marks))
+            if 0x4 in first and n:
+                flagged = np.append(first[0x4], flagged[1:])
+            start = base + first[0x1] if 0x1 in first else behind
+            ends = start + np.cumsum(sizes)
+            tracks[number].extend(ends - sizes, sizes, flagged & NOT_SYNC == 0, int(table.get(0x100, np.full(n, lasting)).sum()))
+            behind = int(ends[-1]) if n else start
+
+
+def probe(data: bytes) -> list[Track]:
+    """Every track, from headers, sample tables and movie fragments alone; ValueError for what does not fit together."""
+    boxes, begin = [], 0
+    for kind, a, b in walk(data):
+        boxes.append((kind, begin, (a, b)))
+        begin = b
+    moov = next((place for kind, _, place in boxes if kind == b"moov"), None)
     if moov is None:
         raise ValueError("no moov box")
+    tracks, defaults = {}, {}
     for kind, a, b in walk(data, *moov):
-        if kind != b"trak":
-            continue
-        mdia = _find(data, (a, b), b"mdia")
-        tkhd, mdhd, hdlr = _find(data, (a, b), b"tkhd"), _find(data, mdia, b"mdhd"), _find(data, mdia, b"hdlr")
-        stbl = _children(data, *_find(data, mdia, b"minf", b"stbl"))
-        timescale, duration = struct.unpack_from(">IQ", data, mdhd[0] + 20) if data[mdhd[0]] == 1 else struct.unpack_from(">II", data, mdhd[0] + 12)
-        (track,) = struct.unpack_from(">I", data, tkhd[0] + (20 if data[tkhd[0]] == 1 else 12))
-        codec = bytes(data[stbl[b"stsd"][0] + 12 : stbl[b"stsd"][0] + 16]).decode("latin-1") if b"stsd" in stbl else ""
-        starts, sizes = sample_places(data, stbl)
-        if len(starts) and (starts + sizes).max() > len(data):
+        if kind == b"trak":
+            t = _track(data, (a, b))
+            tracks[t.track] = t
+        elif kind == b"mvex":
+            for inner, x, _ in walk(data, a, b):
+                if inner == b"trex":
+                    number, _, *rest = struct.unpack_from(">5I", data, x + 4)
+                    defaults[number] = tuple(rest)
+    for kind, begin, place in boxes:
+        if kind == b"moof":
+            _fragment(data, begin, place, tracks, defaults)
+    for t in tracks.values():
+        if len(t.starts) and (t.starts.min() < 0 or (t.starts + t.sizes).max() > len(data)):
             raise ValueError("samples beyond the end")
-        keys = _table(data, stbl[b"stss"], 1)[:, 0] - 1 if b"stss" in stbl else np.arange(len(sizes))
-        out.append({"track": track, "handler": bytes(data[hdlr[0] + 8 : hdlr[0] + 12]).decode("latin-1"), "codec": codec, "timescale": timescale, "duration": duration, "starts": starts, "sizes": sizes, "keys": keys})
-    return out
+    return list(tracks.values())
 
 
-def read_samples(data: bytes, track: dict) -> bytes:
+def read_samples(data: bytes, track: Track) -> bytes:
     """The stored bytes of a track, in sample order; neighbouring samples are read together."""
-    a, n = track["starts"], track["sizes"]
+    a, n = track.starts, track.sizes
     if not len(a):
         return b""
     cut = np.flatnonzero(a[1:] != a[:-1] + n[:-1]) + 1
@@ -188,8 +271,9 @@ def read_samples(data: bytes, track: dict) -> bytes:
 def add_media(df: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
     """df with a binary column: the text's UTF-8 bytes, padded with zeros to a positive multiple of 64, as a container.
 
-    A null or empty text gives 64 zero bytes. Equal texts give equal containers. A column already
-    named `out` is replaced; all others stay.
+    A null or empty text gives 64 zero bytes, a very long one is stored whole. Equal texts and
+    repeated rows give equal containers, an empty table gives no rows. A column already named `out`
+    is replaced; all others stay.
     """
     columns = [c for c in df.columns if c != out]
     place, schema = columns.index(text), df.select(*columns).withColumn(out, df[text].cast("binary")).schema
@@ -210,8 +294,10 @@ def padded(text: str | None) -> bytes:
 def probe_media(df: DataFrame, media: str = "media", out: str = "tracks") -> DataFrame:
     """df without its containers, with `out` (array of track records) and `media_error`.
 
-    A null container gives null for both; one that is broken gives its error and no tracks.
-    Keyframes are byte ranges in the container. Existing columns of these names are replaced.
+    A null container gives null for both; one that is broken, empty or cut gives its error and no
+    tracks. Samples of movie fragments count like those of sample tables. Keyframes are byte ranges
+    in the container; very long containers are walked without reading their payloads. Existing
+    columns of these names are replaced, all others stay, and an empty table gives no rows.
     """
     columns = [c for c in df.columns if c not in (media, out, "media_error")]
     schema = schema_with(df.select(*columns), **{out: f"array<{TRACK}>", "media_error": "string"})
@@ -234,10 +320,10 @@ def probe_media(df: DataFrame, media: str = "media", out: str = "tracks") -> Dat
     return df.select(*columns, media).mapInPandas(run, schema)
 
 
-def _record(t: dict) -> dict:
-    start, size = t["starts"][t["keys"]].tolist(), t["sizes"][t["keys"]].tolist()
+def _record(t: Track) -> dict:
+    start, size = t.starts[t.keys].tolist(), t.sizes[t.keys].tolist()
     keyframes = [{"start": a, "stop": a + n} for a, n in zip(start, size, strict=True)]
-    return {k: t[k] for k in ("track", "handler", "codec", "timescale", "duration")} | {"n_samples": len(t["sizes"]), "media_bytes": int(t["sizes"].sum()), "keyframes": keyframes}
+    return {k: getattr(t, k) for k in ("track", "handler", "codec", "timescale", "duration")} | {"n_samples": len(t.sizes), "media_bytes": int(t.sizes.sum()), "keyframes": keyframes}
 
 
 def media_rows(df: DataFrame) -> DataFrame:

@@ -122,7 +122,37 @@ def test_licences_of_a_third_of_the_rows_and_of_one_row(spark, text, label):
 def test_many_licences_in_one_text(spark):
     mpl = "Subject to the terms of the Mozilla Public License, v. 2.0"
     text = f"{GRANT} x {BSD} y Licensed under CC BY-NC 4.0. z {mpl}"
-    assert licence_labels(spark, [text] + [f"filler {i}" for i in range(40)])[0] == "bsd,cc-by-nc-4.0,mit-grant,mpl-2.0"
+    assert licence_labels(spark, [text] + [f"filler {i}" for i in range(40)])[0] == "bsd,cc-by-nc-4.0,mit-grant,mpl-2.0" == exhaustive(text)
+
+
+def exhaustive(text, least=0.6):
+    """Labels of every template that fits at any place of a text."""
+    t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t)
+    found = {label for phrase, label in license_scan.BASE.items() if f" {phrase} " in f" {' '.join(words)} "}
+    for template in license_scan.TEMPLATES:
+        n, keys = len(template.words), template.key_places()
+        for at in range(-n, len(words)):
+            if all(at + q >= 0 and tuple(words[at + q : at + q + len(k)]) == k for q, k in keys):
+                same = sum(0 <= at + q < len(words) and words[at + q] == w for q, w in enumerate(template.words))
+                if same >= least * n:
+                    found.add(template.label)
+    return ",".join(sorted(found))
+
+
+def test_licences_equal_an_exhaustive_match(docs, texts, spark):
+    rng = np.random.default_rng(2)
+    planted = []
+    for t in license_scan.TEMPLATES:
+        for share in (0.0, 0.15, 0.3, 0.5):
+            words = [w if rng.random() >= share else f"x{rng.integers(99)}" for w in t.words]
+            planted.append("before " + " ".join(words) + " after")
+            planted.append(" ".join(words[: int(len(words) * (1 - share))]).upper())
+    planted += [" ".join(w for t in license_scan.TEMPLATES for w in (*t.words, "and")), "the " * 500 + license_scan.TEMPLATES[2].text]
+    got = licence_labels(spark, planted)
+    want = [exhaustive(t) for t in planted]
+    assert got == want and len({label for w in want for label in w.split(",") if label}) >= len(license_scan.TEMPLATES)
+    assert rows(license_scan.license_rows(docs).toPandas(), ["labels"]) == sorted(((exhaustive(t),) for _, t in texts), key=repr)
 
 
 def test_chat_layouts_become_the_same_turns(spark):
@@ -241,6 +271,50 @@ def test_media_metadata_and_broken_containers(spark):
     assert got[4]["tracks"] is None and got[4]["media_error"] is None
 
 
+def fragmented(payload: bytes, **how) -> bytes:
+    """A container without samples in its tables, and one fragment with a run of 64-byte samples."""
+    import struct
+
+    whole = media.mux(bytes(64))
+    head = whole[: whole.index(b"mdat") - 4]
+    for name in (b"stsz", b"stts", b"stss", b"stsc", b"co64"):
+        at = head.index(name) + (12 if name == b"stsz" else 8)
+        head = head[:at] + bytes(4) + head[at + 4 :]
+    n = len(payload) // 64
+    mvex = media._box(b"mvex", media._full(b"trex", struct.pack(">5I", 1, 1, 64, 64, media.NOT_SYNC)))
+    at = head.index(b"moov") - 4
+    head = head[:at] + struct.pack(">I", struct.unpack_from(">I", head, at)[0] + len(mvex)) + head[at + 4 :] + mvex
+
+    def moof(offset):
+        if how.get("sizes"):
+            run = media._full(b"trun", struct.pack(">IiI", n, offset, 0), b"".join(struct.pack(">II", 10, 64) for _ in range(n)), flags=0x305)
+        else:
+            run = media._full(b"trun", struct.pack(">IiI", n, offset, 0), flags=0x5)
+        return media._box(b"moof", media._full(b"mfhd", bytes(4)), media._box(b"traf", media._full(b"tfhd", struct.pack(">I", 1), flags=0x20000), run))
+
+    return head + moof(len(moof(0)) + 8) + media._box(b"mdat", payload)
+
+
+@pytest.mark.parametrize("sizes", [False, True])
+def test_media_fragments(sizes):
+    payload = bytes(range(256)) * 5
+    data = fragmented(payload, sizes=sizes)
+    (t,) = media.probe(data + data[data.index(b"moof") - 4 :])
+    assert media.read_samples(data + data[data.index(b"moof") - 4 :], t) == payload * 2
+    assert t.keys.tolist() == [0, 20] and t.duration == 64 + 40 * (10 if sizes else 64)
+
+
+def test_media_zero_keyframe_number_and_clashing_columns(spark):
+    data = media.mux(bytes(64 * 40))
+    at = data.index(b"stss") + 12
+    bad = data[:at] + bytes(4) + data[at + 4 :]
+    df = spark.createDataFrame([(1, data, "a"), (2, bad, "b")], "tracks long, media binary, media_error string")
+    got = media.probe_media(df.withColumnRenamed("tracks", "id").withColumn("tracks", F.lit(0))).collect()
+    assert [r["media_error"] is None for r in got] == [True, False] and got[0]["tracks"][0]["n_samples"] == 40
+    again = media.add_media(spark.createDataFrame([("x", 1), (None, 2)], "text string, media int")).collect()
+    assert [media.read_samples(r["media"], media.probe(r["media"])[0]) for r in again] == [b"x" + bytes(63), bytes(64)]
+
+
 def test_warc_derivatives_are_linked(spark, sf):
     got = queries()["op4_warc"](spark, sf).toPandas()
     pages = spark.read.parquet(f"{sf}/pages.parquet").toPandas().set_index("page_id")
