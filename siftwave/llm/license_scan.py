@@ -34,17 +34,77 @@ class Template:
 
 
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+# The public wording of licences and of the notices that name them, as lower-case words.
+_DISCLAIMER = (
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of "
+    "merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special "
+    "exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused "
+    "and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised "
+    "of the possibility of such damage"
+)
+_GNU = "you can redistribute it and or modify it under the terms of the gnu {} general public license as published by the free software foundation either version {} of the license or at your option any later version"
 TEMPLATES = (
     Template("mit-notice", "released under the mit license", ("mit license",)),
     Template("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted", "free of charge")),
+    Template(
+        "mit-text",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished "
+        "to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software "
+        "is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in "
+        "connection with the software or the use or other dealings in the software",
+        ("permission is hereby granted free of charge", "merge publish distribute sublicense", "this permission notice shall be included"),
+    ),
+    Template(
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice "
+        "appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+        ("with or without fee is hereby granted", "this permission notice appear in all copies"),
+    ),
     Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2",)),
+    Template(
+        "apache-2.0-notice",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org "
+        "licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions "
+        "of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+        ("apache license version 2 0", "except in compliance with the license"),
+    ),
     Template("gpl-3.0", "this work is licensed under the gnu general public license version 3", ("general public license version 3",)),
     Template("gpl-2.0", "this work is licensed under the gnu general public license version 2", ("general public license version 2",)),
+    *[Template(f"{label}-{v}.0-notice", " ".join(_GNU.format(kind, v).split()), (" ".join(f"gnu {kind} general public license".split()), f"either version {v} of the license")) for label, kind, v in (("gpl", "", 2), ("gpl", "", 3), ("lgpl", "lesser", 3), ("agpl", "affero", 3))],
     Template("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
     Template("cc-by-4.0", "licensed under cc by 4 0", ("cc by 4 0",)),
+    Template("cc-by-4.0-notice", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0 international",)),
+    Template("cc-by-sa-4.0-notice", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike 4 0",)),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use in source and binary forms",)),
+    Template(
+        "bsd-2-clause",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain "
+        "the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and "
+        "the following disclaimer in the documentation and or other materials provided with the distribution",
+        ("redistribution and use in source and binary forms", "redistributions in binary form must reproduce"),
+    ),
+    Template(
+        "bsd-3-clause",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        ("nor the names of its contributors may be used to endorse or promote",),
+    ),
+    Template("bsd-disclaimer", _DISCLAIMER, ("procurement of substitute goods or services", "even if advised of the possibility")),
     Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-)
+    Template(
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or "
+        "as a compiled binary for any purpose commercial or non commercial and by any means",
+        ("free and unencumbered software",),
+    ),
+    Template(
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is "
+        "granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+        ("in no event will the authors be held liable", "to alter it and redistribute it freely"),
+    ),
+)
 
 
 def words_of(text: Column) -> Column:
@@ -146,8 +206,10 @@ def scan_licenses(df: DataFrame, text: str = "text", templates=TEMPLATES, votes_
     How frequent a licence is in the table, or how many a text holds, hides none.
 
     A null or empty text has no words and no labels. Each row depends on its text and on the corpus
-    counts alone, so ties and repeated rows get equal results; other columns stay, and a column
-    already named `out` is replaced. An empty table gives an empty result.
+    counts alone, so ties and repeated rows get equal results, and a very long text is read whole;
+    other columns stay, and a column already named `out` is replaced. An empty table gives an empty
+    result. As a match's key phrases stand where they must, its voting words do too: the votes find
+    every place that trying each template at each place would.
     """
     known = template_words(templates)
     kept = [c for c in df.columns if c not in (text, out)]

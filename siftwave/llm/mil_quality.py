@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwave.llm.blocks import mix, word_ids
 from siftwave.llm.storage import hold_out
 
 PASSAGE = 96  # words
@@ -19,7 +21,10 @@ KINDS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789
 CLASS = np.full(256, len(KINDS), np.uint8)
 for _k, _chars in enumerate(KINDS):
     CLASS[np.frombuffer(_chars.encode(), np.uint8)] = _k
-WIDTH = len(KINDS) + 1 + 6
+STYLE = len(KINDS) + 1 + 6
+LEXICAL = 128  # buckets of hashed words and word pairs
+WIDTH = STYLE + LEXICAL
+SLICE = 1_000_000  # bytes of text that are encoded at once, unless one text is longer
 
 
 def passages(text: str) -> list[list[bytes]]:
@@ -31,9 +36,29 @@ def passages(text: str) -> list[list[bytes]]:
     return [words[a:b] for a, b in zip(cuts, [*cuts[1:], len(words)], strict=True)]
 
 
-def encode_passages(text: str) -> np.ndarray:
-    """A row of features for every passage: shares of character kinds, repetition and lengths."""
-    parts = passages(text)
+def _lexical(parts: list[list[bytes]]) -> np.ndarray:
+    """Signed counts of each passage's lower-case words and word pairs by hash bucket, over the root of its length."""
+    sizes = np.array([len(p) for p in parts])
+    ids, _, hashes = word_ids([w.lower() for p in parts for w in p])
+    if not len(ids):
+        return np.zeros((len(parts), LEXICAL))
+    word, at = mix(hashes)[ids], np.repeat(np.arange(len(parts)), sizes)
+    with np.errstate(over="ignore"):
+        pair = mix(word[:-1] * np.uint64(3) + word[1:])
+    near = at[1:] == at[:-1]
+    h, at = np.append(word, pair[near]), np.append(at, at[1:][near])
+    bucket = (h % np.uint64(LEXICAL)).astype(np.int64)
+    sums = np.bincount(at * LEXICAL + bucket, np.where(h >> np.uint64(63), 1.0, -1.0), len(parts) * LEXICAL)
+    return sums.reshape(len(parts), LEXICAL) / np.sqrt(np.maximum(sizes, 1))[:, None]
+
+
+def encode_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A row for every passage of the texts, and the number of passages of each.
+
+    Shares of character kinds, repetition and lengths, and hashed words and word pairs.
+    """
+    split = [passages(t) for t in texts]
+    parts = list(chain.from_iterable(split))
     out = np.empty((len(parts), WIDTH))
     for row, words in zip(out, parts, strict=True):
         n = len(words)
@@ -41,8 +66,20 @@ def encode_passages(text: str) -> np.ndarray:
         counts = np.bincount(CLASS[np.frombuffer(raw, np.uint8)], minlength=len(KINDS) + 1)
         row[: len(counts)] = np.sqrt(counts / max(1, len(raw)))
         pairs, triples = set(zip(words, words[1:])), set(zip(words, words[1:], words[2:]))  # noqa: B905
-        row[len(counts) :] = (len(set(words)) / max(1, n), len(pairs) / max(1, n - 1), len(triples) / max(1, n - 2), np.log1p(n), len(raw) / max(1, n) / 10, np.log1p(len(parts)))
-    return out
+        row[len(counts) : STYLE] = (len(set(words)) / max(1, n), len(pairs) / max(1, n - 1), len(triples) / max(1, n - 2), np.log1p(n), len(raw) / max(1, n) / 10, 0)
+    sizes = np.array([len(s) for s in split], np.int64)
+    out[:, STYLE - 1] = np.log1p(np.repeat(sizes, sizes))
+    out[:, STYLE:] = _lexical(parts)
+    return out, sizes
+
+
+def _slices(texts: list[str]) -> Iterator[slice]:
+    at = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= SLICE or i == len(texts) - 1:
+            yield slice(at, i + 1)
+            at, size = i + 1, 0
 
 
 @dataclass
@@ -86,7 +123,7 @@ def _gradients(m: GatedAttention, f: dict, bag: np.ndarray, error: np.ndarray) -
     return {"E": f["x"].T @ dh, "e": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "w": (f["t"] * f["s"]).T @ dlogit, "c": f["z"].T @ error, "b": error.sum()}
 
 
-def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, attention: int = 12, epochs: int = 40, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 0) -> GatedAttention:
+def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, attention: int = 12, epochs: int = 30, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 0) -> GatedAttention:
     """Adam on the class-balanced log loss. With one class only, or no rows, the score is the smoothed share of label 1."""
     rng = np.random.default_rng(seed)
     make = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
@@ -120,14 +157,19 @@ def training_bags(docs: DataFrame, labels: DataFrame, label: str = "quality", sa
     """Encoded passages and labels of at most `sample` labelled documents, none of them held out.
 
     The sample is the labelled ids with the smallest hashes; it bounds what reaches the driver. Null
-    labels or ids and a second label of an id are left out.
+    labels or ids and a second label of an id are left out; null texts are empty. Without labelled
+    documents the lists are empty.
     """
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (hold_out(F.col("doc_id"), modulus) != held_out)).groupBy("doc_id").agg(F.max(label).cast("int").alias("_y"))
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "_y": b["_y"], "x": [encode_passages(t).astype("<f4").tobytes() for t in b["text"]]})
+            texts = b["text"].tolist()
+            for some in _slices(texts):
+                x, sizes = encode_texts(texts[some])
+                cells = [p.astype("<f4").tobytes() for p in np.split(x, np.cumsum(sizes)[:-1])]
+                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[some], "_y": b["_y"].iloc[some], "x": cells})
 
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     rows = found.mapInPandas(run, "doc_id long, _y int, x binary").orderBy("doc_id", "x").limit(sample).collect()
@@ -137,18 +179,19 @@ def training_bags(docs: DataFrame, labels: DataFrame, label: str = "quality", sa
 def score_documents(df: DataFrame, model: GatedAttention, text: str = "text", out: str = "score") -> DataFrame:
     """df with a double column `out` in 0..1; a null or empty text is one passage without words.
 
-    Every passage of every text is encoded. A column already named `out` is replaced; others stay.
+    Every passage of every text is encoded, however long the text. Equal texts and repeated rows get
+    equal scores, and an empty table gives no rows. A column already named `out` is replaced; others
+    stay.
     """
     columns = [c for c in df.columns if c != out]
     schema = df.select(*columns, F.lit(0.0).alias(out)).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            scores = np.empty(len(b))
-            for at in range(0, len(b), 256):
-                bags = [encode_passages(t or "") for t in b[text].iloc[at : at + 256]]
-                bag = np.repeat(np.arange(len(bags)), [len(x) for x in bags])
-                scores[at : at + 256] = model.score(np.concatenate(bags), bag, len(bags))
+            scores, texts = np.empty(len(b)), [t or "" for t in b[text]]
+            for some in _slices(texts):
+                x, sizes = encode_texts(texts[some])
+                scores[some] = model.score(x, np.repeat(np.arange(len(sizes)), sizes), len(sizes))
             b[out] = scores
             yield b
 

@@ -141,6 +141,34 @@ def test_classifier_on_held_out_labels(spark):
     assert (out["predicted"] == (out["score"] >= 0.5)).all() and out["score"].between(0, 1).all()
 
 
+def test_classifier_on_words_alone(spark):
+    """Both labels have words of the same characters, lengths and repetition; a few passages of a text tell them apart."""
+    rng = np.random.default_rng(6)
+    words = np.array(["".join(rng.choice(list("abcdefghijkl"), 6)) for _ in range(400)])
+    rows, labels = [], []
+    for i in range(700):
+        y = int(rng.random() < 0.5)
+        passages = [rng.choice(words[:200], 96) for _ in range(int(rng.integers(2, 5)))]
+        marked = words[200:300] if y else words[300:]
+        passages[int(rng.integers(len(passages)))] = np.where(rng.random(96) < 0.5, rng.choice(marked, 96), passages[0])
+        rows.append((i, " ".join(np.concatenate(passages))))
+        labels.append((i, y))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    held = mil_quality.quality_scores(docs, marks).where("held_out").join(marks, "doc_id").toPandas()
+    assert len(held) > 150 and auc(held["quality"].to_numpy(), held["score"].to_numpy()) > 0.95
+    model = mil_quality.fit(*mil_quality.training_bags(docs, marks))
+    x, sizes = mil_quality.encode_texts([t for _, t in rows])
+    attention = model.forward(x, np.repeat(np.arange(len(sizes)), sizes), len(sizes))["a"]
+    assert np.isclose(np.add.reduceat(attention, np.cumsum(sizes) - sizes), 1).all() and np.maximum.reduceat(attention, np.cumsum(sizes) - sizes).mean() > 1.2 * (1 / sizes).mean()
+
+
+def test_scores_replace_a_clashing_column_and_keep_others(spark):
+    model = mil_quality.fit([], np.zeros(0))
+    df = spark.createDataFrame([("a", "old", 1), (None, "old", 2), ("w " * 300_000, "old", 3)], "text string, score string, _y int")
+    got = mil_quality.score_documents(df, model).collect()
+    assert [(r["score"], r["_y"]) for r in got] == [(0.5, 1), (0.5, 2), (0.5, 3)]
+
+
 def test_attention_gradients_match_differences():
     rng = np.random.default_rng(0)
     bags = [rng.normal(size=(n, mil_quality.WIDTH)) for n in (1, 3, 2, 4)]
