@@ -104,6 +104,19 @@ def decode_paths(cell: Column, lenient: bool = False) -> Column:
     return F.transform(F.coalesce(nothing, whole(listed), values, bracketed, F.array(unwrapped)), item)
 
 
+# Where a sample's seven channels lie if only its root and stem are known.
+DEFAULT_CHANNELS = (
+    *[f"audio/{{stem}}_{source}.wav" for source in ("recorder", "ios", "android")],
+    *[f"vibration/{{stem}}_vibration.csv::col={c}" for c in range(1, 5)],
+)
+
+
+def default_paths(root: Column, stem: Column) -> Column:
+    """The seven channel paths of a sample by its root folder and stem."""
+    at = lambda p: F.concat(F.regexp_replace(root, "/+$", ""), F.lit("/" + p.split("{stem}")[0]), stem, F.lit(p.split("{stem}")[1]))
+    return F.array(*[at(p) for p in DEFAULT_CHANNELS])
+
+
 def csv_options(text: str) -> list[str]:
     """Comma-separated options: stripped, lower case, without empty ones."""
     return [p.strip().lower() for p in text.split(",") if p.strip()]

@@ -17,7 +17,7 @@ def class_table(train: DataFrame) -> DataFrame:
 
 def unseen(test: DataFrame, classes: DataFrame, mode: str = "ignore") -> DataFrame:
     """Test samples whose label no training sample has; an error in mode `error` if there are any."""
-    out = test.where(F.col("label").isNotNull()).join(F.broadcast(classes), "label", "left_anti").select("id", F.concat(F.lit("UNSEEN:"), "label").alias("y_true"))
+    out = test.where(F.col("label").isNotNull()).join(classes, "label", "left_anti").select("id", F.concat(F.lit("UNSEEN:"), "label").alias("y_true"))
     if mode not in ("ignore", "error"):
         raise ValueError(f"mode must be ignore or error, not {mode!r}")
     if mode == "error" and (some := out.limit(5).collect()):

@@ -2,38 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwave.model import views_table
 from siftwave.operators.neighbours import nearest, scaler_stats, standardize
+from siftwave.operators.running import Ordered
+from siftwave.tables import stored
 
 DIGITS = 12  # fused values are rounded before they are ranked or compared
 
 
+def train_scores(train: DataFrame, k: int = 11, metric: str = "l2") -> DataFrame:
+    """channel, ord, raw of training vectors among themselves, a vector's own hit aside."""
+    return nearest(train, train, k, metric, skip_first=True).groupBy("channel", "ord").agg(F.avg("dist").alias("raw"))
+
+
+def tested_scores(train: DataFrame, test: DataFrame, k: int = 11, metric: str = "l2") -> DataFrame:
+    """channel, ord, raw of test vectors: the mean distance to the k nearest training vectors."""
+    return nearest(test, train, k, metric).groupBy("channel", "ord").agg(F.avg("dist").alias("raw"))
+
+
 def channel_scores(train: DataFrame, test: DataFrame, k: int = 11, metric: str = "l2", scale: bool = True) -> DataFrame:
-    """channel, ord, is_train, raw: mean distance to the k nearest training vectors (a training vector's own hit aside)."""
+    """channel, ord, is_train, raw: mean distances to the k nearest training vectors, as a stored table, since several steps read it."""
     if scale:
         stats = scaler_stats(train)
         train, test = standardize(train, stats), standardize(test, stats)
-    mean = lambda n: n.groupBy("channel", "ord").agg(F.avg("dist").alias("raw"))
-    own = mean(nearest(train, train, k, metric, skip_first=True)).withColumn("is_train", F.lit(True))
-    return own.unionByName(mean(nearest(test, train, k, metric)).withColumn("is_train", F.lit(False)))
+    train = stored(train.select("channel", "ord", "vec"), "train")
+    own = train_scores(train, k, metric).withColumn("is_train", F.lit(True))
+    return stored(own.unionByName(tested_scores(train, test, k, metric).withColumn("is_train", F.lit(False))), "scores")
+
+
+def require_normals(train: DataFrame, least: int = 2) -> DataFrame:
+    """train, after checking that it has at least `least` samples."""
+    if train.select("ord").distinct().limit(least).count() < least:
+        raise ValueError(f"training needs at least {least} normal samples")
+    return train
 
 
 def normalize_quantile(scores: DataFrame) -> DataFrame:
     """Test scores as clipped shares of training scores that are not larger: (k + .5) / (n + 1).
 
-    Counts per distinct score are summed by a running window, so a channel's window has one row per
-    distinct score.
+    Training scores are counted per distinct score and summed over range partitions.
     """
-    per_value = scores.groupBy("channel", "raw").agg(F.sum(F.col("is_train").cast("long")).alias("at"))
-    below = F.sum("at").over(Window.partitionBy("channel").orderBy("raw"))
-    total = scores.groupBy("channel").agg(F.sum(F.col("is_train").cast("long")).alias("total"))
-    placed = per_value.select("channel", "raw", below.alias("k")).join(F.broadcast(total), "channel")
-    share = (F.col("k") + 0.5) / (F.col("total") + 1)
+    per_value = scores.groupBy("channel", "raw").agg(F.sum(F.col("is_train").cast("long")).alias("at"), F.count_if(~F.col("is_train")).alias("tested"))
+    placed = Ordered(per_value, "channel", "raw").sums(k=F.col("at")).where("tested > 0")
+    share = (F.col("k") + 0.5) / (F.col("total_k") + 1)
     clipped = F.greatest(F.least(share, F.lit(1 - 1e-6)), F.lit(1e-6))
-    return scores.where("not is_train").join(placed, ["channel", "raw"]).select("channel", "ord", "raw", clipped.alias("score"))
+    return scores.where("not is_train").join(placed.select("channel", "raw", clipped.alias("score")), ["channel", "raw"]).select("channel", "ord", "raw", "score")
 
 
 def normalize_zscore(scores: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 2048  # vectors on a side of one distance block
+BLOCK = 8192  # vectors on a side of one distance block
+BROADCAST = 4_000_000  # numbers in a reference that is sent to all tasks, at most
+MATRIX = 2_000_000  # distances that a task holds at once
 
 
 def scaler_stats(train: DataFrame) -> DataFrame:
@@ -41,46 +45,101 @@ def metric_name(metric: str) -> str:
     raise ValueError(f"metric must be l2 or cosine, not {metric!r}")
 
 
-def _block_distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "l2":
-        return np.sqrt(np.stack([((r - y) ** 2).sum(1) for r in x]))
-    unit = lambda v: v / np.where((n := np.sqrt((v**2).sum(1, keepdims=True))) > 0, n, 1)
-    return 1 - unit(x) @ unit(y).T
+def _unit(v: np.ndarray) -> np.ndarray:
+    n = np.sqrt((v**2).sum(1, keepdims=True))
+    return v / np.where(n > 0, n, 1)
+
+
+def _candidates(x: np.ndarray, y: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of x, row of y) that hold the `take` nearest of each row, by squared distances from one matrix product.
+
+    The product is off by rounding, so every pair within twice its error bound of the last wanted one is kept.
+    """
+    xx, yy = (x**2).sum(1), (y**2).sum(1)
+    d = xx[:, None] + yy - 2 * (x @ y.T)
+    bound = 8 * np.finfo(float).eps * (x.shape[1] + 4) * (xx + yy.max())
+    return np.nonzero(d <= np.partition(d, take - 1, axis=1)[:, take - 1 : take] + 2 * bound[:, None])
+
+
+def top_pairs(x: np.ndarray, y: np.ndarray, take: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of x, rows of y and distances of the `take` nearest of each row of x; of equals the first in y."""
+    take = min(take, len(y))
+    rows, cols, dist = [], [], []
+    if metric == "cosine":
+        x, y = _unit(x), _unit(y)
+    step = max(1, MATRIX // max(1, len(y)))
+    for at in range(0, len(x), step):
+        part = x[at : at + step]
+        if metric == "l2":
+            r, c = _candidates(part, y, take)
+            size = max(1, MATRIX // x.shape[1])
+            d = np.concatenate([np.sqrt(((part[r[i : i + size]] - y[c[i : i + size]]) ** 2).sum(1)) for i in range(0, len(r), size)])
+        else:
+            whole = 1 - part @ y.T
+            r, c = np.nonzero(whole <= np.partition(whole, take - 1, axis=1)[:, take - 1 : take])
+            d = whole[r, c]
+        order = np.lexsort((c, d, r))
+        r, c, d = r[order], c[order], d[order]
+        first = np.searchsorted(r, np.arange(len(part)))
+        kept = np.arange(len(r)) - first[r] < take
+        rows.append(r[kept] + at)
+        cols.append(c[kept])
+        dist.append(d[kept])
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
 
 
 def nearest(queries: DataFrame, reference: DataFrame, k: int, metric: str = "l2", skip_first: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """channel, ord, rank, dist, train_ord (and `carry` columns of the reference) of the k nearest of each query.
 
-    Exact. Queries and reference are dealt into blocks of about BLOCK vectors; every pair of blocks
-    of a channel is one task's work and keeps its k best, which are merged by rank. So neither side
-    has to fit anywhere whole, and no pair of vectors becomes a row. Ties go to the smaller
-    train_ord. skip_first drops each query's nearest hit (its own copy when the sides are the same)
-    and returns at most k of the others.
+    Exact. A reference of at most BROADCAST numbers, which is counted first, is sent to the tasks
+    whole, and the queries stay where they are. A larger one is dealt into blocks like the queries;
+    every pair of blocks of a channel is one task's work and keeps its k best, which are merged by
+    rank. So neither side has to fit anywhere whole, and no pair of vectors becomes a row. Ties go to
+    the smaller train_ord. skip_first drops each query's nearest hit (its own copy when the sides are
+    the same) and returns at most k of the others.
     """
     metric, take = metric_name(metric), k + skip_first
-    counted = lambda df: (df.groupBy("channel").count().agg(F.max("count")).first()[0] or 0)
-    q_blocks, r_blocks = max(1, -(-counted(queries) // BLOCK)), max(1, -(-counted(reference) // BLOCK))
-    deal = lambda n: F.pmod(F.xxhash64("ord"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    fresh = lambda *names: [F.col(n).alias(n) for n in names]  # noqa: E731  both sides may come from one frame
-    left = queries.select(*fresh("channel", "ord", "vec"), deal(q_blocks).alias("qb")).withColumn("rb", every(r_blocks))
-    right = reference.select(*fresh("channel", "ord", "vec", *carry), deal(r_blocks).alias("rb")).withColumn("qb", every(q_blocks))
+    spark = queries.sparkSession
+    size = reference.select(F.sum(F.size("vec"))).first()[0] or 0
     kinds = {f.name: f.dataType.simpleString() for f in reference.schema.fields}
     schema = "channel int, ord long, train_ord long, dist double" + "".join(f", {c} {kinds[c]}" for c in carry)
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        names = ["channel", "ord", "train_ord", "dist", *carry]
-        if not len(a) or not len(b):
-            return pd.DataFrame(columns=names)
-        b = b.sort_values("ord", ignore_index=True)
-        d = _block_distances(np.stack(a["vec"]).astype(float), np.stack(b["vec"]).astype(float), metric)
-        at = np.argsort(d, axis=1, kind="stable")[:, :take]
-        n = at.shape[1]
-        out = {"channel": np.repeat(a["channel"].to_numpy(), n), "ord": np.repeat(a["ord"].to_numpy(), n), "train_ord": b["ord"].to_numpy()[at].ravel(), "dist": np.take_along_axis(d, at, 1).ravel()}
-        return pd.DataFrame(out | {c: b[c].to_numpy()[at].ravel() for c in carry})[names]
-
-    keys = ["channel", "qb", "rb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
+    names = ["channel", "ord", "train_ord", "dist", *carry]
+    fresh = lambda df, *more: df.select(*[F.col(n).alias(n) for n in ("channel", "ord", "vec", *more)])  # noqa: E731  both sides may come from one frame
+
+    def hits(a: pd.DataFrame, b: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
+        r, c, d = top_pairs(np.stack(a["vec"]).astype(float), y, take, metric)
+        out = {"channel": a["channel"].to_numpy()[r], "ord": a["ord"].to_numpy()[r], "train_ord": b["ord"].to_numpy()[c], "dist": d}
+        return pd.DataFrame(out | {n: b[n].to_numpy()[c] for n in carry})[names]
+
+    none = pd.DataFrame(columns=names)
+    if size <= BROADCAST:
+        table = fresh(reference, *carry).toPandas().sort_values("ord", ignore_index=True)
+        sides = {ch: (b.drop(columns="vec"), np.stack(b["vec"]).astype(float)) for ch, b in table.groupby("channel")}
+        shared = spark.sparkContext.broadcast(sides)
+
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for ch, a in batch.groupby("channel"):
+                    if ch in shared.value:
+                        yield hits(a, *shared.value[ch])
+
+        found = fresh(queries).mapInPandas(search, schema)
+    else:
+        counted = lambda df: (df.groupBy("channel").count().agg(F.max("count")).first()[0] or 0)
+        q_blocks, r_blocks = max(1, -(-counted(queries) // BLOCK)), max(1, -(-counted(reference) // BLOCK))
+        deal = lambda n: F.pmod(F.xxhash64("ord"), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = fresh(queries).withColumn("qb", deal(q_blocks)).withColumn("rb", every(r_blocks))
+        right = fresh(reference, *carry).withColumn("rb", deal(r_blocks)).withColumn("qb", every(q_blocks))
+
+        def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return none
+            b = b.sort_values("ord", ignore_index=True)
+            return hits(a, b, np.stack(b["vec"]).astype(float))
+
+        keys = ["channel", "qb", "rb"]
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
     rank = F.row_number().over(Window.partitionBy("channel", "ord").orderBy("dist", "train_ord"))
     ranked = found.withColumn("rank", rank).where(F.col("rank") <= take)
     if skip_first:

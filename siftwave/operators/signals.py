@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from abc import ABC, abstractmethod
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwave.operators.encoders import Encoder, segments
+
 
 def remove_dc(samples: DataFrame) -> DataFrame:
     """samples (key, pos, x) less the mean of their key."""
@@ -48,31 +49,32 @@ def combine_channels(features: DataFrame, how: str = "concatenate") -> DataFrame
     raise ValueError(f"how must be concatenate, average, first or last, not {how!r}")
 
 
-class Encoder(ABC):
-    """Turns one channel's signal into a vector of `dim` numbers; built once in each worker."""
-
-    dim: int
-
-    @abstractmethod
-    def encode(self, signal: np.ndarray, rate: int) -> np.ndarray: ...
+def encode_series(samples: DataFrame, make_encoder, length: int, rate: int) -> DataFrame:
+    """key, vec, error of long series (key, pos, x): windows are cut, gathered and encoded one by one, then averaged.
 
+    A window is the largest group that is gathered, however long a series is. A key with a failing
+    window keeps the error.
+    """
+    cut = windows(samples, length).groupBy("key", "win").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("samples"))
 
-class LogSpectrum(Encoder):
-    """Mean log magnitude in equal bands of Hann-windowed frames of 25 ms every 10 ms."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = make_encoder()
+        for b in batches:
+            out = [_encoded(encoder, s, rate, length) for s in b["samples"]]
+            yield pd.DataFrame({"key": b["key"], "vec": [v for v, _ in out], "error": [e for _, e in out]})
 
-    def __init__(self, dim: int = 32, mean: float = 0.0, scale: float = 1.0):
-        self.dim, self.mean, self.scale = dim, mean, scale
+    kind = samples.schema["key"].dataType.simpleString()
+    encoded = cut.select("key", "samples").mapInPandas(run, f"key {kind}, vec array<double>, error string")
+    flat = encoded.select("key", "error", F.posexplode_outer("vec").alias("at", "x")).groupBy("key", "at").agg(F.avg("x").alias("x"), F.max("error").alias("error"))
+    whole = flat.groupBy("key").agg(F.max("error").alias("error"), F.sort_array(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "x")))).alias("v"))
+    return whole.select("key", F.when(F.col("error").isNull(), F.transform("v", lambda s: s["x"])).alias("vec"), "error")
 
-    def spectrum(self, signal: np.ndarray, rate: int) -> np.ndarray:
-        width, hop = max(round(0.025 * rate), 16), max(round(0.010 * rate), 1)
-        x = signal - signal.mean() if len(signal) else signal
-        x = np.pad(x, (0, max(0, width - len(x))))
-        at = np.arange(0, len(x) - width + 1, hop)[:, None] + np.arange(width)
-        return np.abs(np.fft.rfft(x[at] * np.hanning(width + 1)[:-1]))
 
-    def encode(self, signal: np.ndarray, rate: int) -> np.ndarray:
-        bands = np.array_split(np.log(self.spectrum(signal, rate) + 1e-9), self.dim, axis=1)
-        return np.array([(b.mean() - self.mean) / self.scale if b.size else 0.0 for b in bands])
+def with_layout(encoded: DataFrame, per_channel: bool, how: str = "concatenate") -> DataFrame:
+    """Encoded signals (id, ord, channel, vec) as long features, or as one combined vector x for each sample."""
+    if per_channel:
+        return encoded
+    return encoded.select("ord", "id").distinct().join(combine_channels(encoded, how).withColumnRenamed("vec", "x"), "ord")
 
 
 def encode_signals(signals: DataFrame, make_encoder, length: int = 160_000) -> DataFrame:
@@ -96,9 +98,6 @@ def _encoded(encoder: Encoder, samples, rate, length: int):
         x = np.nan_to_num(np.asarray(samples, float), nan=0.0, posinf=0.0, neginf=0.0)
         if not len(x):
             raise ValueError("empty signal")
-        cuts = [x[a : a + length] for a in range(0, len(x) - length + 1, length)] if len(x) > length else [x]
-        if len(x) > length and len(x) % length:
-            cuts.append(x[-length:])
-        return np.mean([encoder.encode(c, int(rate)) for c in cuts], axis=0), None
+        return np.mean([encoder.encode(c, int(rate)) for c in segments(x, length)], axis=0), None
     except (TypeError, ValueError) as e:
         return None, f"{type(e).__name__}: {e}"

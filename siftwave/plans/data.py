@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwave.functions.paths import fault_from_path
-from siftwave.sources.readers import blocks_of_concat, channels_of_lists
+from siftwave.sources.readers import blocks_of_concat, channels_of_cells, channels_of_columns, channels_of_lists
 
 FAULTS = ("normal", "dry", "lean", "loose", "screwdrop")
 LOADS = ("heavy", "med", "light")
@@ -34,7 +34,21 @@ def concat_features(rows: DataFrame) -> DataFrame:
     return blocks_of_concat(rows.withColumn("x", F.slice("x", 1, 63)))
 
 
+def _parts() -> list:
+    """All 64 dimensions: ten for the first channel and nine for each other."""
+    return [F.slice("x", 1, 10)] + [F.slice("x", 2 + 9 * c, 9) for c in range(1, 7)]
+
+
 def list_features(rows: DataFrame) -> DataFrame:
-    """Long features of all 64 dimensions: ten for the first channel and nine for each other."""
-    parts = [F.slice("x", 1, 10)] + [F.slice("x", 2 + 9 * c, 9) for c in range(1, 7)]
-    return channels_of_lists(rows.withColumn("per_channel", F.array(*parts)).drop("x"))
+    """Long features of a list of seven vectors."""
+    return channels_of_lists(rows.withColumn("per_channel", F.array(*_parts())).drop("x"))
+
+
+def column_features(rows: DataFrame) -> DataFrame:
+    """The same of seven columns."""
+    return channels_of_columns(rows.withColumns({f"X_ch{c}": p for c, p in enumerate(_parts())}).drop("x"))
+
+
+def cell_features(rows: DataFrame) -> DataFrame:
+    """The same of seven cells, each a matrix of one row."""
+    return channels_of_cells(rows.withColumn("X_per_channel", F.array(*[F.array(p) for p in _parts()])).drop("x"))

@@ -90,7 +90,12 @@ REPORT = "rp AS (SELECT a.view, a.label, support, predicted, tp FROM (SELECT vie
 INSPECT = "ins AS (SELECT 'fused' AS inspect_view, 'wrong' AS inspect_mode, pd.id AS test_id, y_true AS test_label, y_true AS test_true, y_pred AS test_pred, channel, rank, dist, train_id, train_label FROM pd JOIN nb USING (ord) WHERE view = 'fused' AND y_true <> y_pred AND y_true IN ('dry', 'lean') AND rank <= 3)"
 SERIES = "e AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, value AS x FROM events)"
 PARSED = "SELECT id, lower(regexp_extract(id, '{load}', 1)) AS load, regexp_extract(id, '(?i)vel([0-9]+)', 1) AS vel, coalesce(nullif(lower(regexp_extract(id, '{noise}', 1)), ''), 'clean') AS noise FROM (SELECT id FROM s UNION ALL SELECT url FROM pages)"
-TREE = "full_ AS (SELECT *, regexp_extract(id, '^(.*)_([0-9]+)$', 1) AS folder, regexp_extract(id, '^(.*)_([0-9]+)$', 2) AS i FROM s WHERE ord % 10 <> 0)"
+MATCHED = """two AS (SELECT ord, id, e, 1 AS f FROM s UNION ALL SELECT ord + 1000000, id, e, -1 FROM s WHERE load = 'heavy'),
+ last_ AS (SELECT two.* FROM two JOIN (SELECT id, max(ord) AS ord FROM two GROUP BY id) USING (id, ord)),
+ lst AS (SELECT ord * 3 AS ord, id FROM s UNION ALL SELECT ord * 3 + 1, id FROM s WHERE vel = '80' UNION ALL SELECT ord * 3 + 2, 'gone/' || id FROM s)"""
+WINDOWS = "t AS (SELECT *, count(*) OVER (PARTITION BY key) AS t FROM e), w AS (SELECT key, pos // 8 AS win, x FROM t WHERE pos < t // 8 * 8 UNION ALL SELECT key, t // 8, x FROM t WHERE t % 8 > 0 AND pos >= greatest(t - 8, 0))"
+CLASSES = ("dry", "lean", "loose", "normal", "screwdrop")
+TREE = "full_ AS (SELECT *, regexp_extract(id, '^(.*)_([0-9]+)$', 1) AS folder, regexp_extract(id, '^(.*)_([0-9]+)$', 2) AS i FROM s)"
 PARTS = "parts AS (SELECT id, list_filter(string_split(id, '/'), lambda x: x <> '' AND x <> '.') AS q, starts_with(id, '/') AS root FROM (SELECT '/data//./' || id AS id FROM s UNION ALL SELECT url FROM pages)), full_ AS (SELECT id, CASE WHEN root THEN list_prepend('/', q) ELSE q END AS q FROM parts), low AS (SELECT *, list_transform(q, lambda x: lower(x)) AS l FROM full_), pos AS (SELECT *, coalesce(list_position(l, 'abnormal'), 0) AS a, coalesce(list_position(l, 'normal'), 0) AS n FROM low)"
 
 
@@ -111,6 +116,8 @@ def combined(select: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    listed = with_(SAMPLES, LISTS) + f"SELECT ord, channel, len(vec)::INT AS dim, {r('list_sum(vec)', 'total')} FROM f"
+    counts, areas = AUROC.rsplit("\n SELECT", 1)
     unnested = "SELECT ord, generate_subscripts(vec, 1) - 1 AS pos, round(unnest(vec), 6) + 0.0 AS x FROM"
     knn = lambda n, low, high, shift: f"SELECT channel, ord, rank - {shift} AS rank, train_ord, {r('dist', 'dist')} FROM {n} WHERE rank BETWEEN {low} AND {high}"
     return {
@@ -118,14 +125,14 @@ def oracle_sql() -> dict[str, str]:
         "parse_ids_fc": parsed("(?i)/(heavy|med|light)[-_]vel", "(?i)[_/](clean|noise[^_/]*)"),
         "fault_condition_from_path": with_(SAMPLES, PARTS) + "SELECT id, CASE WHEN a > 0 THEN l[a + 1] WHEN n > 0 THEN 'normal' END AS fault, CASE WHEN a > 0 THEN q[a + 2] WHEN n > 0 THEN coalesce(q[n + 1], 'normal') WHEN len(q) >= 2 THEN q[len(q) - 1] END AS condition FROM pos",
         "id_suffix_normalize": "SELECT page_id, array_to_string(list_slice(string_split(url, '/'), greatest(len(string_split(url, '/')) - 2, 1), len(string_split(url, '/'))), '/') AS suffix FROM pages",
-        "index_build": with_(SAMPLES, TREE) + "SELECT id, CASE WHEN fault = 'normal' THEN 'Normal' ELSE 'Anomalous' END AS split, (fault <> 'normal')::BIGINT AS label, 100000 AS vibration_sr FROM full_",
+        "index_build": with_(SAMPLES, TREE) + "SELECT id, CASE WHEN fault = 'normal' THEN 'Normal' ELSE 'Anomalous' END AS split, (fault <> 'normal')::BIGINT AS label, 100000 AS vibration_sr, '[\"' || array_to_string(list_transform(['audio.wav','ios.mp4','android.mp4','vibration.csv::col=1','vibration.csv::col=2','vibration.csv::col=3','vibration.csv::col=4'], lambda x: '/data/' || folder || '/' || split_part(x, '.', 1) || '/' || split_part(x, '.', 1) || '_part_' || i || '.' || split_part(x, '.', 2)), '\",\"') || '\"]' AS paths FROM full_",
         "index_paths_decode": with_(SAMPLES, TREE, "m AS (SELECT * FROM (VALUES (0, 'audio', 'wav', NULL), (1, 'ios', 'mp4', NULL), (2, 'android', 'mp4', NULL), (3, 'vibration', 'csv', 1), (4, 'vibration', 'csv', 2), (5, 'vibration', 'csv', 3), (6, 'vibration', 'csv', 4)) t(channel, k, kind, col))") + "SELECT id, channel, '/data/' || folder || '/' || k || '/' || k || '_part_' || i || '.' || kind AS path, col, '.' || kind AS ext FROM full_, m",
         "channel_blocks_concat": with_(SAMPLES, FEATURES) + f"SELECT ord, channel, len(vec)::INT AS dim, {r('list_sum(vec)', 'total')} FROM f",
         "channel_dims_check": with_(SAMPLES, LISTS) + "SELECT channel, count(*) AS n, min(len(vec))::INT AS min_dim, max(len(vec))::INT AS max_dim FROM f GROUP BY channel",
         "split_fd_all": split_fd("all"),
         "split_fd_none": split_fd("none"),
         "split_fd_subset": split_fd("clean"),
-        "split_fd_missing_combos": with_(SAMPLES) + "SELECT load, noise_cls FROM (SELECT unnest(['heavy','med','light']) AS load), (SELECT unnest(['clean','noise']) AS noise_cls) EXCEPT SELECT load, noise_cls FROM s WHERE ord % 3 <> 2 AND fault = 'normal' AND vel = '100'",
+        "split_fd_missing_combos": with_(SAMPLES) + "SELECT load, noise_cls FROM (SELECT unnest(['heavy','med','light']) AS load), (SELECT unnest(['clean','noise']) AS noise_cls) EXCEPT SELECT load, noise_cls FROM s WHERE fault = 'normal' AND vel = '110'",
         "split_fc_base": split_fc(),
         "split_fc_exclude_noise": split_fc(base="noise_cls = 'clean'"),
         "split_fc_exclude_load": split_fc(base="load <> 'heavy'"),
@@ -154,7 +161,7 @@ def oracle_sql() -> dict[str, str]:
         "fc_confusion": with_(*FC, WEIGHTED, PREDS, CM) + "SELECT view, y_true, y_pred, n FROM cm",
         "fc_metrics_views": with_(*FC, WEIGHTED, PREDS, CM, REPORT) + f"SELECT view, {r('sum(tp) / sum(support)', 'raw_acc')}, {r('avg(recall) FILTER (support > 0)', 'balanced_acc')}, {r('avg(f1) FILTER (support > 0 OR predicted > 0)', 'macro_f1')}, sum(support)::BIGINT AS n_test_eval FROM sc2 GROUP BY view",
         "fc_per_class_f1": with_(*FC, WEIGHTED, PREDS, CM, REPORT) + f"SELECT view, label, support::BIGINT AS support, predicted::BIGINT AS predicted, {r('precision', 'precision')}, {r('recall', 'recall')}, {r('f1', 'f1')} FROM sc2",
-        "fc_unseen_samples": with_(SAMPLES, fc_split()) + "SELECT id, 'UNSEEN:' || fault AS y_true FROM p WHERE part <> 'train' AND fault NOT IN (SELECT fault FROM p WHERE part = 'train' AND fault <> 'lean')",
+        "fc_unseen_samples": with_(SAMPLES, fc_split()) + "SELECT id, 'UNSEEN:' || fault || '/' || vel AS y_true FROM p WHERE part <> 'train' AND fault || '/' || vel NOT IN (SELECT fault || '/' || vel FROM p WHERE part = 'train')",
         "fc_inspect_neighbors": with_(*FC, WEIGHTED, PREDS, INSPECT) + f"SELECT inspect_view, inspect_mode, test_id, test_label, test_true, test_pred, channel, rank, {r('dist', 'distance')}, train_id, train_label FROM ins",
         "fc_hit_counts": with_(*FC, WEIGHTED, PREDS, INSPECT) + "SELECT train_id, train_label, count(*) AS hit_count FROM ins GROUP BY ALL",
         "signal_dc_removed": with_(SERIES) + f"SELECT key, pos, {r('x - avg(x) OVER (PARTITION BY key)', 'x', 10)} FROM e",
@@ -163,5 +170,24 @@ def oracle_sql() -> dict[str, str]:
         "multichannel_average": combined("SELECT ord, pos, round(avg(x), 6) + 0.0 AS x FROM (SELECT ord, generate_subscripts(vec, 1) - 1 AS pos, unnest(vec) AS x FROM f) GROUP BY ALL"),
         "multichannel_first": combined(f"{unnested} (SELECT ord, vec FROM f WHERE channel = 0)"),
         "multichannel_last": combined(f"{unnested} (SELECT ord, vec FROM f WHERE channel = 6)"),
+        "encoder_host": with_(SERIES, WINDOWS, "m AS (SELECT key, win, avg(x) AS a, sqrt(avg(x * x)) AS b, max(x) AS c, min(x) AS d FROM w GROUP BY ALL)", "g AS (SELECT key, [avg(a), avg(b), avg(c), avg(d)] AS v FROM m GROUP BY key)") + "SELECT key, unnest([0, 1, 2, 3])::INT AS pos, round(unnest(v), 6) + 0.0 AS x, NULL::VARCHAR AS error FROM g",
+        "ids_match": with_(SAMPLES, MATCHED) + f"SELECT lst.ord, lst.id, last_.ord AS source_ord, c.range::INT AS channel, {r('f * list_sum(list_slice(e, 1 + 9 * c.range, 9 + 9 * c.range))', 'total')} FROM lst JOIN last_ USING (id), range(7) c",
+        "ids_missing": with_(SAMPLES, MATCHED) + "SELECT ord, id FROM lst WHERE id NOT IN (SELECT id FROM s)",
+        "ids_missing_report": with_(SAMPLES, MATCHED) + "SELECT count(*) AS n_missing, array_to_string(list_slice(list(id ORDER BY ord), 1, 5), ',') AS first_ids FROM lst WHERE id NOT IN (SELECT id FROM s)",
+        "labels_dropped": with_(SAMPLES, PARTS.replace("'/data//./' || id", "id")) + "SELECT count(*) FILTER (CASE WHEN a > 0 THEN l[a + 1] WHEN n > 0 THEN 'normal' END IS NULL) AS n_dropped FROM pos",
+        "channels_of_columns": listed,
+        "channels_of_cells": listed,
+        "monotone_events": with_(SERIES, "d AS (SELECT key, x - lag(x) OVER (PARTITION BY key ORDER BY pos) AS d FROM e)") + "SELECT key, coalesce(min(d) >= 0, true) OR coalesce(max(d) <= 0, true) AS monotone FROM d GROUP BY key",
+        "first_events": "SELECT event_id AS ord, event_type FROM events ORDER BY event_id LIMIT 100",
+        "channel_defaults": "SELECT page_id, c.range::INT AS channel, '/d/' || (page_id % 7) || '/' || CASE WHEN c.range < 3 THEN 'audio/s' || page_id || '_' || ['recorder', 'ios', 'android'][c.range + 1] || '.wav' ELSE 'vibration/s' || page_id || '_vibration.csv::col=' || (c.range - 2) END AS path FROM pages, range(7) c",
+        "fd_compare_views": with_(*FD_SCORED) + f", {counts}, au AS (SELECT{areas}) " + "SELECT au.view, auroc AS \"AUROC\", (SELECT count(*) FROM p WHERE part = 'train') AS \"N_train_norm\", n_test AS \"N_test\", n_pos AS \"N_test_pos\", 'l2' AS metric, 'quantile' AS fusion_norm, true AS standardize, 11 AS knn_k, CASE au.view WHEN 'audio' THEN 3 WHEN 'vibration' THEN 4 ELSE 7 END AS num_channels_used, false AS per_channel FROM au",
+        "fc_compare_views": with_(*FC, WEIGHTED, PREDS, CM, REPORT, "nt AS (SELECT count(*) AS n FROM p WHERE part = 'train')") + f"SELECT view, {r('sum(tp) / sum(support)', 'raw_acc')}, {r('avg(recall) FILTER (support > 0)', 'balanced_acc')}, {r('avg(f1) FILTER (support > 0 OR predicted > 0)', 'macro_f1')}, max(nt.n) AS \"N_train\", sum(support)::BIGINT AS \"N_test_eval\", 11 AS knn_k, 'l2' AS metric, 'weighted' AS vote, true AS standardize, false AS per_channel, " + ", ".join(r(f"max(f1) FILTER (label = '{c}')", f'"F1_{c}"') for c in CLASSES) + " FROM sc2, nt GROUP BY view",
+        "fc_class_probabilities": with_(*FC, WEIGHTED, PREDS) + "SELECT view, ord, max(y_pred) AS y_pred, " + ", ".join(r(f"coalesce(max(vp.p) FILTER (label = '{c}'), 0)", f"p_{c}") for c in CLASSES) + " FROM vp JOIN pd USING (view, ord) GROUP BY ALL",
+        "fc_confusion_matrix": with_(*FC, WEIGHTED, PREDS, CM) + "SELECT view, 'true_' || y_true AS \"true\", " + ", ".join(f"coalesce(sum(n) FILTER (y_pred = '{c}'), 0)::BIGINT AS pred_{c}" for c in CLASSES) + " FROM cm GROUP BY ALL",
+        "split_fc_meta": with_(SAMPLES, fc_split(hard="fault IN ('dry', 'lean') AND vel IN ('80', '90')")) + """SELECT 'combo_condition_balanced_fc' AS split_name, '100' AS leave_vel, 0 AS seed, 'fault_classification' AS task, 'condition_level' AS partition_level, '(vel, load, noise_cls)' AS condition_def, 0.5::DOUBLE AS train_frac_per_stratum, false AS exclude_noise_from_base, '' AS exclude_load_from_base, 'dry,lean' AS hard_labels, '80,90' AS hard_vels,
+  count(*) FILTER (part = 'test_hard') AS "N_extra_test_from_base_train_moved", count(*) FILTER (part = 'train') AS "N_train", count(*) FILTER (part <> 'train') AS "N_test",
+  count(DISTINCT (vel, load, noise_cls)) FILTER (part = 'train') AS "N_train_conditions", count(DISTINCT (vel, load, noise_cls)) FILTER (part <> 'train') AS "N_test_conditions",
+  array_to_string(list_sort(list_distinct(list(fault) FILTER (part = 'train'))), ',') AS train_labels, array_to_string(list_sort(list_distinct(list(fault) FILTER (part <> 'train'))), ',') AS test_labels, array_to_string(list_sort(list_distinct(list(fault))), ',') AS all_labels FROM p""",
+        "score_arrivals": with_(*FD_SCORED) + f"SELECT view, ord, {r('score', 'score')} FROM fu",
         "views": "SELECT 'audio' AS view, unnest([0,1,2]) AS channel, unnest([1,2,3]) AS place, 3 AS n_channels UNION ALL SELECT 'vibration', unnest([3,4,5,6]), unnest([1,2,3,4]), 4 UNION ALL SELECT 'fused', unnest([0,1,2,3,4,5,6]), unnest([1,2,3,4,5,6,7]), 7",
     }

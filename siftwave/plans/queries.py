@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwave.functions import paths as P
@@ -10,11 +11,16 @@ from siftwave.model import VIEWS, channel_dims, views_table
 from siftwave.operators import classification as C
 from siftwave.operators import detection as D
 from siftwave.operators import evaluation as E
+from siftwave.operators import reports as R
 from siftwave.operators import signals as S
 from siftwave.operators import splits as X
+from siftwave.operators.encoders import Encoder
+from siftwave.operators.matching import drop_unlabelled, match_ids, missing_ids, missing_report
 from siftwave.operators.neighbours import nearest, scaler_stats, standardize
-from siftwave.plans.data import concat_features, list_features, samples
-from siftwave.sources.readers import build_index
+from siftwave.plans.data import cell_features, column_features, concat_features, list_features, samples
+from siftwave.sources.readers import build_index, first_samples, is_monotone
+from siftwave.streaming.scoring import prepare, score_batch
+from siftwave.tables import stored
 
 K = 11
 CLEAN = "heavy-clean,med-clean,light-clean"
@@ -48,16 +54,16 @@ def id_suffixes(spark, sf_dir):
 
 
 def _tree(spark, sf_dir):
-    """Paths of a dataset tree for the samples; every tenth sample lacks its android file."""
+    """Paths of a dataset tree for the samples."""
     s = samples(spark, sf_dir).select("ord", "id")
     folder, idx = F.regexp_extract("id", "^(.*)_([0-9]+)$", 1), F.regexp_extract("id", "^(.*)_([0-9]+)$", 2)
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(e).alias("e")) for k, e in (("audio", "wav"), ("ios", "mp4"), ("android", "mp4"), ("vibration", "csv"))]))
-    files = s.select("ord", folder.alias("f"), idx.alias("i"), kinds.alias("m")).where("m.k != 'android' or ord % 10 != 0")
+    files = s.select("ord", folder.alias("f"), idx.alias("i"), kinds.alias("m"))
     return files.select(F.concat(F.lit("/data/"), "f", F.lit("/"), "m.k", F.lit("/"), "m.k", F.lit("_part_"), "i", F.lit("."), "m.e").alias("path"))
 
 
 def index_build(spark, sf_dir):
-    return build_index(_tree(spark, sf_dir)).drop("paths")
+    return build_index(_tree(spark, sf_dir))
 
 
 def index_paths_decode(spark, sf_dir):
@@ -85,8 +91,7 @@ def split_fd(spec):
 
 
 def split_fd_missing(spark, sf_dir):
-    some = samples(spark, sf_dir).where("ord % 3 != 2")
-    return X.missing_combos(some, "100", "all")
+    return X.missing_combos(samples(spark, sf_dir), "110", "all")
 
 
 def _fc(spark, sf_dir, **options):
@@ -147,7 +152,7 @@ def fd_channel_scores(how):
 def _scored(spark, sf_dir, features=concat_features):
     scores, split = _fd_normalized(spark, sf_dir, "quantile", features)
     y = split.where("part != 'train'").select("ord", "id", F.when(F.col("normal"), 0).otherwise(1).alias("y_true"))
-    return D.fuse_scores(scores, list(VIEWS)).join(y, "ord")
+    return stored(D.fuse_scores(scores, list(VIEWS)).join(y, "ord"), "scored")
 
 
 def fd_fused_scores(spark, sf_dir):
@@ -187,7 +192,7 @@ def _fc_sides(spark, sf_dir):
     train, test = f.where("part = 'train'"), f.where("part != 'train'")
     stats = scaler_stats(train)
     named = standardize(train, stats).withColumns({"train_id": F.col("id"), "train_label": F.col("label")})
-    return nearest(standardize(test, stats), named, K, carry=("train_id", "train_label")), split
+    return stored(nearest(standardize(test, stats), named, K, carry=("train_id", "train_label")), "neighbours"), split
 
 
 def fc_probs(vote):
@@ -200,7 +205,7 @@ def fc_probs(vote):
 
 def _fc_preds(spark, sf_dir):
     n, split = _fc_sides(spark, sf_dir)
-    preds = C.predictions(C.view_probabilities(C.channel_probabilities(n), list(VIEWS)))
+    preds = stored(C.predictions(C.view_probabilities(C.channel_probabilities(n), list(VIEWS))), "predictions")
     test = split.where("part != 'train'").select("ord", "id", "label")
     return n, preds, test, C.class_table(split.where("part = 'train'"))
 
@@ -212,7 +217,7 @@ def fc_preds_views(spark, sf_dir):
 
 def _fc_confusion(spark, sf_dir):
     _, preds, test, classes = _fc_preds(spark, sf_dir)
-    return E.confusion(preds.join(test.withColumnRenamed("label", "y_true"), "ord"), classes)
+    return E.confusion(preds.join(test.withColumnRenamed("label", "y_true"), "ord"), E.class_names(classes))
 
 
 def fc_confusion(spark, sf_dir):
@@ -231,8 +236,8 @@ def fc_per_class_f1(spark, sf_dir):
 
 def fc_unseen_samples(spark, sf_dir):
     split = _fc(spark, sf_dir)
-    train = split.where("part = 'train' and label != 'lean'")
-    return C.unseen(split.where("part != 'train'"), C.class_table(train))
+    train, test = (split.where(side).withColumn("label", F.concat("label", F.lit("/"), "vel")) for side in ("part = 'train'", "part != 'train'"))
+    return C.unseen(test, C.class_table(train))
 
 
 def _inspected(spark, sf_dir):
@@ -252,8 +257,6 @@ def fc_hit_counts(spark, sf_dir):
 
 
 def _series(spark, sf_dir):
-    from pyspark.sql import Window
-
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return e.select(F.col("user_id").alias("key"), (F.row_number().over(w) - 1).alias("pos"), F.col("value").alias("x"))
@@ -275,11 +278,114 @@ def multichannel(how):
     return query
 
 
+class Moments(Encoder):
+    """Mean, root mean square, largest and smallest value."""
+
+    dim = 4
+
+    def encode(self, signal, rate):
+        return np.array([signal.mean(), np.sqrt((signal**2).mean()), signal.max(), signal.min()])
+
+
 def encoder_host(spark, sf_dir):
-    series = _series(spark, sf_dir).groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("samples"))
-    signals = series.select(F.col("key").cast("string").alias("id"), F.lit(0).alias("channel"), F.lit(1000).alias("rate"), "samples")
-    out = S.encode_signals(signals, lambda: S.LogSpectrum(8), 64)
-    return out.select("id", "channel", F.size("vec").alias("dim"), "error")
+    """Every user's events as a series, in windows of 8 that an encoder turns into moments, averaged."""
+    v = S.encode_series(_series(spark, sf_dir), Moments, 8, 1000)
+    return v.select("key", F.posexplode("vec").alias("pos", "x"), "error").withColumn("x", _r("x"))
+
+
+# -- id lists
+
+
+def _lists(spark, sf_dir):
+    """Features under their samples' ids, some twice (the later one counts), and a list with repeated and unknown ids."""
+    s = samples(spark, sf_dir).select("ord", "id", "x")
+    again = s.select((F.col("ord") + 1_000_000).alias("ord"), "id", F.transform("x", lambda v: -v).alias("x")).where("id LIKE '%heavy%'")
+    listed = s.select((F.col("ord") * 3).alias("ord"), "id")
+    listed = listed.unionByName(listed.where("id LIKE '%vel80%'").withColumn("ord", F.col("ord") + 1)).unionByName(s.select((F.col("ord") * 3 + 2).alias("ord"), F.concat(F.lit("gone/"), "id").alias("id")))
+    return listed, concat_features(s.unionByName(again))
+
+
+def ids_match(spark, sf_dir):
+    listed, features = _lists(spark, sf_dir)
+    return match_ids(listed, features).select("ord", "id", "source_ord", "channel", _r(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
+def ids_missing(spark, sf_dir):
+    listed, features = _lists(spark, sf_dir)
+    return missing_ids(listed, features)
+
+
+def ids_missing_report(spark, sf_dir):
+    r = missing_report(*_lists(spark, sf_dir))
+    return r.select("n_missing", F.array_join("first_ids", ",").alias("first_ids"))
+
+
+def labels_dropped(spark, sf_dir):
+    urls = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("id"))
+    ids = samples(spark, sf_dir).select("id").unionByName(urls)
+    return drop_unlabelled(ids.withColumn("label", P.fault_from_path(F.col("id"))))[1]
+
+
+def list_dims(layout):
+    """Vectors of another layout with the sums of their numbers."""
+    return lambda spark, sf_dir: layout(samples(spark, sf_dir)).select("ord", "channel", F.size("vec").alias("dim"), _r(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
+def monotone_events(spark, sf_dir):
+    return is_monotone(_series(spark, sf_dir))
+
+
+def first_events(spark, sf_dir):
+    return first_samples(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("ord"), "event_type"), 100)
+
+
+def channel_defaults(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", F.posexplode(P.default_paths(F.concat(F.lit("/d/"), F.col("page_id") % 7, F.lit("/")), F.concat(F.lit("s"), "page_id"))).alias("channel", "path"))
+
+
+# -- result tables
+
+
+def fd_compare_views(spark, sf_dir):
+    scored = _scored(spark, sf_dir)
+    train = _fd_sides(spark, sf_dir)[0]
+    v = R.detection_views(E.auroc(scored), train.select("ord").distinct().count())
+    return v.withColumn("AUROC", _r("AUROC"))
+
+
+def fc_compare_views(spark, sf_dir):
+    _, preds, test, classes = _fc_preds(spark, sf_dir)
+    names = E.class_names(classes)
+    table = stored(E.confusion(preds.join(test.withColumnRenamed("label", "y_true"), "ord"), names), "confusion")
+    v = R.classification_views(table, names, _fc(spark, sf_dir).where("part = 'train'").count())
+    return v.select(*[_r(c).alias(c) if c in ("raw_acc", "balanced_acc", "macro_f1") or c.startswith("F1_") else F.col(c) for c in v.columns])
+
+
+def fc_class_probabilities(spark, sf_dir):
+    n, split = _fc_sides(spark, sf_dir)
+    probs = stored(C.view_probabilities(C.channel_probabilities(n), list(VIEWS)), "probabilities")
+    names = E.class_names(C.class_table(split.where("part = 'train'")))
+    p = R.class_probabilities(C.predictions(probs).drop("p"), probs, names)
+    return p.select("view", "ord", "y_pred", *[_r(f"p_{c}").alias(f"p_{c}") for c in names])
+
+
+def fc_confusion_matrix(spark, sf_dir):
+    _, preds, test, classes = _fc_preds(spark, sf_dir)
+    names = E.class_names(classes)
+    return R.confusion_matrix(E.confusion(preds.join(test.withColumnRenamed("label", "y_true"), "ord"), names), names)
+
+
+def split_fc_meta(spark, sf_dir):
+    hard = {"hard_labels": ("dry", "lean"), "hard_vels": ("80", "90")}
+    m = R.split_meta(_fc(spark, sf_dir, **hard), **hard)
+    return m.select(*[F.array_join(c, ",").alias(c) if t.startswith("array") else F.col(c) for c, t in m.dtypes])
+
+
+def arrivals(spark, sf_dir):
+    """The test side scored as one micro-batch against a prepared training side."""
+    train, test, _ = _fd_sides(spark, sf_dir)
+    return score_batch(test.select("channel", "ord", "vec"), prepare(train.select("channel", "ord", "vec"), K), list(VIEWS)).withColumn("score", _r("score"))
 
 
 def views(spark, sf_dir):
@@ -336,5 +442,20 @@ def queries() -> dict:
         "signal_window_pool": signal_window_pool,
         **{f"multichannel_{how}": multichannel(how) for how in ("concatenate", "average", "first", "last")},
         "encoder_host": encoder_host,
+        "ids_match": ids_match,
+        "ids_missing": ids_missing,
+        "ids_missing_report": ids_missing_report,
+        "labels_dropped": labels_dropped,
+        "channels_of_columns": list_dims(column_features),
+        "channels_of_cells": list_dims(cell_features),
+        "monotone_events": monotone_events,
+        "first_events": first_events,
+        "channel_defaults": channel_defaults,
+        "fd_compare_views": fd_compare_views,
+        "fc_compare_views": fc_compare_views,
+        "fc_class_probabilities": fc_class_probabilities,
+        "fc_confusion_matrix": fc_confusion_matrix,
+        "split_fc_meta": split_fc_meta,
+        "score_arrivals": arrivals,
         "views": views,
     }

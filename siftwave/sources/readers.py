@@ -5,10 +5,11 @@ from __future__ import annotations
 import io
 import wave
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwave.functions.paths import encode_paths, id_suffix, split_channel
@@ -18,16 +19,29 @@ from siftwave.model import INDEX, N_CHANNELS, require_columns
 PART = r"/(normal|abnormal)/(?:([^/]+)/)?([^/]+)/(audio|ios|android|vibration)/\4_part_(\d+)\.(?:wav|mp4|csv)$"
 
 
+def _path(column: str = "_metadata.file_path"):
+    return F.regexp_replace(column, "^file:/+", "/")
+
+
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
     """Paths below root; contents are not read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(_path().alias("path"))
 
 
 def sniff_columns(spark: SparkSession, root: str) -> DataFrame:
-    """path and the number of signal columns of vibration files: commas in the first line that is no comment."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "vibration_part_*.csv").load(root)
-    lines = F.filter(F.split(F.substring(F.decode("content", F.lit("UTF-8")), 1, 65536), "\r?\n"), lambda s: ~F.trim(s).startswith("#") & (F.trim(s) != ""))
-    return files.select("path", F.when(F.size(lines) > 0, F.size(F.split(lines[0], ",")) - 1).otherwise(0).alias("n_columns"))
+    """path and n_columns of vibration files: the commas in the first line that is neither blank nor a comment.
+
+    0 for a file without such a line, and where that line or one before it is not UTF-8. Lines are
+    streamed, so no file has to fit in memory, whatever stands before its data.
+    """
+    only = lambda reader: reader.option("recursiveFileLookup", True).option("pathGlobFilter", "vibration_part_*.csv")
+    files = only(spark.read.format("binaryFile")).load(root).select(_path().alias("path"))
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = only(spark.read).text(root).select(_path().alias("path"), place.alias("place"), "value", F.is_valid_utf8("value").alias("valid"))
+    said = lines.where(~F.col("valid") | ((F.trim("value") != "") & ~F.startswith(F.ltrim("value"), F.lit("#"))))
+    first = said.groupBy("path").agg(F.min_by(F.struct("value", "valid"), "place").alias("f"))
+    n = F.when(F.col("f.valid"), F.size(F.split("f.value", ",")) - 1).otherwise(0)
+    return files.join(first, "path", "left").select("path", F.coalesce(n, F.lit(0)).alias("n_columns"))
 
 
 def build_index(paths: DataFrame, vibration_columns: DataFrame | None = None, vibration_sr: int = 100_000) -> DataFrame:
@@ -74,10 +88,19 @@ def read_ids(spark: SparkSession, path: str, suffix: bool = False) -> DataFrame:
     return lines.withColumn("id", id_suffix(F.col("id"))) if suffix else lines
 
 
-def latest_by_id(features: DataFrame) -> DataFrame:
-    """One row per id: the last one in source order."""
-    last = features.groupBy("id").agg(F.max("ord").alias("ord"))
-    return features.join(last, ["id", "ord"], "left_semi")
+def read_split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Training and test ids (ord, id) of a folder with dev_source_normal.ids, eval_normal.ids and eval_abn.ids.
+
+    Test ids are the normal ones and then the abnormal ones. A missing file is an error, and so are
+    no training or no test ids.
+    """
+    train, normal, abnormal = (read_ids(spark, f"{folder}/{name}.ids", suffix=True) for name in ("dev_source_normal", "eval_normal", "eval_abn"))
+    # monotonically_increasing_id of one file is below 2**62, so abnormal ids come after all normal ones.
+    test = normal.unionByName(abnormal.withColumn("ord", F.col("ord") + F.lit(2**62)))
+    for side, ids in (("training", train), ("test", test)):
+        if ids.isEmpty():
+            raise ValueError(f"no {side} ids in {folder}")
+    return train, test
 
 
 def blocks_of_concat(samples: DataFrame, column: str = "x", n_channels: int = N_CHANNELS) -> DataFrame:
@@ -89,10 +112,24 @@ def blocks_of_concat(samples: DataFrame, column: str = "x", n_channels: int = N_
     return spread.select(*rest, "channel", F.slice(column, F.col("channel") * F.col("_w") + 1, F.col("_w")).alias("vec"))
 
 
-def channels_of_lists(samples: DataFrame, column: str = "per_channel") -> DataFrame:
-    """Long features of lists of seven vectors."""
+def channels_of_lists(samples: DataFrame, column: str = "per_channel", n_channels: int = N_CHANNELS) -> DataFrame:
+    """Long features of lists of seven vectors; an error for another number or for an empty vector."""
     rest = [c for c in samples.columns if c != column]
-    return samples.select(*rest, F.posexplode(column).alias("channel", "vec"))
+    whole = (F.size(column) == n_channels) & F.forall(column, lambda v: F.size(v) > 0)
+    checked = F.when(whole, F.col(column)).otherwise(F.raise_error(F.lit("a sample needs one vector for each channel")).cast(samples.schema[column].dataType))
+    return samples.select(*rest, F.posexplode(checked).alias("channel", "vec"))
+
+
+def channels_of_cells(samples: DataFrame, n_channels: int = N_CHANNELS) -> DataFrame:
+    """Long features of a cell for each channel, in a column per_channel or else X_per_channel; nested cells are flattened."""
+    column = next((c for c in ("per_channel", "X_per_channel") if c in samples.columns), None)
+    if column is None:
+        raise ValueError("missing columns: per_channel or X_per_channel")
+    kind, cell = samples.schema[column].dataType.elementType, F.col(column)
+    while kind.elementType.typeName() == "array":
+        cell, kind = F.transform(cell, F.flatten), kind.elementType
+    rest = [c for c in samples.columns if c not in ("per_channel", "X_per_channel")]
+    return channels_of_lists(samples.select(*rest, cell.alias("per_channel")), "per_channel", n_channels)
 
 
 def channels_of_columns(samples: DataFrame, n_channels: int = N_CHANNELS) -> DataFrame:
@@ -111,27 +148,78 @@ def with_normality(samples: DataFrame) -> DataFrame:
 
 
 def read_npz(spark: SparkSession, path: str) -> DataFrame:
-    """id, ord, label, split and x of .npz files with plain arrays X, ids, labels and splits. Pickled arrays are refused."""
+    """id, ord, label, split, x and per_channel of .npz files with plain arrays. Pickled arrays are refused.
+
+    Features: X (one vector for each sample, in x), or X_ch0..X_ch6, per_channel or X_per_channel
+    (numeric, with samples and channels as its first two dimensions; vectors in per_channel).
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for raw in b["content"]:
                 with np.load(io.BytesIO(raw), allow_pickle=False) as z:
-                    n = len(z["X"])
+                    n = len(z["ids"]) if "ids" in z.files else len(z[z.files[0]])
+                    parts = [z[f"X_ch{c}"] for c in range(N_CHANNELS)] if "X_ch0" in z.files else None
+                    if parts is None and (cells := next((k for k in ("per_channel", "X_per_channel") if k in z.files), None)):
+                        parts = [z[cells][:, c].reshape(n, -1) for c in range(z[cells].shape[1])]
+                    given = [z["X"]] if "X" in z.files else []
+                    if any(a.ndim != 2 or len(a) != n for a in [*(parts or []), *given]) or not (parts or given):
+                        raise ValueError("features must be matrices with a row for each id")
                     column = lambda k, n=n, z=z: z[k] if k in z.files else [None] * n
-                    yield pd.DataFrame({"id": column("ids"), "ord": np.arange(n), "label": column("labels"), "split": column("splits"), "x": list(z["X"].astype(float))})
+                    listed = [[p[i].astype(float) for p in parts] for i in range(n)] if parts else [None] * n
+                    yield pd.DataFrame({"id": column("ids"), "ord": np.arange(n), "label": column("labels"), "split": column("splits"), "x": list(given[0].astype(float)) if given else [None] * n, "per_channel": listed})
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(run, "id string, ord long, label long, split string, x array<double>")
+    return files.mapInPandas(run, "id string, ord long, label long, split string, x array<double>, per_channel array<array<double>>")
+
 
+def first_samples(samples: DataFrame, n: int | None) -> DataFrame:
+    """The first n samples in source order; all where n is None."""
+    return samples if n is None else samples.orderBy("ord").limit(n)
 
-def read_signals(spark: SparkSession, index: DataFrame, root: str, default_rate: int | None = None, non_finite: str = "zero") -> DataFrame:
+
+def is_monotone(samples: DataFrame) -> DataFrame:
+    """key and whether its values x, in order of pos, never fall or never rise (as time stamps do)."""
+    step = F.col("x") - F.lag("x").over(Window.partitionBy("key").orderBy("pos"))
+    return samples.select("key", step.alias("d")).groupBy("key").agg((F.coalesce(F.min("d") >= 0, F.lit(True)) | F.coalesce(F.max("d") <= 0, F.lit(True))).alias("monotone"))
+
+
+@dataclass(frozen=True)
+class TableFormat:
+    """How a kind of encoder reads vibration tables.
+
+    header: skip (the first line is none of the data), letters (it is none if it holds letters) or
+    fallback (skip, and nothing is skipped where that leaves no numbers). time: first (the first
+    column is time), monotone (it is if it never falls or never rises) or none. default_column: taken
+    where a path names none; without it a table of several columns is an error. non_finite: zero or
+    drop. delimiters: by preference.
+    """
+
+    header: str = "letters"
+    time: str = "first"
+    default_column: int | None = None
+    non_finite: str = "zero"
+    delimiters: tuple[str, ...] = (",", "\t", ";")
+
+
+FORMATS = {
+    "plain": TableFormat(),
+    "beats": TableFormat("skip", delimiters=(",",)),
+    "ced": TableFormat("letters", default_column=1, non_finite="drop", delimiters=(",",)),
+    "dasheng": TableFormat("letters", non_finite="drop"),
+    "eat": TableFormat("letters", non_finite="drop"),
+    "echo": TableFormat("fallback", time="monotone"),
+    "fisher": TableFormat("skip"),
+}
+
+
+def read_signals(spark: SparkSession, index: DataFrame, root: str, default_rate: int | None = None, form: str = "plain") -> DataFrame:
     """id, channel, rate, samples, error for every path of an index: PCM .wav files, and columns of vibration tables.
 
-    Each file is decoded once, a vibration table for all its channels. Its first column is time and
-    is dropped. Values that are no finite number become 0 (zero) or vanish (drop). Other audio
-    formats give an error row.
+    Each file is decoded once, a vibration table for all its channels, as FORMATS says of `form`.
+    Other audio formats, broken files and files that aren't there give an error row.
     """
+    how = FORMATS[form]
     wanted = index.select("id", "vibration_sr", F.posexplode(F.from_json("paths", "array<string>")).alias("channel", "p"))
     bare, column = split_channel(F.col("p"))
     wanted = wanted.select("id", "vibration_sr", "channel", F.regexp_replace(bare, "^file:/+", "/").alias("file"), column.alias("col"))
@@ -145,29 +233,33 @@ def read_signals(spark: SparkSession, index: DataFrame, root: str, default_rate:
             for r in b.itertuples():
                 table = error = None
                 try:
-                    table = decode_wav(r.content) if r.file.lower().endswith(".wav") else decode_table(r.content, r.file)
+                    if r.content is None:
+                        raise ValueError(f"no file {r.file}")
+                    table = decode_wav(r.content) if r.file.lower().endswith(".wav") else decode_table(r.content, r.file, how)
                 except ValueError as e:
                     error = str(e)
                 for u in r.uses:
-                    rows.append(_signal(u, table, error, default_rate, non_finite))
+                    rows.append(_signal(u, table, error, default_rate, how))
             yield pd.DataFrame(rows, columns=["id", "channel", "rate", "samples", "error"])
 
-    return per_file.join(files, "file").mapInPandas(run, "id string, channel int, rate int, samples array<double>, error string")
+    return per_file.join(files, "file", "left").mapInPandas(run, "id string, channel int, rate int, samples array<double>, error string")
 
 
-def _signal(use, table, error, default_rate, non_finite):
+def _signal(use, table, error, default_rate, how):
     head = (use["id"], use["channel"])
     if error:
         return (*head, None, None, error)
     rate, x = table
     if x.ndim == 2:
-        k = use["col"] if use["col"] is not None else 1 if x.shape[1] == 1 else 0
+        k = use["col"] if not pd.isna(use["col"]) else 1 if x.shape[1] == 1 else how.default_column or 0
         if not 1 <= k <= x.shape[1]:
-            return (*head, None, None, f"no signal column {use['col']}")
-        x, rate = x[:, k - 1], use["vibration_sr"] if not pd.isna(use["vibration_sr"]) else default_rate
+            return (*head, None, None, f"no signal column {use['col']} of {x.shape[1]}")
+        x, rate = x[:, int(k) - 1], use["vibration_sr"] if not pd.isna(use["vibration_sr"]) else default_rate
     if rate is None:
         return (*head, None, None, "no sampling rate")
-    x = np.nan_to_num(x, nan=0.0, posinf=0.0, neginf=0.0) if non_finite == "zero" else x[np.isfinite(x)]
+    x = np.nan_to_num(x, nan=0.0, posinf=0.0, neginf=0.0) if how.non_finite == "zero" else x[np.isfinite(x)]
+    if not len(x):
+        return (*head, None, None, "no finite values")
     return (*head, int(rate), x, None)
 
 
@@ -190,15 +282,30 @@ def decode_wav(raw: bytes) -> tuple[int, np.ndarray]:
     return rate, x.reshape(-1, n).mean(1)
 
 
-def decode_table(raw: bytes, name: str) -> tuple[None, np.ndarray]:
-    """Signal columns of a delimited text; a first line with letters is a header, the first column is time."""
+def decode_table(raw: bytes, name: str, how: TableFormat = FORMATS["plain"]) -> tuple[None, np.ndarray]:
+    """Signal columns of a delimited text, without the column of time."""
     if not name.lower().endswith((".csv", ".tsv", ".txt")):
         raise ValueError("this audio format can't be decoded here")
     lines = [x for x in raw.decode("utf-8", "replace").splitlines() if x.strip() and not x.lstrip().startswith("#")]
-    if lines and any(c.isalpha() for c in lines[0].lower().replace("nan", "").replace("inf", "").replace("e", "")):
-        lines = lines[1:]
-    if not lines:
+    letters = bool(lines) and any(c.isalpha() for c in lines[0].lower().replace("nan", "").replace("inf", "").replace("e", ""))
+    for skipped in {"skip": (1,), "letters": (int(letters),), "fallback": (1, 0)}[how.header]:
+        x = _numbers(lines[skipped:], how.delimiters)
+        if x is not None:
+            break
+    else:
         raise ValueError("no data rows")
-    mark = next((d for d in (",", "\t", ";") if d in lines[0]), None)
-    x = np.genfromtxt(lines, delimiter=mark, ndmin=2)
-    return None, x[:, 1:] if x.shape[1] > 1 else x
+    steps = np.diff(x[:, 0])
+    timed = how.time == "first" or (how.time == "monotone" and ((steps >= 0).all() or (steps <= 0).all()))
+    return None, x[:, 1:] if x.shape[1] > 1 and timed else x
+
+
+def _numbers(lines: list[str], delimiters: tuple[str, ...]) -> np.ndarray | None:
+    """A matrix by the first delimiter of the lines that gives a finite number, white space being the last."""
+    for mark in [d for d in delimiters if lines and d in lines[0]] + [None]:
+        try:
+            x = np.genfromtxt(lines, delimiter=mark, ndmin=2) if lines else np.zeros((0, 0))
+        except ValueError as e:
+            raise ValueError("rows of several lengths") from e
+        if x.size and np.isfinite(x).any():
+            return x
+    return None

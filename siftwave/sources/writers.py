@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,6 +28,7 @@ def write_features(features: DataFrame, path: str) -> None:
 def write_json(row: DataFrame, path: str) -> None:
     """A one-row table as a JSON file of the driver; NaN for a metric without a value."""
     record = row.limit(1).collect()[0].asDict(recursive=True)
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
     with open(path, "w", encoding="utf-8") as f:
         json.dump({k: math.nan if v is None else v for k, v in record.items()}, f, indent=2, ensure_ascii=False, default=str)
 

@@ -1,22 +1,52 @@
-"""Arriving samples scored against a fixed training set."""
+"""Arriving samples scored against a training set that was prepared once."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from siftwave.operators.detection import channel_scores, fuse_scores, normalize
+from siftwave.operators.detection import fuse_scores, normalize_quantile, tested_scores, train_scores
+from siftwave.operators.neighbours import scaler_stats, standardize
+from siftwave.tables import stored
+
+
+@dataclass(frozen=True)
+class Prepared:
+    """Stored tables of a training set: scaler statistics, scaled vectors and their own scores."""
+
+    stats: DataFrame
+    train: DataFrame
+    own: DataFrame
+    k: int
+    metric: str
+
+
+def prepare(train: DataFrame, k: int = 11, metric: str = "l2") -> Prepared:
+    """What scoring needs of long training features; made once, before the stream starts."""
+    stats = stored(scaler_stats(train), "stats")
+    scaled = stored(standardize(train, stats).select("channel", "ord", "vec"), "train")
+    return Prepared(stats, scaled, stored(train_scores(scaled, k, metric), "own"), k, metric)
+
+
+def score_batch(arrived: DataFrame, prepared: Prepared, views=("fused",)) -> DataFrame:
+    """view, ord, score of long features. A sample's score depends on the training set and itself alone, not on its batch."""
+    new = tested_scores(prepared.train, standardize(arrived, prepared.stats).select("channel", "ord", "vec"), prepared.k, prepared.metric)
+    both = prepared.own.withColumn("is_train", F.lit(True)).unionByName(new.withColumn("is_train", F.lit(False)))
+    return fuse_scores(normalize_quantile(stored(both, "batch")), views)
 
 
-def score_arrivals(arrivals: DataFrame, train: DataFrame, sink: str, checkpoint: str, views=("fused",), k: int = 11) -> StreamingQuery:
-    """Each micro-batch of long features is scored as a test set and appended to the Parquet table `sink`.
+def score_arrivals(arrivals: DataFrame, prepared: Prepared, sink: str, checkpoint: str, views=("fused",)) -> StreamingQuery:
+    """Each micro-batch of long features is scored and written as its own folder of the Parquet table `sink`.
 
-    The batch number is a partition of the table and a batch overwrites its own, so a batch that is
-    repeated after a failure leaves its rows once.
+    The folder is named by the batch's number and is overwritten, so a batch that is repeated after
+    a failure leaves its rows once. Scores are shares of training scores; z-scores, which would
+    depend on the batch, are not offered here.
     """
 
     def score(batch: DataFrame, number: int) -> None:
-        fused = fuse_scores(normalize(channel_scores(train, batch, k)), views)
-        fused.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        score_batch(batch, prepared, views).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return arrivals.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

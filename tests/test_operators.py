@@ -13,6 +13,7 @@ from siftwave.operators import evaluation as E
 from siftwave.operators import signals as S
 from siftwave.operators import splits as X
 from siftwave.operators.detection import normalize
+from siftwave.operators.encoders import LogSpectrum
 from siftwave.operators.neighbours import nearest, scaler_stats, standardize
 
 LONG = "channel int, ord long, vec array<double>"
@@ -126,7 +127,7 @@ def test_windows_have_an_overlapping_tail(spark):
 
 def test_a_failing_signal_keeps_its_error(spark):
     rows = [("a", 0, 1000, [0.0, 1.0] * 40), ("b", 0, 1000, []), ("c", 0, 1000, None)]
-    got = {r["id"]: r for r in S.encode_signals(spark.createDataFrame(rows, "id string, channel int, rate int, samples array<double>"), lambda: S.LogSpectrum(4), 64).collect()}
+    got = {r["id"]: r for r in S.encode_signals(spark.createDataFrame(rows, "id string, channel int, rate int, samples array<double>"), lambda: LogSpectrum(4), 64).collect()}
     assert len(got["a"]["vec"]) == 4 and got["a"]["error"] is None
     assert got["b"]["vec"] is None and got["b"]["error"]
     assert got["c"]["vec"] is None and got["c"]["error"]
