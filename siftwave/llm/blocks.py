@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 
 BLOCK = 6_000_000  # bytes of text in a block, unless one text is longer
 ROWS = 2**20 - 1  # texts in a block, so that a place in it fits 20 bits
@@ -61,13 +61,32 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
+_PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def put(a: np.ndarray, kind: str) -> bytes:
-    """An array as a compressed cell."""
-    return zlib.compress(np.ascontiguousarray(a, kind).tobytes(), 1)
+    """An array as a compressed cell: first all lowest bytes, then all second ones, and so on."""
+    raw = np.ascontiguousarray(a, kind)
+    return _PACK.compress(raw.view("u1").reshape(-1, raw.itemsize).T.tobytes())
 
 
 def take(cell: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(cell), kind)
+    kind = np.dtype(kind)
+    raw = np.frombuffer(_UNPACK.decompress(cell), "u1").reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(raw.T).view(kind).reshape(-1)
+
+
+def put_sorted(a: np.ndarray) -> bytes:
+    """Ascending numbers as their differences."""
+    first, gaps = a[:1].astype("<u8").tobytes(), np.diff(a)
+    narrow = not len(gaps) or gaps.max() < 2**32
+    return (b"4" if narrow else b"8") + first + (put(gaps, "<u4" if narrow else "<u8") if len(gaps) else b"")
+
+
+def take_sorted(cell: bytes) -> np.ndarray:
+    first = np.frombuffer(cell[1:9], "<u8")
+    gaps = take(cell[9:], f"<u{cell[:1].decode()}").astype(np.uint64) if len(cell) > 9 else first[:0]
+    return np.cumsum(np.concatenate([first, gaps]), dtype=np.uint64)
 
 
 def runs(sorted_keys: np.ndarray) -> np.ndarray:

@@ -1,18 +1,21 @@
 """LM scoring: a hierarchical Pitman-Yor model whose seating is sampled by Gibbs sweeps on shards.
 
-Restaurants form a tree. Every word that is frequent enough has a restaurant for what follows it;
-all words that end in the same two bytes share the parent restaurant of that ending, which also
-seats what follows the rarer words; all endings share the root, whose base is uniform over the
-known words and one unknown word. A table of a restaurant is a customer of its parent.
-
-All customers of a word sit in one shard (very frequent words are split by ending), so a sweep
-changes shards independently. What restaurants share, their table and customer totals, is a vector
-whose length the parameters fix (CONTEXTS + ENDINGS + a few), summed by Spark after every round.
+Restaurants form a tree. Every word has a restaurant for what follows it; all words that end in the
+same two bytes share the parent restaurant of that ending; all endings share the root, whose base is
+uniform over the known words and one unknown word. A table of a restaurant is a customer of its
+parent. A restaurant is named by its word's ending and 32 bits of the word's hash, so within an
+ending two of about four thousand million words may share one.
+
+All customers of a word sit in one shard (those of very frequent words are split by ending), so a
+sweep changes shards independently, given what the last exchange told of the others. What all words
+of a restaurant share, its tables and customers, goes by keyed rows through Spark: every shard sends
+its part of each context's totals to the context's owner and gets the sums back. The endings' totals
+are vectors of fixed length, which are summed on the driver.
 """
 
 from __future__ import annotations
 
-import zlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,29 +25,31 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwave.llm.blocks import mix, put, runs, split_words, take, text_blocks, word_ids
-from siftwave.llm.storage import hold_out, shards, stored
+from siftwave.llm.blocks import mix, put, put_sorted, runs, split_words, take, take_sorted, text_blocks, word_ids
+from siftwave.llm.storage import discard, hold_out, shards, stored
 
-CONTEXTS = 4096  # most frequent words, which have a restaurant of their own
 ENDINGS = 65_537  # two last bytes of the word before, or the start of a text
 START = ENDINGS - 1
 LEAF, ENDING, ROOT = 2, 1, 0
-BOTTOM = 64  # customers that are seated one by one; later ones in groups of a sixteenth of those seated
+HEAVY = 16_384  # most frequent words whose customers may be split over shards, at most
+SHARD = 12_000_000  # bytes of text for each shard
+EXACT = 128  # customers of a dish up to which its tables are drawn from their exact distribution
+BOTTOM = 64  # of a dish with more: customers that are seated one by one; later ones in groups of a sixteenth of those seated
+DISCOUNTS = np.linspace(0.05, 0.95, 37)
+STRENGTHS = 10.0 ** np.linspace(-1, 3, 13)
 
 
 def ending(word: bytes) -> int:
-    """The restaurant of a word's last two bytes."""
-    return (word[-2] << 8 if len(word) > 1 else 0) | word[-1]
+    """The restaurant of a word's last two bytes; that of the end token, which is before every text, for no word."""
+    return START if not word else (word[-2] << 8 if len(word) > 1 else 0) | word[-1]
 
 
 @dataclass
-class Frequent:
-    """The words with a restaurant of their own: hashes in ascending order, counts, endings and shard splits."""
+class Heavy:
+    """Words that are split over shards: hashes in ascending order and numbers of parts."""
 
     hashes: np.ndarray
-    counts: np.ndarray
-    endings: np.ndarray
-    splits: np.ndarray
+    parts: np.ndarray
 
     def index(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each hash, or -1."""
@@ -53,17 +58,13 @@ class Frequent:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, at, -1)
 
-    def ending_of(self, context: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return context
-        return np.where(context >= ENDINGS, self.endings[np.maximum(context - ENDINGS, 0)], context)
-
 
 @dataclass
 class Block:
-    """Distinct (word, context, document) of some texts with their counts, sorted in that order."""
+    """Distinct (word, context, document) of some texts with their counts, in that order; contexts by key."""
 
     hashes: np.ndarray
+    keys: np.ndarray  # of the contexts: ending, then 32 bits of the word's hash
     word: np.ndarray
     context: np.ndarray
     doc: np.ndarray
@@ -71,7 +72,7 @@ class Block:
     sizes: np.ndarray
 
     @staticmethod
-    def of(texts, frequent: Frequent) -> Block:
+    def of(texts) -> Block:
         words, sizes = [], []
         for t in texts:
             w = split_words(t)
@@ -79,142 +80,211 @@ class Block:
             words.append(b"")  # the end; no word is empty
             sizes.append(len(w) + 1)
         ids, distinct, hashes = word_ids(words)
-        sizes = np.array(sizes)
-        own = frequent.index(hashes)
-        shared = np.fromiter((ending(w) if w else START for w in distinct), np.int64, len(distinct))
-        context = np.where(own >= 0, ENDINGS + own, shared)[np.append(0, ids[:-1])]
-        context[np.cumsum(sizes) - sizes] = START
-        key = (ids.astype(np.uint64) << np.uint64(37)) | (context.astype(np.uint64) << np.uint64(20)) | np.repeat(np.arange(len(sizes)), sizes).astype(np.uint64)
-        key.sort()
-        at = runs(key)
-        n = np.diff(np.append(at, len(key)))
-        key = key[at]
-        return Block(hashes, (key >> np.uint64(37)).astype(np.int64), ((key >> np.uint64(20)) & np.uint64(0x1FFFF)).astype(np.int64), (key & np.uint64(0xFFFFF)).astype(np.int64), n, sizes)
-
-    def shard(self, frequent: Frequent, total: int) -> np.ndarray:
-        split = np.ones(len(self.hashes), np.uint64)
-        own = frequent.index(self.hashes)
-        split[own >= 0] = frequent.splits[own[own >= 0]]
-        salt = mix(frequent.ending_of(self.context)) % split[self.word]
+        sizes = np.array(sizes, np.int64)
+        keys = np.fromiter(map(ending, distinct), np.uint64, len(distinct)) << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF)
+        order = np.argsort(keys)
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.arange(len(keys))
+        # An end stands before each text, and so does one before the first.
+        context = place[np.append(ids[-1:], ids[:-1])]
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        bits_w, bits_d = len(hashes).bit_length(), len(sizes).bit_length()
+        if 2 * bits_w + bits_d <= 63:
+            key = np.sort((ids << bits_w | context) << bits_d | doc)
+            at = runs(key)
+            key, n = key[at], np.diff(np.append(at, len(key)))
+            ids, context, doc = key >> (bits_w + bits_d), key >> bits_d & ((1 << bits_w) - 1), key & ((1 << bits_d) - 1)
+        else:
+            by = np.lexsort((doc, context, ids))
+            ids, context, doc = ids[by], context[by], doc[by]
+            at = np.flatnonzero(np.append(True, (np.diff(ids) != 0) | (np.diff(context) != 0) | (np.diff(doc) != 0)))
+            n = np.diff(np.append(at, len(ids)))
+            ids, context, doc = ids[at], context[at], doc[at]
+        return Block(hashes, keys[order], ids, context, doc, n, sizes)
+
+    def shard(self, heavy: Heavy, total: int) -> np.ndarray:
+        parts = np.ones(len(self.hashes), np.uint64)
+        own = heavy.index(self.hashes)
+        parts[own >= 0] = heavy.parts[own[own >= 0]]
+        salt = mix(self.keys[self.context] >> np.uint64(32)) % parts[self.word]
         return (mix(mix(self.hashes)[self.word] + salt) % np.uint64(total)).astype(np.int64)
 
 
-def _trained(doc_id) -> bool:
-    return zlib.crc32(b"" if pd.isna(doc_id) else str(int(doc_id)).encode()) % 10 != 0
+def _heavy_words(docs: DataFrame, total: int) -> Heavy:
+    """Words with more than an eighth of a shard's share of all tokens, HEAVY at most.
+
+    A word with such a share of all tokens has it in some block, so each block only tells of those.
+    """
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in text_blocks(batches, "text"):
+            ids, _, hashes = word_ids([w for t in b["text"] for w in [*split_words(t), b""]])
+            counts = np.bincount(ids, minlength=len(hashes))
+            some = np.flatnonzero(counts * 8 * total > len(ids))
+            some = some[np.argsort(-counts[some], kind="stable")[:HEAVY]]
+            yield pd.DataFrame({"h": pd.array([None, *hashes[some].view(np.int64)], "Int64"), "c": [len(ids), *counts[some]]})
 
-def _sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Blocks of fewer than 2**20 texts."""
-    for b in text_blocks(batches, "text"):
-        for at in range(0, len(b), 2**20 - 1):
-            yield b.iloc[at : at + 2**20 - 1].reset_index(drop=True)
+    counted = docs.mapInPandas(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    rows = counted.orderBy(F.col("h").isNotNull(), F.desc("c"), "h").limit(HEAVY + 1).collect()
+    tokens = rows[0]["c"] if rows else 0
+    found = sorted((np.int64(r["h"]).astype(np.uint64), -(-8 * total * r["c"] // tokens)) for r in rows[1:] if 8 * total * r["c"] > tokens)
+    return Heavy(np.array([h for h, _ in found], np.uint64), np.array([n for _, n in found], np.uint64))
 
 
-def _word_counts(docs: DataFrame) -> DataFrame:
-    def run(batches):
-        for b in _sized(batches):
-            words = [w for t in b["text"][b["train"]] for w in [*split_words(t), b""]]
-            ids, distinct, hashes = word_ids(words)
-            yield pd.DataFrame({"h": hashes.view(np.int64), "c": np.bincount(ids, minlength=len(hashes)), "e": [ending(w) if w else START for w in distinct]})
+OCCURRENCES = "shard int, block long, n_train int, w binary, per_w binary, keys binary, context binary, doc binary, n binary, ids binary, no_id binary, sizes binary"
 
-    parts = docs.mapInPandas(run, "h long, c long, e int")
-    return parts.groupBy("h").agg(F.sum("c").alias("c"), F.max("e").alias("e"))
 
+def _occurrences(docs: DataFrame, heavy: Heavy, total: int) -> DataFrame:
+    """Counts of (word, context, document), as one row for each block and shard; one row of each block also describes its documents.
 
-def _counted_pairs(docs: DataFrame, frequent: Frequent, total: int) -> DataFrame:
-    """Training counts of (word, context), as one row per block and shard."""
+    Training documents come first in a block.
+    """
 
-    def run(batches):
-        for b in _sized(batches):
-            b = b[b["train"]]
-            if not len(b):
-                continue
-            k = Block.of(b["text"], frequent)
-            at = runs(k.word << 17 | k.context)
-            n, shard = np.add.reduceat(k.n, at), k.shard(frequent, total)[at]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task = TaskContext.get().partitionId() << 24
+        for number, b in enumerate(text_blocks(batches, "text")):
+            b = b.sort_values("train", ascending=False, kind="stable", ignore_index=True)
+            k = Block.of(b["text"])
+            shard = k.shard(heavy, total)
             order = np.argsort(shard, kind="stable")
-            word, context, n, shard = k.word[at][order], k.context[at][order], n[order], shard[order]
+            word, context, doc, n, shard = k.word[order], k.context[order], k.doc[order], k.n[order], shard[order]
             cuts = np.append(runs(shard), len(shard))
+            about = (put(b["doc_id"].fillna(0).astype("int64"), "<i8"), put(b["doc_id"].isna(), "u1"), put(k.sizes, "<u4"))
             rows = []
-            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                w = runs(word[a:z])
-                rows.append((int(shard[a]), put(k.hashes[word[a:z][w]], "<u8"), put(np.diff(np.append(w, z - a)), "<u4"), put(context[a:z], "<u4"), put(n[a:z], "<u4")))
-            yield pd.DataFrame(rows, columns=["shard", "w", "per_w", "context", "n"])
+            for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                w, some = runs(word[a:z]), np.unique(context[a:z])
+                cells = put_sorted(k.hashes[word[a:z][w]]), put(np.diff(np.append(w, z - a)), "<u4"), put_sorted(k.keys[some]), put(np.searchsorted(some, context[a:z]), "<u4"), put(doc[a:z], "<u4"), put(n[a:z], "<u4")
+                rows.append((int(shard[a]), task + number, int(b["train"].sum()), *cells, *(about if i == 0 else (None, None, None))))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in OCCURRENCES.split(", ")])
+
+    return docs.mapInPandas(run, OCCURRENCES)
+
 
-    return docs.mapInPandas(run, "shard int, w binary, per_w binary, context binary, n binary")
+SEATED = "shard int, words binary, keys binary, per_w binary, context binary, c binary, seen array<struct<block:long,at:binary,doc:binary,n:binary,ids:binary,no_id:binary,sizes:binary>>"
+
+
+def _seated(occurrences: DataFrame) -> DataFrame:
+    """One row for each shard: its distinct (word, context) with their training customers, and where blocks' documents have them."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        hashes, keys = [take_sorted(x) for x in g["w"]], [take_sorted(x) for x in g["keys"]]
+        words, contexts = np.unique(np.concatenate(hashes)), np.unique(np.concatenate(keys))
+        pair = []
+        for h, k, per, c in zip(hashes, keys, g["per_w"], g["context"], strict=True):
+            pair.append(np.repeat(np.searchsorted(words, h), take(per, "<u4")) << 32 | np.searchsorted(contexts, k)[take(c, "<u4")])
+        every = np.unique(np.concatenate(pair))
+        customers, seen = np.zeros(len(every), np.int64), []
+        for r, p in zip(g.itertuples(), pair, strict=True):
+            at, doc, n = np.searchsorted(every, p), take(r.doc, "<u4"), take(r.n, "<u4")
+            customers += np.bincount(at, np.where(doc < r.n_train, n, 0), len(every)).astype(np.int64)
+            seen.append({"block": r.block, "at": put_sorted(at), "doc": r.doc, "n": r.n, "ids": r.ids, "no_id": r.no_id, "sizes": r.sizes})
+        per_w = np.bincount(every >> 32, minlength=len(words))
+        return pd.DataFrame([(int(g["shard"].iloc[0]), put_sorted(words), put_sorted(contexts), put(per_w, "<u4"), put(every & 0xFFFFFFFF, "<u4"), put(customers, "<u8"), seen)], columns=[c.split()[0] for c in SEATED.split(", ")[:7]])
+
+    return occurrences.groupBy("shard").applyInPandas(run, SEATED)
 
 
 @dataclass
 class Seats:
-    """A shard's customers and tables. Pairs are (word, context) and (word, ending), both sorted."""
+    """A shard's customers: pairs (word, context) in order, grouped into pairs (word, ending) in order."""
 
     words: np.ndarray  # hashes
-    own: np.ndarray  # place among the frequent words, or -1
-    leaf_word: np.ndarray
-    leaf: np.ndarray  # frequent word before
-    leaf_c: np.ndarray
+    own: np.ndarray  # place among the heavy words, or -1
+    keys: np.ndarray  # of contexts
+    word: np.ndarray
+    context: np.ndarray
+    c: np.ndarray
     leaf_end: np.ndarray  # row in the ending pairs
     end_word: np.ndarray
     end: np.ndarray
-    end_direct: np.ndarray
     tokens: np.ndarray  # of each word
 
     @staticmethod
-    def of(words: np.ndarray, word: np.ndarray, context: np.ndarray, n: np.ndarray, frequent: Frequent) -> Seats:
-        key = word << 17 | frequent.ending_of(context)
-        ends = np.unique(key)
-        place = np.searchsorted(ends, key)
-        leaf = context >= ENDINGS
-        direct = np.bincount(place[~leaf], n[~leaf], len(ends)).astype(np.int64)
-        tokens = np.bincount(word, n, len(words)).astype(np.int64)
-        return Seats(words, frequent.index(words), word[leaf], context[leaf] - ENDINGS, n[leaf], place[leaf], ends >> 17, ends & 0x1FFFF, direct, tokens)
+    def read(row, heavy: Heavy) -> Seats:
+        words, keys, per_w = take_sorted(row["words"]), take_sorted(row["keys"]), take(row["per_w"], "<u4")
+        return Seats.of(words, keys, np.repeat(np.arange(len(words)), per_w), take(row["context"], "<u4").astype(np.int64), take(row["c"], "<u8").astype(np.int64), heavy)
+
+    @staticmethod
+    def of(words, keys, word, context, c, heavy: Heavy) -> Seats:
+        end = (keys >> np.uint64(32)).astype(np.int64)[context]
+        first = runs(word << 17 | end)
+        leaf_end = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(word))))
+        return Seats(words, heavy.index(words), keys, word, context, c, leaf_end, word[first], end[first], np.bincount(word, c, len(words)).astype(np.int64))
+
+    def first_tables(self) -> list[np.ndarray]:
+        """One table for each dish that has customers, in the leaves, the endings and the root."""
+        leaf = np.minimum(self.c, 1).astype(float)
+        end = np.minimum(np.bincount(self.leaf_end, leaf, len(self.end)), 1)
+        return [leaf, end, np.minimum(np.bincount(self.end_word, end, len(self.words)), 1)]
 
 
 @dataclass
 class Totals:
-    """What all shards share: for each level discounts, strengths, tables and customers; the frequent words' root seats."""
+    """What shards share of one sample: discounts and strengths by level, the endings' and the root's tables and customers, the heavy words' root seats and tokens."""
 
     known: int
+    tokens: int
     d: np.ndarray
     strength: np.ndarray
-    leaf_t: np.ndarray
-    leaf_c: np.ndarray
     end_t: np.ndarray
     end_c: np.ndarray
     root_t: float
     root_c: float
     word_c: np.ndarray
     word_t: np.ndarray
-
-    def p_root(self, c, t):
-        return (c - self.d[ROOT] * t + (self.strength[ROOT] + self.d[ROOT] * self.root_t) / (self.known + 1)) / (self.strength[ROOT] + self.root_c)
-
-    def p_end(self, c, t, end, parent):
-        return (c - self.d[ENDING] * t + (self.strength[ENDING] + self.d[ENDING] * self.end_t[end]) * parent) / (self.strength[ENDING] + self.end_c[end])
-
-    def p_leaf(self, c, t, leaf, parent):
-        return (c - self.d[LEAF] * t + (self.strength[LEAF] + self.d[LEAF] * self.leaf_t[leaf]) * parent) / (self.strength[LEAF] + self.leaf_c[leaf])
+    word_n: np.ndarray
+
+    def p(self, level: int, c, t, all_c, all_t, parent):
+        """The predictive probability of a dish with c customers at t tables, in a restaurant with all_c at all_t."""
+        d, strength = self.d[level], self.strength[level]
+        return (c - d * t + (strength + d * all_t) * parent) / (strength + all_c)
+
+
+def log_stirling(d: np.ndarray) -> np.ndarray:
+    """log of the generalized Stirling numbers S(c, t) of discounts d, up to EXACT: an array by discount, c and t."""
+    out = np.full((len(d), EXACT + 1, EXACT + 1), -np.inf)
+    out[:, 1, 1] = 0
+    t = np.arange(EXACT + 1)
+    for c in range(1, EXACT):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            stay = np.where(t <= c, np.log(np.maximum(c - d[:, None] * t, 1e-300)), -np.inf) + out[:, c]
+        out[:, c + 1] = np.logaddexp(stay, np.concatenate([np.full((len(d), 1), -np.inf), out[:, c, :-1]], 1))
+    return out
 
 
-def seat(c: np.ndarray, strength: np.ndarray, base: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of one dish's c customers, drawn given all other seats.
+def draw_tables(c: np.ndarray, free: np.ndarray, base: np.ndarray, d: float, stirling: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes with 2..EXACT customers, from their exact distribution given all other seats.
 
-    strength: theta + d * (the restaurant's tables of other dishes); base: the parent's probability
-    of the dish. Two seatings are drawn one customer after the other, and one of them is kept in
-    proportion to its weight (the product of the chances of the dish at every customer).
+    free: strength + d * (the restaurant's tables of other dishes); base: the parent's probability.
+    t tables have the weight S(c, t) * base**t * free * (free + d) * ... * (free + (t - 1) d).
+    """
+    out = np.ones(len(c))
+    for k in np.unique(c):
+        rows = np.flatnonzero(c == k)
+        for at in range(0, len(rows), max(1, 2_000_000 // int(k))):
+            some = rows[at : at + max(1, 2_000_000 // int(k))]
+            weight = np.cumsum(np.log(free[some, None] + d * np.arange(k)) + np.log(base[some, None]), axis=1) + stirling[k, 1 : k + 1]
+            chance = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), axis=1)
+            out[some] = 1 + (chance < rng.random((len(some), 1)) * chance[:, -1:]).sum(1)
+    return np.minimum(out, np.maximum(c, 1))
+
+
+def draw_many(c: np.ndarray, free: np.ndarray, base: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes with more than EXACT customers, where the sum over t would not be bounded.
+
+    Customers are seated one after the other, and from the BOTTOM-th on in groups of a sixteenth of
+    those seated; of two such seatings one is kept in proportion to its weight, the product of the
+    chances of the dish at every customer.
     """
     order = np.argsort(-c, kind="stable")
-    c, strength, base = c[order], strength[order], base[order]
+    c, free, base = c[order], free[order], base[order]
     best = np.zeros(0)
     for draw in range(2):
         t, weight = np.minimum(c, 1).astype(float), np.zeros(len(c))
         n = 1
-        while True:
-            m = int(np.searchsorted(-c, -n, "left"))  # those with more than n customers
-            if not m:
-                break
+        while m := int(np.searchsorted(-c, -n, "left")):  # those with more than n customers
             step = 1 if n < BOTTOM else n // 16
-            new = (strength[:m] + d * t[:m]) * base[:m]
+            new = (free[:m] + d * t[:m]) * base[:m]
             all_ = new + n - d * t[:m]
             k = np.minimum(step, c[:m] - n)
             weight[:m] += k * np.log(all_)
@@ -223,67 +293,45 @@ def seat(c: np.ndarray, strength: np.ndarray, base: np.ndarray, d: float, rng: n
         if draw == 0:
             best, best_weight = t, weight
         else:
-            other = rng.random(len(c)) < 1 / (1 + np.exp(np.clip(best_weight - weight, -50, 50)))
-            best = np.where(other, t, best)
+            best = np.where(rng.random(len(c)) < 1 / (1 + np.exp(np.clip(best_weight - weight, -50, 50))), t, best)
     out = np.empty(len(c))
     out[order] = best
     return out
 
 
-def sweep(s: Seats, tables: list[np.ndarray], g: Totals, rng: np.random.Generator) -> list[np.ndarray]:
-    """New tables of the leaf pairs, the ending pairs and the words, in that order, given the totals."""
-    leaf_t, end_t, word_t = tables
-    frequent = s.own >= 0
-
-    def root(end_tables):
-        c = np.bincount(s.end_word, end_tables, len(s.words))
-        c[frequent] = g.word_c[s.own[frequent]]
-        return c
-
-    def resample(c, old, totals, at, base, level):
-        many = c > 1
-        new = np.minimum(c, 1).astype(float)
-        free = np.maximum(g.strength[level] + g.d[level] * (totals[at[many]] - old[many]), 1e-9)
-        new[many] = seat(c[many].astype(np.int64), free, base[many], g.d[level], rng)
-        return new
-
-    shared = s.end_direct + np.bincount(s.leaf_end, leaf_t, len(s.end))
-    above = g.p_end(shared, end_t, s.end, g.p_root(root(end_t), word_t)[s.end_word])
-    leaf_t = resample(s.leaf_c, leaf_t, g.leaf_t, s.leaf, above[s.leaf_end], LEAF)
-    shared = s.end_direct + np.bincount(s.leaf_end, leaf_t, len(s.end))
-    end_t = resample(shared, end_t, g.end_t, s.end, g.p_root(root(end_t), word_t)[s.end_word], ENDING)
-    c = root(end_t)
-    word_t = resample(c, word_t, np.array([g.root_t]), np.zeros(len(c), np.int64), np.full(len(c), 1 / (g.known + 1)), ROOT)
-    word_t[frequent] = g.word_t[s.own[frequent]]
-    return [leaf_t, end_t, word_t]
-
-
-STATE = ("words", "own", "leaf_word", "leaf", "leaf_c", "leaf_end", "end_word", "end", "end_direct", "tokens")
-KINDS = ("<u8", "<i4", "<u4", "<u4", "<u4", "<u4", "<u4", "<u4", "<u4", "<i8")
-STATE_SCHEMA = "shard int, " + ", ".join(f"{c} binary" for c in STATE) + ", tables array<binary>, totals_at binary, totals binary"
-
+def seat(c: np.ndarray, free: np.ndarray, base: np.ndarray, d: float, stirling: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Tables of every dish given all other seats; none and one customer have as many tables."""
+    c = c.astype(np.int64)
+    out = np.minimum(c, 1).astype(float)
+    few, many = np.flatnonzero((c > 1) & (c <= EXACT)), np.flatnonzero(c > EXACT)
+    out[few] = draw_tables(c[few], free[few], base[few], d, stirling, rng)
+    out[many] = draw_many(c[many], free[many], base[many], d, rng)
+    return out
 
-def _read(row) -> tuple[Seats, list[list[np.ndarray]]]:
-    s = Seats(*[take(row[c], k) if k in ("<u8", "<i8") else take(row[c], k).astype(np.int64) for c, k in zip(STATE, KINDS, strict=True)])
-    flat = [take(x, "<u4").astype(float) for x in row["tables"]]
-    return s, [flat[i : i + 3] for i in range(0, len(flat), 3)]
 
+def sweep(s: Seats, tables: list[np.ndarray], all_t: np.ndarray, all_c: np.ndarray, g: Totals, stirling: np.ndarray, rng: np.random.Generator) -> tuple[list[np.ndarray], np.ndarray]:
+    """New tables of the leaf pairs, the ending pairs and the words, and the contexts' tables with this shard's changes.
 
-def _write(shard: int, s: Seats, samples: list[list[np.ndarray]], frequent: Frequent) -> dict:
-    return {"shard": shard, **{c: put(getattr(s, c), k) for c, k in zip(STATE, KINDS, strict=True)}, "tables": [put(np.rint(x), "<u4") for sample in samples for x in sample], **_totals(s, samples, len(frequent.hashes))}
+    all_t, all_c: tables and customers of the contexts, in order of s.keys.
+    """
+    leaf_t, end_t, word_t = tables
+    uniform = 1 / (g.known + 1)
 
+    def root_chances(end_tables):
+        c, t = np.bincount(s.end_word, end_tables, len(s.words)), word_t.copy()
+        c[s.own >= 0], t[s.own >= 0] = g.word_c[s.own[s.own >= 0]], g.word_t[s.own[s.own >= 0]]
+        return g.p(ROOT, c, t, g.root_c, g.root_t, uniform)
 
-def _totals(s: Seats, samples, n: int) -> dict[str, bytes]:
-    """Sums over this shard, as the places and values of one vector for each sample: leaf tables, leaf customers, ending tables, ending customers, the frequent words' root customers, root tables and customers, counts of ones and twos by level."""
-    rows = []
-    for leaf_t, end_t, word_t in samples:
-        shared = s.end_direct + np.bincount(s.leaf_end, leaf_t, len(s.end))
-        root = np.bincount(s.end_word, end_t, len(s.words))
-        plain, own = s.own < 0, s.own[s.own >= 0]
-        once = [float((c == k).sum()) for c in (root[plain], shared, s.leaf_c) for k in (1, 2)]
-        parts = (np.bincount(s.leaf, leaf_t, n), np.bincount(s.leaf, s.leaf_c, n), np.bincount(s.end, end_t, ENDINGS), np.bincount(s.end, shared, ENDINGS), np.bincount(own, root[s.own >= 0], n), [word_t[plain].sum(), root.sum(), *once])
-        rows.append(np.concatenate([np.asarray(p, float) for p in parts]))
-    return _packed(np.array(rows))
+    draw = lambda level, c, old, total, base: seat(c, np.maximum(g.strength[level] + g.d[level] * (total - old), 1e-9), np.maximum(base, 1e-300), g.d[level], stirling[level], rng)
+    shared = np.bincount(s.leaf_end, leaf_t, len(s.end))
+    above = g.p(ENDING, shared, end_t, g.end_c[s.end], g.end_t[s.end], root_chances(end_t)[s.end_word])
+    new = draw(LEAF, s.c, leaf_t, all_t[s.context], above[s.leaf_end])
+    all_t = all_t + np.bincount(s.context, new - leaf_t, len(s.keys))
+    shared = np.bincount(s.leaf_end, new, len(s.end))
+    end_t = draw(ENDING, shared, end_t, g.end_t[s.end], root_chances(end_t)[s.end_word])
+    c = np.bincount(s.end_word, end_t, len(s.words))
+    word_t = draw(ROOT, np.where(s.own < 0, c, 0), word_t, np.full(len(c), g.root_t), np.full(len(c), uniform))
+    return [new, end_t, word_t], all_t
 
 
 def _packed(rows: np.ndarray) -> dict[str, bytes]:
@@ -297,182 +345,210 @@ def _add(sums: np.ndarray, cells) -> np.ndarray:
     return sums
 
 
-def _summed(state: DataFrame, samples: int, size: int) -> np.ndarray:
-    """The shards' vectors, added in about as many groups as the root of their number, and those on the driver."""
-    groups = max(1, round(state.count() ** 0.5))
+def _summed(rows: DataFrame, samples: int, size: int, total: int) -> np.ndarray:
+    """Packed vectors, added in about as many groups as the root of their number, and those on the driver."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([_packed(_add(np.zeros((samples, size)), zip(g["totals_at"], g["totals"], strict=True)))])
 
-    parts = state.select("totals_at", "totals", (F.col("shard") % groups).alias("g")).groupBy("g").applyInPandas(run, "totals_at binary, totals binary")
+    parts = rows.select("totals_at", "totals", (F.col("shard") % max(1, round(total**0.5))).alias("g")).groupBy("g").applyInPandas(run, "totals_at binary, totals binary")
     return _add(np.zeros((samples, size)), parts.collect())
 
 
-def _digamma(x: np.ndarray) -> np.ndarray:
-    out = np.zeros_like(x)
-    while (small := x < 6).any():
-        out[small] -= 1 / x[small]
-        x = np.where(small, x + 1, x)
-    return out + np.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4)
+TABLE = (EXACT + 1) ** 2
+PARTS = lambda heavy: (ENDINGS,) * 4 + (heavy,) * 2 + (TABLE,) * 3 + (6,)
+
+
+def _totals(s: Seats, samples, n: int) -> dict[str, bytes]:
+    """Sums over a shard for each sample: the endings' tables and customers, both also of dishes with more than EXACT customers; the heavy words' root customers and tokens; how many dishes have c customers at t tables, by level; and root tables and customers, the informative ones of these, tokens and known words."""
+    rows = []
+    for leaf_t, end_t, word_t in samples:
+        shared, root = np.bincount(s.leaf_end, leaf_t, len(s.end)), np.bincount(s.end_word, end_t, len(s.words))
+        plain, own = s.own < 0, s.own[s.own >= 0]
+        count = lambda c, t: np.bincount((c * (EXACT + 1) + t)[(c > 1) & (c <= EXACT)].astype(np.int64), minlength=TABLE)
+        few = plain & (root <= EXACT)
+        ends = [np.bincount(s.end, v, ENDINGS) for v in (end_t, shared, np.where(shared > EXACT, end_t, 0), np.where(shared > EXACT, shared, 0))]
+        heavy = [np.bincount(own, v[s.own >= 0], n) for v in (root, s.tokens)]
+        levels = [count(np.where(plain, root, 0), word_t), count(shared, end_t), count(s.c, leaf_t)]
+        rows.append(np.concatenate([*ends, *heavy, *levels, [word_t[plain].sum(), root.sum(), word_t[few].sum(), root[few].sum(), s.tokens.sum(), (plain & (s.tokens > 0)).sum()]]))
+    return _packed(np.array(rows, float))
+
+
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    shift = sum(np.log(x + k) for k in range(8))
+    y = x + 8
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) - shift
+
+
+def seating_weights(t: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Over DISCOUNTS and STRENGTHS, the sum over restaurants of the log weight of having c customers at t tables, dishes aside."""
+    (t, n_t), (c, n_c) = (np.unique(x[x > 0], return_counts=True) for x in (t, c))
+    out = np.zeros((len(DISCOUNTS), len(STRENGTHS)))
+    for i, d in enumerate(DISCOUNTS):
+        for j, s in enumerate(STRENGTHS):
+            out[i, j] = (n_t * ((t - 1) * np.log(d) + _lgamma(s / d + t) - _lgamma(np.array(s / d + 1)))).sum() - (n_c * (_lgamma(s + c) - _lgamma(np.array(s + 1)))).sum()
+    return out
+
+
+ROUND = "shard int, owner int, cells array<binary>, totals_at binary, totals binary"
+_COLUMNS = ["shard", "owner", "cells", "totals_at", "totals"]
+
 
+def _sent(shard: int, s: Seats, samples, heavy: Heavy, total: int) -> pd.DataFrame:
+    """A shard's tables and totals, and for the owner of every context in it: keys, customers and tables; those of big dishes as places and values."""
+    n = len(heavy.hashes)
+    flat = [put(x, "<u8") for sample in samples for x in sample]
+    rows = [(shard, None, flat, *_totals(s, samples, n).values())]
+    size = len(s.keys)
+    tables = [np.bincount(s.context, leaf_t, size) for leaf_t, _, _ in samples]
+    customers, big = np.bincount(s.context, s.c, size), s.c > EXACT
+    big_t, big_c = np.bincount(s.context[big], samples[-1][0][big], size), np.bincount(s.context[big], s.c[big], size)
+    owner = (s.keys & np.uint64(0xFFFFFFFF)) * np.uint64(total) >> np.uint64(32)
+    order = np.argsort(owner, kind="stable")
+    cuts = np.append(runs(owner[order]), size)
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        at = order[a:z]
+        some = np.flatnonzero(big_c[at])
+        rows.append((shard, int(owner[at[0]]), [put_sorted(s.keys[at]), put(customers[at], "<u8"), put_sorted(some), put(big_t[at][some], "<u8"), put(big_c[at][some], "<u8"), *[put(t[at], "<u8") for t in tables]], None, None))
+    return pd.DataFrame(rows, columns=_COLUMNS)
 
-def _strength(theta: float, d: float, c: np.ndarray, t: np.ndarray, rng: np.random.Generator) -> float:
-    """A Gibbs draw of a level's strength by auxiliary variables, given its restaurants' customers and tables."""
-    c, t = c[t > 0], t[t > 0]
-    if not len(c) or not (c > 1).any():
-        return theta
-    ratio = theta / d
-    opened = (ratio * (_digamma(ratio + t) - _digamma(np.full(len(t), ratio + 1.0)))).sum()
-    return float(rng.gamma(1 + opened, 1 / (1 - np.log(np.maximum(rng.beta(theta + 1, np.maximum(c[c > 1] - 1, 1e-3)), 1e-300)).sum())))
 
+def _exchanged(sent: DataFrame, samples: int) -> DataFrame:
+    """What each shard gets back of each owner: sums of its contexts, in the order sent; and, with shard -1, an owner's seating weights."""
 
-def _share(state: DataFrame, frequent: Frequent, known: int, before: Totals | None, samples: int, rng: np.random.Generator) -> list[Totals]:
-    """The totals of every sample, summed over the shards."""
-    n = len(frequent.hashes)
-    size = 3 * n + 2 * ENDINGS + 8
-    sums = _summed(state, samples, size)
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        keys = [take_sorted(c[0]) for c in g["cells"]]
+        every = np.unique(np.concatenate(keys))
+        at = [np.searchsorted(every, k) for k in keys]
+        sums = np.zeros((1 + samples, len(every)), np.int64)
+        few = np.zeros((2, len(every)), np.int64)
+        for c, i in zip(g["cells"], at, strict=True):
+            sums[0, i] += take(c[1], "<u8").astype(np.int64)
+            for k in range(samples):
+                sums[1 + k, i] += take(c[5 + k], "<u8").astype(np.int64)
+            if len(c[2]) > 1:
+                some = i[take_sorted(c[2]).astype(np.int64)]
+                few[0, some] -= take(c[3], "<u8").astype(np.int64)
+                few[1, some] -= take(c[4], "<u8").astype(np.int64)
+        few[0] += sums[-1]
+        few[1] += sums[0]
+        owner = int(g["owner"].iloc[0])
+        rows = [(int(shard), owner, [put(x[i], "<u8") for x in sums], None, None) for shard, i in zip(g["shard"], at, strict=True)]
+        rows.append((-1, owner, None, *_packed(seating_weights(few[0], few[1]).reshape(1, -1)).values()))
+        return pd.DataFrame(rows, columns=_COLUMNS)
+
+    return sent.where("owner IS NOT NULL").groupBy("owner").applyInPandas(run, ROUND)
+
+
+def _received(s: Seats, rows: pd.DataFrame, samples: int, total: int) -> tuple[list[list[np.ndarray]], list[np.ndarray], np.ndarray]:
+    """A shard's own samples of tables, and the tables (by sample) and customers of its contexts."""
+    flat = [take(x, "<u8").astype(float) for x in rows.loc[rows["owner"].isna(), "cells"].iloc[0]]
+    owner = (s.keys & np.uint64(0xFFFFFFFF)) * np.uint64(total) >> np.uint64(32)
+    order = np.argsort(owner, kind="stable")
+    starts = np.searchsorted(owner[order], np.arange(total + 1).astype(np.uint64))
+    sums = np.zeros((1 + samples, len(s.keys)))
+    for r in rows[rows["owner"].notna()].itertuples():
+        at = order[starts[int(r.owner)] : starts[int(r.owner) + 1]]
+        for k in range(1 + samples):
+            sums[k, at] = take(r.cells[k], "<u8")
+    return [flat[i : i + 3] for i in range(0, len(flat), 3)], list(sums[1:]), sums[0]
+
+
+def _draw(weights: np.ndarray, rng: np.random.Generator) -> tuple[float, float]:
+    """A discount and a strength in proportion to their weights."""
+    chance = np.exp(weights - weights.max()).reshape(-1)
+    at = int(rng.choice(len(chance), p=chance / chance.sum()))
+    return DISCOUNTS[at // len(STRENGTHS)], STRENGTHS[at % len(STRENGTHS)]
+
+
+def _share(sent: DataFrame, back: DataFrame, heavy: Heavy, before: Totals | None, samples: int, total: int, stirling: np.ndarray, rng: np.random.Generator) -> list[Totals]:
+    """The totals of every sample, with discounts and strengths drawn given the last one's seats."""
+    n = len(heavy.hashes)
+    sizes = PARTS(n)
+    sums = _summed(sent.where("owner IS NULL"), samples, sum(sizes), total)
+    leaves = _summed(back.where("shard = -1").withColumn("shard", F.col("owner")), 1, len(DISCOUNTS) * len(STRENGTHS), total)[0].reshape(len(DISCOUNTS), -1)
     out = []
     for row in sums:
-        leaf_t, leaf_c, end_t, end_c, word_c, rest = np.split(row, np.cumsum([n, n, ENDINGS, ENDINGS, n]))
-        root_t, root_c, *once = rest
-        if before is None:
-            d = np.array([np.clip(a / (a + 2 * b) if a else 0.5, 0.05, 0.95) for a, b in zip(once[::2], once[1::2], strict=True)])
-            strength, word_t = np.array([1.0, 10.0, 100.0]), np.minimum(word_c, 1.0)
-        else:
-            d, strength, word_t = before.d, before.strength, before.word_t
-        g = Totals(known, d, strength, leaf_t, leaf_c, end_t, end_c, root_t + word_t.sum(), root_c, word_c, word_t)
-        many = word_c > 1
-        word_t = np.minimum(word_c, 1.0)
-        if many.any():
-            word_t[many] = seat(word_c[many].astype(np.int64), strength[ROOT] + d[ROOT] * (g.root_t - word_t[many]), np.full(many.sum(), 1 / (known + 1)), d[ROOT], rng)
-        g.root_t += word_t.sum() - g.word_t.sum()
-        g.word_t = word_t
-        g.strength = np.array([_strength(strength[ROOT], d[ROOT], np.array([root_c]), np.array([g.root_t]), rng), _strength(strength[ENDING], d[ENDING], end_c, end_t, rng), _strength(strength[LEAF], d[LEAF], leaf_c, leaf_t, rng)])
-        out.append(g)
+        end_t, end_c, big_t, big_c, word_c, word_n, roots, ends, leaf, rest = np.split(row, np.cumsum(sizes)[:-1])
+        root_t, root_c, few_t, few_c, tokens, known = rest
+        weights = [seating_weights(np.array([few_t]), np.array([few_c])), seating_weights(end_t - big_t, end_c - big_c), leaves]
+        drawn = [_draw(w + (np.where(h > 0, stirling.reshape(len(DISCOUNTS), -1), 0) @ h)[:, None], rng) for w, h in zip(weights, (roots, ends, leaf), strict=True)]
+        d, strength = (np.array(x) for x in zip(*drawn, strict=True))
+        word_t = np.minimum(word_c, 1.0) if before is None else np.minimum(before.word_t, word_c)
+        known = int(known + (word_n > 0).sum())
+        all_t = root_t + word_t.sum()
+        level = stirling[int(np.argmin(abs(DISCOUNTS - d[ROOT])))]
+        drawn_t = seat(word_c, strength[ROOT] + d[ROOT] * (all_t - word_t), np.full(n, 1 / (known + 1)), d[ROOT], level, rng)
+        out.append(Totals(known, int(tokens), d, strength, end_t, end_c, all_t + drawn_t.sum() - word_t.sum(), root_c, word_c, drawn_t, word_n))
     return out
 
 
-def _first_seats(pairs: DataFrame, frequent: Frequent) -> DataFrame:
-    """Merged counts of every shard, with each dish at one table."""
+def _levels(g: Totals) -> np.ndarray:
+    return log_stirling(np.array(g.d))
 
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        hashes = [take(x, "<u8") for x in b["w"]]
-        words = np.unique(np.concatenate(hashes))
-        word = np.concatenate([np.repeat(np.searchsorted(words, h), take(n, "<u4")) for h, n in zip(hashes, b["per_w"], strict=True)])
-        context = np.concatenate([take(x, "<u4") for x in b["context"]]).astype(np.int64)
-        n = np.concatenate([take(x, "<u4") for x in b["n"]]).astype(np.int64)
-        key = word << 17 | context
-        order = np.argsort(key, kind="stable")
-        at = runs(key[order])
-        key, n = key[order][at], np.add.reduceat(n[order], at)
-        s = Seats.of(words, key >> 17, key & 0x1FFFF, n, frequent)
-        return pd.DataFrame([_write(int(b["shard"].iloc[0]), s, [[np.ones(len(s.leaf)), np.ones(len(s.end)), np.ones(len(s.words))]], frequent)])
-
-    return pairs.groupBy("shard").applyInPandas(run, STATE_SCHEMA)
 
+def _first(seated: DataFrame, heavy: Heavy, total: int) -> DataFrame:
+    """What shards send with each dish at one table."""
 
-def _round(state: DataFrame, frequent: Frequent, g: Totals, burn: int, keep: int, seed: int) -> DataFrame:
-    """Every shard after `burn` sweeps and then `keep` more, whose tables are all kept."""
-
-    def run(batches):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.to_dict("records"):
-                rng = np.random.default_rng([seed, row["shard"]])
-                s, samples = _read(row)
-                tables, kept = samples[-1], []
-                for i in range(burn + keep):
-                    tables = sweep(s, tables, g, rng)
-                    if i >= burn:
-                        kept.append(tables)
-                yield pd.DataFrame([_write(row["shard"], s, kept, frequent)])
+                s = Seats.read(row, heavy)
+                yield _sent(int(row["shard"]), s, [s.first_tables()], heavy, total)
 
-    return state.mapInPandas(run, STATE_SCHEMA)
+    return seated.mapInPandas(run, ROUND)
 
 
-def _occurrences(docs: DataFrame, frequent: Frequent, total: int) -> DataFrame:
-    """All (word, context, document) counts, as one row per block and shard; one row of each block also describes its documents."""
+def _round(seated: DataFrame, rows: DataFrame, heavy: Heavy, g: Totals, burn: int, keep: int, total: int, seed: int) -> DataFrame:
+    """What shards send after `burn` sweeps, or after `keep` more, whose tables are all kept."""
 
-    def run(batches):
-        task = TaskContext.get().partitionId() << 24
-        for number, b in enumerate(_sized(batches)):
-            k = Block.of(b["text"], frequent)
-            shard = k.shard(frequent, total)
-            order = np.argsort(shard, kind="stable")
-            word, context, doc, n, shard = k.word[order], k.context[order], k.doc[order], k.n[order], shard[order]
-            cuts = np.append(runs(shard), len(shard))
-            about = (put(b["doc_id"].fillna(0).astype("int64"), "<i8"), put(b["doc_id"].isna(), "u1"), put(k.sizes, "<u4"))
-            rows = []
-            for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                w = runs(word[a:z])
-                cells = put(k.hashes[word[a:z][w]], "<u8"), put(np.diff(np.append(w, z - a)), "<u4"), put(context[a:z], "<u4"), put(doc[a:z], "<u4"), put(n[a:z], "<u4")
-                rows.append((int(shard[a]), task + number, *cells, *(about if i == 0 else (None, None, None))))
-            yield pd.DataFrame(rows, columns=["shard", "block", "w", "per_w", "context", "doc", "n", "ids", "no_id", "sizes"])
-
-    return docs.mapInPandas(run, "shard int, block long, w binary, per_w binary, context binary, doc binary, n binary, ids binary, no_id binary, sizes binary")
-
-
-def _probability(s: Seats, samples, totals: list[Totals], word, context, frequent: Frequent) -> np.ndarray:
-    """The predictive probability of words (row in s, or -1) after contexts, averaged over the samples."""
-    end = frequent.ending_of(context)
-    seen = word >= 0
-    row = np.maximum(word, 0)
-
-    def find(keys, wanted):
-        if not len(keys):
-            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return at, (keys[at] == wanted) & seen
-
-    at_end, has_end = find(s.end_word << 17 | s.end, row << 17 | end)
-    leaf = context >= ENDINGS
-    at_leaf, has_leaf = find(s.leaf_word << 17 | s.leaf, row << 17 | np.maximum(context - ENDINGS, 0))
-    has_leaf &= leaf
-    out = np.zeros(len(word))
-    pick = lambda values, at, has: np.where(has, values[at], 0.0) if len(values) else np.zeros(len(at))
-    for (leaf_t, end_t, word_t), g in zip(samples, totals, strict=True):
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        shard = int(left["shard"].iloc[0])
+        rng, stirling = np.random.default_rng([seed, shard]), _levels(g)
+        s = Seats.read(left.iloc[0], heavy)
+        samples, all_t, all_c = _received(s, right, 1, total)
+        tables, all_t, kept = samples[-1], all_t[-1], []
+        for i in range(burn + keep):
+            tables, all_t = sweep(s, tables, all_t, all_c, g, stirling, rng)
+            kept += [tables] * (i >= burn)
+        return _sent(shard, s, kept or [tables], heavy, total)
+
+    return seated.groupBy("shard").cogroup(rows.groupBy("shard")).applyInPandas(run, ROUND)
+
+
+def probabilities(s: Seats, samples, tables: list[np.ndarray], customers: np.ndarray, totals: list[Totals]) -> np.ndarray:
+    """The predictive probability of every pair's word after its context, averaged over the samples."""
+    out = np.zeros(len(s.c))
+    for (leaf_t, end_t, word_t), all_t, g in zip(samples, tables, totals, strict=True):
         root_c, root_t = np.bincount(s.end_word, end_t, len(s.words)), word_t.copy()
         own = s.own >= 0
         root_c[own], root_t[own] = g.word_c[s.own[own]], g.word_t[s.own[own]]
-        p = g.p_root(pick(root_c, row, seen), pick(root_t, row, seen))
-        shared = s.end_direct + np.bincount(s.leaf_end, leaf_t, len(s.end))
-        p = g.p_end(pick(shared, at_end, has_end), pick(end_t, at_end, has_end), end, p)
-        if leaf.any():
-            q = g.p_leaf(pick(s.leaf_c, at_leaf, has_leaf)[leaf], pick(leaf_t, at_leaf, has_leaf)[leaf], context[leaf] - ENDINGS, p[leaf])
-            p[leaf] = q
-        out += p
+        p = g.p(ROOT, root_c, root_t, g.root_c, g.root_t, 1 / (g.known + 1))[s.end_word]
+        p = g.p(ENDING, np.bincount(s.leaf_end, leaf_t, len(s.end)), end_t, g.end_c[s.end], g.end_t[s.end], p)[s.leaf_end]
+        out += g.p(LEAF, s.c, leaf_t, customers[s.context], all_t[s.context], p)
     return out / len(samples)
 
 
-def _partial_scores(occurrences: DataFrame, state: DataFrame, frequent: Frequent, totals: list[Totals]) -> DataFrame:
+def _partial_scores(seated: DataFrame, rows: DataFrame, heavy: Heavy, totals: list[Totals], total: int) -> DataFrame:
     """For each block and shard, the documents' sums over the words of that shard."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if len(right):
-            s, samples = _read(right.iloc[0])
-        else:
-            none = np.zeros(0, np.int64)
-            s, samples = Seats(none.astype(np.uint64), *[none] * 9), [[np.zeros(0)] * 3] * len(totals)
+        s = Seats.read(left.iloc[0], heavy)
+        score = np.log10(probabilities(s, *_received(s, right, len(totals), total), totals))
         tokens = s.tokens.astype(float)
-        tokens[s.own >= 0] = frequent.counts[s.own[s.own >= 0]]
-        rows = []
-        for r in left.itertuples():
-            hashes, per = take(r.w, "<u8"), take(r.per_w, "<u4")
-            own = frequent.index(hashes)
-            at = np.minimum(np.searchsorted(s.words, hashes), max(0, len(s.words) - 1))
-            place = np.where(s.words[at] == hashes, at, -1) if len(s.words) else np.full(len(hashes), -1)
-            count = np.where(place >= 0, tokens[at], 0.0) if len(s.words) else np.zeros(len(hashes))
-            count[own >= 0] = frequent.counts[own[own >= 0]]
-            word, count = np.repeat(place, per), np.repeat(count, per)
-            context, doc, n = (take(x, "<u4").astype(np.int64) for x in (r.context, r.doc, r.n))
-            p = _probability(s, samples, totals, word, context, frequent)
+        tokens[s.own >= 0] = totals[-1].word_n[s.own[s.own >= 0]]
+        base, known = np.log10(tokens + 0.1)[s.word], (tokens > 0)[s.word]
+        out = []
+        for r in left["seen"].iloc[0]:
+            at, doc, n = take_sorted(r["at"]).astype(np.int64), take(r["doc"], "<u4").astype(np.int64), take(r["n"], "<u4").astype(np.int64)
             docs = np.unique(doc)
             to = np.searchsorted(docs, doc)
-            add = lambda v: np.bincount(to, v * n, len(docs))  # noqa: B023, E731
-            rows.append((r.block, put(docs, "<u4"), add(np.log10(p)).tobytes(), add(np.log10(count + 0.1)).tobytes(), put(add(count > 0), "<u4"), r.ids, r.no_id, r.sizes))
-        return pd.DataFrame(rows, columns=["block", "doc", "score", "base", "known", "ids", "no_id", "sizes"])
+            add = lambda v: np.bincount(to, v[at] * n, len(docs))  # noqa: B023, E731
+            out.append((r["block"], put_sorted(docs), put(add(score), "<f8"), put(add(base), "<f8"), put(add(known), "<u4"), r["ids"], r["no_id"], r["sizes"]))
+        return pd.DataFrame(out, columns=["block", "doc", "score", "base", "known", "ids", "no_id", "sizes"])
 
     schema = "block long, doc binary, score binary, base binary, known binary, ids binary, no_id binary, sizes binary"
-    return occurrences.groupBy("shard").cogroup(state.groupBy("shard")).applyInPandas(run, schema)
+    return seated.groupBy("shard").cogroup(rows.groupBy("shard")).applyInPandas(run, schema)
 
 
 def _gathered(parts: DataFrame, tokens: int, known: int) -> DataFrame:
@@ -484,9 +560,9 @@ def _gathered(parts: DataFrame, tokens: int, known: int) -> DataFrame:
         ids, sizes = take(about["ids"], "<i8"), take(about["sizes"], "<u4").astype(np.int64)
         score, base, seen = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), np.int64)
         for r in b.itertuples():
-            doc = take(r.doc, "<u4")
-            score[doc] += np.frombuffer(r.score)
-            base[doc] += np.frombuffer(r.base)
+            doc = take_sorted(r.doc).astype(np.int64)
+            score[doc] += take(r.score, "<f8")
+            base[doc] += take(r.base, "<f8")
             seen[doc] += take(r.known, "<u4")
         doc_id = pd.array(ids, "Int64")
         doc_id[take(about["no_id"], "u1").astype(bool)] = pd.NA
@@ -495,34 +571,40 @@ def _gathered(parts: DataFrame, tokens: int, known: int) -> DataFrame:
     return parts.groupBy("block").applyInPandas(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score_texts(docs: DataFrame, contexts: int = CONTEXTS, rounds: int = 2, burn: int = 2, keep: int = 3, seed: int = 7) -> DataFrame:
+def score_texts(docs: DataFrame, rounds: int = 2, burn: int = 2, keep: int = 3, seed: int = 7, shard_bytes: int = SHARD) -> DataFrame:
     """Every document's log10 probability: n_tokens, n_known, train_tokens, base_score, score and perplexity.
 
     Documents (doc_id, text) whose crc32(doc_id) mod 10 is not 0 train the model. Each of `rounds`
-    rounds makes `burn` sweeps of every shard against shared totals; the last keeps `keep` further
-    sweeps, whose predictive probabilities are averaged. A null or empty text is one end token; a
-    null doc_id counts as an empty id. Repeated rows are scored one by one, an empty table gives no
-    rows, and without training rows all tokens are unknown.
+    rounds makes `burn` sweeps of every shard between two exchanges; the last keeps `keep` further
+    sweeps, whose predictive probabilities are averaged. Discounts and strengths are drawn at every
+    exchange, on a grid, from what dishes of at most EXACT customers say. A null or empty text is one
+    end token, a very long one is taken whole; a null doc_id counts as an empty id. Repeated rows are
+    scored one by one, other columns are not read, an empty table gives no rows, and without training
+    rows all tokens are unknown.
     """
-    rng = np.random.default_rng(seed)
+    spark, rng = docs.sparkSession, np.random.default_rng(seed)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (hold_out(F.col("doc_id"), 10) != 0).alias("train"))
-    total = shards(docs)
-    counts = stored(_word_counts(docs), "word-counts")
-    known, tokens = (int(x or 0) for x in counts.agg(F.count("c"), F.sum("c")).first())
-    top = counts.orderBy(F.desc("c"), "h").limit(contexts).toPandas()
-    hashes = top["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    c = top["c"].to_numpy(np.int64)[order]
-    frequent = Frequent(hashes[order], c, top["e"].to_numpy(np.int64)[order], np.maximum(1, -(-8 * total * c // max(tokens, 1))).astype(np.uint64))
-    state = stored(_first_seats(_counted_pairs(docs, frequent, total), frequent), "seats")
-    (g,) = _share(state, frequent, known, None, 1, rng)
-    totals = [g] * keep
-    for r in range(rounds):
-        last = r == rounds - 1
-        state = stored(_round(state, frequent, g, burn, keep if last else 1, seed + r), "seats")
-        totals = _share(state, frequent, known, g, keep if last else 1, rng)
+    total = shards(docs, size=shard_bytes)
+    heavy, grid = _heavy_words(docs, total), log_stirling(DISCOUNTS)
+    # The shards' seats are a bucketed table: every round reads them where they are, and only what changes is shuffled.
+    name = f"siftwave_seats_{uuid.uuid4().hex}"
+    _seated(_occurrences(docs, heavy, total)).write.bucketBy(min(total, int(spark.conf.get("spark.sql.shuffle.partitions"))), "shard").saveAsTable(name)
+    seated, samples, g, previous = spark.table(name), 1, None, ()
+    pairs = seated.drop("seen")
+    for r in range(rounds + 1):
+        last = r == rounds
+        made = _first(pairs, heavy, total) if r == 0 else _round(pairs, rows, heavy, g, burn, keep if last else 0, total, seed + r)
+        samples = keep if last and r else 1
+        sent = stored(made, "sent")
+        back = stored(_exchanged(sent, samples), "back")
+        totals = _share(sent, back, heavy, g, samples, total, grid, rng)
         g = totals[-1]
-    scores = _gathered(_partial_scores(_occurrences(docs, frequent, total), state.drop("totals_at", "totals"), frequent, totals), tokens, known)
+        rows = sent.where("owner IS NULL").unionByName(back.where("shard >= 0")).drop("totals_at", "totals")
+        discard(*previous)
+        previous = (sent, back)
+    scores = stored(_gathered(_partial_scores(seated, rows, heavy, totals, total), g.tokens, g.known), "scores")
+    spark.sql(f"DROP TABLE {name}")
+    discard(*previous)
     return scores.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 

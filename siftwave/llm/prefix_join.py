@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwave.llm.blocks import mix, put, runs, split_words, take, text_blocks, word_ids
+from siftwave.llm.blocks import mix, put, put_sorted, runs, split_words, take, take_sorted, text_blocks, word_ids
 from siftwave.llm.storage import discard, shards, stored
 
 OFFERS = 4  # hubs that a group is compared with in each round before all remaining pairs are
@@ -61,19 +61,6 @@ def shingle_hashes(texts, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return h[new], text[new], np.bincount(text[new], minlength=len(sizes))
 
 
-def _put_sorted(a: np.ndarray) -> bytes:
-    """Ascending numbers as their differences."""
-    first, gaps = a[:1].tobytes(), np.diff(a)
-    narrow = not len(gaps) or gaps.max() < 2**32
-    return (b"4" if narrow else b"8") + first + (put(gaps, "<u4" if narrow else "<u8") if len(gaps) else b"")
-
-
-def _take_sorted(cell: bytes) -> np.ndarray:
-    first = np.frombuffer(cell[1:9], "<u8")
-    gaps = take(cell[9:], f"<u{cell[:1].decode()}").astype(np.uint64) if len(cell) > 9 else first[:0]
-    return np.cumsum(np.concatenate([first, gaps]), dtype=np.uint64)
-
-
 LISTS = "shard int, block long, token binary, count binary, doc binary, ids binary, no_id binary, sizes binary, often binary, often_count binary, often_doc binary"
 
 
@@ -97,7 +84,7 @@ def _lists(docs: DataFrame, width: int, total: int) -> DataFrame:
             about = (put(b["doc_id"].fillna(0).astype("int64"), "<i8"), put(b["doc_id"].isna(), "u1"), put(sizes, "<u4"), put(token[at][often], "<u8"), put(count[often], "<u4"), put(doc[~listed], "<u4"))
             rows = [(home, block, None, None, None, *about)]
             for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                rows.append((int(shard[a]), block, _put_sorted(token[at][a:z]), put(count[a:z], "<u4"), put(light[before[a] : before[z]], "<u4"), *[None] * 6))
+                rows.append((int(shard[a]), block, put_sorted(token[at][a:z]), put(count[a:z], "<u4"), put(light[before[a] : before[z]], "<u4"), *[None] * 6))
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in LISTS.split(", ")])
 
     return docs.mapInPandas(run, LISTS)
@@ -111,7 +98,7 @@ def _shared(lists: DataFrame) -> DataFrame:
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         cells = g[g["token"].notna()]
-        tokens, counts = [_take_sorted(x) for x in cells["token"]], [take(x, "<u4").astype(np.int64) for x in cells["count"]]
+        tokens, counts = [take_sorted(x) for x in cells["token"]], [take(x, "<u4").astype(np.int64) for x in cells["count"]]
         rows = [(r.block, *[None] * 5, r.ids, r.no_id, r.sizes, r.often, r.often_count, r.often_doc) for r in g[g["ids"].notna()].itertuples()]
         if tokens:
             known, place = np.unique(np.concatenate(tokens), return_inverse=True)
@@ -123,7 +110,7 @@ def _shared(lists: DataFrame) -> DataFrame:
                 many = mine > 1
                 keep = np.repeat(many, held)
                 lonely = np.bincount(doc[~keep]) if (~keep).any() else np.zeros(0)
-                rows.append((r.block, _put_sorted(token[many]), put(count[many], "<u4"), put(mine[many], "<u4"), put(doc[keep], "<u4"), put(lonely, "<u4"), *[None] * 6))
+                rows.append((r.block, put_sorted(token[many]), put(count[many], "<u4"), put(mine[many], "<u4"), put(doc[keep], "<u4"), put(lonely, "<u4"), *[None] * 6))
         return pd.DataFrame(rows, columns=[f.split()[0] for f in SHARED.split(", ")])
 
     return lists.groupBy("shard").applyInPandas(run, SHARED)
@@ -151,7 +138,7 @@ def _documents(shared: DataFrame, percent: int) -> DataFrame:
         often, often_count, often_doc = take(about["often"], "<u8"), take(about["often_count"], "<u4"), take(about["often_doc"], "<u4")
         starts = np.append(0, np.cumsum(often_count)).astype(np.int64)
         for r in g[g["token"].notna()].itertuples():
-            token, count, df, doc = _take_sorted(r.token), take(r.count, "<u4").astype(np.int64), take(r.df, "<u4").astype(np.int64), take(r.doc, "<u4")
+            token, count, df, doc = take_sorted(r.token), take(r.count, "<u4").astype(np.int64), take(r.df, "<u4").astype(np.int64), take(r.doc, "<u4")
             some = take(r.lonely, "<u4")
             lonely[: len(some)] += some
             own = count >= OFTEN
@@ -178,7 +165,7 @@ def _documents(shared: DataFrame, percent: int) -> DataFrame:
         for i in np.flatnonzero(alive):
             mine = token[cuts[i] : cuts[i + 1]]
             prefix[i] = mine[: span[i] - lonely[i]].astype(np.int64)
-            cells[i] = _put_sorted(np.sort(mine))
+            cells[i] = put_sorted(np.sort(mine))
             classes[i] = f"{n[i]} {mix(mine).sum(dtype=np.uint64)} {np.bitwise_xor.reduce(mix(mine + np.uint64(1)))}" if not lonely[i] else f"{rid[i]}"
         doc_id = pd.array(ids, "Int64")
         doc_id[take(about["no_id"], "u1").astype(bool)] = pd.NA
@@ -194,7 +181,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in batches:
-            common = np.fromiter((len(np.intersect1d(_take_sorted(x), _take_sorted(y), assume_unique=True)) for x, y in zip(g["t_a"], g["t_b"], strict=True)), np.int64, len(g))
+            common = np.fromiter((len(np.intersect1d(take_sorted(x), take_sorted(y), assume_unique=True)) for x, y in zip(g["t_a"], g["t_b"], strict=True)), np.int64, len(g))
             yield g.loc[100 * common >= percent * (g["n_a"] + g["n_b"] - common), ["a", "b"]]
 
     return both.select("a", "b", "n_a", "n_b", "t_a", "t_b").mapInPandas(run, "a long, b long")
