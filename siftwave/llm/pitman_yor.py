@@ -36,7 +36,7 @@ SHARD = 12_000_000  # bytes of text for each shard
 EXACT = 128  # customers of a dish up to which its tables are drawn from their exact distribution
 BOTTOM = 64  # of a dish with more: customers that are seated one by one; later ones in groups of a sixteenth of those seated
 DISCOUNTS = np.linspace(0.05, 0.95, 37)
-STRENGTHS = 10.0 ** np.linspace(-1, 3, 13)
+STRENGTHS = 10.0 ** np.linspace(-2, 4, 19)
 
 
 def ending(word: bytes) -> int:
