@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 
@@ -14,11 +15,6 @@ BLOCK = 6_000_000  # bytes of text in a block, unless one text is longer
 ROWS = 2**20 - 1  # texts in a block, so that a place in it fits 20 bits
 
 
-def split_words(text: str | None) -> list[bytes]:
-    """Maximal runs without ASCII white space, A-Z lower-cased."""
-    return (text or "").encode().lower().split()
-
-
 def text_blocks(batches: Iterator[pd.DataFrame], text: str, size: int = BLOCK) -> Iterator[pd.DataFrame]:
     """The same rows in frames of about `size` bytes of text and at most ROWS rows, across batch borders."""
     held, held_size, held_rows = [], 0, 0
@@ -41,13 +37,40 @@ def text_blocks(batches: Iterator[pd.DataFrame], text: str, size: int = BLOCK) -
 
 def word_ids(words: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Local ids of words, the distinct words, and their 64-bit hashes; ids run in order of hash."""
-    coded = pa.array(words, pa.binary()).dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
+    return _numbered(pa.array(words, pa.large_binary()))
+
+
+def text_words(texts, ends: bool = False) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """word_ids of all words of texts, one text after the other, and the number of words of each.
+
+    A null text has no words. ends: an empty word stands behind each text and counts as one of its words.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t or "" for t in texts], pa.large_string())))
+    flat = lists.flatten()
+    # White space at a text's beginning or end leaves an empty word there.
+    real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+    sizes = np.diff(np.append(0, np.cumsum(real))[lists.offsets.to_numpy()])
+    ids, distinct, hashes = _numbered(flat.filter(pa.array(real)).cast(pa.large_binary()))
+    if ends:
+        end = np.uint64(xxhash.xxh64_intdigest(b""))
+        at = int(np.searchsorted(hashes, end))
+        ids += ids >= at
+        distinct, hashes = [*distinct[:at], b"", *distinct[at:]], np.insert(hashes, at, end)
+        ids, sizes = np.insert(ids, np.cumsum(sizes), at), sizes + 1
+    return ids, distinct, hashes, sizes
+
+
+def _numbered(words: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    coded = words.dictionary_encode()
+    # Words hold no line ends, and one split is far quicker than one object at a time.
+    listed = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.binary()))
+    distinct = pc.binary_join(listed, b"\n")[0].as_py().split(b"\n") if len(coded.dictionary) else []
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
     order = np.argsort(hashes)
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    return rank[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64), [distinct[i] for i in order], hashes[order]
+    ids = rank[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
+    return ids, list(map(distinct.__getitem__, order.tolist())), hashes[order]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -92,3 +115,9 @@ def take_sorted(cell: bytes) -> np.ndarray:
 def runs(sorted_keys: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal values."""
     return np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])) if len(sorted_keys) else np.zeros(0, np.int64)
+
+
+def distinct(a: np.ndarray) -> np.ndarray:
+    """Ascending distinct values; by sorting, which is quicker here than numpy's hash table."""
+    a = np.sort(a)
+    return a[runs(a)]

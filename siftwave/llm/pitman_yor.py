@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwave.llm.blocks import mix, put, put_sorted, runs, split_words, take, take_sorted, text_blocks, word_ids
+from siftwave.llm.blocks import distinct, mix, put, put_sorted, runs, take, take_sorted, text_blocks, text_words
 from siftwave.llm.storage import discard, hold_out, shards, stored
 
 ENDINGS = 65_537  # two last bytes of the word before, or the start of a text
@@ -34,7 +34,7 @@ LEAF, ENDING, ROOT = 2, 1, 0
 HEAVY = 16_384  # most frequent words whose customers may be split over shards, at most
 SHARD = 12_000_000  # bytes of text for each shard
 EXACT = 128  # customers of a dish up to which its tables are drawn from their exact distribution
-BOTTOM = 64  # of a dish with more: customers that are seated one by one; later ones in groups of a sixteenth of those seated
+PARTICLES = 8  # seatings of a dish with more customers, of which one is kept
 DISCOUNTS = np.linspace(0.05, 0.95, 37)
 STRENGTHS = 10.0 ** np.linspace(-2, 4, 19)
 
@@ -73,15 +73,8 @@ class Block:
 
     @staticmethod
     def of(texts) -> Block:
-        words, sizes = [], []
-        for t in texts:
-            w = split_words(t)
-            words += w
-            words.append(b"")  # the end; no word is empty
-            sizes.append(len(w) + 1)
-        ids, distinct, hashes = word_ids(words)
-        sizes = np.array(sizes, np.int64)
-        keys = np.fromiter(map(ending, distinct), np.uint64, len(distinct)) << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF)
+        ids, known, hashes, sizes = text_words(texts, ends=True)
+        keys = np.fromiter(map(ending, known), np.uint64, len(known)) << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF)
         order = np.argsort(keys)
         place = np.empty(len(keys), np.int64)
         place[order] = np.arange(len(keys))
@@ -118,8 +111,8 @@ def _heavy_words(docs: DataFrame, total: int) -> Heavy:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in text_blocks(batches, "text"):
-            ids, _, hashes = word_ids([w for t in b["text"] for w in [*split_words(t), b""]])
-            counts = np.bincount(ids, minlength=len(hashes))
+            ids, _, hashes, _ = text_words(b["text"], ends=True)
+            counts = np.bincount(ids)
             some = np.flatnonzero(counts * 8 * total > len(ids))
             some = some[np.argsort(-counts[some], kind="stable")[:HEAVY]]
             yield pd.DataFrame({"h": pd.array([None, *hashes[some].view(np.int64)], "Int64"), "c": [len(ids), *counts[some]]})
@@ -152,7 +145,7 @@ def _occurrences(docs: DataFrame, heavy: Heavy, total: int) -> DataFrame:
             about = (put(b["doc_id"].fillna(0).astype("int64"), "<i8"), put(b["doc_id"].isna(), "u1"), put(k.sizes, "<u4"))
             rows = []
             for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                w, some = runs(word[a:z]), np.unique(context[a:z])
+                w, some = runs(word[a:z]), distinct(context[a:z])
                 cells = put_sorted(k.hashes[word[a:z][w]]), put(np.diff(np.append(w, z - a)), "<u4"), put_sorted(k.keys[some]), put(np.searchsorted(some, context[a:z]), "<u4"), put(doc[a:z], "<u4"), put(n[a:z], "<u4")
                 rows.append((int(shard[a]), task + number, int(b["train"].sum()), *cells, *(about if i == 0 else (None, None, None))))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in OCCURRENCES.split(", ")])
@@ -168,15 +161,15 @@ def _seated(occurrences: DataFrame) -> DataFrame:
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         hashes, keys = [take_sorted(x) for x in g["w"]], [take_sorted(x) for x in g["keys"]]
-        words, contexts = np.unique(np.concatenate(hashes)), np.unique(np.concatenate(keys))
+        words, contexts = distinct(np.concatenate(hashes)), distinct(np.concatenate(keys))
         pair = []
         for h, k, per, c in zip(hashes, keys, g["per_w"], g["context"], strict=True):
             pair.append(np.repeat(np.searchsorted(words, h), take(per, "<u4")) << 32 | np.searchsorted(contexts, k)[take(c, "<u4")])
-        every = np.unique(np.concatenate(pair))
+        every = distinct(np.concatenate(pair))
         customers, seen = np.zeros(len(every), np.int64), []
         for r, p in zip(g.itertuples(), pair, strict=True):
             at, doc, n = np.searchsorted(every, p), take(r.doc, "<u4"), take(r.n, "<u4")
-            customers += np.bincount(at, np.where(doc < r.n_train, n, 0), len(every)).astype(np.int64)
+            np.add.at(customers, at, np.where(doc < r.n_train, n, 0))
             seen.append({"block": r.block, "at": put_sorted(at), "doc": r.doc, "n": r.n, "ids": r.ids, "no_id": r.no_id, "sizes": r.sizes})
         per_w = np.bincount(every >> 32, minlength=len(words))
         return pd.DataFrame([(int(g["shard"].iloc[0]), put_sorted(words), put_sorted(contexts), put(per_w, "<u4"), put(every & 0xFFFFFFFF, "<u4"), put(customers, "<u8"), seen)], columns=[c.split()[0] for c in SEATED.split(", ")[:7]])
@@ -269,33 +262,39 @@ def draw_tables(c: np.ndarray, free: np.ndarray, base: np.ndarray, d: float, sti
     return np.minimum(out, np.maximum(c, 1))
 
 
-def draw_many(c: np.ndarray, free: np.ndarray, base: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes with more than EXACT customers, where the sum over t would not be bounded.
+def draw_many(c: np.ndarray, free: np.ndarray, base: np.ndarray, d: float, stirling: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes with more than EXACT customers, for which the sum over t would not be bounded.
 
-    Customers are seated one after the other, and from the BOTTOM-th on in groups of a sixteenth of
-    those seated; of two such seatings one is kept in proportion to its weight, the product of the
-    chances of the dish at every customer.
+    The weight that customers n + 1 to c give to t tables at the n-th grows very nearly as a**t, with
+    a = x / (1 + base x) and x = (n / c)**d / (1 - base). So seatings of the first EXACT customers,
+    PARTICLES of them, are drawn from their exact distribution times a**t. Further customers join in
+    groups of a sixteenth of those seated, opening tables by chances that look ahead in the same way;
+    what these miss is the weight by which the seatings are drawn anew after each group.
     """
     order = np.argsort(-c, kind="stable")
-    c, free, base = c[order], free[order], base[order]
-    best = np.zeros(0)
-    for draw in range(2):
-        t, weight = np.minimum(c, 1).astype(float), np.zeros(len(c))
-        n = 1
-        while m := int(np.searchsorted(-c, -n, "left")):  # those with more than n customers
-            step = 1 if n < BOTTOM else n // 16
-            new = (free[:m] + d * t[:m]) * base[:m]
-            all_ = new + n - d * t[:m]
-            k = np.minimum(step, c[:m] - n)
-            weight[:m] += k * np.log(all_)
-            t[:m] += rng.random(m) * all_ < new if step == 1 else rng.binomial(k, np.clip(new / all_, 0, 1))
-            n += step
-        if draw == 0:
-            best, best_weight = t, weight
-        else:
-            best = np.where(rng.random(len(c)) < 1 / (1 + np.exp(np.clip(best_weight - weight, -50, 50))), t, best)
+    c, free, base = c[order], free[order, None], np.minimum(base[order, None], 1 - 1e-9)
+
+    def ahead(n, m):
+        x = (n / c[:m, None]) ** d / (1 - base[:m])
+        return x / (1 + base[:m] * x)
+
+    every = lambda x: np.broadcast_to(x, (len(c), PARTICLES)).reshape(-1)
+    t = draw_tables(every(np.full((len(c), 1), EXACT)), every(free), every(base * ahead(EXACT, len(c))), d, stirling, rng).reshape(len(c), PARTICLES)
+    n = EXACT
+    while m := int(np.searchsorted(-c, -n, "left")):  # those with more than n customers
+        k = np.minimum(n // 16, c[:m, None] - n)
+        after = ahead(n + k, m)
+        new, stay = (free[:m] + d * t[:m]) * base[:m] * after, n - d * t[:m]
+        weight = k * np.log(new + stay) + t[:m] * np.log(after / ahead(n, m))
+        joined = t[:m] + rng.binomial(k, np.clip(new / (new + stay), 0, 1))
+        chance = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), axis=1)
+        # One random number for each row, and equal steps: a seating survives as often as its share says.
+        at = (np.arange(PARTICLES) + rng.random((m, 1))) / PARTICLES * chance[:, -1:]
+        picked = np.minimum((chance[:, None, :] < at[:, :, None]).sum(2), PARTICLES - 1)
+        t[:m] = np.take_along_axis(joined, picked, 1)
+        n += n // 16
     out = np.empty(len(c))
-    out[order] = best
+    out[order] = t[np.arange(len(c)), rng.integers(0, PARTICLES, len(c))]
     return out
 
 
@@ -305,7 +304,7 @@ def seat(c: np.ndarray, free: np.ndarray, base: np.ndarray, d: float, stirling:
     out = np.minimum(c, 1).astype(float)
     few, many = np.flatnonzero((c > 1) & (c <= EXACT)), np.flatnonzero(c > EXACT)
     out[few] = draw_tables(c[few], free[few], base[few], d, stirling, rng)
-    out[many] = draw_many(c[many], free[many], base[many], d, rng)
+    out[many] = draw_many(c[many], free[many], base[many], d, stirling, rng)
     return out
 
 
@@ -418,7 +417,7 @@ def _exchanged(sent: DataFrame, samples: int) -> DataFrame:
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         keys = [take_sorted(c[0]) for c in g["cells"]]
-        every = np.unique(np.concatenate(keys))
+        every = distinct(np.concatenate(keys))
         at = [np.searchsorted(every, k) for k in keys]
         sums = np.zeros((1 + samples, len(every)), np.int64)
         few = np.zeros((2, len(every)), np.int64)
@@ -541,7 +540,7 @@ def _partial_scores(seated: DataFrame, rows: DataFrame, heavy: Heavy, totals: li
         out = []
         for r in left["seen"].iloc[0]:
             at, doc, n = take_sorted(r["at"]).astype(np.int64), take(r["doc"], "<u4").astype(np.int64), take(r["n"], "<u4").astype(np.int64)
-            docs = np.unique(doc)
+            docs = distinct(doc)
             to = np.searchsorted(docs, doc)
             add = lambda v: np.bincount(to, v[at] * n, len(docs))  # noqa: B023, E731
             out.append((r["block"], put_sorted(docs), put(add(score), "<f8"), put(add(base), "<f8"), put(add(known), "<u4"), r["ids"], r["no_id"], r["sizes"]))

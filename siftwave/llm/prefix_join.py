@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwave.llm.blocks import mix, put, put_sorted, runs, split_words, take, take_sorted, text_blocks, word_ids
+from siftwave.llm.blocks import mix, put, put_sorted, runs, take, take_sorted, text_blocks, text_words
 from siftwave.llm.storage import discard, shards, stored
 
 OFFERS = 4  # hubs that a group is compared with in each round before all remaining pairs are
@@ -28,14 +28,7 @@ OFTEN = 16  # documents of a block from which a shingle's list stays with the bl
 
 def shingle_hashes(texts, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (64-bit hash, text) pairs in order of hash, and each text's number of shingles."""
-    words, sizes = [], []
-    for t in texts:
-        w = split_words(t)
-        words += w
-        sizes.append(len(w))
-    sizes = np.array(sizes, np.int64)
-    ids, _, hashes = word_ids(words)
-    del words
+    ids, _, hashes, sizes = text_words(texts)
     h = mix(hashes)[ids] if len(ids) else np.zeros(0, np.uint64)
     text = np.repeat(np.arange(len(sizes)), sizes)
     out, of = [], []
@@ -76,7 +69,7 @@ def _lists(docs: DataFrame, width: int, total: int) -> DataFrame:
             often = count >= OFTEN
             listed = np.repeat(~often, count)
             shard = ((token[at] >> np.uint64(32)) * np.uint64(total) >> np.uint64(32)).astype(np.int64)
-            cuts = np.unique(np.append(runs(shard), len(shard)))
+            cuts = np.append(runs(shard), len(shard))
             before = np.append(0, np.cumsum(np.where(often, 0, count)))
             light = doc[listed]
             block = task + number

@@ -120,11 +120,139 @@ def test_frequent_followers_score_higher_than_unseen_words(spark):
     assert common > rare > unseen and np.isfinite(unseen)
 
 
+def seatings(c, free, base, d):
+    """Weights by number of tables, over every way to seat c customers of one dish one after the other."""
+    out = np.zeros(c + 1)
+
+    def place(sizes, weight, left):
+        if not left:
+            out[len(sizes)] += weight
+            return
+        place((*sizes, 1), weight * (free + d * len(sizes)) * base, left - 1)
+        for i, n in enumerate(sizes):
+            place((*sizes[:i], n + 1, *sizes[i + 1 :]), weight * (n - d), left - 1)
+
+    place((), 1.0, c)
+    return out / out.sum()
+
+
+@pytest.mark.parametrize("c,free,base,d", [(2, 1.0, 0.3, 0.5), (5, 0.7, 0.05, 0.8), (7, 20.0, 0.4, 0.25), (8, 3.0, 0.9, 0.9)])
+def test_tables_are_drawn_as_enumeration_says(c, free, base, d):
+    stirling = pitman_yor.log_stirling(np.array([d]))[0]
+    n = 40_000
+    t = pitman_yor.seat(np.full(n, c), np.full(n, free), np.full(n, base), d, stirling, np.random.default_rng(c))
+    assert np.allclose(np.bincount(t.astype(int), minlength=c + 1) / n, seatings(c, free, base, d), atol=0.012)
+
+
 def test_seating_keeps_between_one_table_and_all_customers():
+    c = np.array([0, 1, 2, 50, 128, 129, 5000, 3])
+    t = pitman_yor.seat(c, np.full(8, 2.0), np.full(8, 0.1), 0.5, pitman_yor.log_stirling(np.array([0.5]))[0], np.random.default_rng(0))
+    assert (t >= np.minimum(c, 1)).all() and (t <= c).all()
+
+
+@pytest.mark.parametrize("c,free,base,d", [(200, 2.0, 0.1, 0.5), (500, 1.0, 0.002, 0.85), (1000, 30.0, 0.4, 0.8)])
+def test_many_customers_sit_as_the_recursion_says(c, free, base, d):
+    """The exact distribution by the recursion of the weights over customers, for numbers of tables that matter."""
+    top = min(c, 900)
+    weight, t = np.full(top + 1, -np.inf), np.arange(top + 1)
+    weight[1] = 0
+    for n in range(1, c):
+        with np.errstate(divide="ignore"):
+            stay = weight + np.log(np.maximum(n - d * t, 1e-300))
+            opened = np.append(-np.inf, weight[:-1] + np.log((free + d * t[:-1]) * base))
+        weight = np.logaddexp(stay, opened)
+    p = np.exp(weight - weight.max())
+    p /= p.sum()
+    mean = (p * t).sum()
+    drawn = pitman_yor.seat(np.full(1500, c), np.full(1500, free), np.full(1500, base), d, pitman_yor.log_stirling(np.array([d]))[0], np.random.default_rng(c))
+    assert abs(drawn.mean() - mean) < 0.05 * mean + 0.05, (drawn.mean(), mean)
+    assert abs(drawn.std() - np.sqrt((p * (t - mean) ** 2).sum())) < 0.25 * mean**0.5 + 0.1
+
+
+def seated_words(seed):
+    """Six words, one of them unseen, after three contexts of two endings, with every pair of them."""
+    rng = np.random.default_rng(seed)
+    heavy = pitman_yor.Heavy(np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    keys = np.array([5 << 32 | 1, 5 << 32 | 2, 9 << 32 | 1], np.uint64)
+    c = rng.integers(0, 5, 18) * (np.repeat(np.arange(6), 3) < 5)
+    return pitman_yor.Seats.of(np.arange(6, dtype=np.uint64), keys, np.repeat(np.arange(6), 3), np.tile(np.arange(3), 6), c, heavy)
+
+
+def totals_of(s, tables, d=(0.4, 0.6, 0.5), strength=(3.0, 2.0, 0.7)):
+    leaf, end, word = tables
+    shared, root, none = np.bincount(s.leaf_end, leaf, len(s.end)), np.bincount(s.end_word, end, len(s.words)), np.zeros(0)
+    return pitman_yor.Totals(int((s.tokens > 0).sum()), int(s.c.sum()), np.array(d), np.array(strength), np.bincount(s.end, end, pitman_yor.ENDINGS), np.bincount(s.end, shared, pitman_yor.ENDINGS), word.sum(), root.sum(), none, none, none)
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_predictive_probabilities_sum_to_one(seed):
+    s = seated_words(seed)
+    rng, tables = np.random.default_rng(seed), s.first_tables()
+    for _ in range(5):
+        g = totals_of(s, tables)
+        all_t, all_c = np.bincount(s.context, tables[0], 3), np.bincount(s.context, s.c, 3)
+        tables, moved = pitman_yor.sweep(s, tables, all_t, all_c, g, pitman_yor.log_stirling(g.d), rng)
+        assert np.allclose(moved, np.bincount(s.context, tables[0], 3))
+        assert (tables[0][s.c > 0] >= 1).all() and (tables[0] <= s.c).all()
+    samples, g = [tables, s.first_tables()], [totals_of(s, tables), totals_of(s, s.first_tables())]
+    p = pitman_yor.probabilities(s, samples, [np.bincount(s.context, x[0], 3) for x in samples], np.bincount(s.context, s.c, 3), g)
+    assert (p > 0).all()
+    # The words that training has, and one of those that it lacks.
+    assert np.allclose(np.bincount(s.context, np.where(s.tokens[s.word] > 0, p, 0), 3) + p[s.word == 5], 1)
+
+
+def test_discounts_are_drawn_near_those_of_the_data():
+    rng = np.random.default_rng(4)
+    stirling = pitman_yor.log_stirling(pitman_yor.DISCOUNTS)
+    for d, strength in ((0.2, 10.0), (0.8, 1.0)):
+        counts, t, c = np.zeros(pitman_yor.TABLE), [], []
+        for _ in range(300):  # restaurants of 60 customers whose every table has one of 5 dishes
+            tables = []
+            for n in range(60):
+                if rng.random() * (strength + n) < strength + d * len(tables):
+                    tables.append([1, int(rng.integers(5))])
+                else:
+                    k = rng.choice(len(tables), p=np.array([x[0] - d for x in tables]) / (n - d * len(tables)))
+                    tables[k][0] += 1
+            for dish in range(5):
+                own = [x[0] for x in tables if x[1] == dish]
+                if sum(own) > 1:
+                    counts[sum(own) * (pitman_yor.EXACT + 1) + len(own)] += 1
+            t.append(len(tables))
+            c.append(60)
+        weights = pitman_yor.seating_weights(np.array(t), np.array(c)) + (np.where(counts > 0, stirling.reshape(len(pitman_yor.DISCOUNTS), -1), 0) @ counts)[:, None]
+        drawn = pitman_yor._draw(weights, rng)
+        assert abs(drawn[0] - d) < 0.1 and 0.4 < drawn[1] / strength < 2.5
+
+
+def test_a_word_split_over_shards_gives_the_same_counts(spark):
+    rng = np.random.default_rng(8)
+    texts = [(i, "hot " + " hot ".join(f"w{rng.integers(40)}" for _ in range(30))) for i in range(200)]
+    df = spark.createDataFrame([*texts, (900, "w1 " * 30_000), (None, None)], "doc_id long, text string")
+    one, many = (pitman_yor.score_texts(df, shard_bytes=n).toPandas().sort_values("doc_id", ignore_index=True) for n in (10**9, 500))
+    same = ["n_tokens", "n_known", "train_tokens"]
+    assert one[same].equals(many[same]) and np.allclose(one["base_score"], many["base_score"])
+    assert np.allclose(one["score"], many["score"], rtol=0.1)
+
+
+def test_words_of_texts():
+    odd = [None, "", " a  B\n", "x\x0by\x0cz\r\n", "\x85 \xa0É \x1c A", "  ", "İ ẞ q", "same same"]
+    for ends in (False, True):
+        ids, distinct, hashes, sizes = blocks.text_words(odd, ends)
+        got = [[distinct[i] for i in part] for part in np.split(ids, np.cumsum(sizes)[:-1])]
+        assert got == [[w.encode() for w in re.findall(SPACE, fold(t))] + [b""] * ends for t in odd]
+        assert (np.diff(hashes.astype(object)) > 0).all()
+    assert blocks.text_words([])[3].tolist() == [] and blocks.text_words([], True)[0].tolist() == []
+
+
+@pytest.mark.parametrize("kind", ["u1", "<u4", "<i8", "<u8", "<f8"])
+def test_cells_round_trip(kind):
     rng = np.random.default_rng(0)
-    c = np.array([1, 2, 50, 5000, 3])
-    t = pitman_yor.seat(c, np.full(5, 2.0), np.full(5, 0.1), 0.5, rng)
-    assert (t >= 1).all() and (t <= c).all() and t[0] == 1
+    for n in (0, 1, 1000):
+        a = rng.integers(0, 200, n).astype(kind)
+        assert np.array_equal(blocks.take(blocks.put(a, kind), kind), a)
+        up = np.sort(rng.integers(0, 2**63, n).astype("<u8") * np.uint64(2))
+        assert np.array_equal(blocks.take_sorted(blocks.put_sorted(up)), up)
 
 
 def auc(y, p):
