@@ -154,7 +154,9 @@ def load(path: str, pattern: str) -> TreeBPE:
 def encode_column(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """df with an array<int> column of token ids. path: a rank file that is installed on every executor.
 
-    A null or empty text gives an empty array. A column already named `out` is replaced; all others stay.
+    A null or empty text gives an empty array, a very long one is encoded whole, equal texts and
+    repeated rows get equal ids, and an empty table gives no rows. A column already named `out` is
+    replaced; all others stay.
     """
     columns = [c for c in df.columns if c != out]
     schema = schema_with(df.select(*columns), **{out: "array<int>"})
@@ -169,7 +171,11 @@ def encode_column(df: DataFrame, path: str, pattern: str, text: str = "text", ou
 
 
 def decode_column(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """df with a binary column of the bytes that the ids stand for; null ids give null, an unknown id an error."""
+    """df with a binary column of the bytes that the ids stand for.
+
+    Null ids give null, no ids no bytes, and an unknown id is an error. A column already named `out`
+    is replaced; all others stay. An empty table gives no rows.
+    """
     columns = [c for c in df.columns if c != out]
     schema = schema_with(df.select(*columns), **{out: "binary"})
 
@@ -183,7 +189,10 @@ def decode_column(df: DataFrame, path: str, pattern: str, ids: str = "ids", out:
 
 
 def bpe_rows(df: DataFrame, path: str, pattern: str) -> DataFrame:
-    """The digest columns of op10: counts and hashes of the ids and of the bytes they decode to."""
+    """The digest columns of op10: counts and hashes of the ids and of the bytes they decode to.
+
+    Null ids of documents stay null, null texts are empty, and an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = load(path, pattern)

@@ -1,41 +1,13 @@
-"""Shared-folder tables that cut lineage, and small helpers that the operators share."""
+"""Small helpers that the operators share; tables in the shared folder cut lineage."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwave.tables import discard, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder. Where the session names none, a temporary one if it is local, else an error."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="siftwave-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as a Parquet table in the shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that `stored` wrote and that nothing reads any more."""
-    for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
-        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+__all__ = ["discard", "fold_ascii", "hold_out", "let", "schema_with", "shards", "stored"]
 
 
 def shards(docs: DataFrame, text: str = "text", size: int = 32_000_000) -> int:

@@ -471,6 +471,22 @@ def test_pipeline_stages(spark, sf):
     assert packed.select("doc_id").distinct().count() == before.count()
 
 
+def test_pipeline_stages_with_odd_rows(spark):
+    import corpus_pipeline as cp
+
+    sf = "/root/testdata/sf0.01"
+    good = spark.read.parquet(f"{sf}/documents.parquet").where("n_chars > 2000").orderBy("doc_id").first()
+    rows = [(None, good["text"], 1, "a"), (None, good["text"], 2, "b"), (5, good["text"], 3, "c"), (5, good["text"], 3, "c"), (6, None, 4, "d"), (7, "", 5, "e"), (8, " \n", 6, "f"), (9, good["text"] * 60, 7, "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row long, quality string")
+    for name, stage in cp.STAGES[:-1]:
+        df = cp.stored(stage(spark, df, sf), "odd-" + name.replace(" ", "-"))
+        assert df.columns == ["doc_id", "text", "_row", "quality"], name
+    left = df.collect()
+    assert {r["doc_id"] for r in left} <= {5, 9} and sum(r["doc_id"] == 5 for r in left) == 1
+    packed = cp.STAGES[-1][1](spark, df, sf)
+    assert packed.where("length between 1 and 2048").count() == packed.count() > 0
+
+
 def test_pipeline_classifier_rejects_what_only_it_can_see(spark):
     import corpus_pipeline as cp
 

@@ -271,6 +271,17 @@ def test_media_metadata_and_broken_containers(spark):
     assert got[4]["tracks"] is None and got[4]["media_error"] is None
 
 
+def test_bpe_columns_keep_others_and_replace_their_own(spark):
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    df = spark.createDataFrame([("hello world", "old", 1), (None, "old", 2), ("a" * 100_000, "old", 3)], "text string, ids string, decoded int")
+    coded = byte_bpe.encode_column(df, path, pattern)
+    got = byte_bpe.decode_column(coded, path, pattern).collect()
+    assert [bytes(r["decoded"]) for r in got] == [b"hello world", b"", b"a" * 100_000] and coded.columns == ["text", "decoded", "ids"]
+    assert [r["decoded"] for r in coded.select("decoded").collect()] == [1, 2, 3]
+    with pytest.raises(Exception, match="KeyError"):
+        byte_bpe.decode_column(spark.createDataFrame([([10**8],)], "ids array<int>"), path, pattern).collect()
+
+
 def fragmented(payload: bytes, **how) -> bytes:
     """A container without samples in its tables, and one fragment with a run of 64-byte samples."""
     import struct
