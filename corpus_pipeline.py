@@ -15,22 +15,23 @@ from siftwave.llm.storage import stored
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that break no rule."""
-    return score_quality(docs, "text", out="_quality").where("_quality.kept").drop("_quality")
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), "text")
+    return score_quality(whole, "text", out="quality").where("quality.kept").select("doc.*")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on labelled documents of the whole table, scores 0.5 or more."""
     model = fit(*training_bags(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return score_documents(docs, model, out="_score").where("_score >= 0.5").drop("_score")
+    return score_documents(docs, model, out="_quality_score").where("_quality_score >= 0.5").drop("_quality_score")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the smallest doc_id, and one row of those that share it."""
-    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "joined")
-    joined = join_similar(numbered.select(F.col("_row").alias("doc_id"), "text"))
-    grouped = joined.select(F.col("doc_id").alias("_row"), F.col("component").alias("_component"))
-    first = grouped.join(numbered.select("_row", "doc_id"), "_row").groupBy("_component").agg(F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_row"))
-    return numbered.join(first.select("_row"), "_row", "left_semi").drop("_row")
+    numbered = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[c] for c in docs.columns]).alias("doc")), "joined")
+    joined = join_similar(numbered.select(F.col("row").alias("doc_id"), "doc.text")).select(F.col("doc_id").alias("row"), "component")
+    ids = numbered.select("row", F.col("doc.doc_id").alias("doc_id"))
+    first = joined.join(ids, "row").groupBy("component").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row"))
+    return numbered.join(first.select("row"), "row", "left_semi").select("doc.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
