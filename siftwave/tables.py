@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -24,7 +25,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once as a Parquet table in the shared folder and read again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -35,3 +36,13 @@ def discard(*tables: DataFrame) -> None:
     for t in tables:
         path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Have shuffle files of plans that nothing refers to any more deleted now.
+
+    Spark deletes them when the driver's JVM collects garbage, which a driver with little to do may
+    not do for half an hour while its executors' disks fill.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
