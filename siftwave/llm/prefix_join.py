@@ -18,10 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwave.llm.blocks import mix, put, put_sorted, runs, take, take_sorted, text_blocks, text_words
-from siftwave.llm.storage import discard, shards, stored
+from siftwave.llm.blocks import distinct, mix, put, put_sorted, runs, take, take_sorted, text_blocks, text_words
+from siftwave.llm.storage import discard, release, shards, stored
 
 OFFERS = 4  # hubs that a group is compared with in each round before all remaining pairs are
+BLOCK = 4_000_000  # bytes of text in a block, unless one text is longer
+SHARD = 12_000_000  # bytes of text for each range of shingles
 SPLIT = 256  # groups that share a shingle from which its pairs are dealt over several tasks
 OFTEN = 16  # documents of a block from which a shingle's list stays with the block
 
@@ -62,7 +64,7 @@ def _lists(docs: DataFrame, width: int, total: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get().partitionId() << 16
-        for number, b in enumerate(text_blocks(batches, "text")):
+        for number, b in enumerate(text_blocks(batches, "text", BLOCK)):
             token, doc, sizes = shingle_hashes(b["text"], width)
             at = runs(token)
             count = np.diff(np.append(at, len(token)))
@@ -94,11 +96,12 @@ def _shared(lists: DataFrame) -> DataFrame:
         tokens, counts = [take_sorted(x) for x in cells["token"]], [take(x, "<u4").astype(np.int64) for x in cells["count"]]
         rows = [(r.block, *[None] * 5, r.ids, r.no_id, r.sizes, r.often, r.often_count, r.often_doc) for r in g[g["ids"].notna()].itertuples()]
         if tokens:
-            known, place = np.unique(np.concatenate(tokens), return_inverse=True)
-            df = np.bincount(place, np.concatenate(counts)).astype(np.int64)
-            ends = np.cumsum([0, *map(len, tokens)])
-            for r, token, count, a, z in zip(cells.itertuples(), tokens, counts, ends, ends[1:], strict=False):
-                mine, doc = df[place[a:z]], take(r.doc, "<u4")
+            known = distinct(np.concatenate(tokens))
+            df = np.zeros(len(known), np.int64)
+            for token, count in zip(tokens, counts, strict=True):
+                df[np.searchsorted(known, token)] += count  # a cell names each shingle once
+            for r, token, count in zip(cells.itertuples(), tokens, counts, strict=True):
+                mine, doc = df[np.searchsorted(known, token)], take(r.doc, "<u4")
                 held = np.where(count >= OFTEN, 0, count)
                 many = mine > 1
                 keep = np.repeat(many, held)
@@ -227,8 +230,9 @@ def join_similar(docs: DataFrame, width: int = 5, percent: int = 75, hubs: int =
     an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total = shards(docs)
+    total = shards(docs, size=SHARD)
     table = stored(_documents(_shared(_lists(docs, width, total)), percent), "shingle-sets")
+    release(docs.sparkSession)
     alive = table.where(F.col("class").isNotNull())
     classes = alive.groupBy("class").agg(F.min("rid").alias("rep"))
     sets = alive.join(classes.select(F.col("rep").alias("rid")), "rid").select(F.col("rid").alias("rep"), "n", "span", "tokens", "prefix", F.md5(F.concat_ws(" ", "n", "prefix")).alias("key"))
@@ -239,6 +243,7 @@ def join_similar(docs: DataFrame, width: int = 5, percent: int = 75, hubs: int =
     postings = stored(postings.join(repeated, "token", "left_semi"), "postings")
 
     links, labels = stored(_verify(members.where("g != rep").select(F.col("rep").alias("a"), F.col("g").alias("b")), sets, percent), "links"), None
+    release(docs.sparkSession)
     for r in range(hubs):
         labels = connected(links) if r else None
         placed = _placed(postings.select("token", F.col("g").alias("node"), "n", "lonely"), labels)
@@ -253,6 +258,7 @@ def join_similar(docs: DataFrame, width: int = 5, percent: int = 75, hubs: int =
         best = offers.groupBy("node", F.col("hub.node").alias("b")).count().withColumn("r", F.row_number().over(rivals)).where(F.col("r") <= OFFERS)
         before, links = links, stored(links.unionByName(_verify(best.select(F.col("node").alias("a"), "b"), sets, percent)), "links")
         discard(before)
+        release(docs.sparkSession)
 
     labels = connected(links)
     inside = stored(_placed(members.select("g", F.col("rep").alias("node")), labels), "inside")
@@ -273,6 +279,7 @@ def join_similar(docs: DataFrame, width: int = 5, percent: int = 75, hubs: int =
     a, b = (inside.select(F.col("g").alias(f"node_{x}"), F.col("node").alias(x), F.col("component").alias(f"at_{x}")) for x in "ab")
     pairs = near.select("node_a", "node_b").distinct().unionByName(within).join(a, "node_a").join(b, "node_b").where("at_a != at_b and (node_a < node_b or a < b)").select("a", "b")
     links = stored(links.unionByName(_verify(pairs, sets, percent)), "links")
+    release(docs.sparkSession)
 
     final = connected(links)
     named = alive.select("class", "doc_id").groupBy("class").agg(F.min("doc_id").alias("low")).join(classes, "class")

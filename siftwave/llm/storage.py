@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwave.tables import discard, stored
+from siftwave.tables import discard, release, stored
 
-__all__ = ["discard", "fold_ascii", "hold_out", "let", "schema_with", "shards", "stored"]
+__all__ = ["discard", "fold_ascii", "hold_out", "let", "release", "schema_with", "shards", "stored"]
 
 
 def shards(docs: DataFrame, text: str = "text", size: int = 32_000_000) -> int:
