@@ -171,9 +171,12 @@ def _documents(shared: DataFrame, percent: int) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough."""
-    left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a")), "a")
-    both = left.join(sets.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b")), "b")
+    """The pairs (a, b) of rids whose sets are similar enough.
+
+    `sets` is a stored table read as it is, so that a join by a hub of many pairs can be split at run time.
+    """
+    left = pairs.join(sets.select(F.col("rid").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a")), "a")
+    both = left.join(sets.select(F.col("rid").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b")), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in batches:
@@ -235,14 +238,16 @@ def join_similar(docs: DataFrame, width: int = 5, percent: int = 75, hubs: int =
     release(docs.sparkSession)
     alive = table.where(F.col("class").isNotNull())
     classes = alive.groupBy("class").agg(F.min("rid").alias("rep"))
-    sets = alive.join(classes.select(F.col("rep").alias("rid")), "rid").select(F.col("rid").alias("rep"), "n", "span", "tokens", "prefix", F.md5(F.concat_ws(" ", "n", "prefix")).alias("key"))
+    sets = alive.join(classes.select(F.col("rep").alias("rid")), "rid").select(F.col("rid").alias("rep"), "n", "span", "prefix", F.md5(F.concat_ws(" ", "n", "prefix")).alias("key"))
     grouped = sets.groupBy("key").agg(F.min("rep").alias("g")).join(sets.select("key", "rep", "n", "span", "prefix"), "key")
     members = stored(grouped.select("g", "rep", "n", "span", F.when(F.col("g") == F.col("rep"), F.col("prefix")).alias("prefix")), "groups")
     postings = members.where("g = rep").select(F.explode("prefix").alias("token"), "g", "n", "span", (F.col("span") - F.size("prefix")).alias("lonely"))
-    repeated = postings.groupBy("token").count().where("count > 1").select("token")
+    # What many rows of one token, component or class are joined with is stored first: Spark splits a join between plain tables.
+    repeated = stored(postings.groupBy("token").count().where("count > 1").select("token"), "repeated")
     postings = stored(postings.join(repeated, "token", "left_semi"), "postings")
+    discard(repeated)
 
-    links, labels = stored(_verify(members.where("g != rep").select(F.col("rep").alias("a"), F.col("g").alias("b")), sets, percent), "links"), None
+    links, labels = stored(_verify(members.where("g != rep").select(F.col("rep").alias("a"), F.col("g").alias("b")), alive, percent), "links"), None
     release(docs.sparkSession)
     for r in range(hubs):
         labels = connected(links) if r else None
@@ -250,14 +255,16 @@ def join_similar(docs: DataFrame, width: int = 5, percent: int = 75, hubs: int =
         # First the groups with the least of their own, as an original has; later members of large components.
         rank = F.struct(F.col("lonely") / F.col("n"), F.xxhash64("node"))
         if r:
-            placed = placed.join(labels.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component", "left")
+            sizes = stored(labels.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "sizes")
+            placed = placed.join(sizes, "component", "left")
             rank = F.struct(-F.coalesce("size", F.lit(1)), F.xxhash64("node", "token", F.lit(r)))
         hub = placed.groupBy("token").agg(F.min_by(F.struct("node", "n", "component"), rank).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
-        offers = placed.join(hub.where("low != high").select("token", "hub"), "token").where("component != hub.component").where(_close("n", "hub.n", percent))
+        hub = stored(hub.where("low != high").select("token", "hub"), "hubs")
+        offers = placed.join(hub, "token").where("component != hub.component").where(_close("n", "hub.n", percent))
         rivals = Window.partitionBy("node").orderBy(F.desc("count"), F.xxhash64("b"))
         best = offers.groupBy("node", F.col("hub.node").alias("b")).count().withColumn("r", F.row_number().over(rivals)).where(F.col("r") <= OFFERS)
-        before, links = links, stored(links.unionByName(_verify(best.select(F.col("node").alias("a"), "b"), sets, percent)), "links")
-        discard(before)
+        before, links = links, stored(links.unionByName(_verify(best.select(F.col("node").alias("a"), "b"), alive, percent)), "links")
+        discard(before, hub)
         release(docs.sparkSession)
 
     labels = connected(links)
@@ -265,7 +272,8 @@ def join_similar(docs: DataFrame, width: int = 5, percent: int = 75, hubs: int =
     # A group's classes may lie in several components; each of these is compared.
     placed = postings.select("token", F.col("g").alias("node"), "n", "span").join(inside.select(F.col("g").alias("node"), "component").distinct(), "node")
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("parts"))
-    placed = placed.join(mixed.where("low != high").select("token", "parts"), "token")
+    mixed = stored(mixed.where("low != high").select("token", "parts"), "mixed")
+    placed = placed.join(mixed, "token")
     placed = placed.join(members.where("g = rep").select(F.col("g").alias("node"), "prefix"), "node")
     # A shingle of many groups is dealt over tasks: one side of its pairs by group, the other in full to each part.
     deal = {"a": F.pmod(F.xxhash64("node"), "parts").cast("int"), "b": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))}
@@ -278,16 +286,17 @@ def join_similar(docs: DataFrame, width: int = 5, percent: int = 75, hubs: int =
     within = members.groupBy("g").count().where("count > 1").select(F.col("g").alias("node_a"), F.col("g").alias("node_b"))
     a, b = (inside.select(F.col("g").alias(f"node_{x}"), F.col("node").alias(x), F.col("component").alias(f"at_{x}")) for x in "ab")
     pairs = near.select("node_a", "node_b").distinct().unionByName(within).join(a, "node_a").join(b, "node_b").where("at_a != at_b and (node_a < node_b or a < b)").select("a", "b")
-    links = stored(links.unionByName(_verify(pairs, sets, percent)), "links")
+    links = stored(links.unionByName(_verify(pairs, alive, percent)), "links")
     release(docs.sparkSession)
 
     final = connected(links)
-    named = alive.select("class", "doc_id").groupBy("class").agg(F.min("doc_id").alias("low")).join(classes, "class")
-    named = _placed(named.select("class", "low", F.col("rep").alias("node")), final)
-    lowest = named.groupBy("component").agg(F.min("low").alias("name"))
-    by_class = named.select("class", "component").join(lowest, "component").select("class", "name")
-    out = table.select("doc_id", "rid", "n", "class").join(by_class, "class", "left")
-    return out.select("doc_id", "rid", F.col("n").alias("n_shingles"), "class", F.coalesce("name", "doc_id").alias("component"))
+    named = stored(_placed(alive.groupBy("class").agg(F.min("doc_id").alias("low"), F.min("rid").alias("node")), final), "named")
+    lowest = stored(named.groupBy("component").agg(F.min("low").alias("name")), "lowest")
+    by_class = stored(named.select("class", "component").join(lowest, "component").select("class", "name"), "names")
+    discard(named, lowest)
+    rows = ("doc_id", "rid", F.col("n").alias("n_shingles"), "class")
+    alone = table.where("class is null").select(*rows, F.col("doc_id").alias("component"))
+    return alone.unionByName(alive.join(by_class, "class").select(*rows, F.col("name").alias("component")))
 
 
 def _placed(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
