@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from siftwave.llm.byte_bpe import bpe_rows
+from siftwave.llm.centroids import cluster_rows
 from siftwave.llm.chat_format import chat_rows
 from siftwave.llm.license_scan import license_rows
 from siftwave.llm.media import media_rows
+from siftwave.llm.merkle import manifest_rows
 from siftwave.llm.mil_quality import quality_scores
 from siftwave.llm.packing import packed_rows
 from siftwave.llm.pitman_yor import lm_rows
 from siftwave.llm.prefix_join import near_duplicate_rows
 from siftwave.llm.quality_rules import STOP_WORDS, quality_rows
 from siftwave.llm.warc import warc_rows
+from siftwave.llm.winnowing import fingerprint_rows
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +45,9 @@ def queries() -> dict:
         "op8_packing": lambda spark, sf_dir: packed_rows(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")),
         "op9_quality_rules": documents(quality_rows),
         "op10_byte_bpe": lambda spark, sf_dir: bpe_rows(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN),
+        "op11_merkle_manifest": documents(manifest_rows),
+        "op12_centroids": lambda spark, sf_dir: cluster_rows(_read(spark, sf_dir, "embeddings")),
+        "op13_winnowing": documents(fingerprint_rows),
         "pipeline": _pipeline,
     }
 
@@ -92,6 +100,81 @@ FROM judged
 """.replace("STOP_WORDS", ", ".join(f"'{w}'" for w in STOP_WORDS))
 
 
+MANIFEST_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+), marked AS (
+  SELECT d.*, 4294967295 - list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+    lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])) AS crc FROM documents d, crc
+), digests AS (
+  SELECT doc_id, lang, sha256(before || nc || after) AS leaf, sha256(before || CASE WHEN crc % 7 = 0 THEN more ELSE nc END || after) AS claim FROM (
+    SELECT doc_id, lang, crc, VALUE(doc_id) || VALUE(source) || VALUE(lang) AS before, VALUE(n_chars) AS nc, VALUE((n_chars + 1)) AS more, VALUE(text) AS after FROM marked)
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n FROM digests
+), up AS (
+  SELECT lang, 0 AS level, place, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, place // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY place)) FROM up WHERE n > 1 GROUP BY lang, level, place // 2, n
+), subroots AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM up WHERE n = 1
+), above AS (
+  SELECT 0 AS level, place, n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY place)) FROM above WHERE n > 1 GROUP BY level, place // 2, n
+), steps AS (
+  SELECT l.lang, l.place, u.level, u.place AS at, s.h FROM leaves l JOIN up u ON u.lang IS NOT DISTINCT FROM l.lang AND u.n > 1 AND u.place = l.place // (CAST(2 AS BIGINT) ** u.level)::BIGINT
+    LEFT JOIN up s ON s.lang IS NOT DISTINCT FROM l.lang AND s.level = u.level AND s.place = xor(u.place, 1)
+  UNION ALL
+  SELECT l.lang, l.place, 1000 + u.level, u.place, s.h FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang JOIN above u ON u.n > 1 AND u.place = r.place // (CAST(2 AS BIGINT) ** u.level)::BIGINT
+    LEFT JOIN above s ON s.level = u.level AND s.place = xor(u.place, 1)
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, place ORDER BY level) AS step FROM steps
+), proofs AS (
+  SELECT lang, place, sha256(coalesce(string_agg(h, '' ORDER BY step), '')) AS proof, max(step) AS last FROM ordered GROUP BY lang, place
+), folded AS (
+  SELECT lang, place, 0 AS step, claim AS h FROM leaves
+  UNION ALL
+  SELECT f.lang, f.place, f.step + 1, sha256(CASE WHEN o.h IS NULL THEN f.h WHEN o.at % 2 = 0 THEN f.h || o.h ELSE o.h || f.h END)
+  FROM folded f JOIN ordered o ON o.lang IS NOT DISTINCT FROM f.lang AND o.place = f.place AND o.step = f.step + 1
+), ends AS (
+  SELECT lang, place, arg_max(h, step) AS h FROM folded GROUP BY lang, place
+)
+SELECT l.doc_id, l.leaf, r.subroot, t.h AS root, coalesce(p.proof, sha256('')) AS proof_sha256, e.h AS folded_root, e.h = t.h AS verified
+FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang JOIN above t ON t.n = 1
+  JOIN ends e ON e.lang IS NOT DISTINCT FROM l.lang AND e.place = l.place LEFT JOIN proofs p ON p.lang IS NOT DISTINCT FROM l.lang AND p.place = l.place
+"""
+MANIFEST_SQL = re.sub(r"VALUE\((\(.*?\)|\w+)\)", r"coalesce(strlen(CAST(\1 AS VARCHAR)) || ':' || CAST(\1 AS VARCHAR), '-')", MANIFEST_SQL)
+
+
+def _clusters_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """Full searches instead of partial ones, a common table expression for each round."""
+    nearest = lambda i: f"""hits{i} AS (
+  SELECT r, min(struct_pack(d := d, c := c)) AS hit FROM (SELECT r, c, list_sum(list_transform(range(1, {dims + 1}), lambda j: (v[j] - w[j]) * (v[j] - w[j]))) AS d FROM vectors, c{i}) GROUP BY r
+)"""
+    parts = [
+        f"""vectors AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}
+)""",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v AS w FROM vectors ORDER BY c LIMIT {k})",
+    ]
+    for i in range(rounds):
+        parts.append(nearest(i))
+        parts.append(f"""sums{i} AS (
+  SELECT c, list(s // n - CASE WHEN s % n < 0 THEN 1 ELSE 0 END ORDER BY j) AS w FROM (
+    SELECT hit.c AS c, j, CAST(sum(v[j]) AS BIGINT) AS s, count(*) AS n FROM vectors JOIN hits{i} USING (r), range(1, {dims + 1}) t(j) GROUP BY hit.c, j) GROUP BY c
+)""")
+        parts.append(f"c{i + 1} AS MATERIALIZED (SELECT c, coalesce(s.w, o.w) AS w FROM c{i} o LEFT JOIN sums{i} s USING (c))")
+    parts.append(nearest(rounds))
+    return (
+        "WITH " + ", ".join(parts) + f"""
+SELECT vec_id, CAST(hit.c AS INTEGER) AS cluster, CAST(hit.d AS BIGINT) AS distance, CAST(sum(hit.d) OVER (PARTITION BY hit.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(hit.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM vectors JOIN hits{rounds} USING (r) JOIN c{rounds} ON c{rounds}.c = hit.c
+"""
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL of the two operators that it can express; tests hold the others against brute force, round trips and held-out labels."""
-    return {"op5_chat": CHAT_SQL, "op9_quality_rules": RULES_SQL}
+    """SQL of the operators that it can express; tests hold the others against brute force, round trips and held-out labels."""
+    return {"op5_chat": CHAT_SQL, "op9_quality_rules": RULES_SQL, "op11_merkle_manifest": MANIFEST_SQL, "op12_centroids": _clusters_sql()}
