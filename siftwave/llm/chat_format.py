@@ -206,12 +206,13 @@ def records_of(conversations: DataFrame) -> DataFrame:
     """
     c = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     g = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    roles = F.array_join(F.transform("t", lambda x: x["role"]), "\n")
+    roles = F.transform("t", lambda x: x["role"])
+    said = lambda *names: roles == F.array(*[F.lit(n) for n in names])
     text = lambda i: F.col("t")[i]["text"]
     messages = F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages"))
     record = (
-        F.when(roles == "user\nassistant", F.to_json(F.struct(text(0).alias("instruction"), text(1).alias("output"))))
-        .when(roles == "system\nuser\nassistant", F.to_json(F.struct(text(0).alias("system"), text(1).alias("instruction"), text(2).alias("output"))))
+        F.when(said("user", "assistant"), F.to_json(F.struct(text(0).alias("instruction"), text(1).alias("output"))))
+        .when(said("system", "user", "assistant"), F.to_json(F.struct(text(0).alias("system"), text(1).alias("instruction"), text(2).alias("output"))))
         .otherwise(F.to_json(messages))
     )
     return g.select("conv_id", record.alias("record"))
