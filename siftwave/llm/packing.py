@@ -11,13 +11,12 @@ from functools import reduce
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwave.llm.storage import stored
+from siftwave.llm.storage import stored, with_computed
 
 CAPACITY = 2048
 GROUP = 4096  # pieces that are packed together
@@ -164,25 +163,21 @@ def cut_pieces(df: DataFrame, path: str, text: str = "text", key: str = "doc_id"
     file that is installed on every executor. Rows with equal or null keys are cut each on its own,
     very long texts are coded whole, and an empty table gives no rows.
     """
-    kind = df.select(key).schema[0].dataType.simpleString()
-    schema = f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = load(path)
-        for b in batches:
-            texts, keys = [t or "" for t in b["t"]], b["k"]
-            for some in _slices(texts):
-                rows = []
-                for i, ids in zip(some, coder.texts([texts[i] for i in some]), strict=True):
-                    whole = np.append(ids, 0).astype("<u4")
-                    for p, at in enumerate(range(0, len(whole), capacity)):
-                        part = whole[at : at + capacity]
-                        rows.append((i, p, at, len(part), zlib.crc32(part.tobytes())) + (part.astype(np.int32),) * keep_ids)
-                out = pd.DataFrame(rows, columns=["i", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
-                out.insert(0, key, keys.iloc[out["i"]].array)
-                yield out.drop(columns="i")
-
-    return df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInPandas(run, schema)
+    fields = {"piece": "int", "start": "long", "length": "long", "ids_crc32": "long", **({"ids": "array<int>"} if keep_ids else {})}
+
+    def work(column: list[str | None]) -> Iterator[tuple]:
+        coder, texts = load(path), [t or "" for t in column]
+        for some in _slices(texts):
+            rows = []
+            for i, ids in zip(some, coder.texts([texts[i] for i in some]), strict=True):
+                whole = np.append(ids, 0).astype("<u4")
+                for p, at in enumerate(range(0, len(whole), capacity)):
+                    part = whole[at : at + capacity]
+                    rows.append((i, p, at, len(part), zlib.crc32(part.tobytes())) + (part.astype(np.int32),) * keep_ids)
+            yield tuple(map(list, zip(*rows, strict=True)))
+
+    named = df.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
+    return with_computed(named, ("_text",), work, drop=("_text",), **fields).withColumnRenamed("_key", key)
 
 
 class Bins:
@@ -192,7 +187,7 @@ class Bins:
         self.sizes, self.capacity = sizes, capacity
         self.bins: list[list[int]] = []
         self.fill: list[int] = []
-        self.clock, self.changed = 0, {}  # exchanges so far, and the last one of every bin
+        self.clock = 0  # exchanges so far
         self.sorted: dict[int, tuple[list, list, list, list]] = {}
 
     def best_fit(self) -> None:
@@ -220,7 +215,8 @@ class Bins:
         self.fill[a] -= moved
         self.fill[b] += moved
         self.clock += 1
-        self.changed[a] = self.changed[b] = self.clock
+        for x in (a, b):
+            self.state[:, x] = self.fill[x], len(self.bins[x]), self.clock
         self.sorted.pop(a, None)
         self.sorted.pop(b, None)
 
@@ -281,28 +277,33 @@ class Bins:
     def search(self) -> None:
         """Improve until no exchange between two underfull bins raises the squared fills.
 
-        A pair that gave nothing is not compared again before one of its bins has changed.
+        A pair that gave nothing is not compared again before one of its bins has changed. A fuller
+        bin of one item gives nothing back for less, so it is compared only where it has room for
+        the lighter bin's smallest item.
         """
         seen = np.full((len(self.bins), len(self.bins)), -1, np.int32)
-        changed_at = self.changed
+        self.state = fill, items, changed_at = np.array([self.fill, [len(b) for b in self.bins], [0] * len(self.bins)], np.int64)
         lighter = lambda: sorted((b for b in range(len(self.bins)) if 0 < self.fill[b] < self.capacity), key=lambda b: (self.fill[b], b))
         changed = True
         while changed:
             changed = False
-            order = lighter()
-            for n, a in enumerate(order):
-                for b in reversed(order[n + 1 :]):
-                    if not self.bins[a]:
+            order = np.array(lighter(), np.int64)
+            for n, a in enumerate(order.tolist()):
+                rest = order[:n:-1]
+                while len(rest) and self.bins[a]:
+                    smallest = min(self.sizes[i] for i in self.bins[a])
+                    able = (fill[rest] >= fill[a]) & (seen[a, rest] < np.maximum(changed_at[a], changed_at[rest])) & ((items[rest] > 1) | (fill[rest] + smallest <= self.capacity))
+                    for k in np.flatnonzero(able).tolist():
+                        b = int(rest[k])
+                        moved, out, back = self._best(a, b)
+                        seen[a, b] = self.clock
+                        if moved > 0:
+                            self._apply(a, out, b, back)
+                            changed = True
+                            rest = rest[k + 1 :]
+                            break
+                    else:
                         break
-                    if self.fill[b] < self.fill[a]:
-                        continue
-                    if seen[a, b] >= max(changed_at.get(a, 0), changed_at.get(b, 0)):
-                        continue
-                    moved, out, back = self._best(a, b)
-                    seen[a, b] = self.clock
-                    if moved > 0:
-                        self._apply(a, out, b, back)
-                        changed = True
         kept = [b for b in range(len(self.bins)) if self.bins[b]]
         self.bins, self.fill = [self.bins[b] for b in kept], [self.fill[b] for b in kept]
 
@@ -311,50 +312,55 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, gr
     """pieces with `sequence_id` and `offset`; in each sequence offsets run from 0 without a gap.
 
     Pieces are dealt evenly into groups of about `group` rows, and each group is packed on its own.
-    Pieces of sequences that are not full are then dealt anew, into as many fewer groups, and so on
-    while that leaves at most half of them: so all underfull sequences end in one group and exchange
-    pieces, unless most of the pieces can't fill a sequence anyway. Lengths must be from 1 to
-    capacity; a null or other length is an error. Equal pieces and repeated rows are told apart by
-    their place in the input, an empty input gives no rows, and columns that already have the new
-    names are replaced.
+    Pieces of sequences that are not full are then dealt anew, into as many fewer groups, and so on.
+    Where most of the pieces don't fill a sequence, those of sequences that still have room for the
+    smallest piece are dealt anew instead. This ends with all of them in one group, or with a round
+    that needed as many sequences as the one before. Lengths must be from 1 to capacity; a null or
+    other length is an error. Equal pieces and repeated rows are told apart by their place in the
+    input, an empty input gives no rows, and columns that already have the new names are replaced.
     """
     columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     fits = F.when(F.col(length).between(1, capacity), F.monotonically_increasing_id())
     left = stored(pieces.select(*columns, F.coalesce(fits, F.raise_error(F.lit("a piece's length is not from 1 to the capacity")).cast("long")).alias("_n")), "pieces")
-    schema = left.select("*", *[F.lit(0).cast("long").alias(c) for c in ("sequence_id", "offset")], F.lit(True).alias("_full")).schema
+    schema = left.select("*", *[F.lit(0).cast("long").alias(c) for c in ("sequence_id", "offset", "_room")]).schema
 
-    def solve(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("_n", ignore_index=True)
-        bins = Bins(g[length].tolist(), capacity)
+    def solve(g: pa.Table) -> pa.Table:
+        g = g.sort_by("_n")
+        bins = Bins(g[length].to_pylist(), capacity)
         bins.best_fit()
         bins.search()
         order = np.array([i for b in bins.bins for i in b])
         sequence = np.repeat(np.arange(len(bins.bins)), [len(b) for b in bins.bins])
-        sizes = g[length].to_numpy()[order]
+        sizes = g[length].to_numpy()[order].astype(np.int64)
         before = np.cumsum(sizes) - sizes
         first = np.append(0, np.flatnonzero(np.diff(sequence)) + 1)
-        out = g.iloc[order][[*columns, "_n"]].copy()
-        out["sequence_id"] = (g["_g"].iloc[0] << 24) + sequence
-        out["offset"] = before - before[first][sequence]
-        out["_full"] = np.array(bins.fill)[sequence] == capacity
+        out = g.select([*columns, "_n"]).take(pa.array(order))
+        made = {"sequence_id": (g["_g"][0].as_py() << 24) + sequence, "offset": before - before[first][sequence], "_room": capacity - np.array(bins.fill)[sequence]}
+        for name, values in made.items():
+            out = out.append_column(name, pa.array(values, pa.int64()))
         return out
 
-    n, parts = left.count(), []
+    n, parts, needed, deal, any_room = left.count(), [], None, 0, True
     while True:
-        groups, deal = max(1, -(-n // group)), len(parts)
+        groups = max(1, -(-n // group))
         number = (F.pmod(F.xxhash64("_n", F.lit(deal)), F.lit(groups)) + F.lit(deal << 34)).cast("long")
-        solved = left.withColumn("_g", number).groupBy("_g").applyInPandas(solve, schema)
+        solved = left.withColumn("_g", number).groupBy("_g").applyInArrow(solve, schema)
         if groups == 1:
             parts.append(solved)
             break
         solved = stored(solved, "packed")
-        underfull = solved.where("not _full").drop("sequence_id", "offset", "_full")
-        before, n = n, underfull.count()
-        if n > before // 2:
+        under = solved.agg(F.count_if(F.col("offset") == 0).alias("sequences"), F.count_if(F.col("_room") > 0).alias("n"), F.min(F.when(F.col("_room") > 0, F.col(length))).alias("smallest")).first()
+        more = needed is not None and under["sequences"] >= needed
+        if more and not any_room:
             parts.append(solved)
             break
-        parts.append(solved.where("_full"))
-        left = underfull
+        any_room = any_room and not more and under["n"] <= n // 2
+        still = F.col("_room") >= (1 if any_room else F.coalesce(F.lit(under["smallest"]), F.lit(capacity)))
+        again = solved.agg(F.count_if(still).alias("n"), F.count_if(still & (F.col("offset") == 0)).alias("sequences")).first()
+        parts.append(solved.where(~still))
+        left, n, needed, deal = solved.where(still).drop("sequence_id", "offset", "_room"), again["n"], again["sequences"], deal + 1
+        if not n:
+            break
     return reduce(DataFrame.unionByName, parts).select(*columns, "sequence_id", "offset")
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from siftwave.tables import discard, release, stored
+from siftwave.tables import delete, discard, release, shared_dir, stored
 
-__all__ = ["discard", "fold_ascii", "hold_out", "let", "release", "schema_with", "shards", "stored"]
+__all__ = ["delete", "discard", "fold_ascii", "hold_out", "let", "release", "schema_with", "shards", "shared_dir", "stored", "with_computed"]
 
 
 def shards(docs: DataFrame, text: str = "text", size: int = 32_000_000) -> int:
@@ -36,3 +40,25 @@ def hold_out(doc_id: Column, modulus: int) -> Column:
 def schema_with(df: DataFrame, **fields: str):
     """df's schema with more fields, given as name=type."""
     return df.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in fields.items()]).schema
+
+
+def with_computed(df: DataFrame, inputs: tuple[str, ...], work: Callable[..., Iterator[tuple]], drop: tuple[str, ...] = (), **fields: str) -> DataFrame:
+    """df without the columns in drop, with fields (name=type) that work makes of the input columns.
+
+    work gets a list for each input column of a batch and yields (rows, values, ...), the places of
+    the batch's rows to give out, in any number, and a list for each field. All other columns stay in
+    Arrow, so whole numbers beside a null and nested values come out as they went in.
+    """
+    kept = [c for c in df.columns if c not in fields and c not in drop]
+    source = [*kept, *[c for c in inputs if c not in kept]]
+    schema = schema_with(df.select(*[df[c] for c in kept]), **fields)
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields[len(kept) :]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in filter(len, batches):
+            for rows, *values in work(*[b.column(source.index(c)).to_pylist() for c in inputs]):
+                same = isinstance(rows, range) and rows == range(len(b))
+                held = [b.column(i) if same else b.column(i).take(pa.array(rows, pa.int64())) for i in range(len(kept))]
+                yield pa.RecordBatch.from_arrays([*held, *[pa.array(v, k) for v, k in zip(values, kinds, strict=True)]], [*kept, *fields])
+
+    return df.select(*[df[c] for c in source]).mapInArrow(run, schema)
