@@ -31,11 +31,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder and all in it; one that isn't there is no error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that `stored` wrote and that nothing reads any more."""
     for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
-        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        delete(t.sparkSession, t.stored_at)
 
 
 def release(spark: SparkSession) -> None:
