@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwave.llm.blocks import distinct, mix, put, put_sorted, runs, take, take_sorted, text_blocks, text_words
-from siftwave.llm.storage import discard, hold_out, shards, stored
+from siftwave.llm.storage import delete, discard, hold_out, shards, shared_dir, stored
 
 ENDINGS = 65_537  # two last bytes of the word before, or the start of a text
 START = ENDINGS - 1
@@ -142,7 +142,7 @@ def _occurrences(docs: DataFrame, heavy: Heavy, total: int) -> DataFrame:
             order = np.argsort(shard, kind="stable")
             word, context, doc, n, shard = k.word[order], k.context[order], k.doc[order], k.n[order], shard[order]
             cuts = np.append(runs(shard), len(shard))
-            about = (put(b["doc_id"].fillna(0).astype("int64"), "<i8"), put(b["doc_id"].isna(), "u1"), put(k.sizes, "<u4"))
+            about = (put(b["doc_id"], "<i8"), put(b["no_id"], "u1"), put(k.sizes, "<u4"))
             rows = []
             for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 w, some = runs(word[a:z]), distinct(context[a:z])
@@ -345,15 +345,19 @@ def _add(sums: np.ndarray, cells) -> np.ndarray:
 
 
 def _summed(rows: DataFrame, samples: int, size: int, total: int) -> np.ndarray:
-    """Packed vectors, added in about as many groups as the root of their number, and those on the driver."""
+    """Packed vectors, added level by level, each in about as many groups as the root of the one before, and the last few on the driver."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([_packed(_add(np.zeros((samples, size)), zip(g["totals_at"], g["totals"], strict=True)))])
+        return pd.DataFrame([{"g": g["g"].iloc[0]} | _packed(_add(np.zeros((samples, size)), zip(g["totals_at"], g["totals"], strict=True)))])
 
-    parts = rows.select("totals_at", "totals", (F.col("shard") % max(1, round(total**0.5))).alias("g")).groupBy("g").applyInPandas(run, "totals_at binary, totals binary")
-    return _add(np.zeros((samples, size)), parts.collect())
+    groups, parts = total, rows.select(F.col("shard").cast("long").alias("g"), "totals_at", "totals")
+    while groups > LAST:
+        groups = max(1, round(groups**0.5))
+        parts = parts.withColumn("g", F.col("g") % groups).groupBy("g").applyInPandas(run, "g long, totals_at binary, totals binary")
+    return _add(np.zeros((samples, size)), parts.select("totals_at", "totals").collect())
 
 
+LAST = 16  # vectors that the driver adds, at most
 TABLE = (EXACT + 1) ** 2
 PARTS = lambda heavy: (ENDINGS,) * 4 + (heavy,) * 2 + (TABLE,) * 3 + (6,)
 
@@ -582,13 +586,25 @@ def score_texts(docs: DataFrame, rounds: int = 2, burn: int = 2, keep: int = 3,
     rows all tokens are unknown.
     """
     spark, rng = docs.sparkSession, np.random.default_rng(seed)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (hold_out(F.col("doc_id"), 10) != 0).alias("train"))
+    key = F.col("doc_id").cast("long")
+    # In pandas a column of ids with a null would be one of doubles.
+    docs = docs.select(F.coalesce(key, F.lit(0)).alias("doc_id"), key.isNull().alias("no_id"), F.col("text").cast("string").alias("text"), (hold_out(F.col("doc_id"), 10) != 0).alias("train"))
     total = shards(docs, size=shard_bytes)
     heavy, grid = _heavy_words(docs, total), log_stirling(DISCOUNTS)
     # The shards' seats are a bucketed table: every round reads them where they are, and only what changes is shuffled.
     name = f"siftwave_seats_{uuid.uuid4().hex}"
-    _seated(_occurrences(docs, heavy, total)).write.bucketBy(min(total, int(spark.conf.get("spark.sql.shuffle.partitions"))), "shard").saveAsTable(name)
-    seated, samples, g, previous = spark.table(name), 1, None, ()
+    seats = f"{shared_dir(spark)}/{name}"
+    try:
+        _seated(_occurrences(docs, heavy, total)).write.bucketBy(min(total, int(spark.conf.get("spark.sql.shuffle.partitions"))), "shard").option("path", seats).saveAsTable(name)
+        return _scored(spark.table(name), heavy, grid, rng, rounds, burn, keep, seed, total)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(spark, seats)
+
+
+def _scored(seated: DataFrame, heavy: Heavy, grid: np.ndarray, rng: np.random.Generator, rounds: int, burn: int, keep: int, seed: int, total: int) -> DataFrame:
+    """The rounds of score_texts over the stored seats of all shards."""
+    samples, g, previous = 1, None, ()
     pairs = seated.drop("seen")
     for r in range(rounds + 1):
         last = r == rounds
@@ -602,7 +618,6 @@ def score_texts(docs: DataFrame, rounds: int = 2, burn: int = 2, keep: int = 3,
         discard(*previous)
         previous = (sent, back)
     scores = stored(_gathered(_partial_scores(seated, rows, heavy, totals, total), g.tokens, g.known), "scores")
-    spark.sql(f"DROP TABLE {name}")
     discard(*previous)
     return scores.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
