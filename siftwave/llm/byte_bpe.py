@@ -8,11 +8,11 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from siftwave.llm.storage import schema_with
+from siftwave.llm.storage import with_computed
 
 CACHE = 500_000  # matches, and pairs of ids, that a worker remembers
 
@@ -158,16 +158,12 @@ def encode_column(df: DataFrame, path: str, pattern: str, text: str = "text", ou
     repeated rows get equal ids, and an empty table gives no rows. A column already named `out` is
     replaced; all others stay.
     """
-    columns = [c for c in df.columns if c != out]
-    schema = schema_with(df.select(*columns), **{out: "array<int>"})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(texts: list[str | None]) -> Iterator[tuple]:
         bpe = load(path, pattern)
-        for b in batches:
-            b[out] = [np.frombuffer(bpe.encode_cell(t or ""), "<i4") for t in b[text]]
-            yield b
+        yield range(len(texts)), [np.frombuffer(bpe.encode_cell(t or ""), "<i4") for t in texts]
 
-    return df.select(*columns).mapInPandas(run, schema)
+    return with_computed(df, (text,), work, **{out: "array<int>"})
 
 
 def decode_column(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -176,16 +172,12 @@ def decode_column(df: DataFrame, path: str, pattern: str, ids: str = "ids", out:
     Null ids give null, no ids no bytes, and an unknown id is an error. A column already named `out`
     is replaced; all others stay. An empty table gives no rows.
     """
-    columns = [c for c in df.columns if c != out]
-    schema = schema_with(df.select(*columns), **{out: "binary"})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(column: list[list[int] | None]) -> Iterator[tuple]:
         bpe = load(path, pattern)
-        for b in batches:
-            b[out] = [None if x is None else bpe.decode(np.asarray(x).tolist()) for x in b[ids]]
-            yield b
+        yield range(len(column)), [None if x is None else bpe.decode(x) for x in column]
 
-    return df.select(*columns).mapInPandas(run, schema)
+    return with_computed(df, (ids,), work, **{out: "binary"})
 
 
 def bpe_rows(df: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -194,16 +186,11 @@ def bpe_rows(df: DataFrame, path: str, pattern: str) -> DataFrame:
     Null ids of documents stay null, null texts are empty, and an empty table gives no rows.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(texts: list[str | None]) -> Iterator[tuple]:
         bpe = load(path, pattern)
         sha = lambda raw: hashlib.sha256(raw).hexdigest()
-        for b in batches:
-            rows = []
-            for text in b["text"]:
-                cell = bpe.encode_cell(text or "")
-                rows.append((len(cell) // 4, sha(cell), sha(bpe.decode(np.frombuffer(cell, "<u4").tolist()))))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", b["doc_id"].array)
-            yield out
-
-    return df.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        cells = [bpe.encode_cell(t or "") for t in texts]
+        yield range(len(texts)), [len(c) // 4 for c in cells], [sha(c) for c in cells], [sha(bpe.decode(np.frombuffer(c, "<u4").tolist())) for c in cells]
+
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return with_computed(rows, ("text",), work, drop=("text",), n_tokens="long", ids_sha256="string", decoded_sha256="string")

@@ -14,10 +14,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from siftwave.llm.storage import schema_with
+from siftwave.llm.storage import with_computed
 
 SAMPLE, PER_CHUNK, KEY_EVERY, RATE = 64, 128, 16, 8000
 TRACK = "struct<track:int,handler:string,codec:string,timescale:long,duration:long,n_samples:long,media_bytes:long,keyframes:array<struct<start:long,stop:long>>>"
@@ -275,15 +274,11 @@ def add_media(df: DataFrame, text: str = "text", out: str = "media") -> DataFram
     repeated rows give equal containers, an empty table gives no rows. A column already named `out`
     is replaced; all others stay.
     """
-    columns = [c for c in df.columns if c != out]
-    place, schema = columns.index(text), df.select(*columns).withColumn(out, df[text].cast("binary")).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b[out] = [mux(padded(t)) for t in b.iloc[:, place]]
-            yield b
+    def work(texts: list[str | None]) -> Iterator[tuple]:
+        yield range(len(texts)), [mux(padded(t)) for t in texts]
 
-    return df.select(*columns).mapInPandas(run, schema)
+    return with_computed(df, (text,), work, **{out: "binary"})
 
 
 def padded(text: str | None) -> bytes:
@@ -299,8 +294,6 @@ def probe_media(df: DataFrame, media: str = "media", out: str = "tracks") -> Dat
     in the container; very long containers are walked without reading their payloads. Existing
     columns of these names are replaced, all others stay, and an empty table gives no rows.
     """
-    columns = [c for c in df.columns if c not in (media, out, "media_error")]
-    schema = schema_with(df.select(*columns), **{out: f"array<{TRACK}>", "media_error": "string"})
 
     def tracks(data):
         if data is None:
@@ -310,14 +303,11 @@ def probe_media(df: DataFrame, media: str = "media", out: str = "tracks") -> Dat
         except (ValueError, struct.error, IndexError) as e:
             return None, str(e)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [tracks(x) for x in b[media]]
-            rest = b[columns].copy()
-            rest[out], rest["media_error"] = [x[0] for x in found], [x[1] for x in found]
-            yield rest
+    def work(cells: list[bytes | None]) -> Iterator[tuple]:
+        found = [tracks(x) for x in cells]
+        yield range(len(cells)), [x[0] for x in found], [x[1] for x in found]
 
-    return df.select(*columns, media).mapInPandas(run, schema)
+    return with_computed(df, (media,), work, drop=(media,), **{out: f"array<{TRACK}>", "media_error": "string"})
 
 
 def _record(t: Track) -> dict:
@@ -338,13 +328,9 @@ def media_rows(df: DataFrame) -> DataFrame:
         feature = f"codec={r['codec'].strip()};handler={r['handler']};timescale={r['timescale']};duration={r['duration']};samples={r['n_samples']};keyframes={len(ranges)};ranges={zlib.crc32(ranges.tobytes()):08x}"
         return len(payload), sha(payload), zlib.crc32(payload[-SAMPLE:]), len(data), sha(data), feature
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [digest(x) for x in b["media"]]
-            yield pd.DataFrame(
-                {"doc_id": b["doc_id"], "n_bytes": b["n_bytes"]} | {name: [r[i] for r in rows] for i, name in enumerate(("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"))}
-            )
+    def work(cells: list[bytes]) -> Iterator[tuple]:
+        yield range(len(cells)), *map(list, zip(*map(digest, cells), strict=True))
 
-    stored = add_media(df.selectExpr("doc_id", "coalesce(octet_length(text), 0L) AS n_bytes", "text"))
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return stored.selectExpr("doc_id", "cast(n_bytes AS long) AS n_bytes", "media").mapInPandas(run, schema)
+    stored = add_media(df.selectExpr("cast(doc_id AS long) AS doc_id", "cast(coalesce(octet_length(text), 0) AS long) AS n_bytes", "text"))
+    fields = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
+    return with_computed(stored.select("doc_id", "n_bytes", "media"), ("media",), work, drop=("media",), **fields)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwave.llm.blocks import mix, word_ids
-from siftwave.llm.storage import hold_out
+from siftwave.llm.storage import hold_out, with_computed
 
 PASSAGE = 96  # words
 SAMPLE = 6000  # labelled documents that a model is fitted on, at most
@@ -183,19 +183,15 @@ def score_documents(df: DataFrame, model: GatedAttention, text: str = "text", ou
     equal scores, and an empty table gives no rows. A column already named `out` is replaced; others
     stay.
     """
-    columns = [c for c in df.columns if c != out]
-    schema = df.select(*columns, F.lit(0.0).alias(out)).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            scores, texts = np.empty(len(b)), [t or "" for t in b[text]]
-            for some in _slices(texts):
-                x, sizes = encode_texts(texts[some])
-                scores[some] = model.score(x, np.repeat(np.arange(len(sizes)), sizes), len(sizes))
-            b[out] = scores
-            yield b
+    def work(column: list[str | None]) -> Iterator[tuple]:
+        scores, texts = np.empty(len(column)), [t or "" for t in column]
+        for some in _slices(texts):
+            x, sizes = encode_texts(texts[some])
+            scores[some] = model.score(x, np.repeat(np.arange(len(sizes)), sizes), len(sizes))
+        yield range(len(column)), scores
 
-    return df.select(*columns).mapInPandas(run, schema)
+    return with_computed(df, (text,), work, **{out: "double"})
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -76,7 +76,7 @@ def _lists(docs: DataFrame, width: int, total: int) -> DataFrame:
             light = doc[listed]
             block = task + number
             home = block % total
-            about = (put(b["doc_id"].fillna(0).astype("int64"), "<i8"), put(b["doc_id"].isna(), "u1"), put(sizes, "<u4"), put(token[at][often], "<u8"), put(count[often], "<u4"), put(doc[~listed], "<u4"))
+            about = (put(b["doc_id"], "<i8"), put(b["no_id"], "u1"), put(sizes, "<u4"), put(token[at][often], "<u8"), put(count[often], "<u4"), put(doc[~listed], "<u4"))
             rows = [(home, block, None, None, None, *about)]
             for a, z in zip(cuts[:-1], cuts[1:], strict=True):
                 rows.append((int(shard[a]), block, put_sorted(token[at][a:z]), put(count[a:z], "<u4"), put(light[before[a] : before[z]], "<u4"), *[None] * 6))
@@ -232,7 +232,9 @@ def join_similar(docs: DataFrame, width: int = 5, percent: int = 75, hubs: int =
     taken whole, ties and repeated rows need no special case, other columns of docs are not read, and
     an empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    key = F.col("doc_id").cast("long")
+    # In pandas a column of ids with a null would be one of doubles.
+    docs = docs.select(F.coalesce(key, F.lit(0)).alias("doc_id"), key.isNull().alias("no_id"), F.col("text").cast("string").alias("text"))
     total = shards(docs, size=SHARD)
     table = stored(_documents(_shared(_lists(docs, width, total)), percent), "shingle-sets")
     release(docs.sparkSession)

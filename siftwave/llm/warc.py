@@ -11,10 +11,11 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwave.llm.storage import with_computed
+
 VERSION = b"WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 # Elements whose content is no text, and those that end a line.
@@ -271,35 +272,31 @@ def derive_records(df: DataFrame, warc: str = "warc", key: str = "page_id") -> D
     else; the other records of its cell are derived. Repeated rows and null keys give repeated
     records, very long pages are read whole in one pass, and other columns are not read.
     """
-    kind = df.select(key).schema[0].dataType.simpleString()
-    names = [c.split()[0] for c in DERIVED.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for i, raw in enumerate(b["warc"]):
-                for x in derive(raw) if raw is not None else []:
-                    if isinstance(x, ValueError):
-                        rows.append((i, *[None] * len(names), str(x)))
-                        continue
-                    ((h, body),) = parse(x)
-                    rows.append((i, h["warc-type"], h["warc-record-id"], h.get("warc-refers-to"), h["warc-target-uri"], h["warc-block-digest"], h.get("warc-source-payload-digest"), body.decode("utf-8", "replace"), x, None))
-            out = pd.DataFrame(rows, columns=["i", *names, "error"])
-            out.insert(0, key, b["k"].iloc[out["i"].astype(int)].array)
-            yield out.drop(columns="i")
-
-    return df.select(F.col(key).alias("k"), F.col(warc).alias("warc")).mapInPandas(run, f"`{key}` {kind}, {DERIVED}, error string")
+    fields = dict(c.split() for c in DERIVED.split(", ")) | {"error": "string"}
+
+    def work(cells: list[bytes | None]) -> Iterator[tuple]:
+        rows = []
+        for i, raw in enumerate(cells):
+            for x in derive(raw) if raw is not None else []:
+                if isinstance(x, ValueError):
+                    rows.append((i, *[None] * (len(fields) - 1), str(x)))
+                    continue
+                ((h, body),) = parse(x)
+                rows.append((i, h["warc-type"], h["warc-record-id"], h.get("warc-refers-to"), h["warc-target-uri"], h["warc-block-digest"], h.get("warc-source-payload-digest"), body.decode("utf-8", "replace"), x, None))
+        if rows:
+            yield tuple(map(list, zip(*rows, strict=True)))
+
+    named = df.select(F.col(key).alias("_key"), F.col(warc).alias("_warc"))
+    return with_computed(named, ("_warc",), work, drop=("_warc",), **fields).withColumnRenamed("_key", key)
 
 
 def response_records(pages: DataFrame, out: str = "warc") -> DataFrame:
     """page_id and one response record for each page; null urls and pages are empty, very long ones whole."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"page_id": b["page_id"], out: [response(*r) for r in zip(b["page_id"], b["url"], b["html"], strict=True)]})
+    def work(*columns: list) -> Iterator[tuple]:
+        yield range(len(columns[0])), [response(*r) for r in zip(*columns, strict=True)]
 
-    kind = pages.select("page_id").schema[0].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id {kind}, {out} binary")
+    return with_computed(pages.select("page_id", "url", "html"), ("page_id", "url", "html"), work, drop=("url", "html"), **{out: "binary"})
 
 
 def warc_rows(pages: DataFrame) -> DataFrame:
