@@ -21,7 +21,8 @@ from siftwave.operators import reports as R
 from siftwave.operators import splits as X
 from siftwave.operators.encoders import encoder_factory
 from siftwave.operators.matching import drop_unlabelled, match_ids, missing_report
-from siftwave.operators.neighbours import nearest, scaler_stats, standardize
+from siftwave.operators.metric_index import nearest_any
+from siftwave.operators.neighbours import scaler_stats, standardize
 from siftwave.operators.signals import encode_signals, with_layout
 from siftwave.sources import readers, writers
 from siftwave.tables import stored
@@ -150,8 +151,8 @@ def classify(spark: SparkSession, features: str, train_ids: str, test_ids: str,
     known = test.join(classes.select("label"), "label", "left_semi")
     fitted = (lambda side, stats=scaler_stats(train): standardize(side, stats)) if standardize_features else (lambda side: side)
     named = fitted(train).withColumns({"train_id": F.col("id"), "train_label": F.col("label")})
-    hits = stored(nearest(fitted(known), named, max(knn_k, inspect_topk), metric, carry=("train_id", "train_label")), "neighbours")
-    probs = stored(C.view_probabilities(C.channel_probabilities(hits.where(F.col("rank") <= knn_k), vote, eps), wanted if view in wanted else [*wanted, view]), "probabilities")
+    hits = stored(nearest_any(fitted(known), named, knn_k, metric, carry=("train_id", "train_label")), "neighbours")
+    probs = stored(C.view_probabilities(C.channel_probabilities(hits, vote, eps), wanted if view in wanted else [*wanted, view]), "probabilities")
     preds = stored(C.predictions(probs), "predictions")
     about = known.select("ord", "id", F.col("label").alias("y_true")).distinct()
     table = stored(E.confusion(preds.join(about, "ord"), names, wanted), "confusion")
@@ -162,12 +163,14 @@ def classify(spark: SparkSession, features: str, train_ids: str, test_ids: str,
         one = full.where(F.col("view") == v).orderBy("ord").select("id", condition_from_path(F.col("id")).alias("condition"), "y_true", "y_pred", *[f"p_{c}" for c in names])
         writers.write_csv(one, f"{folder}/preds_multiclass.csv")
         writers.write_csv(R.confusion_matrix(own, names).drop("view").orderBy("true"), f"{folder}/cm_multiclass.csv")
+        writers.write_csv(R.classification_views(own, names, train.select("ord").distinct().count(), knn_k, metric, vote, standardize_features, per_channel), f"{folder}/metrics_multiclass.csv")
         writers.write_json(R.classification_views(own, names, train.select("ord").distinct().count(), knn_k, metric, vote, standardize_features, per_channel), f"{folder}/metrics.json")
     writers.write_csv(unseen, f"{outdir}/unseen_test_samples.csv")
     if inspect_labels:
-        found = C.inspect_neighbours(hits, preds, known.select("ord", "id", "label").distinct(), view, csv_options(inspect_labels), inspect_mode, inspect_topk or knn_k)
-        writers.write_csv(found, f"{outdir}/inspect_neighbors_{view}.csv")
-        writers.write_csv(C.hit_counts(found).orderBy(F.desc("hit_count"), "train_id"), f"{outdir}/inspect_train_hit_counts_{view}.csv")
+        found = C.inspect_neighbours(hits, preds, known.select("ord", "id", "label").distinct(), view, csv_options(inspect_labels), inspect_mode, max(1, min(inspect_topk or knn_k, knn_k)))
+        tail = f"{'_'.join(csv_options(inspect_labels))}__{view}.csv"
+        writers.write_csv(found, f"{outdir}/inspect_neighbors_{tail}")
+        writers.write_csv(C.hit_counts(found).orderBy(F.desc("hit_count"), "train_id"), f"{outdir}/inspect_train_hit_counts_{tail}")
 
 
 JOBS = {"make-index": make_index, "extract-features": extract_features, "split-fd": split_fd, "split-fc": split_fc, "detect": detect, "classify": classify}

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwave.model import views_table
-from siftwave.operators.neighbours import nearest, scaler_stats, standardize
+from siftwave.operators.metric_index import nearest_any
+from siftwave.operators.neighbours import scaler_stats, standardize
 from siftwave.operators.running import Ordered
 from siftwave.tables import stored
 
@@ -15,12 +16,12 @@ DIGITS = 12  # fused values are rounded before they are ranked or compared
 
 def train_scores(train: DataFrame, k: int = 11, metric: str = "l2") -> DataFrame:
     """channel, ord, raw of training vectors among themselves, a vector's own hit aside."""
-    return nearest(train, train, k, metric, skip_first=True).groupBy("channel", "ord").agg(F.avg("dist").alias("raw"))
+    return nearest_any(train, train, k, metric, skip_first=True).groupBy("channel", "ord").agg(F.avg("dist").alias("raw"))
 
 
 def tested_scores(train: DataFrame, test: DataFrame, k: int = 11, metric: str = "l2") -> DataFrame:
     """channel, ord, raw of test vectors: the mean distance to the k nearest training vectors."""
-    return nearest(test, train, k, metric).groupBy("channel", "ord").agg(F.avg("dist").alias("raw"))
+    return nearest_any(test, train, k, metric).groupBy("channel", "ord").agg(F.avg("dist").alias("raw"))
 
 
 def channel_scores(train: DataFrame, test: DataFrame, k: int = 11, metric: str = "l2", scale: bool = True) -> DataFrame:

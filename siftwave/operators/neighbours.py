@@ -50,17 +50,39 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.where(n > 0, n, 1)
 
 
+def squared(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of all rows of x and y from one matrix product, and how far off they may be for each row of x."""
+    xx, yy = (x**2).sum(1), (y**2).sum(1)
+    return xx[:, None] + yy - 2 * (x @ y.T), 8 * np.finfo(float).eps * (x.shape[1] + 4) * (xx + yy.max(initial=0))
+
+
 def _candidates(x: np.ndarray, y: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of x, row of y) that hold the `take` nearest of each row, by squared distances from one matrix product.
+    """Pairs (row of x, row of y) that hold the `take` nearest of each row.
 
     The product is off by rounding, so every pair within twice its error bound of the last wanted one is kept.
     """
-    xx, yy = (x**2).sum(1), (y**2).sum(1)
-    d = xx[:, None] + yy - 2 * (x @ y.T)
-    bound = 8 * np.finfo(float).eps * (x.shape[1] + 4) * (xx + yy.max())
+    d, bound = squared(x, y)
     return np.nonzero(d <= np.partition(d, take - 1, axis=1)[:, take - 1 : take] + 2 * bound[:, None])
 
 
+def measured(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of the rows of x and y, pair by pair, so that equal vectors have equal distances wherever they stand.
+
+    Cosine distances are those of rows that _unit has scaled.
+    """
+    size = max(1, MATRIX // max(1, y.shape[-1]))
+    one = (lambda a, b: np.sqrt(((a - b) ** 2).sum(1))) if metric == "l2" else (lambda a, b: 1 - (a * b).sum(1))
+    return np.concatenate([np.zeros(0), *[one(x[i : i + size], y[i : i + size]) for i in range(0, len(x), size)]])
+
+
+def matrix(vectors) -> np.ndarray:
+    """Vectors as rows; ValueError where a number is null, infinite or none."""
+    x = np.stack(vectors).astype(float)
+    if not np.isfinite(x).all():
+        raise ValueError("vectors of neighbours must be finite")
+    return x
+
+
 def top_pairs(x: np.ndarray, y: np.ndarray, take: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of x, rows of y and distances of the `take` nearest of each row of x; of equals the first in y."""
     take = min(take, len(y))
@@ -72,12 +94,10 @@ def top_pairs(x: np.ndarray, y: np.ndarray, take: int, metric: str) -> tuple[np.
         part = x[at : at + step]
         if metric == "l2":
             r, c = _candidates(part, y, take)
-            size = max(1, MATRIX // x.shape[1])
-            d = np.concatenate([np.sqrt(((part[r[i : i + size]] - y[c[i : i + size]]) ** 2).sum(1)) for i in range(0, len(r), size)])
         else:
-            whole = 1 - part @ y.T
-            r, c = np.nonzero(whole <= np.partition(whole, take - 1, axis=1)[:, take - 1 : take])
-            d = whole[r, c]
+            whole, bound = -(part @ y.T), 8 * np.finfo(float).eps * (x.shape[1] + 4)
+            r, c = np.nonzero(whole <= np.partition(whole, take - 1, axis=1)[:, take - 1 : take] + 2 * bound)
+        d = measured(part[r], y[c], metric)
         order = np.lexsort((c, d, r))
         r, c, d = r[order], c[order], d[order]
         first = np.searchsorted(r, np.arange(len(part)))
@@ -96,7 +116,9 @@ def nearest(queries: DataFrame, reference: DataFrame, k: int, metric: str = "l2"
     every pair of blocks of a channel is one task's work and keeps its k best, which are merged by
     rank. So neither side has to fit anywhere whole, and no pair of vectors becomes a row. Ties go to
     the smaller train_ord. skip_first drops each query's nearest hit (its own copy when the sides are
-    the same) and returns at most k of the others.
+    the same) and returns at most k of the others. A vector with a number that is not finite is an
+    error. Where vectors lie in clusters, metric_index.MetricIndex finds the same rows and measures
+    far fewer pairs.
     """
     metric, take = metric_name(metric), k + skip_first
     spark = queries.sparkSession
@@ -107,14 +129,14 @@ def nearest(queries: DataFrame, reference: DataFrame, k: int, metric: str = "l2"
     fresh = lambda df, *more: df.select(*[F.col(n).alias(n) for n in ("channel", "ord", "vec", *more)])  # noqa: E731  both sides may come from one frame
 
     def hits(a: pd.DataFrame, b: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
-        r, c, d = top_pairs(np.stack(a["vec"]).astype(float), y, take, metric)
+        r, c, d = top_pairs(matrix(a["vec"]), y, take, metric)
         out = {"channel": a["channel"].to_numpy()[r], "ord": a["ord"].to_numpy()[r], "train_ord": b["ord"].to_numpy()[c], "dist": d}
         return pd.DataFrame(out | {n: b[n].to_numpy()[c] for n in carry})[names]
 
     none = pd.DataFrame(columns=names)
     if size <= BROADCAST:
         table = fresh(reference, *carry).toPandas().sort_values("ord", ignore_index=True)
-        sides = {ch: (b.drop(columns="vec"), np.stack(b["vec"]).astype(float)) for ch, b in table.groupby("channel")}
+        sides = {ch: (b.drop(columns="vec"), matrix(b["vec"])) for ch, b in table.groupby("channel")}
         shared = spark.sparkContext.broadcast(sides)
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,7 +158,7 @@ def nearest(queries: DataFrame, reference: DataFrame, k: int, metric: str = "l2"
             if not len(a) or not len(b):
                 return none
             b = b.sort_values("ord", ignore_index=True)
-            return hits(a, b, np.stack(b["vec"]).astype(float))
+            return hits(a, b, matrix(b["vec"]))
 
         keys = ["channel", "qb", "rb"]
         found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)

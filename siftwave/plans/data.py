@@ -30,8 +30,8 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def concat_features(rows: DataFrame) -> DataFrame:
-    """Long features of the first 63 dimensions, nine for each channel."""
-    return blocks_of_concat(rows.withColumn("x", F.slice("x", 1, 63)))
+    """Long features of all 64 dimensions and six zeros, ten for each channel."""
+    return blocks_of_concat(rows.withColumn("x", F.concat("x", F.array_repeat(F.lit(0.0), 6))))
 
 
 def _parts() -> list:

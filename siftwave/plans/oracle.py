@@ -6,7 +6,8 @@ SAMPLES = """ids AS (SELECT vec_id AS ord, embedding::DOUBLE[] AS e, ['normal','
   ['heavy','med','light'][vec_id % 3 + 1] || '_vel' || ['80','90','100','120'][(vec_id // 3) % 4 + 1] || '_' || ['clean','noiseA','noiseB'][(vec_id // 12) % 3 + 1] || '_' || printf('%04d', vec_id) AS tail,
   ['heavy','med','light'][vec_id % 3 + 1] AS load, ['80','90','100','120'][(vec_id // 3) % 4 + 1] AS vel, CASE WHEN (vec_id // 12) % 3 = 0 THEN 'clean' ELSE 'noise' END AS noise_cls FROM embeddings),
  s AS (SELECT *, CASE WHEN fault = 'normal' THEN 'normal/' || tail ELSE 'abnormal/' || fault || '/' || tail END AS id FROM ids)"""
-FEATURES = "f AS (SELECT ord, c.range::INT AS channel, list_slice(e, 1 + 9 * c.range, 9 + 9 * c.range) AS vec FROM s, range(7) c)"
+PADDED = "list_concat(e, list_transform(range(6), lambda i: 0::DOUBLE))"
+FEATURES = f"f AS (SELECT ord, c.range::INT AS channel, list_slice({PADDED}, 1 + 10 * c.range, 10 + 10 * c.range) AS vec FROM s, range(7) c)"
 LISTS = "f AS (SELECT ord, c.range::INT AS channel, CASE WHEN c.range = 0 THEN list_slice(e, 1, 10) ELSE list_slice(e, 2 + 9 * c.range, 10 + 9 * c.range) END AS vec FROM s, range(7) c)"
 
 
@@ -143,6 +144,9 @@ def oracle_sql() -> dict[str, str]:
         "standardized_features": with_(*FD) + f"SELECT ord, channel, pos::INT AS pos, {r('(x - mu) / sd', 'x')} FROM flat JOIN stats USING (channel, pos) JOIN p USING (ord) WHERE part <> 'train'",
         "knn_l2": with_(*FD, ranked("hit", "te", "tr")) + knn("hit", 1, 11, 0),
         "knn_cosine": with_(*FD, ranked("hit", "te", "tr", COSINE)) + knn("hit", 1, 11, 0),
+        "knn_pruned_l2": with_(*FD, ranked("hit", "te", "tr")) + knn("hit", 1, 11, 0),
+        "knn_pruned_cosine": with_(*FD, ranked("hit", "te", "tr", COSINE)) + knn("hit", 1, 11, 0),
+        "knn_pruned_self_excluded": with_(*FD, ranked("hit", "tr", "tr")) + knn("hit", 2, 12, 1),
         "knn_self_excluded": with_(*FD, ranked("hit", "tr", "tr")) + knn("hit", 2, 12, 1),
         "fd_channel_scores_quantile": with_(*FD, RAW, QUANTILE) + f"SELECT channel, ord, {r('raw', 'raw')}, {r('score', 'score')} FROM norm",
         "fd_channel_scores_zscore": with_(*FD, RAW, ZSCORE) + f"SELECT channel, ord, {r('raw', 'raw')}, {r('score', 'score')} FROM norm",
@@ -166,12 +170,12 @@ def oracle_sql() -> dict[str, str]:
         "fc_hit_counts": with_(*FC, WEIGHTED, PREDS, INSPECT) + "SELECT train_id, train_label, count(*) AS hit_count FROM ins GROUP BY ALL",
         "signal_dc_removed": with_(SERIES) + f"SELECT key, pos, {r('x - avg(x) OVER (PARTITION BY key)', 'x', 10)} FROM e",
         "signal_window_pool": with_(SERIES, "t AS (SELECT *, count(*) OVER (PARTITION BY key) AS t FROM e)", "w AS (SELECT key, pos // 8 AS win, x FROM t WHERE pos < t // 8 * 8 UNION ALL SELECT key, t // 8, x FROM t WHERE t % 8 > 0 AND pos >= greatest(t - 8, 0))") + f"SELECT key, win, count(*) AS n, {r('avg(x)', 'mean')}, {r('sqrt(avg(x * x))', 'rms')} FROM w GROUP BY ALL",
-        "multichannel_concatenate": combined(f"{unnested} (SELECT ord, list_slice(e, 1, 63) AS vec FROM s)"),
+        "multichannel_concatenate": combined(f"{unnested} (SELECT ord, {PADDED} AS vec FROM s)"),
         "multichannel_average": combined("SELECT ord, pos, round(avg(x), 6) + 0.0 AS x FROM (SELECT ord, generate_subscripts(vec, 1) - 1 AS pos, unnest(vec) AS x FROM f) GROUP BY ALL"),
         "multichannel_first": combined(f"{unnested} (SELECT ord, vec FROM f WHERE channel = 0)"),
         "multichannel_last": combined(f"{unnested} (SELECT ord, vec FROM f WHERE channel = 6)"),
         "encoder_host": with_(SERIES, WINDOWS, "m AS (SELECT key, win, avg(x) AS a, sqrt(avg(x * x)) AS b, max(x) AS c, min(x) AS d FROM w GROUP BY ALL)", "g AS (SELECT key, [avg(a), avg(b), avg(c), avg(d)] AS v FROM m GROUP BY key)") + "SELECT key, unnest([0, 1, 2, 3])::INT AS pos, round(unnest(v), 6) + 0.0 AS x, NULL::VARCHAR AS error FROM g",
-        "ids_match": with_(SAMPLES, MATCHED) + f"SELECT lst.ord, lst.id, last_.ord AS source_ord, c.range::INT AS channel, {r('f * list_sum(list_slice(e, 1 + 9 * c.range, 9 + 9 * c.range))', 'total')} FROM lst JOIN last_ USING (id), range(7) c",
+        "ids_match": with_(SAMPLES, MATCHED) + f"SELECT lst.ord, lst.id, last_.ord AS source_ord, c.range::INT AS channel, {r(f'f * list_sum(list_slice({PADDED}, 1 + 10 * c.range, 10 + 10 * c.range))', 'total')} FROM lst JOIN last_ USING (id), range(7) c",
         "ids_missing": with_(SAMPLES, MATCHED) + "SELECT ord, id FROM lst WHERE id NOT IN (SELECT id FROM s)",
         "ids_missing_report": with_(SAMPLES, MATCHED) + "SELECT count(*) AS n_missing, array_to_string(list_slice(list(id ORDER BY ord), 1, 5), ',') AS first_ids FROM lst WHERE id NOT IN (SELECT id FROM s)",
         "labels_dropped": with_(SAMPLES, PARTS.replace("'/data//./' || id", "id")) + "SELECT count(*) FILTER (CASE WHEN a > 0 THEN l[a + 1] WHEN n > 0 THEN 'normal' END IS NULL) AS n_dropped FROM pos",
@@ -189,5 +193,5 @@ def oracle_sql() -> dict[str, str]:
   count(DISTINCT (vel, load, noise_cls)) FILTER (part = 'train') AS "N_train_conditions", count(DISTINCT (vel, load, noise_cls)) FILTER (part <> 'train') AS "N_test_conditions",
   array_to_string(list_sort(list_distinct(list(fault) FILTER (part = 'train'))), ',') AS train_labels, array_to_string(list_sort(list_distinct(list(fault) FILTER (part <> 'train'))), ',') AS test_labels, array_to_string(list_sort(list_distinct(list(fault))), ',') AS all_labels FROM p""",
         "score_arrivals": with_(*FD_SCORED) + f"SELECT view, ord, {r('score', 'score')} FROM fu",
-        "views": "SELECT 'audio' AS view, unnest([0,1,2]) AS channel, unnest([1,2,3]) AS place, 3 AS n_channels UNION ALL SELECT 'vibration', unnest([3,4,5,6]), unnest([1,2,3,4]), 4 UNION ALL SELECT 'fused', unnest([0,1,2,3,4,5,6]), unnest([1,2,3,4,5,6,7]), 7",
+        "views": with_(SAMPLES, FEATURES, "v AS (SELECT 'audio' AS view, unnest([0,1,2]) AS channel, unnest([1,2,3]) AS place, 3 AS n_channels UNION ALL SELECT 'vibration', unnest([3,4,5,6]), unnest([1,2,3,4]), 4 UNION ALL SELECT 'fused', unnest([0,1,2,3,4,5,6]), unnest([1,2,3,4,5,6,7]), 7)") + f"SELECT view, channel, place, n_channels, count(*) AS n_vectors, {r('avg(list_sum(vec))', 'mean_total')} FROM v JOIN f USING (channel) GROUP BY ALL",
     }

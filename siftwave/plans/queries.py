@@ -16,6 +16,7 @@ from siftwave.operators import signals as S
 from siftwave.operators import splits as X
 from siftwave.operators.encoders import Encoder
 from siftwave.operators.matching import drop_unlabelled, match_ids, missing_ids, missing_report
+from siftwave.operators.metric_index import MetricIndex
 from siftwave.operators.neighbours import nearest, scaler_stats, standardize
 from siftwave.plans.data import cell_features, column_features, concat_features, list_features, samples
 from siftwave.sources.readers import build_index, first_samples, is_monotone
@@ -137,6 +138,17 @@ def knn(metric, own=False):
     return query
 
 
+def knn_pruned(metric, own=False):
+    """The same rows by an index that measures only what its bounds leave."""
+
+    def query(spark, sf_dir):
+        train, test, _ = _fd_sides(spark, sf_dir)
+        n = MetricIndex(train, metric).nearest(train if own else test, K, skip_first=own)
+        return n.select("channel", "ord", "rank", "train_ord", _r("dist").alias("dist"))
+
+    return query
+
+
 # -- detection
 
 
@@ -389,7 +401,10 @@ def arrivals(spark, sf_dir):
 
 
 def views(spark, sf_dir):
-    return views_table(spark)
+    """The channels of each view, with their vectors counted and summed up."""
+    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
+    by_channel = concat_features(samples(spark, sf_dir)).groupBy("channel").agg(F.count(F.lit(1)).alias("n_vectors"), _r(F.avg(total)).alias("mean_total"))
+    return views_table(spark).join(by_channel, "channel").select("view", "channel", "place", "n_channels", "n_vectors", "mean_total")
 
 
 def queries() -> dict:
@@ -418,6 +433,9 @@ def queries() -> dict:
         "knn_l2": knn("l2"),
         "knn_cosine": knn("cosine"),
         "knn_self_excluded": knn("l2", own=True),
+        "knn_pruned_l2": knn_pruned("l2"),
+        "knn_pruned_cosine": knn_pruned("cosine"),
+        "knn_pruned_self_excluded": knn_pruned("l2", own=True),
         "fd_channel_scores_quantile": fd_channel_scores("quantile"),
         "fd_channel_scores_zscore": fd_channel_scores("zscore"),
         "fd_fused_scores": fd_fused_scores,

@@ -369,12 +369,16 @@ def test_jobs_from_a_tree_to_results(spark, tree, tmp_path):
         per = spark.read.option("header", True).csv(f"{out}/view_vibration/per_channel_scores.csv")
         assert per.columns == ["id", "y_true", "ch1", "ch2", "ch3", "ch4", "score_mean"]
         assert spark.read.option("header", True).csv(f"{out}/view_audio/cm_youden.csv").count() == 2
-    run("classify", "--features", f"{tmp_path}/parts", "--outdir", f"{tmp_path}/out", "--train-ids", f"{tmp_path}/fc/train.ids", "--test-ids", f"{tmp_path}/fc/test.ids", "--knn-k", "3", "--inspect-labels", "dry", "--per-channel")
+    run("classify", "--features", f"{tmp_path}/parts", "--outdir", f"{tmp_path}/out", "--train-ids", f"{tmp_path}/fc/train.ids", "--test-ids", f"{tmp_path}/fc/test.ids", "--knn-k", "3", "--inspect-labels", "dry", "--inspect-topk", "9", "--per-channel")
     table = spark.read.option("header", True).csv(f"{tmp_path}/out/metrics_compare_views_multiclass.csv")
     assert {"F1_dry", "F1_lean", "F1_normal", "N_train", "vote"} <= set(table.columns) and {r["view"]: float(r["raw_acc"]) for r in table.collect()}["vibration"] > 0.8
     preds = spark.read.option("header", True).csv(f"{tmp_path}/out/view_fused/preds_multiclass.csv")
     assert preds.columns == ["id", "condition", "y_true", "y_pred", "p_dry", "p_lean", "p_normal"]
-    assert spark.read.option("header", True).csv(f"{tmp_path}/out/inspect_neighbors_fused.csv").count() > 0
+    inspected = spark.read.option("header", True).csv(f"{tmp_path}/out/inspect_neighbors_dry__fused.csv")
+    assert inspected.count() > 0 and {r["rank"] for r in inspected.collect()} == {"1", "2", "3"}
+    assert spark.read.option("header", True).csv(f"{tmp_path}/out/inspect_train_hit_counts_dry__fused.csv").columns == ["train_id", "train_label", "hit_count"]
+    one = spark.read.option("header", True).csv(f"{tmp_path}/out/view_audio/metrics_multiclass.csv").collect()
+    assert [r["view"] for r in one] == ["audio"] and one[0]["knn_k"] == "3"
     with pytest.raises(ValueError, match="split folder"):
         run("detect", "--features", f"{tmp_path}/parts", "--outdir", "x")
 
