@@ -80,7 +80,7 @@ def encode_paths(paths: Column) -> Column:
 
 def decode_paths(cell: Column, lenient: bool = False) -> Column:
     """A JSON list of paths; null where it is none. Lenient: JSON in JSON, bracketed or single paths, objects with a path key."""
-    strict = F.from_json(cell, "array<string>", {"mode": "PERMISSIVE"})
+    strict = F.from_json(cell, "array<string>", {"mode": "PERMISSIVE", "allowSingleQuotes": "false"})
     if not lenient:
         return F.when(F.trim(cell).startswith("["), strict)
     item = lambda x: F.when(

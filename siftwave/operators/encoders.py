@@ -60,23 +60,31 @@ def pad_bands(rows: np.ndarray, width: int) -> np.ndarray:
     return np.pad(rows, ((0, 0), (0, max(0, width - rows.shape[1]))))
 
 
-def resample(x: np.ndarray, rate: int, target: int = 16_000, zeros: int = 6, rolloff: float = 0.99) -> np.ndarray:
-    """A signal at another rate, by a Hann-windowed sinc with `zeros` zero crossings on each side.
+def resample_filter(rate: int, target: int = 16_000, zeros: int = 6, rolloff: float = 0.99) -> tuple[int, int, int, np.ndarray]:
+    """Samples read and made in a step, samples that the filter looks back, and the filter of each phase: a Hann-windowed sinc with `zeros` zero crossings on each side.
 
-    Rates are divided by their common divisor; each of the target's phases is one filter, and all
-    phases of a step come from one matrix product.
+    Rates are divided by their common divisor, and each of the target's phases is one filter.
     """
     common = int(np.gcd(rate, target))
     old, new = rate // common, target // common
-    if old == new or not len(x):
-        return np.asarray(x, float)
     base = min(old, new) * rolloff
     width = int(np.ceil(zeros * old / base))
     offsets = np.arange(-width, width + old) / old
     t = np.clip((offsets - np.arange(new)[:, None] / new) * base, -zeros, zeros)
-    kernel = np.sinc(t) * np.cos(t * np.pi / zeros / 2) ** 2 * base / old
-    padded = np.pad(np.asarray(x, float), (width, width + old))
-    return (frames(padded, 2 * width + old, old) @ kernel.T).reshape(-1)[: -(-new * len(x) // old)]
+    return old, new, width, np.sinc(t) * np.cos(t * np.pi / zeros / 2) ** 2 * base / old
+
+
+def filter_steps(padded: np.ndarray, kernel: np.ndarray, width: int, step: int) -> np.ndarray:
+    """All phases of each step of a signal that has `width` samples before and width + step behind, by one matrix product."""
+    return (frames(padded, 2 * width + step, step) @ kernel.T).reshape(-1)
+
+
+def resample(x: np.ndarray, rate: int, target: int = 16_000) -> np.ndarray:
+    """A whole signal at another rate; halo.resampled does the same for series in blocks."""
+    if rate == target or not len(x):
+        return np.asarray(x, float)
+    old, new, width, kernel = resample_filter(rate, target)
+    return filter_steps(np.pad(np.asarray(x, float), (width, width + old)), kernel, width, old)[: -(-new * len(x) // old)]
 
 
 def mel_bank(n_mels: int, n_fft: int, rate: int, low: float = 20.0) -> np.ndarray:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import io
-import wave
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,8 +12,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwave.functions.paths import encode_paths, id_suffix, split_channel
+from siftwave.functions.paths import CHANNEL_SUFFIX, STRICT_SUFFIX, clean_path, decode_paths, encode_paths, id_suffix, split_channel
 from siftwave.model import INDEX, N_CHANNELS, require_columns
+from siftwave.sources.scans import wave_header, wave_samples
+from siftwave.tables import stored
+
+WANTED = 128_000_000  # bytes of listed paths and ids that are sent to all tasks, at most
 
 # Where a dataset tree keeps its four kinds of files.
 PART = r"/(normal|abnormal)/(?:([^/]+)/)?([^/]+)/(audio|ios|android|vibration)/\4_part_(\d+)\.(?:wav|mp4|csv)$"
@@ -192,7 +196,8 @@ class TableFormat:
     fallback (skip, and nothing is skipped where that leaves no numbers). time: first (the first
     column is time), monotone (it is if it never falls or never rises) or none. default_column: taken
     where a path names none; without it a table of several columns is an error. non_finite: zero or
-    drop. delimiters: by preference.
+    drop. delimiters: by preference. suffix: how paths name a column. lenient: whether cells of paths
+    may be other than a JSON list.
     """
 
     header: str = "letters"
@@ -200,32 +205,42 @@ class TableFormat:
     default_column: int | None = None
     non_finite: str = "zero"
     delimiters: tuple[str, ...] = (",", "\t", ";")
+    suffix: str = CHANNEL_SUFFIX
+    lenient: bool = False
 
 
 FORMATS = {
     "plain": TableFormat(),
     "beats": TableFormat("skip", delimiters=(",",)),
-    "ced": TableFormat("letters", default_column=1, non_finite="drop", delimiters=(",",)),
-    "dasheng": TableFormat("letters", non_finite="drop"),
-    "eat": TableFormat("letters", non_finite="drop"),
-    "echo": TableFormat("fallback", time="monotone"),
-    "fisher": TableFormat("skip"),
+    "ced": TableFormat("letters", default_column=1, non_finite="drop", delimiters=(",",), suffix=STRICT_SUFFIX, lenient=True),
+    "dasheng": TableFormat("letters", non_finite="drop", suffix=STRICT_SUFFIX, lenient=True),
+    "eat": TableFormat("letters", non_finite="drop", suffix=STRICT_SUFFIX, lenient=True),
+    "echo": TableFormat("fallback", time="monotone", lenient=True),
+    "fisher": TableFormat("skip", lenient=True),
 }
 
 
 def read_signals(spark: SparkSession, index: DataFrame, root: str, default_rate: int | None = None, form: str = "plain") -> DataFrame:
     """id, channel, rate, samples, error for every path of an index: PCM .wav files, and columns of vibration tables.
 
-    Each file is decoded once, a vibration table for all its channels, as FORMATS says of `form`.
-    Other audio formats, broken files and files that aren't there give an error row.
+    Each file is decoded once, a vibration table for all its channels, as FORMATS says of `form`,
+    which also says how cells of paths and column suffixes are read; paths are cleaned. Other audio
+    formats, broken files and files that aren't there give an error row for each use, a null cell,
+    one that is no list of paths and a null path one with a null channel or file. Contents are
+    matched with the index where they are read, and only of listed files: the index goes to all tasks
+    if it is at most WANTED bytes. A file is one row here; scans.py reads long ones in ranges.
     """
     how = FORMATS[form]
-    wanted = index.select("id", "vibration_sr", F.posexplode(F.from_json("paths", "array<string>")).alias("channel", "p"))
-    bare, column = split_channel(F.col("p"))
+    wanted = index.select("id", "vibration_sr", F.posexplode_outer(decode_paths(F.col("paths"), how.lenient)).alias("channel", "p"))
+    bare, column = split_channel(clean_path(F.col("p")), how.suffix)
     wanted = wanted.select("id", "vibration_sr", "channel", F.regexp_replace(bare, "^file:/+", "/").alias("file"), column.alias("col"))
-    per_file = wanted.groupBy("file").agg(F.collect_list(F.struct("id", "channel", "col", "vibration_sr")).alias("uses"))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    files = files.select(F.regexp_replace("path", "^file:/+", "/").alias("file"), "content")
+    pathless = wanted.where("file IS NULL").select("id", "channel", F.when(F.col("channel").isNull(), "no list of paths").otherwise("no path").alias("error"))
+    per_file = stored(wanted.where("file IS NOT NULL").groupBy("file").agg(F.collect_list(F.struct("id", "channel", "col", "vibration_sr")).alias("uses")), "uses")
+    size = per_file.agg(F.sum(F.octet_length("file") + F.aggregate("uses", F.lit(0), lambda a, u: a + F.octet_length(F.coalesce(u["id"], F.lit(""))) + 32))).first()[0] or 0
+    binary = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    path = F.regexp_replace("path", "^file:/+", "/").alias("file")
+    missing = per_file.join(binary().select(path), "file", "left_anti").select(F.explode("uses").alias("u"), F.concat(F.lit("no file "), "file").alias("error"))
+    lost = missing.select("u.id", "u.channel", "error").unionByName(pathless)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -233,8 +248,6 @@ def read_signals(spark: SparkSession, index: DataFrame, root: str, default_rate:
             for r in b.itertuples():
                 table = error = None
                 try:
-                    if r.content is None:
-                        raise ValueError(f"no file {r.file}")
                     table = decode_wav(r.content) if r.file.lower().endswith(".wav") else decode_table(r.content, r.file, how)
                 except ValueError as e:
                     error = str(e)
@@ -242,7 +255,9 @@ def read_signals(spark: SparkSession, index: DataFrame, root: str, default_rate:
                     rows.append(_signal(u, table, error, default_rate, how))
             yield pd.DataFrame(rows, columns=["id", "channel", "rate", "samples", "error"])
 
-    return per_file.join(files, "file", "left").mapInPandas(run, "id string, channel int, rate int, samples array<double>, error string")
+    signals = binary().select(path, "content").join(F.broadcast(per_file) if size <= WANTED else per_file, "file")
+    nothing = {"rate": F.lit(None).cast("int"), "samples": F.lit(None).cast("array<double>")}
+    return signals.mapInPandas(run, "id string, channel int, rate int, samples array<double>, error string").unionByName(lost.withColumns(nothing))
 
 
 def _signal(use, table, error, default_rate, how):
@@ -264,22 +279,12 @@ def _signal(use, table, error, default_rate, how):
 
 
 def decode_wav(raw: bytes) -> tuple[int, np.ndarray]:
-    """Rate and mono samples in -1..1 of a PCM file."""
+    """Rate and mono samples in -1..1 of a file of PCM or IEEE floats."""
     try:
-        with wave.open(io.BytesIO(raw)) as w:
-            width, n = w.getsampwidth(), w.getnchannels()
-            data = w.readframes(w.getnframes())
-            rate = w.getframerate()
-    except (wave.Error, EOFError) as e:
+        w = wave_header(lambda at, n: raw[at : at + n], len(raw))
+    except struct.error as e:
         raise ValueError(f"no PCM wave file: {e}") from e
-    if width == 1:
-        x = (np.frombuffer(data, "u1").astype(float) - 128) / 128
-    elif width == 3:
-        b = np.frombuffer(data, "u1").reshape(-1, 3).astype(np.int32)
-        x = ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) << 8 >> 8) / 2.0**23
-    else:
-        x = np.frombuffer(data, f"<i{width}") / 2.0 ** (8 * width - 1)
-    return rate, x.reshape(-1, n).mean(1)
+    return w.rate, wave_samples(raw[w.start : w.stop], w)
 
 
 def decode_table(raw: bytes, name: str, how: TableFormat = FORMATS["plain"]) -> tuple[None, np.ndarray]:
