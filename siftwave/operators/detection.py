@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwave.model import views_table
@@ -14,14 +14,29 @@ from siftwave.tables import stored
 DIGITS = 12  # fused values are rounded before they are ranked or compared
 
 
+def _mean_distance(hits: DataFrame) -> DataFrame:
+    """channel, ord, near (distances in order) and raw, their mean; added up in that order, so that equal distances give equal means."""
+    near = hits.groupBy("channel", "ord").agg(F.sort_array(F.collect_list("dist")).alias("near"))
+    return near.withColumn("raw", mean_of("near"))
+
+
+def mean_of(distances: str) -> Column:
+    return F.aggregate(distances, F.lit(0.0), lambda a, d: a + d) / F.size(distances)
+
+
+def train_neighbours(train: DataFrame, k: int = 11, metric: str = "l2") -> DataFrame:
+    """channel, ord, near, raw of training vectors among themselves, a vector's own hit aside."""
+    return _mean_distance(nearest_any(train, train, k, metric, skip_first=True))
+
+
 def train_scores(train: DataFrame, k: int = 11, metric: str = "l2") -> DataFrame:
     """channel, ord, raw of training vectors among themselves, a vector's own hit aside."""
-    return nearest_any(train, train, k, metric, skip_first=True).groupBy("channel", "ord").agg(F.avg("dist").alias("raw"))
+    return train_neighbours(train, k, metric).drop("near")
 
 
 def tested_scores(train: DataFrame, test: DataFrame, k: int = 11, metric: str = "l2") -> DataFrame:
     """channel, ord, raw of test vectors: the mean distance to the k nearest training vectors."""
-    return nearest_any(test, train, k, metric).groupBy("channel", "ord").agg(F.avg("dist").alias("raw"))
+    return _mean_distance(nearest_any(test, train, k, metric)).drop("near")
 
 
 def channel_scores(train: DataFrame, test: DataFrame, k: int = 11, metric: str = "l2", scale: bool = True) -> DataFrame:
@@ -41,6 +56,11 @@ def require_normals(train: DataFrame, least: int = 2) -> DataFrame:
     return train
 
 
+def clipped_share(upto: Column, total: Column) -> Column:
+    """(upto + .5) / (total + 1), kept off 0 and 1."""
+    return F.greatest(F.least((upto + 0.5) / (total + 1), F.lit(1 - 1e-6)), F.lit(1e-6))
+
+
 def normalize_quantile(scores: DataFrame) -> DataFrame:
     """Test scores as clipped shares of training scores that are not larger: (k + .5) / (n + 1).
 
@@ -48,9 +68,8 @@ def normalize_quantile(scores: DataFrame) -> DataFrame:
     """
     per_value = scores.groupBy("channel", "raw").agg(F.sum(F.col("is_train").cast("long")).alias("at"), F.count_if(~F.col("is_train")).alias("tested"))
     placed = Ordered(per_value, "channel", "raw").sums(k=F.col("at")).where("tested > 0")
-    share = (F.col("k") + 0.5) / (F.col("total_k") + 1)
-    clipped = F.greatest(F.least(share, F.lit(1 - 1e-6)), F.lit(1e-6))
-    return scores.where("not is_train").join(placed.select("channel", "raw", clipped.alias("score")), ["channel", "raw"]).select("channel", "ord", "raw", "score")
+    share = clipped_share(F.col("k"), F.col("total_k")).alias("score")
+    return scores.where("not is_train").join(placed.select("channel", "raw", share), ["channel", "raw"]).select("channel", "ord", "raw", "score")
 
 
 def normalize_zscore(scores: DataFrame) -> DataFrame:

@@ -21,6 +21,29 @@ def scaler_stats(train: DataFrame) -> DataFrame:
     return flat.groupBy("channel", "pos").agg(F.avg("x").alias("mu"), F.when(sd > 0, sd).otherwise(1.0).alias("sd"))
 
 
+def scaler_moments(train: DataFrame) -> DataFrame:
+    """channel, pos, n, mu, m2: what scaler_stats can be made of, and what merges."""
+    flat = train.select("channel", F.posexplode("vec").alias("pos", "x"))
+    return flat.groupBy("channel", "pos").agg(F.count("x").alias("n"), F.avg("x").alias("mu"), (F.var_pop("x") * F.count("x")).alias("m2"))
+
+
+def merge_moments(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The moments of two sets of vectors together, of those of each."""
+    sides = [df.select("channel", "pos", *[F.col(c).alias(f"{c}_{x}") for c in ("n", "mu", "m2")]) for x, df in (("a", a), ("b", b))]
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    n_a, n_b, gap = zero("n_a"), zero("n_b"), zero("mu_b") - zero("mu_a")
+    n = n_a + n_b
+    m2 = zero("m2_a") + zero("m2_b") + F.when((n_a > 0) & (n_b > 0), gap * gap * n_a * n_b / n).otherwise(0.0)
+    mu = F.when(n_a == 0, F.col("mu_b")).when(n_b == 0, F.col("mu_a")).otherwise(F.col("mu_a") + gap * n_b / n)
+    return sides[0].join(sides[1], ["channel", "pos"], "full").select("channel", "pos", n.alias("n"), mu.alias("mu"), m2.alias("m2"))
+
+
+def stats_of(moments: DataFrame) -> DataFrame:
+    """scaler_stats of moments."""
+    sd = F.sqrt(F.col("m2") / F.col("n"))
+    return moments.select("channel", "pos", "mu", F.when(sd > 0, sd).otherwise(1.0).alias("sd"))
+
+
 def standardize(features: DataFrame, stats: DataFrame) -> DataFrame:
     """features scaled by stats; those are as many rows as channels and dimensions, so they are broadcast."""
     by_channel = stats.groupBy("channel").agg(F.sort_array(F.collect_list(F.struct("pos", "mu", "sd"))).alias("_s"))

@@ -95,6 +95,10 @@ MATCHED = """two AS (SELECT ord, id, e, 1 AS f FROM s UNION ALL SELECT ord + 100
  last_ AS (SELECT two.* FROM two JOIN (SELECT id, max(ord) AS ord FROM two GROUP BY id) USING (id, ord)),
  lst AS (SELECT ord * 3 AS ord, id FROM s UNION ALL SELECT ord * 3 + 1, id FROM s WHERE vel = '80' UNION ALL SELECT ord * 3 + 2, 'gone/' || id FROM s)"""
 WINDOWS = "t AS (SELECT *, count(*) OVER (PARTITION BY key) AS t FROM e), w AS (SELECT key, pos // 8 AS win, x FROM t WHERE pos < t // 8 * 8 UNION ALL SELECT key, t // 8, x FROM t WHERE t % 8 > 0 AND pos >= greatest(t - 8, 0))"
+# Two phases of three samples: a Hann-windowed sinc of six zero crossings at .99 of the lower rate, so ten samples look back.
+RESAMPLED = """made AS (SELECT key, unnest(range((2 * (max(pos) + 1) + 2) // 3)) AS pos FROM e GROUP BY key),
+ near AS (SELECT m.key, m.pos, e.x, greatest(least(((e.pos - m.pos // 2 * 3) / 3::DOUBLE - (m.pos % 2) / 2::DOUBLE) * 1.98, 6), -6) AS t FROM made m JOIN e ON e.key = m.key AND e.pos BETWEEN m.pos // 2 * 3 - 10 AND m.pos // 2 * 3 + 12),
+ taps AS (SELECT key, pos, x, CASE WHEN t = 0 THEN 1 ELSE sin(pi() * t) / (pi() * t) END * cos(t * pi() / 12) ** 2 * 1.98 / 3 AS w FROM near)"""
 CLASSES = ("dry", "lean", "loose", "normal", "screwdrop")
 TREE = "full_ AS (SELECT *, regexp_extract(id, '^(.*)_([0-9]+)$', 1) AS folder, regexp_extract(id, '^(.*)_([0-9]+)$', 2) AS i FROM s)"
 PARTS = "parts AS (SELECT id, list_filter(string_split(id, '/'), lambda x: x <> '' AND x <> '.') AS q, starts_with(id, '/') AS root FROM (SELECT '/data//./' || id AS id FROM s UNION ALL SELECT url FROM pages)), full_ AS (SELECT id, CASE WHEN root THEN list_prepend('/', q) ELSE q END AS q FROM parts), low AS (SELECT *, list_transform(q, lambda x: lower(x)) AS l FROM full_), pos AS (SELECT *, coalesce(list_position(l, 'abnormal'), 0) AS a, coalesce(list_position(l, 'normal'), 0) AS n FROM low)"
@@ -170,6 +174,8 @@ def oracle_sql() -> dict[str, str]:
         "fc_hit_counts": with_(*FC, WEIGHTED, PREDS, INSPECT) + "SELECT train_id, train_label, count(*) AS hit_count FROM ins GROUP BY ALL",
         "signal_dc_removed": with_(SERIES) + f"SELECT key, pos, {r('x - avg(x) OVER (PARTITION BY key)', 'x', 10)} FROM e",
         "signal_window_pool": with_(SERIES, "t AS (SELECT *, count(*) OVER (PARTITION BY key) AS t FROM e)", "w AS (SELECT key, pos // 8 AS win, x FROM t WHERE pos < t // 8 * 8 UNION ALL SELECT key, t // 8, x FROM t WHERE t % 8 > 0 AND pos >= greatest(t - 8, 0))") + f"SELECT key, win, count(*) AS n, {r('avg(x)', 'mean')}, {r('sqrt(avg(x * x))', 'rms')} FROM w GROUP BY ALL",
+        "signal_framed": with_(SERIES, "t AS (SELECT *, max(pos) OVER (PARTITION BY key) AS top FROM e)") + "SELECT key, f.range AS frame, (pos - 4 * f.range)::INT AS at, round(x, 6) + 0.0 AS x FROM t, range(100000) f WHERE f.range BETWEEN (pos - 5 + 3) // 4 AND pos // 4 AND pos >= 4 * f.range AND pos < 4 * f.range + 6 AND 4 * f.range + 5 <= top",
+        "signal_resampled": with_(SERIES, RESAMPLED) + "SELECT key, pos, round(sum(x * w), 6) + 0.0 AS x FROM taps GROUP BY key, pos",
         "multichannel_concatenate": combined(f"{unnested} (SELECT ord, {PADDED} AS vec FROM s)"),
         "multichannel_average": combined("SELECT ord, pos, round(avg(x), 6) + 0.0 AS x FROM (SELECT ord, generate_subscripts(vec, 1) - 1 AS pos, unnest(vec) AS x FROM f) GROUP BY ALL"),
         "multichannel_first": combined(f"{unnested} (SELECT ord, vec FROM f WHERE channel = 0)"),
@@ -193,5 +199,6 @@ def oracle_sql() -> dict[str, str]:
   count(DISTINCT (vel, load, noise_cls)) FILTER (part = 'train') AS "N_train_conditions", count(DISTINCT (vel, load, noise_cls)) FILTER (part <> 'train') AS "N_test_conditions",
   array_to_string(list_sort(list_distinct(list(fault) FILTER (part = 'train'))), ',') AS train_labels, array_to_string(list_sort(list_distinct(list(fault) FILTER (part <> 'train'))), ',') AS test_labels, array_to_string(list_sort(list_distinct(list(fault))), ',') AS all_labels FROM p""",
         "score_arrivals": with_(*FD_SCORED) + f"SELECT view, ord, {r('score', 'score')} FROM fu",
+        "score_arrivals_grown": with_(SAMPLES, FEATURES, FD_SPLIT, SCALED.replace("WHERE part = 'train' GROUP BY ALL)", "WHERE part = 'train' AND vel IN ('80', '90') GROUP BY ALL)"), RAW, QUANTILE, FUSED) + f"SELECT view, ord, {r('score', 'score')} FROM fu",
         "views": with_(SAMPLES, FEATURES, "v AS (SELECT 'audio' AS view, unnest([0,1,2]) AS channel, unnest([1,2,3]) AS place, 3 AS n_channels UNION ALL SELECT 'vibration', unnest([3,4,5,6]), unnest([1,2,3,4]), 4 UNION ALL SELECT 'fused', unnest([0,1,2,3,4,5,6]), unnest([1,2,3,4,5,6,7]), 7)") + f"SELECT view, channel, place, n_channels, count(*) AS n_vectors, {r('avg(list_sum(vec))', 'mean_total')} FROM v JOIN f USING (channel) GROUP BY ALL",
     }

@@ -11,6 +11,7 @@ from siftwave.model import VIEWS, channel_dims, views_table
 from siftwave.operators import classification as C
 from siftwave.operators import detection as D
 from siftwave.operators import evaluation as E
+from siftwave.operators import halo as H
 from siftwave.operators import reports as R
 from siftwave.operators import signals as S
 from siftwave.operators import splits as X
@@ -20,7 +21,7 @@ from siftwave.operators.metric_index import MetricIndex
 from siftwave.operators.neighbours import nearest, scaler_stats, standardize
 from siftwave.plans.data import cell_features, column_features, concat_features, list_features, samples
 from siftwave.sources.readers import build_index, first_samples, is_monotone
-from siftwave.streaming.scoring import prepare, score_batch
+from siftwave.streaming.scoring import grow, prepare, score_batch
 from siftwave.tables import stored
 
 K = 11
@@ -282,6 +283,18 @@ def signal_window_pool(spark, sf_dir):
     return S.pool_windows(S.windows(_series(spark, sf_dir), 8)).select("key", "win", "n", _r("mean").alias("mean"), _r("rms").alias("rms"))
 
 
+def signal_framed(spark, sf_dir):
+    """Every user's events in frames of 6 every 4, cut from blocks of 8 with their neighbours' edges."""
+    frames = H.framed(H.blocks_of_series(_series(spark, sf_dir), 8), 6, 4, 8)
+    return frames.select("key", "frame", F.posexplode("samples").alias("at", "x")).withColumn("x", _r("x"))
+
+
+def signal_resampled(spark, sf_dir):
+    """Every user's events at two thirds of their rate, filtered in blocks."""
+    blocks = H.resampled(H.blocks_of_series(_series(spark, sf_dir), 8), 3, 2, 12)
+    return blocks.select("key", "start", F.posexplode("samples").alias("at", "x")).select("key", (F.col("start") + F.col("at")).alias("pos"), _r("x").alias("x"))
+
+
 def multichannel(how):
     def query(spark, sf_dir):
         v = S.combine_channels(concat_features(samples(spark, sf_dir)).select("ord", "channel", "vec"), how)
@@ -400,6 +413,14 @@ def arrivals(spark, sf_dir):
     return score_batch(test.select("channel", "ord", "vec"), prepare(train.select("channel", "ord", "vec"), K), list(VIEWS)).withColumn("score", _r("score"))
 
 
+def arrivals_grown(spark, sf_dir):
+    """The same after the training set of two velocities has grown by the rest, under the scaler of the first."""
+    train, test, split = _fd_sides(spark, sf_dir)
+    first = train.join(split.where("vel IN ('80', '90')").select("ord"), "ord", "left_semi").select("channel", "ord", "vec")
+    rest = train.join(first.select("ord").distinct(), "ord", "left_anti").select("channel", "ord", "vec")
+    return score_batch(test.select("channel", "ord", "vec"), grow(prepare(first, K), rest), list(VIEWS)).withColumn("score", _r("score"))
+
+
 def views(spark, sf_dir):
     """The channels of each view, with their vectors counted and summed up."""
     total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
@@ -458,6 +479,8 @@ def queries() -> dict:
         "fc_hit_counts": fc_hit_counts,
         "signal_dc_removed": signal_dc_removed,
         "signal_window_pool": signal_window_pool,
+        "signal_framed": signal_framed,
+        "signal_resampled": signal_resampled,
         **{f"multichannel_{how}": multichannel(how) for how in ("concatenate", "average", "first", "last")},
         "encoder_host": encoder_host,
         "ids_match": ids_match,
@@ -475,5 +498,6 @@ def queries() -> dict:
         "fc_confusion_matrix": fc_confusion_matrix,
         "split_fc_meta": split_fc_meta,
         "score_arrivals": arrivals,
+        "score_arrivals_grown": arrivals_grown,
         "views": views,
     }
