@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from siftwave.functions.paths import CHANNEL_SUFFIX, STRICT_SUFFIX, clean_path, decode_paths, encode_paths, id_suffix, split_channel
 from siftwave.model import INDEX, N_CHANNELS, require_columns
+from siftwave.sources.npz import read_npz
 from siftwave.sources.scans import wave_header, wave_samples
 from siftwave.tables import stored
 
@@ -151,32 +151,6 @@ def with_normality(samples: DataFrame) -> DataFrame:
     return samples.withColumn("normal", F.col("label") == 0)
 
 
-def read_npz(spark: SparkSession, path: str) -> DataFrame:
-    """id, ord, label, split, x and per_channel of .npz files with plain arrays. Pickled arrays are refused.
-
-    Features: X (one vector for each sample, in x), or X_ch0..X_ch6, per_channel or X_per_channel
-    (numeric, with samples and channels as its first two dimensions; vectors in per_channel).
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for raw in b["content"]:
-                with np.load(io.BytesIO(raw), allow_pickle=False) as z:
-                    n = len(z["ids"]) if "ids" in z.files else len(z[z.files[0]])
-                    parts = [z[f"X_ch{c}"] for c in range(N_CHANNELS)] if "X_ch0" in z.files else None
-                    if parts is None and (cells := next((k for k in ("per_channel", "X_per_channel") if k in z.files), None)):
-                        parts = [z[cells][:, c].reshape(n, -1) for c in range(z[cells].shape[1])]
-                    given = [z["X"]] if "X" in z.files else []
-                    if any(a.ndim != 2 or len(a) != n for a in [*(parts or []), *given]) or not (parts or given):
-                        raise ValueError("features must be matrices with a row for each id")
-                    column = lambda k, n=n, z=z: z[k] if k in z.files else [None] * n
-                    listed = [[p[i].astype(float) for p in parts] for i in range(n)] if parts else [None] * n
-                    yield pd.DataFrame({"id": column("ids"), "ord": np.arange(n), "label": column("labels"), "split": column("splits"), "x": list(given[0].astype(float)) if given else [None] * n, "per_channel": listed})
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(run, "id string, ord long, label long, split string, x array<double>, per_channel array<array<double>>")
-
-
 def first_samples(samples: DataFrame, n: int | None) -> DataFrame:
     """The first n samples in source order; all where n is None."""
     return samples if n is None else samples.orderBy("ord").limit(n)

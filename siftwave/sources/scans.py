@@ -8,9 +8,11 @@ without Python.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -115,7 +117,9 @@ class WaveReader(DataSourceReader):
                     held, size = [], 0
         return parts + [Ranges(held)] * bool(held)
 
-    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # a scan without files
+            return
         store, _ = fs.FileSystem.from_uri(self.path)
         for path, size, a, z in partition.parts:
             with store.open_input_file(path) as f:
@@ -149,6 +153,11 @@ class WaveSource(DataSource):
         return WaveReader(self.options)
 
 
+def whole_path(path: str) -> str:
+    """A URI as it is, a local path from the root on."""
+    return path if re.match(r"[a-z][a-z0-9+.-]*:", path) else str(Path(path).absolute())
+
+
 def scan_waves(spark: SparkSession, path: str, split_bytes: int = SPLIT) -> DataFrame:
     """Blocks of the wave files at a path or URI: path, rate, start (the place of the first sample), samples (mono) and error.
 
@@ -157,7 +166,7 @@ def scan_waves(spark: SparkSession, path: str, split_bytes: int = SPLIT) -> Data
     frames it has. The path must be one that pyarrow opens (local, hdfs, s3, gs).
     """
     spark.dataSource.register(WaveSource)
-    return spark.read.format(WaveSource.name()).option("path", path).option("split_bytes", split_bytes).load()
+    return spark.read.format(WaveSource.name()).option("path", whole_path(path)).option("split_bytes", split_bytes).load()
 
 
 def series_of(blocks: DataFrame) -> DataFrame:

@@ -6,9 +6,12 @@ import json
 import math
 from pathlib import Path
 
-import numpy as np
 from pyspark.sql import DataFrame
 
+from siftwave.sources.npz import write_npz
+
+__all__ = ["write_csv", "write_features", "write_ids", "write_json", "write_npz"]
+
 
 def write_csv(df: DataFrame, path: str) -> None:
     """A table with header whose cells double their quotes."""
@@ -31,11 +34,3 @@ def write_json(row: DataFrame, path: str) -> None:
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     with open(path, "w", encoding="utf-8") as f:
         json.dump({k: math.nan if v is None else v for k, v in record.items()}, f, indent=2, ensure_ascii=False, default=str)
-
-
-def write_npz(samples: DataFrame, path: str, limit: int = 100_000) -> None:
-    """Concatenated features as one .npz file for other tools; refuses more than `limit` rows."""
-    rows = samples.orderBy("ord").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} rows; write Parquet instead")
-    np.savez(path, X=np.array([r["x"] for r in rows], np.float32), ids=np.array([r["id"] for r in rows]), labels=np.array([r["label"] for r in rows], np.int64), splits=np.array([r["split"] for r in rows]))

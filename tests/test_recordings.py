@@ -132,8 +132,6 @@ def test_npz_layouts(spark, tmp_path):
         assert {(r["id"], r["normal"]) for r in long.select("id", "normal").collect()} == {("a", True), ("b", False)}
     writers.write_npz(readers.read_npz(spark, f"{tmp_path}/x.npz"), f"{tmp_path}/again.npz")
     assert np.array_equal(np.load(tmp_path / "again.npz")["X"], x.astype("f4"))
-    with pytest.raises(ValueError, match="more than"):
-        writers.write_npz(readers.read_npz(spark, f"{tmp_path}/x.npz"), f"{tmp_path}/no.npz", limit=1)
     np.savez(tmp_path / "bad.npz", X=np.array([[1], [2, 3]], dtype=object), **own)
     with pytest.raises(Exception, match="pickle"):
         readers.read_npz(spark, f"{tmp_path}/bad.npz").collect()
