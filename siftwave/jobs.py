@@ -23,7 +23,7 @@ from siftwave.operators.encoders import encoder_factory
 from siftwave.operators.matching import drop_unlabelled, match_ids, missing_report
 from siftwave.operators.metric_index import nearest_any
 from siftwave.operators.neighbours import scaler_stats, standardize
-from siftwave.operators.signals import encode_signals, with_layout
+from siftwave.operators.signals import encode_blocks, encode_signals, with_layout
 from siftwave.sources import readers, writers
 from siftwave.tables import stored
 
@@ -36,13 +36,21 @@ def make_index(spark: SparkSession, root: str, csv: str, vib_sr: int = 100_000)
     writers.write_csv(index.orderBy("label", "id").coalesce(1), csv)
 
 
-def extract_features(spark: SparkSession, index: str, root: str, out: str, encoder: str, class_name: str = "FeatureExtractor", multi_channel_strategy: str = "concatenate", vib_default_sr: int = 0, limit: int = 0, extractor_args: str = "", per_channel: bool = False, form: str = "plain", window: int = 160_000) -> None:
-    """Encode every signal of an index; samples with a failing channel are written to <out>-errors and left out."""
+def extract_features(spark: SparkSession, index: str, root: str, out: str, encoder: str, class_name: str = "FeatureExtractor", multi_channel_strategy: str = "concatenate", vib_default_sr: int = 0, limit: int = 0, extractor_args: str = "", per_channel: bool = False, form: str = "plain", window: int = 160_000, scan: bool = False) -> None:
+    """Encode every signal of an index; samples with a failing channel are written to <out>-errors and left out.
+
+    scan: read long recordings in ranges and window by window instead of whole.
+    """
     rows = readers.read_index(spark, index).withColumn("ord", F.monotonically_increasing_id())
     rows = stored(readers.first_samples(rows, limit or None), "index")
-    signals = readers.read_signals(spark, rows, root, vib_default_sr or None, form)
-    encoded = encode_signals(signals.where("error IS NULL"), encoder_factory(encoder, class_name, **json_options(extractor_args)), window)
-    wrong = signals.where("error IS NOT NULL").select("id", "channel", F.lit(None).cast("array<double>").alias("vec"), "error")
+    make = encoder_factory(encoder, class_name, **json_options(extractor_args))
+    if scan:
+        blocks, wrong = readers.scan_signals(spark, rows, root, vib_default_sr or None, form)
+        encoded = encode_blocks(blocks.select(F.struct("id", "channel").alias("key"), "rate", "start", "samples"), make, window).select("key.id", "key.channel", "vec", "error")
+    else:
+        signals = readers.read_signals(spark, rows, root, vib_default_sr or None, form)
+        encoded, wrong = encode_signals(signals.where("error IS NULL"), make, window), signals.where("error IS NOT NULL")
+    wrong = wrong.select("id", "channel", F.lit(None).cast("array<double>").alias("vec"), "error")
     encoded = stored(encoded.unionByName(wrong), "encoded")
     failed = encoded.where("error IS NOT NULL").select("id", "channel", "error")
     writers.write_csv(failed, f"{out}-errors")

@@ -57,14 +57,40 @@ def encode_series(samples: DataFrame, make_encoder, length: int, rate: int) -> D
     """
     cut = windows(samples, length).groupBy("key", "win").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("samples"))
 
+    return _encoded_windows(cut.withColumn("rate", F.lit(rate)), make_encoder, length, samples.schema["key"].dataType.simpleString())
+
+
+def encode_blocks(blocks: DataFrame, make_encoder, length: int = 160_000) -> DataFrame:
+    """key, vec, error of series in blocks (key, rate, start, samples): encode_signals of each whole series, window by window.
+
+    Pieces of blocks go to the windows that hold them, those at the end also to the overlapping last
+    one; a window is all that a task holds of a series. A key with a failing window keeps the error.
+    """
+    stop, sizes = F.col("start") + F.size("samples"), blocks.groupBy("key").agg(F.sum(F.size("samples")).alias("t"))
+    held = blocks.where(F.size("samples") > 0).select("key", "rate", "start", stop.alias("stop"), "samples").join(sizes, "key")
+    whole, rest = F.floor(F.col("t") / length), F.col("t") % length
+    first, final = F.floor(F.col("start") / length), F.least(F.floor((F.col("stop") - 1) / length), whole - 1)
+    window = lambda n, a, z: F.struct(n.cast("long").alias("win"), a.cast("long").alias("a"), z.cast("long").alias("z"))
+    full = F.when(final >= first, F.transform(F.sequence(first, final), lambda n: window(n, n * length, (n + 1) * length))).otherwise(F.array())
+    tail_from = F.greatest(F.col("t") - length, F.lit(0))
+    tail = F.when((rest > 0) & (F.col("stop") > tail_from), F.array(window(whole, tail_from, F.col("t")))).otherwise(F.array())
+    cut = held.select("key", "rate", "start", "stop", "samples", F.explode(F.concat(full, tail)).alias("w"))
+    a, z = F.greatest("start", "w.a"), F.least("stop", "w.z")
+    pieces = cut.where(z > a).select("key", "rate", "w.win", a.alias("a"), F.slice("samples", (a - F.col("start") + 1).cast("int"), (z - a).cast("int")).alias("s"))
+    windows_ = pieces.groupBy("key", "rate", "win").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("a", "s"))), lambda p: p["s"])).alias("samples"))
+    return _encoded_windows(windows_, make_encoder, length, blocks.schema["key"].dataType.simpleString())
+
+
+def _encoded_windows(cut: DataFrame, make_encoder, length: int, kind: str) -> DataFrame:
+    """key, vec, error of windows (key, rate, samples), averaged by key."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = make_encoder()
         for b in batches:
-            out = [_encoded(encoder, s, rate, length) for s in b["samples"]]
+            out = [_encoded(encoder, s, r, length) for s, r in zip(b["samples"], b["rate"], strict=True)]
             yield pd.DataFrame({"key": b["key"], "vec": [v for v, _ in out], "error": [e for _, e in out]})
 
-    kind = samples.schema["key"].dataType.simpleString()
-    encoded = cut.select("key", "samples").mapInPandas(run, f"key {kind}, vec array<double>, error string")
+    encoded = cut.select("key", "rate", "samples").mapInPandas(run, f"key {kind}, vec array<double>, error string")
     flat = encoded.select("key", "error", F.posexplode_outer("vec").alias("at", "x")).groupBy("key", "at").agg(F.avg("x").alias("x"), F.max("error").alias("error"))
     whole = flat.groupBy("key").agg(F.max("error").alias("error"), F.sort_array(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "x")))).alias("v"))
     return whole.select("key", F.when(F.col("error").isNull(), F.transform("v", lambda s: s["x"])).alias("vec"), "error")

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from siftwave.functions.paths import CHANNEL_SUFFIX, STRICT_SUFFIX, clean_path, decode_paths, encode_paths, id_suffix, split_channel
 from siftwave.model import INDEX, N_CHANNELS, require_columns
+from siftwave.operators.halo import blocks_of_series
 from siftwave.sources.npz import read_npz
-from siftwave.sources.scans import wave_header, wave_samples
+from siftwave.sources.scans import scan_tables, scan_waves, wave_header, wave_samples
 from siftwave.tables import stored
 
+BLOCK = 160_000  # samples of a block of a vibration column
 WANTED = 128_000_000  # bytes of listed paths and ids that are sent to all tasks, at most
 
 # Where a dataset tree keeps its four kinds of files.
@@ -205,11 +207,8 @@ def read_signals(spark: SparkSession, index: DataFrame, root: str, default_rate:
     if it is at most WANTED bytes. A file is one row here; scans.py reads long ones in ranges.
     """
     how = FORMATS[form]
-    wanted = index.select("id", "vibration_sr", F.posexplode_outer(decode_paths(F.col("paths"), how.lenient)).alias("channel", "p"))
-    bare, column = split_channel(clean_path(F.col("p")), how.suffix)
-    wanted = wanted.select("id", "vibration_sr", "channel", F.regexp_replace(bare, "^file:/+", "/").alias("file"), column.alias("col"))
-    pathless = wanted.where("file IS NULL").select("id", "channel", F.when(F.col("channel").isNull(), "no list of paths").otherwise("no path").alias("error"))
-    per_file = stored(wanted.where("file IS NOT NULL").groupBy("file").agg(F.collect_list(F.struct("id", "channel", "col", "vibration_sr")).alias("uses")), "uses")
+    wanted, pathless = _wanted(index, how)
+    per_file = stored(wanted.groupBy("file").agg(F.collect_list(F.struct("id", "channel", "col", "vibration_sr")).alias("uses")), "uses")
     size = per_file.agg(F.sum(F.octet_length("file") + F.aggregate("uses", F.lit(0), lambda a, u: a + F.octet_length(F.coalesce(u["id"], F.lit(""))) + 32))).first()[0] or 0
     binary = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path = F.regexp_replace("path", "^file:/+", "/").alias("file")
@@ -234,6 +233,46 @@ def read_signals(spark: SparkSession, index: DataFrame, root: str, default_rate:
     return signals.mapInPandas(run, "id string, channel int, rate int, samples array<double>, error string").unionByName(lost.withColumns(nothing))
 
 
+def scan_signals(spark: SparkSession, index: DataFrame, root: str, default_rate: int | None = None, form: str = "plain") -> tuple[DataFrame, DataFrame]:
+    """read_signals for long recordings: blocks (id, channel, rate, start, samples) of all that can be read, and (id, channel, error) of the rest.
+
+    Files are read in ranges and splits, so no task holds a whole one.
+    """
+    how = FORMATS[form]
+    wanted, lost = _wanted(index, how)
+    wanted = stored(wanted, "wanted")
+    waves = scan_waves(spark, root)
+    tables, unread = scan_tables(spark, root, how)
+    path = F.regexp_replace("path", "^file:/+", "/").alias("file")
+    is_wave = F.lower("file").endswith(".wav")
+    sound = wanted.where(is_wave).join(waves.where("error IS NULL").select(path, "rate", "start", "samples"), "file").select("id", "channel", "rate", "start", "samples")
+    blocks = blocks_of_series(tables.select(F.struct("path", "column").alias("key"), "pos", "x"), BLOCK).select(F.col("key.path").alias("file"), F.col("key.column").alias("column"), "start", "samples")
+    widths = stored(blocks.groupBy("file").agg(F.max("column").alias("width")), "widths")
+    rate = F.coalesce("vibration_sr", F.lit(default_rate))
+    uses = wanted.where(~is_wave).join(widths, "file", "left")
+    pick = F.coalesce("col", F.when(F.col("width") == 1, 1).otherwise(how.default_column or 0))
+    uses = uses.select("id", "channel", "file", rate.alias("rate"), "col", "width", pick.alias("column"))
+    able = F.col("rate").isNotNull() & F.col("column").between(1, F.col("width"))
+    vibration = uses.where(able).join(blocks, ["file", "column"]).select("id", "channel", "rate", "start", "samples")
+    errors = stored(waves.where("error IS NOT NULL").select(path, "error").unionByName(unread.withColumnRenamed("path", "file")), "errors")
+    known = list_tree(spark, root).withColumnRenamed("path", "file")
+    no_file = wanted.join(known, "file", "left_anti").select("id", "channel", F.concat(F.lit("no file "), "file").alias("error"))
+    broken = wanted.join(errors, "file").select("id", "channel", "error")
+    other = wanted.where(~F.lower("file").rlike(r"\.(wav|csv|tsv|txt)$")).join(known, "file", "left_semi").select("id", "channel", F.lit("this audio format can't be decoded here").alias("error"))
+    why = F.when(F.col("rate").isNull() & F.col("column").between(1, F.col("width")), "no sampling rate").otherwise(F.concat(F.lit("no signal column "), F.coalesce(F.col("col").cast("string"), F.lit("None")), F.lit(" of "), "width"))
+    columnless = uses.where(F.col("width").isNotNull() & ~able).select("id", "channel", why.alias("error"))
+    return sound.unionByName(vibration), lost.unionByName(no_file).unionByName(broken).unionByName(other).unionByName(columnless)
+
+
+def _wanted(index: DataFrame, how: TableFormat) -> tuple[DataFrame, DataFrame]:
+    """id, vibration_sr, channel, file and col of every path of an index, and (id, channel, error) of cells and paths that are none."""
+    wanted = index.select("id", "vibration_sr", F.posexplode_outer(decode_paths(F.col("paths"), how.lenient)).alias("channel", "p"))
+    bare, column = split_channel(clean_path(F.col("p")), how.suffix)
+    wanted = wanted.select("id", "vibration_sr", "channel", F.regexp_replace(bare, "^file:/+", "/").alias("file"), column.alias("col"))
+    pathless = wanted.where("file IS NULL").select("id", "channel", F.when(F.col("channel").isNull(), "no list of paths").otherwise("no path").alias("error"))
+    return wanted.where("file IS NOT NULL"), pathless
+
+
 def _signal(use, table, error, default_rate, how):
     head = (use["id"], use["channel"])
     if error:
@@ -242,7 +281,7 @@ def _signal(use, table, error, default_rate, how):
     if x.ndim == 2:
         k = use["col"] if not pd.isna(use["col"]) else 1 if x.shape[1] == 1 else how.default_column or 0
         if not 1 <= k <= x.shape[1]:
-            return (*head, None, None, f"no signal column {use['col']} of {x.shape[1]}")
+            return (*head, None, None, f"no signal column {None if pd.isna(use['col']) else int(use['col'])} of {x.shape[1]}")
         x, rate = x[:, int(k) - 1], use["vibration_sr"] if not pd.isna(use["vibration_sr"]) else default_rate
     if rate is None:
         return (*head, None, None, "no sampling rate")

@@ -352,6 +352,9 @@ def test_jobs_from_a_tree_to_results(spark, tree, tmp_path):
     run("extract-features", *common, "--out", f"{tmp_path}/whole", "--limit", "90")
     run("extract-features", *common, "--out", f"{tmp_path}/parts", "--per-channel")
     assert spark.read.parquet(f"{tmp_path}/whole").select(F.size("x")).distinct().collect() == [(42,)] and spark.read.parquet(f"{tmp_path}/whole").count() == 90
+    run("extract-features", *common, "--out", f"{tmp_path}/scanned", "--per-channel", "--scan")
+    both = [{(r["id"], r["channel"]): r["vec"] for r in spark.read.parquet(f"{tmp_path}/{n}").collect()} for n in ("parts", "scanned")]
+    assert both[0].keys() == both[1].keys() and all(np.allclose(v, both[1][k], atol=1e-9) for k, v in both[0].items())
     run("split-fd", "--csv", f"{tmp_path}/index", "--outdir", f"{tmp_path}/fd", "--train-leave-combos", "heavy-clean")
     run("split-fc", "--csv", f"{tmp_path}/index", "--outdir", f"{tmp_path}/fc", "--hard-labels", "", "--hard-vels", "")
     meta = json.loads((tmp_path / "fc/split_meta.json").read_text())

@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from siftwave.operators import signals as S
+from siftwave.operators.encoders import Encoder
 from siftwave.sources import readers, scans
 
 
@@ -164,6 +166,39 @@ def test_each_form_reads_cells_and_suffixes_in_its_way(spark, recordings, form):
         assert got["s1", None] == got["s2", None] == "no list of paths"
 
 
+@pytest.mark.parametrize("form", ["plain", "ced", "echo"])
+def test_scanned_signals_equal_those_read_whole(spark, recordings, form):
+    rng = np.random.default_rng(0)
+    (recordings / "long.wav").write_bytes(wave(rng.uniform(-1, 1, (5003, 2)), bits=24))
+    (recordings / "long.csv").write_text("t,a,b\n" + "".join(f"{i},{v},{'nan' if i % 50 == 7 else -v}\n" for i, v in enumerate(rng.normal(size=3001))))
+    (recordings / "single.tsv").write_text("h\n" + "".join(f"{v}\n" for v in rng.normal(size=70)))
+    (recordings / "bad.wav").write_bytes(b"RIFF")
+    (recordings / "p.mp4").write_bytes(b"x")
+    cells = [["long.wav", "long.csv::col=1", "long.csv::col=2", "w.wav"], ["long.wav", "v.csv", "v.csv::col=7", "single.tsv"], ["bad.wav", "p.mp4", "gone.wav", "long.csv::col=2"]]
+    index = spark.createDataFrame([(f"s{i}", json.dumps([f"{recordings}/{p}" for p in c]), 100 if i else None) for i, c in enumerate(cells)] + [("none", None, 1)], "id string, paths string, vibration_sr int")
+    whole = readers.read_signals(spark, index, str(recordings), 50, form)
+    want = {(r["id"], r["channel"]): r["error"] or (r["vec"]) for r in signals_of(whole.where("error IS NULL"))} | {(r["id"], r["channel"]): r["error"] for r in whole.where("error IS NOT NULL").collect()}
+    blocks, lost = readers.scan_signals(spark, index, str(recordings), 50, form)
+    found = S.encode_blocks(blocks.select(F.struct("id", "channel").alias("key"), "rate", "start", "samples"), Shape, 1000).collect()
+    got = {(r["key"]["id"], r["key"]["channel"]): r["error"] or r["vec"] for r in found} | {(r["id"], r["channel"]): r["error"] for r in lost.collect()}
+    assert got.keys() == want.keys() and sum(isinstance(v, list) for v in got.values()) >= 7
+    for k, v in want.items():
+        assert (np.allclose(got[k], v, rtol=1e-12, atol=1e-12) if isinstance(v, list) else got[k] == v), (k, got[k], v)
+
+
+def signals_of(signals):
+    return S.encode_signals(signals, Shape, 1000).collect()
+
+
+class Shape(Encoder):
+    """Numbers that tell windows and their order apart."""
+
+    dim = 4
+
+    def encode(self, signal, rate):
+        return np.array([rate, len(signal), signal @ np.arange(len(signal)), signal[0] - 2 * signal[-1]])
+
+
 def test_contents_of_recordings_are_not_shuffled(spark, recordings):
     index = spark.createDataFrame([("s", json.dumps([f"{recordings}/w.wav"]), 100)], "id string, paths string, vibration_sr int")
     plan = readers.read_signals(spark, index, str(recordings))._jdf.queryExecution().executedPlan().toString()
