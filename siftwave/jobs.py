@@ -9,7 +9,7 @@ from __future__ import annotations
 import argparse
 import inspect
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwave.functions.paths import condition_from_path, csv_options, fault_from_path, json_options
@@ -20,7 +20,7 @@ from siftwave.operators import evaluation as E
 from siftwave.operators import reports as R
 from siftwave.operators import splits as X
 from siftwave.operators.encoders import encoder_factory
-from siftwave.operators.matching import drop_unlabelled, match_ids, missing_report
+from siftwave.operators.matching import match_and_count
 from siftwave.operators.metric_index import nearest_any
 from siftwave.operators.neighbours import scaler_stats, standardize
 from siftwave.operators.signals import encode_blocks, encode_signals, with_layout
@@ -43,7 +43,7 @@ def extract_features(spark: SparkSession, index: str, root: str, out: str, encod
     """
     rows = readers.read_index(spark, index).withColumn("ord", F.monotonically_increasing_id())
     rows = stored(readers.first_samples(rows, limit or None), "index")
-    make = encoder_factory(encoder, class_name, **json_options(extractor_args))
+    make = encoder_factory(encoder, class_name, spark, **json_options(extractor_args))
     if scan:
         blocks, wrong = readers.scan_signals(spark, rows, root, vib_default_sr or None, form)
         encoded = encode_blocks(blocks.select(F.struct("id", "channel").alias("key"), "rate", "start", "samples"), make, window).select("key.id", "key.channel", "vec", "error")
@@ -101,25 +101,30 @@ def split_fc(spark: SparkSession, csv: str, outdir: str, seed: int = 0, label_co
     writers.write_json(R.split_meta(split, leave_vel, seed, train_frac, exclude_noise_from_base, load, labels, vels), f"{outdir}/split_meta.json")
 
 
-def _sides(spark: SparkSession, features: DataFrame, train_ids: str, test_ids: str, splits_dir: str = "", suffix: bool = False) -> tuple[DataFrame, DataFrame]:
+def _sides(spark: SparkSession, features: DataFrame, train_ids: str, test_ids: str, splits_dir: str = "", suffix: bool = False, **columns: Column) -> tuple[DataFrame, DataFrame]:
+    """The training and the test side as stored tables; what is left out is told."""
     if splits_dir:
         train, test = readers.read_split(spark, splits_dir)
     elif train_ids and test_ids:
         train, test = readers.read_ids(spark, train_ids, suffix), readers.read_ids(spark, test_ids, suffix)
     else:
         raise ValueError("give a split folder, or lists of training and of test ids")
+    out = []
     for side, ids in (("train", train), ("test", test)):
-        lost = missing_report(ids, features).first()
-        if lost["n_missing"]:
-            print(f"{lost['n_missing']} {side} ids have no features, such as {lost['first_ids']}")
-    return match_ids(train, features), match_ids(test, features)
+        matched = match_and_count(ids, features, side, **columns)
+        if matched.n_missing:
+            print(f"{matched.n_missing} {side} ids have no features, such as {matched.first_missing}")
+        if matched.n_unlabelled:
+            print(f"{matched.n_unlabelled} {side} samples have no label")
+        out.append(matched.rows)
+    return tuple(out)
 
 
 def detect(spark: SparkSession, features: str, outdir: str, train_ids: str = "", test_ids: str = "", splits_dir: str = "", modal_modes: str = ALL_VIEWS, knn_k: int = 11, metric: str = "l2", fusion_norm: str = "quantile", standardize_features: bool = True, per_channel: bool = False, do_cm: bool = False, cm_mode: str = "youden", cm_fpr: float = 0.1, cm_percentile: float = 0.5, cm_score: str = "") -> None:
     """Score listed test samples against listed normal ones, and evaluate each view."""
     views = resolve_views(modal_modes)
     train, test = _sides(spark, load_features(spark, features, per_channel), train_ids, test_ids, splits_dir, suffix=True)
-    train, test = D.require_normals(stored(train.where("normal"), "train")), stored(test, "test")
+    train = D.require_normals(train.where("normal"))
     y = test.select("ord", "id", F.when(F.col("normal"), 0).otherwise(1).alias("y_true")).distinct()
     channels = stored(D.normalize(D.channel_scores(train.select("channel", "ord", "vec"), test.select("channel", "ord", "vec"), knn_k, metric, standardize_features), fusion_norm), "normalized")
     scored = stored(D.fuse_scores(channels, views).join(y, "ord"), "scored")
@@ -147,12 +152,8 @@ def detect(spark: SparkSession, features: str, outdir: str, train_ids: str = "",
 def classify(spark: SparkSession, features: str, train_ids: str, test_ids: str, outdir: str, knn_k: int = 11, metric: str = "l2", vote: str = "weighted", eps: float = 1e-12, views: str = "audio,vibration,fused", standardize_features: bool = True, unseen_mode: str = "ignore", per_channel: bool = False, inspect_labels: str = "", inspect_view: str = "fused", inspect_topk: int = 0, inspect_mode: str = "all") -> None:
     """Predict the fault of listed test samples from listed training ones, and evaluate each view."""
     wanted, view = resolve_views(views), resolve_views(inspect_view)[0]
-    train, test = _sides(spark, load_features(spark, features, per_channel), train_ids, test_ids)
-    (train, lost_train), (test, lost_test) = (drop_unlabelled(side.withColumn("label", fault_from_path(F.col("id"))).withColumn("fault", F.col("label"))) for side in (train, test))
-    for side, lost in (("training", lost_train), ("test", lost_test)):
-        if n := lost.first()["n_dropped"]:
-            print(f"{n} {side} vectors have no label")
-    train, test = stored(train, "train"), stored(test, "test")
+    fault = fault_from_path(F.col("id"))
+    train, test = _sides(spark, load_features(spark, features, per_channel), train_ids, test_ids, label=fault, fault=fault)
     classes = C.class_table(train)
     names = E.class_names(classes)
     unseen = C.unseen(test.select("ord", "id", "label").distinct(), classes, unseen_mode)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import importlib
 import importlib.util
+import re
+import tempfile
 from abc import ABC, abstractmethod
 from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
+from pyspark.sql import SparkSession
 
 
 class Encoder(ABC):
@@ -161,14 +165,28 @@ class MelSpectrum(Encoder):
         return self.image(signal, rate).mean(0)
 
 
-def encoder_factory(source: str, name: str = "FeatureExtractor", **options) -> Callable[[], Encoder]:
-    """A function that builds an encoder in a worker: a class of a module, or of a .py file that every worker can read.
+def ship(spark: SparkSession, source: str) -> str:
+    """Send a .py file of the driver to all workers, and the name by which they import it, which its content makes unique."""
+    raw = Path(source).read_bytes()
+    name = f"{re.sub(r'[^0-9a-zA-Z_]', '_', Path(source).stem)}_{hashlib.sha256(raw).hexdigest()[:16]}"
+    copy = Path(tempfile.mkdtemp(prefix="siftwave-")) / f"{name}.py"  # of the driver alone, which serves it
+    copy.write_bytes(raw)
+    spark.addArtifacts(str(copy), pyfile=True)
+    return name
 
-    ValueError, when it is called, where there is no such class.
+
+def encoder_factory(source: str, name: str = "FeatureExtractor", spark: SparkSession | None = None, **options) -> Callable[[], Encoder]:
+    """A function that builds an encoder in a worker: a class of a module, or of a .py file.
+
+    spark: a session to whose workers the file is sent; without one every worker must have it.
+    ValueError, when the function is called, where there is no such class.
     """
+    shipped = ship(spark, source) if spark is not None and source.endswith(".py") and Path(source).is_file() else None
 
     def make() -> Encoder:
-        if source.endswith(".py"):
+        if shipped is not None:
+            module = importlib.import_module(shipped)
+        elif source.endswith(".py"):
             spec = importlib.util.spec_from_file_location(Path(source).stem, source)
             if spec is None or not Path(source).is_file():
                 raise ValueError(f"no file {source}")

@@ -15,7 +15,7 @@ from siftwave.functions.paths import CHANNEL_SUFFIX, STRICT_SUFFIX, clean_path,
 from siftwave.model import INDEX, N_CHANNELS, require_columns
 from siftwave.operators.halo import blocks_of_series
 from siftwave.sources.npz import read_npz
-from siftwave.sources.scans import scan_tables, scan_waves, wave_header, wave_samples
+from siftwave.sources.scans import first_lines, scan_tables, scan_waves, wave_header, wave_samples
 from siftwave.tables import stored
 
 BLOCK = 160_000  # samples of a block of a vibration column
@@ -37,17 +37,12 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
 def sniff_columns(spark: SparkSession, root: str) -> DataFrame:
     """path and n_columns of vibration files: the commas in the first line that is neither blank nor a comment.
 
-    0 for a file without such a line, and where that line or one before it is not UTF-8. Lines are
-    streamed, so no file has to fit in memory, whatever stands before its data.
+    0 for a file without such a line, and where that line or one before it is not UTF-8. Each file is
+    read up to that line only.
     """
-    only = lambda reader: reader.option("recursiveFileLookup", True).option("pathGlobFilter", "vibration_part_*.csv")
-    files = only(spark.read.format("binaryFile")).load(root).select(_path().alias("path"))
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    lines = only(spark.read).text(root).select(_path().alias("path"), place.alias("place"), "value", F.is_valid_utf8("value").alias("valid"))
-    said = lines.where(~F.col("valid") | ((F.trim("value") != "") & ~F.startswith(F.ltrim("value"), F.lit("#"))))
-    first = said.groupBy("path").agg(F.min_by(F.struct("value", "valid"), "place").alias("f"))
-    n = F.when(F.col("f.valid"), F.size(F.split("f.value", ",")) - 1).otherwise(0)
-    return files.join(first, "path", "left").select("path", F.coalesce(n, F.lit(0)).alias("n_columns"))
+    head = first_lines(spark, root, "vibration_part_*.csv")
+    n = F.when(F.is_valid_utf8(F.col("line").cast("string")), F.size(F.split(F.col("line").cast("string"), ",")) - 1)
+    return head.select(_path("path").alias("path"), F.coalesce(F.when(F.col("line").isNotNull(), n), F.lit(0)).alias("n_columns"))
 
 
 def build_index(paths: DataFrame, vibration_columns: DataFrame | None = None, vibration_sr: int = 100_000) -> DataFrame:

@@ -8,6 +8,7 @@ without Python.
 
 from __future__ import annotations
 
+import fnmatch
 import re
 import struct
 from collections.abc import Callable, Iterator
@@ -24,6 +25,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from siftwave.tables import stored
 
 SPLIT = 4_000_000  # bytes of a wave file in a range
+HEAD = 1 << 16  # bytes of a file that are read at once in search of its first line
+FILES = 64  # files whose first lines a task looks for
 CHUNK = 1 << 16  # frames in a row of the scan
 FEW = 64_000_000  # bytes of a small table that is sent to all tasks, at most
 
@@ -139,6 +142,66 @@ class WaveReader(DataSourceReader):
                     yield pa.RecordBatch.from_pylist([{"path": path, "rate": w.rate, "start": at, "samples": wave_samples(raw, w)}], BLOCKS)
 
 
+HEADS = pa.schema([("path", pa.string()), ("line", pa.binary())])
+
+
+class HeadReader(WaveReader):
+    """The first line of each file that is neither blank nor a comment, or before it the first that is not UTF-8; files are read up to it only."""
+
+    def __init__(self, options: dict):
+        self.path, self.pattern = options["path"], options["pattern"]
+
+    def partitions(self) -> list[Ranges]:
+        store, top = fs.FileSystem.from_uri(self.path)
+        files = [f for f in store.get_file_info(fs.FileSelector(top, recursive=True)) if f.type == fs.FileType.File and fnmatch.fnmatchcase(f.base_name, self.pattern)]
+        return [Ranges([(f.path, f.size, 0, f.size) for f in files[i : i + FILES]]) for i in range(0, len(files), FILES)]
+
+    def read(self, partition: Ranges | None) -> Iterator[pa.RecordBatch]:
+        store, _ = fs.FileSystem.from_uri(self.path)
+        found = []
+        for path, *_ in partition.parts if partition else []:
+            with store.open_input_stream(path) as f:
+                found.append({"path": path, "line": _first_line(f)})
+        if found:
+            yield pa.RecordBatch.from_pylist(found, HEADS)
+
+
+def _first_line(f) -> bytes | None:
+    rest = b""
+    while True:
+        raw = f.read(HEAD)
+        *lines, rest = (rest + raw).split(b"\n") if raw else [rest, b""]
+        for line in lines:
+            try:
+                text = line.decode().strip()
+            except UnicodeDecodeError:
+                return line
+            if text and not text.startswith("#"):
+                return line
+        if not raw:
+            return None
+
+
+class HeadSource(DataSource):
+    """`siftwave_heads`: rows path and line of the files below option path whose names match option pattern."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "siftwave_heads"
+
+    def schema(self) -> str:
+        return "path string, line binary"
+
+    def reader(self, schema) -> HeadReader:
+        return HeadReader(self.options)
+
+
+def first_lines(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """path and line (bytes, null if there is none) of files below root: the first that is neither blank nor a comment."""
+    spark.dataSource.register(HeadSource)
+    return spark.read.format(HeadSource.name()).option("path", whole_path(root)).option("pattern", pattern).load()
+
+
 class WaveSource(DataSource):
     """`siftwave_wave`: rows path, rate, start, samples and error of the .wav files at option path, in ranges of split_bytes."""
 

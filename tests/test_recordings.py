@@ -13,9 +13,10 @@ from siftwave.operators import detection as D
 from siftwave.operators import encoders as N
 from siftwave.operators import evaluation as E
 from siftwave.operators import splits as X
-from siftwave.operators.matching import latest_by_id, match_ids, missing_report
+from siftwave.operators.matching import latest_by_id, match_and_count, match_ids, missing_report
 from siftwave.operators.neighbours import nearest
 from siftwave.operators.running import Ordered
+from siftwave.operators.signals import encode_signals
 from siftwave.sources import readers, writers
 from siftwave.streaming.scoring import prepare, score_arrivals, score_batch
 
@@ -69,7 +70,7 @@ def tree(tmp_path_factory):
 
 def test_vibration_columns_are_sniffed(spark, tree):
     got = {r["path"].rsplit("/", 1)[1]: r["n_columns"] for r in readers.sniff_columns(spark, str(tree / "normal/odd_vel80_clean")).collect()}
-    assert got == {f"vibration_part_{i}.csv": n for i, n in (("0001", 3), ("x1", 4), ("0002", 4), ("0003", 0), ("0004", 0), ("0006", 4))}
+    assert got == {f"vibration_part_{i}.csv": n for i, n in (("0001", 3), ("x1", 4), ("0002", 4), ("0003", 0), ("0004", 0), ("0005", 0), ("0006", 4))}
 
 
 def test_index_of_a_tree(spark, tree):
@@ -283,6 +284,27 @@ def test_encoders_are_loaded_by_name_or_file(tmp_path):
             N.encoder_factory(source, name)()
 
 
+def test_encoder_files_are_sent_to_the_workers(spark, tmp_path):
+    source = "import numpy as np\nclass FeatureExtractor:\n    dim = 1\n    def __init__(self, gain):\n        self.gain = gain\n    def encode(self, signal, rate):\n        return np.array([signal.sum() * self.gain])\n"
+    signals = spark.createDataFrame([("a", 0, 1, [1.0, 2.0])], "id string, channel int, rate int, samples array<double>")
+    made = []
+    for gain in (2, 3):
+        (tmp_path / "own.py").write_text(source.replace("self.gain])", f"self.gain + {gain}])"))
+        made.append(N.encoder_factory(f"{tmp_path}/own.py", spark=spark, gain=10))
+    (tmp_path / "own.py").unlink()  # workers have what was sent, each time under a name of its own
+    assert [encode_signals(signals, m).first()["vec"] for m in made] == [[32.0], [33.0]]
+
+
+def test_counts_are_taken_while_sides_are_stored(spark):
+    features = spark.createDataFrame([(i, x, c, [1.0]) for i, x in enumerate(("normal/a_1", "b/c_2", "abnormal/dry/d_3")) for c in range(7)], "ord long, id string, channel int, vec array<double>")
+    ids = spark.createDataFrame([(i, x) for i, x in enumerate(("normal/a_1", "gone", "b/c_2", "b/c_2", "also/gone", "normal/a_1"))], "ord long, id string")
+    got = match_and_count(ids, features, "side", label=P.fault_from_path(F.col("id")))
+    assert (got.n_missing, got.first_missing, got.n_unlabelled) == (2, ["gone", "also/gone"], 2)
+    assert {(r["ord"], r["label"]) for r in got.rows.collect()} == {(0, "normal"), (5, "normal")} and got.rows.count() == 14
+    plain = match_and_count(ids.where("id = 'b/c_2'"), features, "plain")
+    assert (plain.n_missing, plain.first_missing, plain.n_unlabelled, plain.rows.count()) == (0, [], 0, 14)
+
+
 def test_blocks_and_broadcast_find_the_same_neighbours(spark, monkeypatch):
     import siftwave.operators.neighbours as M
 
