@@ -36,19 +36,20 @@ def make_index(spark: SparkSession, root: str, csv: str, vib_sr: int = 100_000)
     writers.write_csv(index.orderBy("label", "id").coalesce(1), csv)
 
 
-def extract_features(spark: SparkSession, index: str, root: str, out: str, encoder: str, class_name: str = "FeatureExtractor", multi_channel_strategy: str = "concatenate", vib_default_sr: int = 0, limit: int = 0, extractor_args: str = "", per_channel: bool = False, form: str = "plain", window: int = 160_000, scan: bool = False) -> None:
+def extract_features(spark: SparkSession, index: str, root: str, out: str, encoder: str, class_name: str = "FeatureExtractor", multi_channel_strategy: str = "concatenate", vib_default_sr: int = 0, limit: int = 0, extractor_args: str = "", per_channel: bool = False, form: str = "plain", window: int = 160_000, scan: bool = False, twins: bool = False) -> None:
     """Encode every signal of an index; samples with a failing channel are written to <out>-errors and left out.
 
-    scan: read long recordings in ranges and window by window instead of whole.
+    scan: read long recordings in ranges and window by window instead of whole. twins: take the .wav
+    file beside a compressed recording, under the same name, where there is one.
     """
     rows = readers.read_index(spark, index).withColumn("ord", F.monotonically_increasing_id())
     rows = stored(readers.first_samples(rows, limit or None), "index")
     make = encoder_factory(encoder, class_name, spark, **json_options(extractor_args))
     if scan:
-        blocks, wrong = readers.scan_signals(spark, rows, root, vib_default_sr or None, form)
+        blocks, wrong = readers.scan_signals(spark, rows, root, vib_default_sr or None, form, twins)
         encoded = encode_blocks(blocks.select(F.struct("id", "channel").alias("key"), "rate", "start", "samples"), make, window).select("key.id", "key.channel", "vec", "error")
     else:
-        signals = readers.read_signals(spark, rows, root, vib_default_sr or None, form)
+        signals = readers.read_signals(spark, rows, root, vib_default_sr or None, form, twins)
         encoded, wrong = encode_signals(signals.where("error IS NULL"), make, window), signals.where("error IS NOT NULL")
     wrong = wrong.select("id", "channel", F.lit(None).cast("array<double>").alias("vec"), "error")
     encoded = stored(encoded.unionByName(wrong), "encoded")
@@ -81,6 +82,7 @@ def split_fd(spark: SparkSession, csv: str, outdir: str, leave_vel: str = "100",
     split = stored(X.split_detection(rows, leave_vel, train_leave_combos), "split")
     X.check_split(split, "")
     writers.write_ids(X.ordered_ids(split, ("train",)), f"{outdir}/train.ids")
+    writers.write_csv(X.detection_counts(split, leave_vel).orderBy(F.desc("side")), f"{outdir}/split_counts.csv")
     tested = split.withColumn("part", F.when(F.col("part").startswith("test"), "test").otherwise(F.col("part")))
     writers.write_ids(X.ordered_ids(tested, ("test",)), f"{outdir}/test.ids")
 

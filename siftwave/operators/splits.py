@@ -119,6 +119,24 @@ def distribution(split: DataFrame) -> DataFrame:
     return split.where(F.col("part").isNotNull()).groupBy(side, F.col("fault").alias("label"), "vel", "load", "noise_cls").agg(F.count(F.lit(1)).alias("n"))
 
 
+def detection_counts(split: DataFrame, leave_vel: str = "100") -> DataFrame:
+    """side (train or test), n_combos (of normality, load, velocity and noise), n_rows, n_ids, the normal and abnormal ones of these, and the normal rows of the held velocity."""
+    side = F.when(F.startswith("part", F.lit("test")), "test").otherwise(F.col("part"))
+    held = F.col("normal") & (F.col("vel") == leave_vel)
+    return (
+        split.where("part IS NOT NULL")
+        .groupBy(side.alias("side"))
+        .agg(
+            F.count_distinct("normal", "load", "vel", "noise_cls").alias("n_combos"),
+            F.count(F.lit(1)).alias("n_rows"),
+            F.count_distinct("id").alias("n_ids"),
+            F.count_distinct(F.when(F.col("normal"), F.col("id"))).alias("n_normal"),
+            F.count_distinct(F.when(~F.col("normal"), F.col("id"))).alias("n_abnormal"),
+            F.count_if(held).alias("n_held_normal"),
+        )
+    )
+
+
 def split_counts(split: DataFrame) -> DataFrame:
     """Samples and distinct conditions of every part."""
     return split.groupBy("part").agg(F.count(F.lit(1)).alias("n_samples"), F.count_distinct("vel", "load", "noise_cls").alias("n_conditions"))

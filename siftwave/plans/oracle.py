@@ -138,6 +138,7 @@ def oracle_sql() -> dict[str, str]:
         "split_fd_none": split_fd("none"),
         "split_fd_subset": split_fd("clean"),
         "split_fd_missing_combos": with_(SAMPLES) + "SELECT load, noise_cls FROM (SELECT unnest(['heavy','med','light']) AS load), (SELECT unnest(['clean','noise']) AS noise_cls) EXCEPT SELECT load, noise_cls FROM s WHERE fault = 'normal' AND vel = '110'",
+        "split_fd_counts": with_(SAMPLES, FD_SPLIT, "c AS (SELECT CASE WHEN part = 'train' THEN 'train' ELSE 'test' END AS side, *, fault = 'normal' AS normal FROM p)") + "SELECT side, count(DISTINCT (normal, load, vel, noise_cls)) AS n_combos, count(*) AS n_rows, count(DISTINCT id) AS n_ids, count(DISTINCT id) FILTER (normal) AS n_normal, count(DISTINCT id) FILTER (NOT normal) AS n_abnormal, count(*) FILTER (normal AND vel = '100') AS n_held_normal FROM c GROUP BY side",
         "split_fc_base": split_fc(),
         "split_fc_exclude_noise": split_fc(base="noise_cls = 'clean'"),
         "split_fc_exclude_load": split_fc(base="load <> 'heavy'"),

@@ -92,6 +92,10 @@ def split_fd(spec):
     return lambda spark, sf_dir: X.split_detection(samples(spark, sf_dir), "100", spec).select("id", "part")
 
 
+def split_fd_counts(spark, sf_dir):
+    return X.detection_counts(X.split_detection(samples(spark, sf_dir), "100", CLEAN))
+
+
 def split_fd_missing(spark, sf_dir):
     return X.missing_combos(samples(spark, sf_dir), "110", "all")
 
@@ -442,6 +446,7 @@ def queries() -> dict:
         "split_fd_none": split_fd("none"),
         "split_fd_subset": split_fd(CLEAN),
         "split_fd_missing_combos": split_fd_missing,
+        "split_fd_counts": split_fd_counts,
         "split_fc_base": split_fc(),
         "split_fc_exclude_noise": split_fc(exclude_noise=True),
         "split_fc_exclude_load": split_fc(exclude_loads=("heavy",)),

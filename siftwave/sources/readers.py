@@ -18,6 +18,7 @@ from siftwave.sources.npz import read_npz
 from siftwave.sources.scans import first_lines, scan_tables, scan_waves, wave_header, wave_samples
 from siftwave.tables import stored
 
+COMPRESSED = r"\.(flac|m4a|mp3|mp4)$"
 BLOCK = 160_000  # samples of a block of a vibration column
 WANTED = 128_000_000  # bytes of listed paths and ids that are sent to all tasks, at most
 
@@ -191,7 +192,7 @@ FORMATS = {
 }
 
 
-def read_signals(spark: SparkSession, index: DataFrame, root: str, default_rate: int | None = None, form: str = "plain") -> DataFrame:
+def read_signals(spark: SparkSession, index: DataFrame, root: str, default_rate: int | None = None, form: str = "plain", twins: bool = False) -> DataFrame:
     """id, channel, rate, samples, error for every path of an index: PCM .wav files, and columns of vibration tables.
 
     Each file is decoded once, a vibration table for all its channels, as FORMATS says of `form`,
@@ -199,10 +200,11 @@ def read_signals(spark: SparkSession, index: DataFrame, root: str, default_rate:
     formats, broken files and files that aren't there give an error row for each use, a null cell,
     one that is no list of paths and a null path one with a null channel or file. Contents are
     matched with the index where they are read, and only of listed files: the index goes to all tasks
-    if it is at most WANTED bytes. A file is one row here; scans.py reads long ones in ranges.
+    if it is at most WANTED bytes. twins: for a compressed recording, the .wav file of the same name
+    beside it is read where there is one. A file is one row here; scan_signals reads long ones in ranges.
     """
     how = FORMATS[form]
-    wanted, pathless = _wanted(index, how)
+    wanted, pathless = _wanted(index, how, list_tree(spark, root) if twins else None)
     per_file = stored(wanted.groupBy("file").agg(F.collect_list(F.struct("id", "channel", "col", "vibration_sr")).alias("uses")), "uses")
     size = per_file.agg(F.sum(F.octet_length("file") + F.aggregate("uses", F.lit(0), lambda a, u: a + F.octet_length(F.coalesce(u["id"], F.lit(""))) + 32))).first()[0] or 0
     binary = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
@@ -228,13 +230,13 @@ def read_signals(spark: SparkSession, index: DataFrame, root: str, default_rate:
     return signals.mapInPandas(run, "id string, channel int, rate int, samples array<double>, error string").unionByName(lost.withColumns(nothing))
 
 
-def scan_signals(spark: SparkSession, index: DataFrame, root: str, default_rate: int | None = None, form: str = "plain") -> tuple[DataFrame, DataFrame]:
+def scan_signals(spark: SparkSession, index: DataFrame, root: str, default_rate: int | None = None, form: str = "plain", twins: bool = False) -> tuple[DataFrame, DataFrame]:
     """read_signals for long recordings: blocks (id, channel, rate, start, samples) of all that can be read, and (id, channel, error) of the rest.
 
     Files are read in ranges and splits, so no task holds a whole one.
     """
     how = FORMATS[form]
-    wanted, lost = _wanted(index, how)
+    wanted, lost = _wanted(index, how, list_tree(spark, root) if twins else None)
     wanted = stored(wanted, "wanted")
     waves = scan_waves(spark, root)
     tables, unread = scan_tables(spark, root, how)
@@ -259,13 +261,21 @@ def scan_signals(spark: SparkSession, index: DataFrame, root: str, default_rate:
     return sound.unionByName(vibration), lost.unionByName(no_file).unionByName(broken).unionByName(other).unionByName(columnless)
 
 
-def _wanted(index: DataFrame, how: TableFormat) -> tuple[DataFrame, DataFrame]:
-    """id, vibration_sr, channel, file and col of every path of an index, and (id, channel, error) of cells and paths that are none."""
+def _wanted(index: DataFrame, how: TableFormat, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """id, vibration_sr, channel, file and col of every path of an index, and (id, channel, error) of cells and paths that are none.
+
+    known: paths of files; a compressed recording's .wav twin among them takes its place.
+    """
     wanted = index.select("id", "vibration_sr", F.posexplode_outer(decode_paths(F.col("paths"), how.lenient)).alias("channel", "p"))
     bare, column = split_channel(clean_path(F.col("p")), how.suffix)
     wanted = wanted.select("id", "vibration_sr", "channel", F.regexp_replace(bare, "^file:/+", "/").alias("file"), column.alias("col"))
     pathless = wanted.where("file IS NULL").select("id", "channel", F.when(F.col("channel").isNull(), "no list of paths").otherwise("no path").alias("error"))
-    return wanted.where("file IS NOT NULL"), pathless
+    wanted = wanted.where("file IS NOT NULL")
+    if known is not None:
+        twin = F.when(F.lower("file").rlike(COMPRESSED), F.regexp_replace("file", r"\.[^./]+$", ".wav"))
+        wanted = wanted.withColumn("twin", twin).join(known.select(F.col("path").alias("twin"), F.lit(True).alias("there")), "twin", "left")
+        wanted = wanted.select("id", "vibration_sr", "channel", F.when(F.col("there"), F.col("twin")).otherwise(F.col("file")).alias("file"), "col")
+    return wanted, pathless
 
 
 def _signal(use, table, error, default_rate, how):

@@ -368,17 +368,17 @@ def test_jobs_from_a_tree_to_results(spark, tree, tmp_path):
         wav = p.parent.parent / "audio" / p.name.replace(p.parent.name, "audio").replace(".mp4", ".wav")
         p.with_suffix(".wav").write_bytes(wav.read_bytes())
     run("make-index", "--root", str(tree), "--csv", f"{tmp_path}/raw")
-    index = readers.read_index(spark, f"{tmp_path}/raw").withColumn("paths", F.replace("paths", F.lit(".mp4"), F.lit(".wav")))
-    writers.write_csv(index.orderBy("label", "id").coalesce(1), f"{tmp_path}/index")
-    common = ("--index", f"{tmp_path}/index", "--root", str(tree), "--encoder", "siftwave.operators.encoders", "--class-name", "LogSpectrum", "--extractor-args", '{"dim": 6}')
+    common = ("--twins", "--index", f"{tmp_path}/raw", "--root", str(tree), "--encoder", "siftwave.operators.encoders", "--class-name", "LogSpectrum", "--extractor-args", '{"dim": 6}')
     run("extract-features", *common, "--out", f"{tmp_path}/whole", "--limit", "90")
     run("extract-features", *common, "--out", f"{tmp_path}/parts", "--per-channel")
     assert spark.read.parquet(f"{tmp_path}/whole").select(F.size("x")).distinct().collect() == [(42,)] and spark.read.parquet(f"{tmp_path}/whole").count() == 90
     run("extract-features", *common, "--out", f"{tmp_path}/scanned", "--per-channel", "--scan")
     both = [{(r["id"], r["channel"]): r["vec"] for r in spark.read.parquet(f"{tmp_path}/{n}").collect()} for n in ("parts", "scanned")]
     assert both[0].keys() == both[1].keys() and all(np.allclose(v, both[1][k], atol=1e-9) for k, v in both[0].items())
-    run("split-fd", "--csv", f"{tmp_path}/index", "--outdir", f"{tmp_path}/fd", "--train-leave-combos", "heavy-clean")
-    run("split-fc", "--csv", f"{tmp_path}/index", "--outdir", f"{tmp_path}/fc", "--hard-labels", "", "--hard-vels", "")
+    run("split-fd", "--csv", f"{tmp_path}/raw", "--outdir", f"{tmp_path}/fd", "--train-leave-combos", "heavy-clean")
+    run("split-fc", "--csv", f"{tmp_path}/raw", "--outdir", f"{tmp_path}/fc", "--hard-labels", "", "--hard-vels", "")
+    counts = {r["side"]: r for r in spark.read.option("header", True).csv(f"{tmp_path}/fd/split_counts.csv").collect()}
+    assert counts["train"]["n_abnormal"] == "0" and int(counts["train"]["n_rows"]) + int(counts["test"]["n_rows"]) == 97
     meta = json.loads((tmp_path / "fc/split_meta.json").read_text())
     assert len(meta) == 19 and meta["N_train"] + meta["N_test"] == 97 and meta["all_labels"] == ["dry", "lean", "normal"]
     for features, more in (("parts", ["--per-channel"]), ("whole", [])):
