@@ -201,5 +201,7 @@ def oracle_sql() -> dict[str, str]:
   array_to_string(list_sort(list_distinct(list(fault) FILTER (part = 'train'))), ',') AS train_labels, array_to_string(list_sort(list_distinct(list(fault) FILTER (part <> 'train'))), ',') AS test_labels, array_to_string(list_sort(list_distinct(list(fault))), ',') AS all_labels FROM p""",
         "score_arrivals": with_(*FD_SCORED) + f"SELECT view, ord, {r('score', 'score')} FROM fu",
         "score_arrivals_grown": with_(SAMPLES, FEATURES, FD_SPLIT, SCALED.replace("WHERE part = 'train' GROUP BY ALL)", "WHERE part = 'train' AND vel IN ('80', '90') GROUP BY ALL)"), RAW, QUANTILE, FUSED) + f"SELECT view, ord, {r('score', 'score')} FROM fu",
+        "stored_ranks": "SELECT c_custkey, count(*) FILTER (s_acctbal <= c_acctbal) AS n_upto, count(*) AS n_stored FROM customer JOIN supplier ON s_nationkey = c_nationkey GROUP BY c_custkey",
+        "scaler_drift": with_(SAMPLES, FEATURES, FD_SPLIT, "flat AS (SELECT channel, vel, unnest(vec) AS x, generate_subscripts(vec, 1) AS pos FROM f JOIN p USING (ord) WHERE part = 'train')", "m AS (SELECT channel, pos, avg(x) AS mu, stddev_pop(x) AS sd, avg(x) FILTER (vel IN ('80', '90')) AS mu0, stddev_pop(x) FILTER (vel IN ('80', '90')) AS sd0 FROM flat GROUP BY ALL)", "n AS (SELECT channel, mu, mu0, CASE WHEN sd > 0 THEN sd ELSE 1 END AS sd, CASE WHEN sd0 > 0 THEN sd0 ELSE 1 END AS sd0 FROM m)") + f"SELECT channel, {r('max(abs(mu - mu0) / sd0)', 'shift')}, {r('max(greatest(sd / sd0, sd0 / sd))', 'stretch')} FROM n GROUP BY channel",
         "views": with_(SAMPLES, FEATURES, "v AS (SELECT 'audio' AS view, unnest([0,1,2]) AS channel, unnest([1,2,3]) AS place, 3 AS n_channels UNION ALL SELECT 'vibration', unnest([3,4,5,6]), unnest([1,2,3,4]), 4 UNION ALL SELECT 'fused', unnest([0,1,2,3,4,5,6]), unnest([1,2,3,4,5,6,7]), 7)") + f"SELECT view, channel, place, n_channels, count(*) AS n_vectors, {r('avg(list_sum(vec))', 'mean_total')} FROM v JOIN f USING (channel) GROUP BY ALL",
     }

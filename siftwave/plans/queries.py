@@ -18,10 +18,11 @@ from siftwave.operators import splits as X
 from siftwave.operators.encoders import Encoder
 from siftwave.operators.matching import drop_unlabelled, match_ids, missing_ids, missing_report
 from siftwave.operators.metric_index import MetricIndex
-from siftwave.operators.neighbours import nearest, scaler_stats, standardize
+from siftwave.operators.neighbours import merge_moments, nearest, scaler_moments, scaler_stats, standardize, stats_of
+from siftwave.operators.rank_index import RankIndex
 from siftwave.plans.data import cell_features, column_features, concat_features, list_features, samples
 from siftwave.sources.readers import build_index, first_samples, is_monotone
-from siftwave.streaming.scoring import grow, prepare, score_batch
+from siftwave.streaming.scoring import drift_of, grow, prepare, score_batch
 from siftwave.tables import stored
 
 K = 11
@@ -425,6 +426,22 @@ def arrivals_grown(spark, sf_dir):
     return score_batch(test.select("channel", "ord", "vec"), grow(prepare(first, K), rest), list(VIEWS)).withColumn("score", _r("score"))
 
 
+def stored_ranks(spark, sf_dir):
+    """The rank of every customer's balance among the stored balances of the suppliers of its nation."""
+    held = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_nationkey").alias("channel"), F.col("s_acctbal").alias("raw"))
+    asked = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.col("c_nationkey").alias("channel"), F.col("c_acctbal").alias("raw"))
+    return RankIndex(held, run=8).ranked(asked).select("c_custkey", "n_upto", "n_stored")
+
+
+def scaler_drift(spark, sf_dir):
+    """How far the scaler of two velocities lies from that of the whole training side, by merged moments."""
+    train, _, split = _fd_sides(spark, sf_dir)
+    early = split.where("vel IN ('80', '90')").select("ord")
+    first, rest = (scaler_moments(train.join(early, "ord", how)) for how in ("left_semi", "left_anti"))
+    d = drift_of(stats_of(first), merge_moments(first, rest))
+    return d.select("channel", _r("shift").alias("shift"), _r("stretch").alias("stretch"))
+
+
 def views(spark, sf_dir):
     """The channels of each view, with their vectors counted and summed up."""
     total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
@@ -504,5 +521,7 @@ def queries() -> dict:
         "split_fc_meta": split_fc_meta,
         "score_arrivals": arrivals,
         "score_arrivals_grown": arrivals_grown,
+        "stored_ranks": stored_ranks,
+        "scaler_drift": scaler_drift,
         "views": views,
     }

@@ -76,9 +76,14 @@ def drift(ready: Prepared) -> DataFrame:
 
     A large one says when to prepare anew.
     """
-    now = stats_of(ready.moments).select("channel", "pos", F.col("mu").alias("mu_now"), F.col("sd").alias("sd_now"))
+    return drift_of(ready.stats, ready.moments)
+
+
+def drift_of(stats: DataFrame, moments: DataFrame) -> DataFrame:
+    """drift of a scaler from the moments of other vectors."""
+    now = stats_of(moments).select("channel", "pos", F.col("mu").alias("mu_now"), F.col("sd").alias("sd_now"))
     ratio = F.greatest(F.col("sd_now") / F.col("sd"), F.col("sd") / F.col("sd_now"))
-    return ready.stats.join(now, ["channel", "pos"]).groupBy("channel").agg(F.max(F.abs(F.col("mu_now") - F.col("mu")) / F.col("sd")).alias("shift"), F.max(ratio).alias("stretch"))
+    return stats.join(now, ["channel", "pos"]).groupBy("channel").agg(F.max(F.abs(F.col("mu_now") - F.col("mu")) / F.col("sd")).alias("shift"), F.max(ratio).alias("stretch"))
 
 
 def score_batch(arrived: DataFrame, prepared: Prepared, views=("fused",)) -> DataFrame:
