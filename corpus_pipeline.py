@@ -27,7 +27,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the smallest doc_id, and one row of those that share it."""
-    numbered = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[c] for c in docs.columns]).alias("doc")), "joined")
+    # The stage's docs are a table that Spark reads in the same order each time, so a row's number is the same in every scan.
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
     joined = join_similar(numbered.select(F.col("row").alias("doc_id"), "doc.text")).select(F.col("doc_id").alias("row"), "component")
     ids = numbered.select("row", F.col("doc.doc_id").alias("doc_id"))
     first = joined.join(ids, "row").groupBy("component").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row"))
