@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,16 @@ BLOCK = 6_000_000  # bytes of text in a block, unless one text is longer
 ROWS = 2**20 - 1  # texts in a block, so that a place in it fits 20 bits
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trim() -> None:
+    """Give memory that is free back to the system; allocators keep it, and workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def text_blocks(batches: Iterator[pd.DataFrame], text: str, size: int = BLOCK) -> Iterator[pd.DataFrame]:
     """The same rows in frames of about `size` bytes of text and at most ROWS rows, across batch borders."""
     held, held_size, held_rows = [], 0, 0

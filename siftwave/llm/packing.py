@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwave.llm.blocks import trim
 from siftwave.llm.storage import stored, with_computed
 
 CAPACITY = 2048
@@ -325,6 +326,7 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, gr
     schema = left.select("*", *[F.lit(0).cast("long").alias(c) for c in ("sequence_id", "offset", "_room")]).schema
 
     def solve(g: pa.Table) -> pa.Table:
+        trim()  # what the group before has left
         g = g.sort_by("_n")
         bins = Bins(g[length].to_pylist(), capacity)
         bins.best_fit()

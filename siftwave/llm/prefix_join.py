@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwave.llm.blocks import distinct, mix, put, put_sorted, runs, take, take_sorted, text_blocks, text_words
+from siftwave.llm.blocks import distinct, mix, put, put_sorted, runs, take, take_sorted, text_blocks, text_words, trim
 from siftwave.llm.storage import discard, release, shards, stored
 
 OFFERS = 4  # hubs that a group is compared with in each round before all remaining pairs are
@@ -81,6 +81,7 @@ def _lists(docs: DataFrame, width: int, total: int) -> DataFrame:
             for a, z in zip(cuts[:-1], cuts[1:], strict=True):
                 rows.append((int(shard[a]), block, put_sorted(token[at][a:z]), put(count[a:z], "<u4"), put(light[before[a] : before[z]], "<u4"), *[None] * 6))
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in LISTS.split(", ")])
+        trim()
 
     return docs.mapInPandas(run, LISTS)
 
@@ -94,6 +95,7 @@ def _shared(lists: DataFrame) -> DataFrame:
     def run(g: pd.DataFrame) -> pd.DataFrame:
         cells = g[g["token"].notna()]
         tokens, counts = [take_sorted(x) for x in cells["token"]], [take(x, "<u4").astype(np.int64) for x in cells["count"]]
+        trim()  # what the group before has left
         rows = [(r.block, *[None] * 5, r.ids, r.no_id, r.sizes, r.often, r.often_count, r.often_doc) for r in g[g["ids"].notna()].itertuples()]
         if tokens:
             known = distinct(np.concatenate(tokens))
@@ -127,6 +129,7 @@ def _documents(shared: DataFrame, percent: int) -> DataFrame:
     """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
+        trim()
         about = g[g["ids"].notna()].iloc[0]
         ids, n = take(about["ids"], "<i8"), take(about["sizes"], "<u4").astype(np.int64)
         lonely = np.zeros(len(ids), np.int64)
@@ -182,6 +185,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for g in batches:
             common = np.fromiter((len(np.intersect1d(take_sorted(x), take_sorted(y), assume_unique=True)) for x, y in zip(g["t_a"], g["t_b"], strict=True)), np.int64, len(g))
             yield g.loc[100 * common >= percent * (g["n_a"] + g["n_b"] - common), ["a", "b"]]
+        trim()
 
     return both.select("a", "b", "n_a", "n_b", "t_a", "t_b").mapInPandas(run, "a long, b long")
 

@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from siftwave.llm.blocks import trim
 from siftwave.tables import delete, discard, release, shared_dir, stored
 
+HELD = 8_000_000  # bytes of a batch that become Python values at once
+
 __all__ = ["delete", "discard", "fold_ascii", "hold_out", "let", "release", "schema_with", "shards", "shared_dir", "stored", "with_computed"]
 
 
@@ -45,8 +48,8 @@ def schema_with(df: DataFrame, **fields: str):
 def with_computed(df: DataFrame, inputs: tuple[str, ...], work: Callable[..., Iterator[tuple]], drop: tuple[str, ...] = (), **fields: str) -> DataFrame:
     """df without the columns in drop, with fields (name=type) that work makes of the input columns.
 
-    work gets a list for each input column of a batch and yields (rows, values, ...), the places of
-    the batch's rows to give out, in any number, and a list for each field. All other columns stay in
+    work gets a list for each input column of about HELD bytes of rows and yields (rows, values, ...), the places of
+    these rows to give out, in any number, and a list for each field. All other columns stay in
     Arrow, so whole numbers beside a null and nested values come out as they went in.
     """
     kept = [c for c in df.columns if c not in fields and c not in drop]
@@ -55,10 +58,13 @@ def with_computed(df: DataFrame, inputs: tuple[str, ...], work: Callable[..., It
     kinds = [to_arrow_type(f.dataType) for f in schema.fields[len(kept) :]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in filter(len, batches):
-            for rows, *values in work(*[b.column(source.index(c)).to_pylist() for c in inputs]):
-                same = isinstance(rows, range) and rows == range(len(b))
-                held = [b.column(i) if same else b.column(i).take(pa.array(rows, pa.int64())) for i in range(len(kept))]
-                yield pa.RecordBatch.from_arrays([*held, *[pa.array(v, k) for v, k in zip(values, kinds, strict=True)]], [*kept, *fields])
+        for whole in filter(len, batches):
+            step = max(1, len(whole) * HELD // max(1, whole.nbytes))
+            for b in (whole.slice(at, step) for at in range(0, len(whole), step)):
+                for rows, *values in work(*[b.column(source.index(c)).to_pylist() for c in inputs]):
+                    same = isinstance(rows, range) and rows == range(len(b))
+                    held = [b.column(i) if same else b.column(i).take(pa.array(rows, pa.int64())) for i in range(len(kept))]
+                    yield pa.RecordBatch.from_arrays([*held, *[pa.array(v, k) for v, k in zip(values, kinds, strict=True)]], [*kept, *fields])
+            trim()
 
     return df.select(*[df[c] for c in source]).mapInArrow(run, schema)
