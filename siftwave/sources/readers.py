@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from siftwave.functions.paths import CHANNEL_SUFFIX, STRICT_SUFFIX, clean_path, decode_paths, encode_paths, id_suffix, split_channel
 from siftwave.model import INDEX, N_CHANNELS, require_columns
 from siftwave.operators.halo import blocks_of_series
+from siftwave.sources.flac import decode_flac, scan_flacs
 from siftwave.sources.npz import read_npz
 from siftwave.sources.scans import first_lines, scan_tables, scan_waves, wave_header, wave_samples
 from siftwave.tables import stored
 
-COMPRESSED = r"\.(flac|m4a|mp3|mp4)$"
+COMPRESSED = r"\.(m4a|mp3|mp4)$"  # formats that can't be decoded here
 BLOCK = 160_000  # samples of a block of a vibration column
 WANTED = 128_000_000  # bytes of listed paths and ids that are sent to all tasks, at most
 
@@ -193,11 +194,11 @@ FORMATS = {
 
 
 def read_signals(spark: SparkSession, index: DataFrame, root: str, default_rate: int | None = None, form: str = "plain", twins: bool = False) -> DataFrame:
-    """id, channel, rate, samples, error for every path of an index: PCM .wav files, and columns of vibration tables.
+    """id, channel, rate, samples, error for every path of an index: .wav and .flac files, and columns of vibration tables.
 
     Each file is decoded once, a vibration table for all its channels, as FORMATS says of `form`,
     which also says how cells of paths and column suffixes are read; paths are cleaned. Other audio
-    formats, broken files and files that aren't there give an error row for each use, a null cell,
+    formats, broken and cut files and files that aren't there give an error row for each use, a null cell,
     one that is no list of paths and a null path one with a null channel or file. Contents are
     matched with the index where they are read, and only of listed files: the index goes to all tasks
     if it is at most WANTED bytes. twins: for a compressed recording, the .wav file of the same name
@@ -218,7 +219,7 @@ def read_signals(spark: SparkSession, index: DataFrame, root: str, default_rate:
             for r in b.itertuples():
                 table = error = None
                 try:
-                    table = decode_wav(r.content) if r.file.lower().endswith(".wav") else decode_table(r.content, r.file, how)
+                    table = _decoded(r.content, r.file, how)
                 except ValueError as e:
                     error = str(e)
                 for u in r.uses:
@@ -233,16 +234,18 @@ def read_signals(spark: SparkSession, index: DataFrame, root: str, default_rate:
 def scan_signals(spark: SparkSession, index: DataFrame, root: str, default_rate: int | None = None, form: str = "plain", twins: bool = False) -> tuple[DataFrame, DataFrame]:
     """read_signals for long recordings: blocks (id, channel, rate, start, samples) of all that can be read, and (id, channel, error) of the rest.
 
-    Files are read in ranges and splits, so no task holds a whole one.
+    Files are read in ranges and splits, so no task holds a whole one. A file with an error in any
+    range gives no blocks; recordings are decoded a second time to know that before.
     """
     how = FORMATS[form]
     wanted, lost = _wanted(index, how, list_tree(spark, root) if twins else None)
     wanted = stored(wanted, "wanted")
-    waves = scan_waves(spark, root)
+    waves = scan_waves(spark, root).unionByName(scan_flacs(spark, root))
     tables, unread = scan_tables(spark, root, how)
     path = F.regexp_replace("path", "^file:/+", "/").alias("file")
-    is_wave = F.lower("file").endswith(".wav")
-    sound = wanted.where(is_wave).join(waves.where("error IS NULL").select(path, "rate", "start", "samples"), "file").select("id", "channel", "rate", "start", "samples")
+    errors = stored(waves.where("error IS NOT NULL").select(path, "error").unionByName(unread.withColumnRenamed("path", "file")).groupBy("file").agg(F.min("error").alias("error")), "errors")
+    is_wave = F.lower("file").rlike(r"\.(wav|flac)$")
+    sound = wanted.where(is_wave).join(errors, "file", "left_anti").join(waves.where("error IS NULL").select(path, "rate", "start", "samples"), "file").select("id", "channel", "rate", "start", "samples")
     blocks = blocks_of_series(tables.select(F.struct("path", "column").alias("key"), "pos", "x"), BLOCK).select(F.col("key.path").alias("file"), F.col("key.column").alias("column"), "start", "samples")
     widths = stored(blocks.groupBy("file").agg(F.max("column").alias("width")), "widths")
     rate = F.coalesce("vibration_sr", F.lit(default_rate))
@@ -251,11 +254,11 @@ def scan_signals(spark: SparkSession, index: DataFrame, root: str, default_rate:
     uses = uses.select("id", "channel", "file", rate.alias("rate"), "col", "width", pick.alias("column"))
     able = F.col("rate").isNotNull() & F.col("column").between(1, F.col("width"))
     vibration = uses.where(able).join(blocks, ["file", "column"]).select("id", "channel", "rate", "start", "samples")
-    errors = stored(waves.where("error IS NOT NULL").select(path, "error").unionByName(unread.withColumnRenamed("path", "file")), "errors")
     known = list_tree(spark, root).withColumnRenamed("path", "file")
-    no_file = wanted.join(known, "file", "left_anti").select("id", "channel", F.concat(F.lit("no file "), "file").alias("error"))
+    # Spark lists no empty files, the scans of recordings do.
+    no_file = wanted.join(known, "file", "left_anti").join(errors, "file", "left_anti").select("id", "channel", F.concat(F.lit("no file "), "file").alias("error"))
     broken = wanted.join(errors, "file").select("id", "channel", "error")
-    other = wanted.where(~F.lower("file").rlike(r"\.(wav|csv|tsv|txt)$")).join(known, "file", "left_semi").select("id", "channel", F.lit("this audio format can't be decoded here").alias("error"))
+    other = wanted.where(~F.lower("file").rlike(r"\.(wav|flac|csv|tsv|txt)$")).join(known, "file", "left_semi").select("id", "channel", F.lit("this audio format can't be decoded here").alias("error"))
     why = F.when(F.col("rate").isNull() & F.col("column").between(1, F.col("width")), "no sampling rate").otherwise(F.concat(F.lit("no signal column "), F.coalesce(F.col("col").cast("string"), F.lit("None")), F.lit(" of "), "width"))
     columnless = uses.where(F.col("width").isNotNull() & ~able).select("id", "channel", why.alias("error"))
     return sound.unionByName(vibration), lost.unionByName(no_file).unionByName(broken).unionByName(other).unionByName(columnless)
@@ -296,6 +299,13 @@ def _signal(use, table, error, default_rate, how):
     return (*head, int(rate), x, None)
 
 
+def _decoded(raw: bytes, name: str, how: TableFormat) -> tuple[int | None, np.ndarray]:
+    """A file's rate (null for tables) and samples, by what its name says it is."""
+    by_suffix = {".wav": decode_wav, ".flac": decode_flac}
+    suffix = name[name.rfind(".") :].lower()
+    return by_suffix[suffix](raw) if suffix in by_suffix else decode_table(raw, name, how)
+
+
 def decode_wav(raw: bytes) -> tuple[int, np.ndarray]:
     """Rate and mono samples in -1..1 of a file of PCM or IEEE floats."""
     try:

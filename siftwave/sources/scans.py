@@ -102,6 +102,8 @@ BLOCKS = pa.schema([("path", pa.string()), ("rate", pa.int32()), ("start", pa.in
 
 
 class WaveReader(DataSourceReader):
+    suffix = ".wav"
+
     def __init__(self, options: dict):
         self.path, self.split = options["path"], int(options.get("split_bytes", SPLIT))
 
@@ -111,7 +113,7 @@ class WaveReader(DataSourceReader):
         info = store.get_file_info(top)
         found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(top, recursive=True))
         parts, held, size = [], [], 0
-        for f in sorted((f for f in found if f.type == fs.FileType.File and f.path.lower().endswith(".wav")), key=lambda f: f.path):
+        for f in sorted((f for f in found if f.type == fs.FileType.File and f.path.lower().endswith(self.suffix)), key=lambda f: f.path):
             for a in range(0, max(f.size, 1), self.split):
                 held.append((f.path, f.size, a, min(f.size, a + self.split)))
                 size += held[-1][3] - a
