@@ -97,7 +97,7 @@ CASES = {
     "verbatim": {"kinds": ({"kind": "verbatim"},)},
     **{f"fixed{o}_{w}": {"kinds": ({"kind": o},), "width": w} for o in range(5) for w in (16, 24)},
     "lpc16": {"kinds": (LPC,)}, "lpc24": {"kinds": (LPC,), "width": 24}, "eight": {"width": 8}, "twelve": {"width": 12}, "twenty": {"width": 20, "channels": 3},
-    "thirty_two": {"width": 32, "kinds": ({"kind": "verbatim"},)},
+    "thirty_two": {"width": 32, "kinds": ({"kind": "verbatim"},)}, "thirty_two_sides": {"width": 32, "channels": 2, "sides": 10, "kinds": ({"kind": 2, "method": 1}, {**LPC, "method": 1})},
     "parts": {"kinds": ({"kind": 2, "parts": 3, "method": 1}, LPC), "channels": 2},
     "escape": {"kinds": ({"kind": 1, "parts": 2, "escape": True},), "width": 24}, "wasted": {"kinds": ({"kind": 1, "wasted": 3}, {"kind": "verbatim", "wasted": 1}), "channels": 2, "step": 8},
     "mixed": {"kinds": ({"kind": 0}, {"kind": 4}, LPC, {"kind": "verbatim"}), "channels": 7},
