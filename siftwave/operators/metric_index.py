@@ -1,10 +1,11 @@
 """Exact nearest neighbours that measure only what the triangle inequality leaves.
 
-Reference vectors lie in cells around pivots, with their distance to the pivot. A query first bounds
-its k-th distance: by the radii of the cells around it, then by the vectors of one block of its home
-cell. It goes on to the cells whose lower bound is within that, and measures those of their vectors
-whose distance to the pivot allows it. Cells and queries of a cell are dealt into blocks, so neither
-a crowded cell nor a popular one is one task's work.
+Reference vectors lie in cells around pivots, with their distance to the pivot, and neighbouring
+cells in shards that a task can hold. A block of queries first meets the shard of their own cell, and
+there the cells in order of their lower bounds: each query's k-th distance so far says which cells it
+still has to read, and which of their vectors by their distance to the pivot. Only queries that reach
+into cells of other shards go on to these. A crowded cell is several shards, and queries of a popular
+one are several blocks, so neither is one task's work.
 """
 
 from __future__ import annotations
@@ -14,15 +15,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwave.operators.neighbours import BROADCAST, _unit, matrix, measured, metric_name, nearest, squared
+from siftwave.operators.neighbours import BROADCAST, ROWS, Best, _unit, matrix, merged, met, metric_name, nearest, places, ranked, squared
 from siftwave.tables import stored
 
 PIVOTS = 1024  # cells of a channel, at most
 SAMPLE = 16  # vectors for each pivot that place the pivots
-BLOCK = 8192  # vectors or queries of a cell that a task holds at once
+BLOCK = 32_768  # queries that meet a shard in one task
+SHARD = BROADCAST  # numbers of a shard's vectors, at most
 WORTH = 0.3  # share of all pairs from which comparing blocks is quicker
 EPS = np.finfo(float).eps
 
@@ -57,6 +59,12 @@ class Cells:
     near: np.ndarray
     far: np.ndarray
 
+    def __post_init__(self):
+        # Distances of the pivots among themselves, a bit too large where they are not exact.
+        exact = len(self.pivots) * self.pivots.size <= 4_000_000
+        apart = np.sqrt(((self.pivots[:, None] - self.pivots[None]) ** 2).sum(2)) if exact else np.sqrt(np.maximum(squared(self.pivots, self.pivots)[0], 0)) + 1e-6
+        object.__setattr__(self, "apart", apart)
+
     def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For points q: distances to the pivots from below and from above, and lower bounds of the distances to all vectors of each cell."""
         d2, off = squared(q, self.pivots)
@@ -64,20 +72,11 @@ class Cells:
         bound = np.maximum(np.maximum(low - self.far, self.near - high), 0)
         # Whatever is nearer to another pivot than to the query's own lies beyond the plane between the two.
         home = high.argmin(1)
-        apart = np.sqrt(((self.pivots[home][:, None] - self.pivots[None]) ** 2).sum(2)) if len(q) * self.pivots.size <= 4_000_000 else np.sqrt(np.maximum(squared(self.pivots[home], self.pivots)[0], 0)) + 1e-6
+        apart = self.apart[home]
         with np.errstate(divide="ignore", invalid="ignore"):
             plane = (low**2 - high[np.arange(len(q)), home][:, None] ** 2) / (2 * apart * (1 + 1e-9))
         return low, high, np.maximum(bound, np.where(apart > 0, plane, 0) - 1e-9 * (1 + high))
 
-    def kth(self, high: np.ndarray, take: int) -> np.ndarray:
-        """Upper bounds of the take-th distances, from cells that lie within their pivot's distance and radius whole."""
-        whole = high + self.far
-        order = np.argsort(whole, axis=1)
-        enough = np.cumsum(self.n[order], axis=1) >= min(take, self.n.sum())
-        at = np.argmax(enough, axis=1)
-        rows = np.arange(len(high))
-        return whole[rows, order[rows, at]] * (1 + 1e-9)
-
 
 def place_pivots(x: np.ndarray, count: int, rounds: int = 4) -> np.ndarray:
     """At most count pivots among the points x: some of them, moved to the means of what is nearest."""
@@ -92,6 +91,14 @@ def place_pivots(x: np.ndarray, count: int, rounds: int = 4) -> np.ndarray:
     return pivots
 
 
+def side_by_side(pivots: np.ndarray) -> np.ndarray:
+    """The order in which near pivots stand near: halves along the widest dimension, and halves of these."""
+    if len(pivots) <= 2:
+        return np.arange(len(pivots))
+    along = np.argsort(pivots[:, np.ptp(pivots, axis=0).argmax()], kind="stable")
+    return np.concatenate([half[side_by_side(pivots[half])] for half in np.array_split(along, 2)])
+
+
 class MetricIndex:
     """Cells of a reference (channel, ord, vec and `carry` columns), stored once and searched as often as wanted.
 
@@ -113,7 +120,8 @@ class MetricIndex:
             own = sample.loc[sample["channel"] == c, "vec"]
             # A channel of few vectors may leave no sample; its first vector is a pivot then.
             own = own if len(own) else [reference.where(F.col("channel") == c).orderBy("ord").first()["vec"]]
-            held[c] = place_pivots(space(matrix(own), self.metric, False), wanted[c])
+            pivots_of = place_pivots(space(matrix(own), self.metric, False), wanted[c])
+            held[c] = pivots_of[side_by_side(pivots_of)]
         shared, metric = self.spark.sparkContext.broadcast(held), self.metric
 
         def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,125 +145,133 @@ class MetricIndex:
             kept = n > 0
             self.about[c] = (Cells(at[kept], n[kept], near[kept], far[kept]), np.flatnonzero(kept))
         self.size = sum(counts.values())
-        self.sizes = self.spark.createDataFrame([(int(c), int(k), int(cells.n[i])) for c, (cells, names) in self.about.items() for i, k in enumerate(names)], "channel int, cell int, cell_n long")
-
-    def _dealt(self, plan: DataFrame, one: bool) -> tuple[DataFrame, DataFrame]:
-        """plan and the cells that it names, dealt into blocks by (channel, cell, q, c); one: each query meets a single block of its cell."""
-        grid = plan.groupBy("channel", "cell").agg(F.count(F.lit(1)).alias("asked")).join(self.sizes, ["channel", "cell"])
-        grid = F.broadcast(stored(grid.select("channel", "cell", F.ceil(F.col("asked") / BLOCK).cast("int").alias("qs"), F.ceil(F.col("cell_n") / BLOCK).cast("int").alias("cs")), "grid"))  # a row for each cell
-        deal = lambda n: F.pmod(F.xxhash64("ord"), F.col(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left, right = plan.join(grid, ["channel", "cell"]), self.cells.join(grid, ["channel", "cell"])
-        left = left.withColumn("q", deal("qs")).withColumn("c", deal("cs") if one else every("cs"))
-        right = right.withColumn("c", deal("cs")).withColumn("q", every("qs"))
-        # The small table of sizes stands on both sides; columns of its own keep the sides apart.
-        return tuple(side.select(*[F.col(c).alias(c) for c in side.columns if c not in ("qs", "cs")]) for side in (left, right))
+        # For each cell, by its place in about: its first shard, and over how many it is dealt.
+        self.shards = {c: _shards(cells.n, max(1, SHARD // max(1, held[c].shape[1]))) for c, (cells, _) in self.about.items()}
+        self.whole = all(first[-1] + parts[-1] == 1 for first, parts in self.shards.values())
+        self.shared = self.spark.sparkContext.broadcast(self.about)
+        rows = [(int(c), int(k), int(f), int(p)) for c, (_, names) in self.about.items() for k, f, p in zip(names, *self.shards[c], strict=True)]
+        self.dealt = self.spark.createDataFrame(rows, "channel int, cell int, first int, parts int")
 
-    def plan(self, queries: DataFrame, take: int) -> DataFrame:
-        """(channel, ord, cell, vec, low, high, reach) for each cell that a query has to read; `first` marks one row of each query, with how many vectors it has measured so far."""
-        metric, about = self.metric, self.spark.sparkContext.broadcast(self.about)
+    def _homes(self, queries: DataFrame) -> DataFrame:
+        """channel, ord, vec and shard: for the queries of known channels, that of their nearest pivot."""
+        shared, shards, metric = self.shared, self.shards, self.metric
 
         def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for c, a in batch.groupby("channel"):
-                    if c in about.value:
-                        cells, names = about.value[c]
-                        q = space(matrix(a["vec"]), metric, True)
-                        home = np.concatenate([squared(q[i : i + 2048], cells.pivots)[0].argmin(1) for i in range(0, len(q), 2048)])
-                        yield pd.DataFrame({"channel": a["channel"], "ord": a["ord"], "vec": a["vec"], "cell": names[home].astype(np.int32)})
-
-        def narrow(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            if len(a):
-                cells, names = about.value[a["channel"].iloc[0]]
-                x, y = matrix(a["vec"]), matrix(b["vec"]) if len(b) else None
-                for i in range(0, len(x), 256):
-                    out += _reaching(a.iloc[i : i + 256], x[i : i + 256], y, cells, names, take, metric)
-            return pd.DataFrame(out, columns=PLAN_COLUMNS)
-
-        home = stored(queries.select("channel", "ord", "vec").mapInPandas(homes, "channel int, ord long, vec array<double>, cell int"), "homes")
-        left, right = self._dealt(home, True)
-        keys = ["channel", "cell", "q", "c"]
-        return stored(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(narrow, PLAN), "plan")
-
-    def found(self, plan: DataFrame, take: int) -> DataFrame:
-        """channel, ord, train_ord, dist and carried columns of what each block of a cell has within a query's reach, `take` at most; a row without train_ord tells how many vectors were measured."""
-        metric, carry = self.metric, self.carry
+                    home, (first, parts) = _home(space(matrix(a["vec"]), metric, True), shared.value[c][0]), shards[c]
+                    yield a.assign(shard=(first[home] + a["ord"].to_numpy() % parts[home]).astype(np.int32))
+
+        asked = queries.select(*[F.col(c).alias(c) for c in ("channel", "ord", "vec")]).where(F.col("channel").isin([int(c) for c in self.about]))
+        if self.whole:
+            return asked.withColumn("shard", F.lit(0))
+        return stored(asked.mapInPandas(homes, "channel int, ord long, vec array<double>, shard int"), "homes")
+
+    def _met(self, asked: DataFrame, take: int, tell: bool = False) -> DataFrame:
+        """channel, ord, rank, dist, train_ord and carried columns of what each shard has for the queries that are sent to it, by `reach` where they have one.
+
+        A row without train_ord tells how many pairs were measured; if tell, one for each query its
+        vec, its reach, the other shards within it, and how many vectors lie in the cells within it.
+        """
+        shared, shards, metric, carry = self.shared, self.shards, self.metric, self.carry
         kinds = {f.name: f.dataType.simpleString() for f in self.cells.schema.fields}
-        names = ["channel", "ord", "train_ord", "dist", *carry, "measured"]
-        schema = "channel int, ord long, train_ord long, dist double" + "".join(f", {c} {kinds[c]}" for c in carry) + ", measured long"
+        schema = "channel int, ord long, rank int, dist double, train_ord long" + "".join(f", {c} {kinds[c]}" for c in carry) + ", measured long"
+        schema += ", vec array<double>, reach double, others array<int>, inside long" * tell
+        names = [f.split()[0] for f in schema.split(", ")]
+        whole_numbers = lambda v: pd.array(v, "Int64") if v.dtype.kind == "i" else v  # noqa: E731  nulls beside them
 
         def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if not len(a) or not len(b):
                 return pd.DataFrame(columns=names)
-            b = b.sort_values("r", ignore_index=True)
-            x, y, r, order = matrix(a["vec"]), matrix(b["vec"]), b["r"].to_numpy(), b["ord"].to_numpy()
-            if metric == "cosine":
-                x, y = _unit(x), _unit(y)
-            slack = 1e-9 * (1 + a["high"].to_numpy() + r.max())
-            start = np.searchsorted(r, a["low"].to_numpy() - a["reach"].to_numpy() - slack, "left")
-            stop = np.searchsorted(r, a["high"].to_numpy() + a["reach"].to_numpy() + slack, "right")
-            rows, places, dist = [], [], []
-            for i, (lo, hi) in enumerate(zip(start, stop, strict=True)):
-                d = measured(np.broadcast_to(x[i], (max(0, hi - lo), x.shape[1])), y[lo:hi], metric)
-                if hi - lo > take:
-                    some = np.flatnonzero(d <= np.partition(d, take - 1)[take - 1])
-                    some = some[np.lexsort((order[lo + some], d[some]))[:take]]
-                else:
-                    some = np.arange(max(0, hi - lo))
-                rows.append(np.full(len(some), i))
-                places.append(lo + some)
-                dist.append(d[some])
-            rows, places = np.concatenate(rows), np.concatenate(places)
-            hits = {"channel": a["channel"].iloc[0], "ord": a["ord"].to_numpy()[rows], "train_ord": pd.array(order[places], "Int64"), "dist": np.concatenate(dist)}
-            hits = pd.DataFrame(hits | {n: b[n].to_numpy()[places] for n in carry})
-            total = pd.DataFrame([{"channel": a["channel"].iloc[0], "ord": a["ord"].iloc[0], "measured": int(np.maximum(stop - start, 0).sum())}])
-            return pd.concat([hits, total], ignore_index=True)[names]
-
-        left, right = self._dealt(plan, False)
-        keys = ["channel", "cell", "q", "c"]
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, schema)
+            channel, shard = a["channel"].iloc[0], a["shard"].iloc[0]
+            (cells, labels), (first, parts) = shared.value[channel], shards[channel]
+            order = np.lexsort((b["r"], b["cell"]))
+            r, y, b = b["r"].to_numpy()[order], matrix(b["vec"])[order], {n: b[n].to_numpy()[order] for n in ("cell", "ord", *carry)}
+            held, start = np.unique(np.searchsorted(labels, b["cell"]), return_index=True)
+            stop, x = np.append(start[1:], len(r)), matrix(a["vec"])
+            points, (x, y) = space(x, metric, True), (x, y) if metric == "l2" else (_unit(x), _unit(y))
+            product, far = Best.sides(y, metric)
+            near, hits, told, total = np.argsort(_home(points, cells), kind="stable"), [], [], 0
+            for at in range(0, len(x), ROWS):
+                own = near[at : at + ROWS]
+                low, high, bound = cells.bounds(points[own])
+                best = Best(x[own], y, product, far, b["ord"], take, metric, a["reach"].to_numpy()[own] if "reach" in a else None)
+                for i in np.argsort(bound[:, held].mean(0), kind="stable"):
+                    k, lo, hi = held[i], start[i], stop[i]
+                    within = reach(best.limit, metric, x.shape[1])
+                    rows = np.flatnonzero(bound[:, k] <= within)
+                    if len(rows):
+                        slack = 1e-9 * (1 + high[rows, k] + r[hi - 1])
+                        ends = (low[rows, k] - within[rows] - slack).min(), (high[rows, k] + within[rows] + slack).max()
+                        lo, hi = lo + np.searchsorted(r[lo:hi], ends[0], "left"), lo + np.searchsorted(r[lo:hi], ends[1], "right")
+                        best.offer(lo, hi, None if len(rows) == len(own) else rows)
+                        total += max(0, hi - lo) * len(rows)
+                q, c, d = best.settle()
+                out = {"channel": channel, "ord": a["ord"].to_numpy()[own][q], "rank": places(q), "dist": d, "train_ord": pd.array(b["ord"][c], "Int64")}
+                hits.append(pd.DataFrame(out | {n: whole_numbers(b[n][c]) for n in carry}))
+                if tell:
+                    inside = bound <= reach(best.limit, metric, x.shape[1])[:, None]
+                    reached = np.zeros((len(own), first[-1] + parts[-1]), bool)
+                    for k in np.flatnonzero(inside.any(0)):
+                        reached[:, first[k] : first[k] + parts[k]] |= inside[:, k : k + 1]
+                    reached[:, shard] = False
+                    told.append(pd.DataFrame({"channel": channel, "ord": a["ord"].to_numpy()[own], "vec": a["vec"].to_numpy()[own], "reach": best.limit, "others": [np.flatnonzero(o) for o in reached], "inside": inside @ cells.n}))
+            hits = pd.concat(hits, ignore_index=True)
+            hits = merged(hits, take) if a["ord"].duplicated().any() else hits
+            count = pd.DataFrame({"channel": [channel], "ord": a["ord"].to_numpy()[:1], "measured": [total]})
+            found = pd.concat([hits, *told, count], ignore_index=True).reindex(columns=names)
+            return found.assign(**{n: found[n].astype(object).where(found[n].notna(), None) for n in ("vec", "others") if tell})
+
+        grid = asked.groupBy("channel", "shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("qs"))
+        grid = stored(grid, "grid")  # a row for each shard
+        left = asked.join(F.broadcast(grid), ["channel", "shard"]).withColumn("q", F.pmod(F.xxhash64("ord"), F.col("qs")).cast("int"))
+        right = self.cells.join(F.broadcast(self.dealt), ["channel", "cell"]).withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("ord"), F.col("parts"))).cast("int"))
+        right = right.join(F.broadcast(grid), ["channel", "shard"]).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
+        # The small tables stand on both sides; columns of its own keep the sides apart.
+        left, right = (side.select(*[F.col(c).alias(c) for c in side.columns if c not in ("qs", "first", "parts")]) for side in (left, right))
+        return met(left, right, ["channel", "shard", "q"], grid.agg(F.sum("qs")).first()[0] or 1).applyInPandas(search, schema)
 
     def nearest(self, queries: DataFrame, k: int, skip_first: bool = False) -> DataFrame:
-        """The rows of neighbours.nearest. `self.share` is the share of all pairs that were measured, those of the home blocks included."""
-        take = k + skip_first
-        plan = self.plan(queries, take)
-        found = stored(self.found(plan, take), "found")
-        asked = queries.where(F.col("channel").isin([int(c) for c in self.about])).groupBy("channel").count().collect()
-        pairs = sum(r["count"] * int(self.about[r["channel"]][0].n.sum()) for r in asked)
-        spent = (found.agg(F.sum("measured")).first()[0] or 0) + (plan.agg(F.sum("first")).first()[0] or 0)
-        self.share = spent / pairs if pairs else 0.0
-        rank = F.row_number().over(Window.partitionBy("channel", "ord").orderBy("dist", "train_ord"))
-        ranked = found.where("train_ord IS NOT NULL").withColumn("rank", rank).where(F.col("rank") <= take)
-        if skip_first:
-            ranked = ranked.where("rank > 1").withColumn("rank", F.col("rank") - 1)
-        return ranked.select("channel", "ord", "rank", "dist", "train_ord", *self.carry)
+        """The rows of neighbours.nearest. `self.share` is the share of all pairs that were measured."""
+        take, columns = k + skip_first, ["channel", "ord", "rank", "dist", "train_ord", *self.carry]
+        asked = self._homes(queries)
+        found = stored(self._met(asked, take, tell=not self.whole), "found")
+        sums = [found.agg(F.sum("measured")).first()[0]]
+        hits = found.where("train_ord IS NOT NULL").select(*columns)
+        if not self.whole:
+            further = found.where("size(others) > 0").select("channel", "ord", "vec", "reach", F.explode("others").alias("shard"))
+            more = stored(self._met(further, take), "found")
+            sums.append(more.agg(F.sum("measured")).first()[0])
+            hits = hits.unionByName(more.where("train_ord IS NOT NULL").select(*columns))
+        pairs = sum(r["count"] * int(self.about[r["channel"]][0].n.sum()) for r in asked.groupBy("channel").count().collect())
+        self.share = sum(s or 0 for s in sums) / pairs if pairs else 0.0
+        return ranked(hits, take, skip_first, self.whole)
+
+    def plan(self, queries: DataFrame, take: int) -> DataFrame:
+        """channel, ord, reach and inside, the number of vectors in the cells within it, of queries that have met their own shard."""
+        told = self._met(self._homes(queries), take, tell=True).where("inside IS NOT NULL")
+        return stored(told.select("channel", "ord", "reach", "inside"), "plan")
 
     def worth(self, plan: DataFrame, n_queries: int) -> bool:
         """Whether the cells that a plan reads hold less than the share WORTH of all pairs."""
-        planned = plan.join(F.broadcast(self.sizes), ["channel", "cell"]).agg(F.sum("cell_n")).first()[0] or 0
+        planned = plan.agg(F.sum("inside")).first()[0] or 0
         return planned < WORTH * n_queries * self.size / max(1, len(self.about))
 
 
-PLAN = "channel int, ord long, cell int, vec array<double>, low double, high double, reach double, first long"
-PLAN_COLUMNS = [f.split()[0] for f in PLAN.split(", ")]
+def _home(points: np.ndarray, cells: Cells) -> np.ndarray:
+    """The cell of the nearest pivot of each point."""
+    return np.concatenate([np.zeros(0, np.int64), *[squared(points[i : i + 2048], cells.pivots)[0].argmin(1) for i in range(0, len(points), 2048)]])
 
 
-def _reaching(a: pd.DataFrame, x: np.ndarray, y: np.ndarray | None, cells: Cells, names: np.ndarray, take: int, metric: str) -> list[tuple]:
-    """Plan rows of some queries: their reach by the cells' radii and by the vectors y of a home block, and the cells within it."""
-    low, high, bound = cells.bounds(space(x, metric, True))
-    within = cells.kth(high, take)
-    if y is not None and len(y) >= take:
-        u, v = (x, y) if metric == "l2" else (_unit(x), _unit(y))
-        d = squared(u, v)[0] if metric == "l2" else -(u @ v.T)
-        near = np.argpartition(d, take - 1, axis=1)[:, :take]
-        exact = measured(np.repeat(u, take, axis=0), v[near.reshape(-1)], metric).reshape(-1, take).max(1)
-        within = np.minimum(within, reach(exact, metric, x.shape[1]))
-    out = []
-    for i, (channel, order, vec) in enumerate(zip(a["channel"], a["ord"], a["vec"], strict=True)):
-        for n, k in enumerate(np.flatnonzero(bound[i] <= within[i])):
-            out.append((channel, order, int(names[k]), vec, low[i, k], high[i, k], within[i], (0 if y is None else len(y)) if n == 0 else 0))
-    return out
+def _shards(n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For cells of n vectors, in order, the first shard of each and the number of shards, where a shard has about `most` vectors."""
+    first, parts = np.zeros(len(n), np.int64), np.maximum(1, -(-n // most))
+    shard, held = -1, most
+    for i, m in enumerate(n):
+        if parts[i] > 1 or held + m > most:
+            shard, held = shard + int(parts[i]), 0 if parts[i] == 1 else most
+        first[i], held = shard - parts[i] + 1, held + m
+    return first, parts
 
 
 def nearest_any(queries: DataFrame, reference: DataFrame, k: int, metric: str = "l2", skip_first: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -265,7 +281,9 @@ def nearest_any(queries: DataFrame, reference: DataFrame, k: int, metric: str =
 
 
 def nearest_pruned(queries: DataFrame, reference: DataFrame, k: int, metric: str = "l2", skip_first: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """The rows of neighbours.nearest by an index of the reference, or by blocks where the index leaves too many pairs."""
+    """The rows of neighbours.nearest by an index of the reference, or by blocks where the index leaves too many pairs. Both sides are stored, since they are read several times."""
+    columns = lambda *more: [F.col(c).alias(c) for c in ("channel", "ord", "vec", *more)]
+    queries, reference = stored(queries.select(*columns()), "queries"), stored(reference.select(*columns(*carry)), "reference")
     index = MetricIndex(reference, metric, carry)
     sample = queries.where(F.pmod(F.xxhash64("ord", F.lit("plan")), F.lit(64)) == 0)
     n = sample.count()

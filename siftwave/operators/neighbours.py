@@ -9,9 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 8192  # vectors on a side of one distance block
-BROADCAST = 4_000_000  # numbers in a reference that is sent to all tasks, at most
+from siftwave.model import N_CHANNELS
+
+BLOCK = 32_768  # queries of one distance block
+BROADCAST = 4_000_000  # numbers in a reference that is sent to all tasks, and in the reference side of a distance block, at most
 MATRIX = 2_000_000  # distances that a task holds at once
+SPREAD = 2000  # partitions that pairs of blocks are dealt over, at most
+ROWS, TILE = 512, 1024  # queries and reference vectors of one matrix product
 
 
 def scaler_stats(train: DataFrame) -> DataFrame:
@@ -79,15 +83,6 @@ def squared(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return xx[:, None] + yy - 2 * (x @ y.T), 8 * np.finfo(float).eps * (x.shape[1] + 4) * (xx + yy.max(initial=0))
 
 
-def _candidates(x: np.ndarray, y: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of x, row of y) that hold the `take` nearest of each row.
-
-    The product is off by rounding, so every pair within twice its error bound of the last wanted one is kept.
-    """
-    d, bound = squared(x, y)
-    return np.nonzero(d <= np.partition(d, take - 1, axis=1)[:, take - 1 : take] + 2 * bound[:, None])
-
-
 def measured(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
     """Distances of the rows of x and y, pair by pair, so that equal vectors have equal distances wherever they stand.
 
@@ -106,57 +101,124 @@ def matrix(vectors) -> np.ndarray:
     return x
 
 
+class Best:
+    """The `take` nearest so far of some queries x among vectors y that are offered range by range.
+
+    One matrix product gives approximate distances; a pair is measured again, pair by pair, if its
+    distance is within the product's error bound of a query's limit, an upper bound of its take-th
+    distance, which falls as vectors are seen. Of equal distances the one with the smaller key stays.
+    Cosine distances are those of rows that _unit has scaled.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, product: np.ndarray, far: float, key: np.ndarray, take: int, metric: str, limit: np.ndarray | None = None):
+        self.x, self.y, self.product, self.key, self.take, self.metric = x, y, product, key, take, metric
+        self.limit = np.full(len(x), np.inf) if limit is None else limit.copy()
+        wide = 8 * np.finfo(float).eps * (x.shape[1] + 4)
+        self.xx = (x**2).sum(1)
+        self.left, self.off = (np.hstack([x, np.ones((len(x), 1))]), 2 * wide * (self.xx + far)) if metric == "l2" else (x, np.full(len(x), 2 * wide))
+        self.hits = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        self.waiting, self.n_waiting = [], 0
+
+    @staticmethod
+    def sides(y: np.ndarray, metric: str) -> tuple[np.ndarray, float]:
+        """What offers multiply with, and the largest squared length."""
+        yy = (y**2).sum(1)
+        return (np.hstack([-2 * y, yy[:, None]]) if metric == "l2" else -y), yy.max(initial=0)
+
+    def offer(self, lo: int, hi: int, rows: np.ndarray | None = None) -> None:
+        """Vectors lo to hi for all queries, or for some."""
+        for at in range(lo, hi, TILE):
+            self._offer(at, min(hi, at + TILE), rows)
+
+    def _offer(self, lo: int, hi: int, rows: np.ndarray | None) -> None:
+        left, limit, xx, off = (a if rows is None else a[rows] for a in (self.left, self.limit, self.xx, self.off))
+        d = left @ self.product[lo:hi].T
+        upto = (limit**2 - xx if self.metric == "l2" else limit - 1) + off
+        if hi - lo > self.take and np.isinf(limit).any():
+            upto = np.minimum(upto, np.partition(d, self.take - 1, axis=1)[:, self.take - 1] + off)
+        found = np.flatnonzero((d <= upto[:, None]).ravel())
+        if not len(found):
+            return
+        r, c = np.divmod(found, hi - lo)
+        r, c = r if rows is None else rows[r], c + lo
+        dist = measured(self.x[r], self.y[c], self.metric)
+        near = dist <= self.limit[r]
+        self.waiting.append((r[near], c[near], dist[near]))
+        self.n_waiting += len(self.waiting[-1][0])
+        if self.n_waiting >= self.take * len(self.x):
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of x, rows of y and distances of what is best so far, by query, distance and key; limits fall to it."""
+        if self.waiting:
+            r, c, d = (np.concatenate(a) for a in zip(self.hits, *self.waiting, strict=True))
+            self.waiting, self.n_waiting = [], 0
+            near = d <= self.limit[r]
+            r, c, d = r[near], c[near], d[near]
+            order = np.lexsort((self.key[c], d, r))
+            r, c, d = r[order], c[order], d[order]
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            kept = place < self.take
+            last = place == self.take - 1
+            self.limit[r[last]] = d[last]
+            self.hits = r[kept], c[kept], d[kept]
+        return self.hits
+
+
 def top_pairs(x: np.ndarray, y: np.ndarray, take: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of x, rows of y and distances of the `take` nearest of each row of x; of equals the first in y."""
+    """Rows of x, rows of y and distances of the `take` nearest of each row of x, in that order; of equals the first in y."""
     take = min(take, len(y))
-    rows, cols, dist = [], [], []
     if metric == "cosine":
         x, y = _unit(x), _unit(y)
-    step = max(1, MATRIX // max(1, len(y)))
-    for at in range(0, len(x), step):
-        part = x[at : at + step]
-        if metric == "l2":
-            r, c = _candidates(part, y, take)
-        else:
-            whole, bound = -(part @ y.T), 8 * np.finfo(float).eps * (x.shape[1] + 4)
-            r, c = np.nonzero(whole <= np.partition(whole, take - 1, axis=1)[:, take - 1 : take] + 2 * bound)
-        d = measured(part[r], y[c], metric)
-        order = np.lexsort((c, d, r))
-        r, c, d = r[order], c[order], d[order]
-        first = np.searchsorted(r, np.arange(len(part)))
-        kept = np.arange(len(r)) - first[r] < take
-        rows.append(r[kept] + at)
-        cols.append(c[kept])
-        dist.append(d[kept])
-    return np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
+    (product, far), key, found = Best.sides(y, metric), np.arange(len(y)), []
+    for at in range(0, len(x), ROWS):
+        best = Best(x[at : at + ROWS], y, product, far, key, take, metric)
+        best.offer(0, len(y))
+        r, c, d = best.settle()
+        found.append((r + at, c, d))
+    return tuple(np.concatenate(a) for a in zip(*found, strict=True))
+
+
+def places(rows: np.ndarray) -> np.ndarray:
+    """The place, from 1, of each entry among the equal ones of sorted rows."""
+    return np.arange(len(rows)) - np.searchsorted(rows, rows) + 1
+
+
+def merged(hits: pd.DataFrame, take: int) -> pd.DataFrame:
+    """Hits of a channel with the ranks of all queries that share a place, `take` at most."""
+    hits = hits.sort_values(["ord", "dist", "train_ord"], kind="stable", ignore_index=True)
+    hits["rank"] = places(hits["ord"].to_numpy())
+    return hits[hits["rank"] <= take]
 
 
 def nearest(queries: DataFrame, reference: DataFrame, k: int, metric: str = "l2", skip_first: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """channel, ord, rank, dist, train_ord (and `carry` columns of the reference) of the k nearest of each query.
 
     Exact. A reference of at most BROADCAST numbers, which is counted first, is sent to the tasks
-    whole, and the queries stay where they are. A larger one is dealt into blocks like the queries;
-    every pair of blocks of a channel is one task's work and keeps its k best, which are merged by
-    rank. So neither side has to fit anywhere whole, and no pair of vectors becomes a row. Ties go to
-    the smaller train_ord. skip_first drops each query's nearest hit (its own copy when the sides are
-    the same) and returns at most k of the others. A vector with a number that is not finite is an
-    error. Where vectors lie in clusters, metric_index.MetricIndex finds the same rows and measures
-    far fewer pairs.
+    whole, and the queries stay where they are. A larger one is dealt into blocks of as many numbers
+    and meets blocks of queries; a pair of blocks of a channel is one task's work and keeps its k
+    best. Only where a channel has several blocks are these merged by rank. So neither side has to
+    fit anywhere whole, and no pair of vectors becomes a row. Ties go to the smaller train_ord.
+    skip_first drops each query's nearest hit (its own copy when the sides are the same) and returns
+    at most k of the others. A vector with a number that is not finite is an error. Where vectors lie
+    in clusters, metric_index.MetricIndex finds the same rows and measures far fewer pairs.
     """
     metric, take = metric_name(metric), k + skip_first
     spark = queries.sparkSession
     size = reference.select(F.sum(F.size("vec"))).first()[0] or 0
     kinds = {f.name: f.dataType.simpleString() for f in reference.schema.fields}
-    schema = "channel int, ord long, train_ord long, dist double" + "".join(f", {c} {kinds[c]}" for c in carry)
-    names = ["channel", "ord", "train_ord", "dist", *carry]
+    schema = "channel int, ord long, rank int, dist double, train_ord long" + "".join(f", {c} {kinds[c]}" for c in carry)
+    names = ["channel", "ord", "rank", "dist", "train_ord", *carry]
     fresh = lambda df, *more: df.select(*[F.col(n).alias(n) for n in ("channel", "ord", "vec", *more)])  # noqa: E731  both sides may come from one frame
 
     def hits(a: pd.DataFrame, b: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
         r, c, d = top_pairs(matrix(a["vec"]), y, take, metric)
-        out = {"channel": a["channel"].to_numpy()[r], "ord": a["ord"].to_numpy()[r], "train_ord": b["ord"].to_numpy()[c], "dist": d}
-        return pd.DataFrame(out | {n: b[n].to_numpy()[c] for n in carry})[names]
+        out = {"channel": a["channel"].to_numpy()[r], "ord": a["ord"].to_numpy()[r], "rank": places(r), "dist": d, "train_ord": b["ord"].to_numpy()[c]}
+        found = pd.DataFrame(out | {n: b[n].to_numpy()[c] for n in carry})[names]
+        return merged(found, take) if a["ord"].duplicated().any() else found
 
     none = pd.DataFrame(columns=names)
+    r_blocks = 1
     if size <= BROADCAST:
         table = fresh(reference, *carry).toPandas().sort_values("ord", ignore_index=True)
         sides = {ch: (b.drop(columns="vec"), matrix(b["vec"])) for ch, b in table.groupby("channel")}
@@ -170,8 +232,8 @@ def nearest(queries: DataFrame, reference: DataFrame, k: int, metric: str = "l2"
 
         found = fresh(queries).mapInPandas(search, schema)
     else:
-        counted = lambda df: (df.groupBy("channel").count().agg(F.max("count")).first()[0] or 0)
-        q_blocks, r_blocks = max(1, -(-counted(queries) // BLOCK)), max(1, -(-counted(reference) // BLOCK))
+        q_blocks = max(1, -(-most(queries, F.lit(1)) // BLOCK))
+        r_blocks = max(1, -(-most(reference, F.size("vec")) // BROADCAST))
         deal = lambda n: F.pmod(F.xxhash64("ord"), F.lit(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         left = fresh(queries).withColumn("qb", deal(q_blocks)).withColumn("rb", every(r_blocks))
@@ -183,10 +245,24 @@ def nearest(queries: DataFrame, reference: DataFrame, k: int, metric: str = "l2"
             b = b.sort_values("ord", ignore_index=True)
             return hits(a, b, matrix(b["vec"]))
 
-        keys = ["channel", "qb", "rb"]
-        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
-    rank = F.row_number().over(Window.partitionBy("channel", "ord").orderBy("dist", "train_ord"))
-    ranked = found.withColumn("rank", rank).where(F.col("rank") <= take)
-    if skip_first:
-        ranked = ranked.where("rank > 1").withColumn("rank", F.col("rank") - 1)
-    return ranked.select("channel", "ord", "rank", "dist", "train_ord", *carry)
+        found = met(left, right, ["channel", "qb", "rb"], q_blocks * r_blocks * N_CHANNELS).applyInPandas(run, schema)
+    return ranked(found, take, skip_first, size > BROADCAST and r_blocks == 1)
+
+
+def most(df: DataFrame, weight: Column) -> int:
+    """The largest sum of weights of a channel."""
+    return df.groupBy("channel").agg(F.sum(weight).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def met(left: DataFrame, right: DataFrame, keys: list[str], groups: int):
+    """Both sides by keys, dealt over enough partitions that few groups share one, since each is much work for few bytes."""
+    n = min(SPREAD, 4 * groups)
+    return left.repartition(n, *keys).groupBy(*keys).cogroup(right.repartition(n, *keys).groupBy(*keys))
+
+
+def ranked(found: DataFrame, take: int, skip_first: bool, whole: bool) -> DataFrame:
+    """The rows of the `take` best of each query; whole: found ranks are those among all the reference."""
+    if not whole:
+        rank = F.row_number().over(Window.partitionBy("channel", "ord").orderBy("dist", "train_ord"))
+        found = found.withColumn("rank", rank).where(F.col("rank") <= take)
+    return found.where("rank > 1").withColumn("rank", F.col("rank") - 1) if skip_first else found

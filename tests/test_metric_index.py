@@ -83,3 +83,33 @@ def test_equal_vectors_have_equal_cosine_distances(spark):
     for i in range(30):
         hits = sorted((r["rank"], r["train_ord"], r["dist"]) for r in got if r["ord"] == i)
         assert len({d for _, _, d in hits}) == 1 and [t for _, t, _ in hits] == [hits[0][1] + 40 * k for k in range(9)]
+
+
+def scattered(spark, n, seed):
+    """Vectors that lie in no clusters, so that most cells stay within reach."""
+    return stored(frame(spark, np.random.default_rng(seed).normal(size=(n, 10)), (0, 1)).drop("name"), "scattered")
+
+
+@pytest.mark.parametrize("own", [False, True])
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_a_query_is_stored_once_and_not_for_each_cell_it_reads(spark, monkeypatch, metric, own):
+    """Scattered vectors: rows between steps grow with the queries, not with queries times cells."""
+    reference = scattered(spark, 1500, 5)
+    queries, kept = reference if own else scattered(spark, 700, 6), []
+    monkeypatch.setattr(M, "stored", lambda df, name: kept.append(stored(df, name)) or kept[-1])
+    index = M.MetricIndex(reference, metric)
+    got = sorted(map(tuple, index.nearest(queries, 5, own).collect()))
+    assert got == sorted(map(tuple, nearest(queries, reference, 5, metric, own).collect()))
+    assert len(got) == 5 * queries.count() and max(t.count() for t in kept) <= (5 + own) * queries.count() + 2
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_cells_of_several_shards(sides, monkeypatch, metric):
+    """Small shards: neighbours beyond a query's own shard, and a cell of copies that is several shards."""
+    queries, reference = sides
+    monkeypatch.setattr(M, "SHARD", 2000)
+    monkeypatch.setattr(M, "BLOCK", 50)
+    index = M.MetricIndex(reference, metric, ("name",))
+    assert not index.whole and max(parts.max() for _, parts in index.shards.values()) > 1
+    assert sorted(map(tuple, index.nearest(queries, 11).collect())) == sorted(map(tuple, nearest(queries, reference, 11, metric, carry=("name",)).collect()))
+    assert 0 < index.share < 0.6

@@ -10,6 +10,7 @@ from siftwave.functions import paths as P
 from siftwave.model import resolve_views
 from siftwave.operators import classification as C
 from siftwave.operators import evaluation as E
+from siftwave.operators import neighbours
 from siftwave.operators import signals as S
 from siftwave.operators import splits as X
 from siftwave.operators.detection import normalize
@@ -139,3 +140,34 @@ def test_view_names_and_aliases():
         resolve_views("other")
     with pytest.raises(ValueError):
         resolve_views("")
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_blocks_give_each_query_k_rows_and_are_those_of_a_whole_reference(spark, monkeypatch, metric):
+    """A reference of one block is ranked in its task; several are merged; queries that share a place share their ranks."""
+    rng = np.random.default_rng(12)
+    made = lambda x, ords: spark.createDataFrame([(c, int(o), v.tolist()) for c in (0, 1) for o, v in zip(ords, x)], "channel int, ord long, vec array<double>")
+    x = rng.normal(size=(400, 6))
+    x[50:300] = x[3]  # more copies than are wanted
+    reference, queries = made(x, range(400)), made(np.vstack([rng.normal(size=(30, 6)), x[:20]]), [*range(48), 47, 47])
+    want = sorted(map(tuple, neighbours.nearest(queries, reference, 7, metric, True).collect()))
+    for numbers, one in ((2400, True), (500, False)):
+        monkeypatch.setattr(neighbours, "BROADCAST", numbers)
+        got = neighbours.nearest(queries, reference, 7, metric, True)
+        assert ("Window" not in got._jdf.queryExecution().executedPlan().toString()) == one
+        assert sorted(map(tuple, got.collect())) == want and len(want) == 7 * 48 * 2
+
+
+def test_a_product_of_queries_and_vectors_is_held_in_tiles():
+    """The memory of a search follows a tile, not the reference."""
+    import tracemalloc
+
+    rng = np.random.default_rng(13)
+    x, y = rng.normal(size=(600, 4)), rng.normal(size=(40_000, 4))
+    tracemalloc.start()
+    r, c, d = neighbours.top_pairs(x, y, 5, "l2")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    exact = np.sqrt(((x[:40, None] - y[None]) ** 2).sum(2))
+    assert (c[: 40 * 5].reshape(40, 5) == np.argsort(exact, axis=1, kind="stable")[:, :5]).all() and len(r) == len(d) == 3000
+    assert peak < 30e6
