@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwave.operators.neighbours import BROADCAST, ROWS, Best, _unit, matrix, merged, met, metric_name, nearest, places, ranked, squared
+from siftwave.operators.neighbours import BROADCAST, ROWS, Best, Sides, _unit, matrix, merged, met, metric_name, nearest, places, ranked, squared
 from siftwave.tables import stored
 
 PIVOTS = 1024  # cells of a channel, at most
@@ -190,12 +190,12 @@ class MetricIndex:
             held, start = np.unique(np.searchsorted(labels, b["cell"]), return_index=True)
             stop, x = np.append(start[1:], len(r)), matrix(a["vec"])
             points, (x, y) = space(x, metric, True), (x, y) if metric == "l2" else (_unit(x), _unit(y))
-            product, far = Best.sides(y, metric)
+            sides = Sides(y, metric)
             near, hits, told, total = np.argsort(_home(points, cells), kind="stable"), [], [], 0
             for at in range(0, len(x), ROWS):
                 own = near[at : at + ROWS]
                 low, high, bound = cells.bounds(points[own])
-                best = Best(x[own], y, product, far, b["ord"], take, metric, a["reach"].to_numpy()[own] if "reach" in a else None)
+                best = Best(x[own], sides, b["ord"], take, metric, a["reach"].to_numpy()[own] if "reach" in a else None)
                 for i in np.argsort(bound[:, held].mean(0), kind="stable"):
                     k, lo, hi = held[i], start[i], stop[i]
                     within = reach(best.limit, metric, x.shape[1])

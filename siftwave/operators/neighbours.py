@@ -101,47 +101,85 @@ def matrix(vectors) -> np.ndarray:
     return x
 
 
+class Sides:
+    """Reference vectors y as products need them: for l2 around their mean and scaled to a length of at most 1, so that 32 bits tell them apart.
+
+    wide are doubles for some rows, narrow the same of all rows in 32 bits.
+    """
+
+    def __init__(self, y: np.ndarray, metric: str):
+        self.y, self.metric, self.middle, self.scale = y, metric, np.zeros(y.shape[1]), 1.0
+        if metric == "l2" and len(y):
+            self.middle = y.mean(0)
+            self.scale = np.sqrt(max(((y[i : i + 65_536] - self.middle) ** 2).sum(1).max() for i in range(0, len(y), 65_536))) or 1.0
+        parts = [self.wide(i, i + 65_536).astype(np.float32) for i in range(0, max(1, len(y)), 65_536)]
+        self.narrow = np.concatenate(parts)
+
+    def moved(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.middle) / self.scale if self.metric == "l2" else x
+
+    def wide(self, lo: int, hi: int) -> np.ndarray:
+        y = self.moved(self.y[lo:hi])
+        return np.hstack([-2 * y, (y**2).sum(1)[:, None]]) if self.metric == "l2" else -y
+
+
 class Best:
-    """The `take` nearest so far of some queries x among vectors y that are offered range by range.
+    """The `take` nearest so far of some queries x among vectors that are offered range by range.
 
-    One matrix product gives approximate distances; a pair is measured again, pair by pair, if its
-    distance is within the product's error bound of a query's limit, an upper bound of its take-th
-    distance, which falls as vectors are seen. Of equal distances the one with the smaller key stays.
-    Cosine distances are those of rows that _unit has scaled.
+    A matrix product in 32 bits gives approximate distances; a pair is measured in doubles, pair by
+    pair, if its distance is within the product's error bound of a query's limit, an upper bound of
+    its take-th distance, which falls as vectors are seen. Where that leaves many pairs, as within
+    one narrow cluster, the product is made again in doubles first. Of equal distances the one with
+    the smaller key stays. Cosine distances are those of rows that _unit has scaled.
     """
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, product: np.ndarray, far: float, key: np.ndarray, take: int, metric: str, limit: np.ndarray | None = None):
-        self.x, self.y, self.product, self.key, self.take, self.metric = x, y, product, key, take, metric
+    def __init__(self, x: np.ndarray, sides: Sides, key: np.ndarray, take: int, metric: str, limit: np.ndarray | None = None):
+        self.x, self.sides, self.key, self.take, self.metric = x, sides, key, take, metric
         self.limit = np.full(len(x), np.inf) if limit is None else limit.copy()
-        wide = 8 * np.finfo(float).eps * (x.shape[1] + 4)
-        self.xx = (x**2).sum(1)
-        self.left, self.off = (np.hstack([x, np.ones((len(x), 1))]), 2 * wide * (self.xx + far)) if metric == "l2" else (x, np.full(len(x), 2 * wide))
+        moved = sides.moved(x)
+        self.xx = (moved**2).sum(1)
+        self.left = np.hstack([moved, np.ones((len(x), 1))]) if metric == "l2" else moved
+        # Twice the error of a product whose numbers are rounded by 1, over a reference of lengths up to 1.
+        self.off = 4 * (x.shape[1] + 4) * (self.xx + 1)
+        self.off32 = self.off * np.finfo(np.float32).eps
+        beyond = ~(self.xx < 1e12)  # more than 32 bits can hold: all their pairs are left to doubles
+        self.off32[beyond] = np.inf
+        self.left32 = np.where(beyond[:, None], 0, self.left).astype(np.float32)
+        most = len(x) * min(TILE, len(sides.y))
+        self.room, self.flags = np.empty(most, np.float32), np.empty(most + 8, bool)
         self.hits = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         self.waiting, self.n_waiting = [], 0
 
-    @staticmethod
-    def sides(y: np.ndarray, metric: str) -> tuple[np.ndarray, float]:
-        """What offers multiply with, and the largest squared length."""
-        yy = (y**2).sum(1)
-        return (np.hstack([-2 * y, yy[:, None]]) if metric == "l2" else -y), yy.max(initial=0)
-
     def offer(self, lo: int, hi: int, rows: np.ndarray | None = None) -> None:
         """Vectors lo to hi for all queries, or for some."""
         for at in range(lo, hi, TILE):
             self._offer(at, min(hi, at + TILE), rows)
 
-    def _offer(self, lo: int, hi: int, rows: np.ndarray | None) -> None:
-        left, limit, xx, off = (a if rows is None else a[rows] for a in (self.left, self.limit, self.xx, self.off))
-        d = left @ self.product[lo:hi].T
-        upto = (limit**2 - xx if self.metric == "l2" else limit - 1) + off
-        if hi - lo > self.take and np.isinf(limit).any():
+    def _within(self, d: np.ndarray, off: np.ndarray, rows: np.ndarray | None) -> np.ndarray:
+        """Flat places of the products that are within their error of a query's limit."""
+        limit, xx, off = (a if rows is None else a[rows] for a in (self.limit, self.xx, off))
+        upto = ((limit / self.sides.scale) ** 2 - xx if self.metric == "l2" else limit - 1) + off
+        if d.shape[1] > self.take and np.isinf(limit).any():
             upto = np.minimum(upto, np.partition(d, self.take - 1, axis=1)[:, self.take - 1] + off)
-        found = np.flatnonzero((d <= upto[:, None]).ravel())
+        flags = self.flags[: -(-d.size // 8) * 8]
+        flags[d.size :] = False
+        np.less_equal(d, np.nextafter(upto.astype(d.dtype), d.dtype.type(np.inf))[:, None], out=flags[: d.size].reshape(d.shape))  # rounded up
+        words = np.flatnonzero(flags.view(np.uint64))  # few are set, so eight are looked at at once
+        at, bit = np.nonzero(flags.reshape(-1, 8)[words])
+        return words[at] * 8 + bit
+
+    def _offer(self, lo: int, hi: int, rows: np.ndarray | None) -> None:
+        left = self.left32 if rows is None else self.left32[rows]
+        d = np.matmul(left, self.sides.narrow[lo:hi].T, out=self.room[: len(left) * (hi - lo)].reshape(len(left), hi - lo))
+        found = self._within(d, self.off32, rows)
+        if len(found) > 4 * self.take * len(left):
+            d = (self.left if rows is None else self.left[rows]) @ self.sides.wide(lo, hi).T
+            found = self._within(d, self.off * np.finfo(float).eps, rows)
         if not len(found):
             return
         r, c = np.divmod(found, hi - lo)
         r, c = r if rows is None else rows[r], c + lo
-        dist = measured(self.x[r], self.y[c], self.metric)
+        dist = measured(self.x[r], self.sides.y[c], self.metric)
         near = dist <= self.limit[r]
         self.waiting.append((r[near], c[near], dist[near]))
         self.n_waiting += len(self.waiting[-1][0])
@@ -170,9 +208,9 @@ def top_pairs(x: np.ndarray, y: np.ndarray, take: int, metric: str) -> tuple[np.
     take = min(take, len(y))
     if metric == "cosine":
         x, y = _unit(x), _unit(y)
-    (product, far), key, found = Best.sides(y, metric), np.arange(len(y)), []
+    sides, key, found = Sides(y, metric), np.arange(len(y)), []
     for at in range(0, len(x), ROWS):
-        best = Best(x[at : at + ROWS], y, product, far, key, take, metric)
+        best = Best(x[at : at + ROWS], sides, key, take, metric)
         best.offer(0, len(y))
         r, c, d = best.settle()
         found.append((r + at, c, d))

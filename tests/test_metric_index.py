@@ -6,6 +6,7 @@ import pytest
 from pyspark.errors import PythonException
 
 from siftwave.operators import metric_index as M
+from siftwave.operators import neighbours as N
 from siftwave.operators.neighbours import nearest
 from siftwave.tables import stored
 
@@ -113,3 +114,39 @@ def test_cells_of_several_shards(sides, monkeypatch, metric):
     assert not index.whole and max(parts.max() for _, parts in index.shards.values()) > 1
     assert sorted(map(tuple, index.nearest(queries, 11).collect())) == sorted(map(tuple, nearest(queries, reference, 11, metric, carry=("name",)).collect()))
     assert 0 < index.share < 0.6
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+@pytest.mark.parametrize("kind", ["scattered", "narrow", "tiny", "huge", "outliers", "lattice", "equal"])
+def test_products_of_32_bits_lose_no_neighbour(metric, kind):
+    """The rows that measuring every pair in doubles gives, ties included, with queries far beyond the reference too."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(5, 9))
+    y = centres[rng.integers(0, 5, 1500)] + rng.normal(0, 1e-7 if kind == "narrow" else 1, (1500, 9))
+    y = {"tiny": y * 1e-25, "huge": y * 1e60, "outliers": np.vstack([y, 1e9 * centres]), "lattice": np.round(y), "equal": np.ones((1500, 9))}.get(kind, y)
+    y[3] = y[700:704] = y[8]
+    x = np.vstack([y[:40], y[40:80] + rng.normal(0, np.abs(y).max() / 100, (40, 9)), np.zeros((1, 9)), 1e7 * y[:2], np.abs(y).max() * 1e30 * centres[:2]])
+    r, c, d = N.top_pairs(x, y, 7, metric)
+    a, b = (x, y) if metric == "l2" else (N._unit(x), N._unit(y))
+    every = np.stack([N.measured(np.repeat(q[None], len(b), 0), b, metric) for q in a])
+    wanted = np.argsort(every, axis=1, kind="stable")[:, :7]
+    assert r.tolist() == np.repeat(np.arange(len(x)), 7).tolist() and c.tolist() == wanted.ravel().tolist()
+    assert d.tolist() == np.take_along_axis(every, wanted, 1).ravel().tolist()
+
+
+def test_few_pairs_are_measured_again(monkeypatch):
+    """Far from the origin, too, products tell pairs apart, since they are of vectors around the mean."""
+    rng, again = np.random.default_rng(9), []
+    y = 1e8 + rng.normal(size=(6000, 9))
+    monkeypatch.setattr(N, "measured", lambda a, b, metric, plain=N.measured: again.append(len(a)) or plain(a, b, metric))
+    N.top_pairs(y[:500], y, 11, "l2")
+    assert sum(again) < 0.05 * 500 * len(y)
+
+
+def test_pairs_are_compared_in_32_bits(monkeypatch):
+    """Scattered vectors, so that their products take half the memory and doubles are left to a few pairs."""
+    rng, kinds = np.random.default_rng(10), []
+    y = rng.normal(size=(6000, 9))
+    monkeypatch.setattr(N.Best, "_within", lambda self, d, *a, plain=N.Best._within: kinds.append(d.dtype) or plain(self, d, *a))
+    N.top_pairs(y[:500], y, 11, "l2")
+    assert kinds and set(kinds) == {np.dtype(np.float32)}
