@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwave.operators.neighbours import BROADCAST, ROWS, Best, Sides, _unit, matrix, merged, met, metric_name, nearest, places, ranked, squared
+from siftwave.operators.neighbours import BROADCAST, PART, PARTS, ROWS, Best, Sides, _unit, matrix, merged, met, metric_name, nearest, places, ranked, squared
 from siftwave.tables import stored
 
 PIVOTS = 1024  # cells of a channel, at most
@@ -222,7 +222,8 @@ class MetricIndex:
             found = pd.concat([hits, *told, count], ignore_index=True).reindex(columns=names)
             return found.assign(**{n: found[n].astype(object).where(found[n].notna(), None) for n in ("vec", "others") if tell})
 
-        grid = asked.groupBy("channel", "shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("qs"))
+        parts_of = lambda size: F.ceil(F.count(F.lit(1)) / size)
+        grid = asked.groupBy("channel", "shard").agg(F.greatest(parts_of(BLOCK), F.least(F.lit(PARTS), parts_of(PART))).cast("int").alias("qs"))
         grid = stored(grid, "grid")  # a row for each shard
         left = asked.join(F.broadcast(grid), ["channel", "shard"]).withColumn("q", F.pmod(F.xxhash64("ord"), F.col("qs")).cast("int"))
         right = self.cells.join(F.broadcast(self.dealt), ["channel", "cell"]).withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("ord"), F.col("parts"))).cast("int"))

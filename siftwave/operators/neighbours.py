@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from siftwave.model import N_CHANNELS
 
 BLOCK = 32_768  # queries of one distance block
+PARTS, PART = 4, 2048  # blocks of a channel's queries, at least, where each has so many queries
 BROADCAST = 4_000_000  # numbers in a reference that is sent to all tasks, and in the reference side of a distance block, at most
 MATRIX = 2_000_000  # distances that a task holds at once
 SPREAD = 2000  # partitions that pairs of blocks are dealt over, at most
+LIGHT = 60_000  # numbers in a reference up to which queries of a sent one are too little work to be dealt out
 ROWS, TILE = 512, 1024  # queries and reference vectors of one matrix product
 
 
@@ -193,7 +195,10 @@ class Best:
             self.waiting, self.n_waiting = [], 0
             near = d <= self.limit[r]
             r, c, d = r[near], c[near], d[near]
-            order = np.lexsort((self.key[c], d, r))
+            order = np.argsort(d)
+            order = order[np.argsort(r[order].astype(np.uint16 if len(self.x) <= 65_536 else np.int64), kind="stable")]  # few bits are sorted by counting
+            if ((d[order[1:]] == d[order[:-1]]) & (r[order[1:]] == r[order[:-1]])).any():
+                order = np.lexsort((self.key[c], d, r))
             r, c, d = r[order], c[order], d[order]
             place = np.arange(len(r)) - np.searchsorted(r, r)
             kept = place < self.take
@@ -233,7 +238,8 @@ def nearest(queries: DataFrame, reference: DataFrame, k: int, metric: str = "l2"
     """channel, ord, rank, dist, train_ord (and `carry` columns of the reference) of the k nearest of each query.
 
     Exact. A reference of at most BROADCAST numbers, which is counted first, is sent to the tasks
-    whole, and the queries stay where they are. A larger one is dealt into blocks of as many numbers
+    whole, and the queries are dealt over all cores, since their files may be few or uneven; by a
+    reference of LIGHT numbers they stay where they are. A larger one is dealt into blocks of as many numbers
     and meets blocks of queries; a pair of blocks of a channel is one task's work and keeps its k
     best. Only where a channel has several blocks are these merged by rank. So neither side has to
     fit anywhere whole, and no pair of vectors becomes a row. Ties go to the smaller train_ord.
@@ -268,9 +274,13 @@ def nearest(queries: DataFrame, reference: DataFrame, k: int, metric: str = "l2"
                     if ch in shared.value:
                         yield hits(a, *shared.value[ch])
 
-        found = fresh(queries).mapInPandas(search, schema)
+        asked = fresh(queries)
+        if size > LIGHT:
+            asked = asked.repartition(min(SPREAD, 4 * spark.sparkContext.defaultParallelism), "channel", "ord")
+        found = asked.mapInPandas(search, schema)
     else:
-        q_blocks = max(1, -(-most(queries, F.lit(1)) // BLOCK))
+        n = most(queries, F.lit(1))
+        q_blocks = max(1, -(-n // BLOCK), min(PARTS, -(-n // PART)))
         r_blocks = max(1, -(-most(reference, F.size("vec")) // BROADCAST))
         deal = lambda n: F.pmod(F.xxhash64("ord"), F.lit(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.errors import PythonException
+from pyspark.sql import functions as F
 
 from siftwave.operators import metric_index as M
 from siftwave.operators import neighbours as N
@@ -150,3 +151,35 @@ def test_pairs_are_compared_in_32_bits(monkeypatch):
     monkeypatch.setattr(N.Best, "_within", lambda self, d, *a, plain=N.Best._within: kinds.append(d.dtype) or plain(self, d, *a))
     N.top_pairs(y[:500], y, 11, "l2")
     assert kinds and set(kinds) == {np.dtype(np.float32)}
+
+
+def test_queries_in_one_file_are_dealt_over_all_cores(spark, monkeypatch):
+    """A reference that is sent to the tasks: queries of one partition are not one task's work."""
+    x = frame(spark, np.random.default_rng(11).normal(size=(300, 9))).drop("name")
+    plain = sorted(map(tuple, nearest(x.coalesce(1), x, 5).collect()))
+    monkeypatch.setattr(N, "LIGHT", 0)
+    assert sorted(map(tuple, nearest(x.coalesce(1), x, 5).collect())) == plain
+    monkeypatch.setattr(N, "ranked", lambda found, *_: found)
+    used = nearest(x.coalesce(1), x, 5).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used > spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("indexed", [True, False])
+def test_queries_of_a_channel_are_several_blocks(spark, monkeypatch, indexed):
+    """Fewer queries than a full block still keep more than one task of a channel busy."""
+    rng, groups = np.random.default_rng(12), []
+    x, y = (frame(spark, rng.normal(size=(n, 4)), (0,)).drop("name") for n in (8000, 200))
+    want = sorted(map(tuple, nearest(x, y, 3).collect()))
+    monkeypatch.setattr(N, "BROADCAST", N.BROADCAST if indexed else 799)
+    monkeypatch.setattr(M if indexed else N, "met", lambda a, b, keys, n, plain=N.met: groups.append(a.select(*keys).distinct().count()) or plain(a, b, keys, n))
+    got = (M.MetricIndex(y).nearest(x, 3) if indexed else nearest(x, y, 3)).collect()
+    assert sorted(map(tuple, got)) == want and groups[0] >= 4
+
+
+def test_settling_keeps_ties_in_order_of_keys():
+    """Distances without equals are sorted by counting places; with equals the smaller key stays."""
+    rng = np.random.default_rng(13)
+    for y in (rng.normal(size=(4000, 3)), np.round(rng.normal(size=(4000, 3)))):
+        r, c, d = N.top_pairs(y[:600], y, 7, "l2")
+        every = np.sqrt(((y[:600, None] - y[None]) ** 2).sum(2))
+        assert c.tolist() == np.argsort(every, axis=1, kind="stable")[:, :7].ravel().tolist() and d.tolist() == np.sort(every, axis=1)[:, :7].ravel().tolist()
