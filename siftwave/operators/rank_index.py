@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwave.tables import stored
@@ -39,8 +39,9 @@ class RankIndex:
         self.folder = f"{written.stored_at}-by-slot"
         written.repartition("channel", "slot").sortWithinPartitions("run").write.partitionBy("channel", "slot").parquet(self.folder)
         self.schema = "run int, before long, total long, numbers array<double>, channel int, slot int"
-        heads = written.select("channel", "run", "slot", F.get("numbers", 0).alias("low")).orderBy("channel", "run").toPandas()  # a row for each run
+        heads = written.select("channel", "run", "slot", F.get("numbers", 0).alias("low"), F.size("numbers").alias("n")).orderBy("channel", "run").toPandas()  # a row for each run
         self.heads = {int(c): (h["low"].to_numpy(), h["slot"].to_numpy()) for c, h in heads.groupby("channel")}
+        self.longest = int(heads["n"].max()) if len(heads) else 0
 
     def runs(self, needed: DataFrame | None = None) -> DataFrame:
         """Stored runs; needed: rows with channel and slot, whose folders alone are read."""
@@ -80,5 +81,10 @@ class RankIndex:
         found = stored(rows.where("raw IS NOT NULL").select(*columns, place("channel", "raw").alias("_at")), "lookups").where("_at.run >= 0")
         runs = self.runs(found.select("channel", "_at.slot")).select("channel", F.col("run").alias("_run"), "before", "total", "numbers")
         joined = found.join(runs.withColumnRenamed("channel", "_channel"), (F.col("channel") == F.col("_channel")) & (F.col("_at.run") == F.col("_run")))
-        inside = F.size(F.filter("numbers", lambda v: v <= F.col("raw")))
-        return joined.select(*columns, (F.col("before") + inside).alias("n_upto"), F.col("total").alias("n_stored"))
+        return joined.select(*columns, (F.col("before") + upto("numbers", "raw", self.longest)).alias("n_upto"), F.col("total").alias("n_stored"))
+
+
+def upto(numbers: str, raw: str, longest: int) -> Column:
+    """How many of the sorted numbers, `longest` at most, are not larger than raw, by halving: a few steps for each row, however long the run is."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, longest.bit_length())))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(numbers, at + step - 1) <= F.col(raw), step).otherwise(0))

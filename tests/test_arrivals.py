@@ -29,6 +29,18 @@ def test_ranks_are_those_of_sorting_again(spark, run):
     assert got == {(c, i): (int((held[c] <= v).sum()), len(held[c])) for c, i, v in asked if c in held}
 
 
+def test_a_lookup_halves_its_run(spark):
+    """A run's numbers are not compared one by one, and every place of runs of any length is found."""
+    for n in (1, 2, 7, 8, 4096):
+        rows = spark.range(2 * n + 1).select((F.col("id") - 0.5).alias("raw")).withColumn("numbers", F.sequence(F.lit(0), F.lit(2 * n - 2), F.lit(2)).cast("array<double>"))
+        got = rows.select("raw", R.upto("numbers", "raw", n).alias("n")).collect()
+        assert [r["n"] for r in got] == [int((np.arange(0, 2 * n, 2) <= r["raw"]).sum()) for r in got]
+    index = R.RankIndex(spark.range(5000).select(F.lit(0).alias("channel"), F.col("id").cast("double").alias("raw")))
+    assert index.longest == 4096
+    looked = index.ranked(spark.createDataFrame([(0, 77.5)], "channel int, raw double"))
+    assert looked.collect() == [(0, 77.5, 78, 5000)] and "filter(numbers" not in looked._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_no_stored_scores(spark):
     index = R.RankIndex(spark.createDataFrame([], "channel int, raw double"))
     assert index.ranked(spark.createDataFrame([(0, 1.0)], "channel int, raw double")).collect() == []
