@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwave.operators.neighbours import BROADCAST, PART, PARTS, ROWS, Best, Sides, _unit, matrix, merged, met, metric_name, nearest, places, ranked, squared
+from siftwave.operators.neighbours import BROADCAST, EPS, PART, PARTS, ROWS, Best, Sides, _unit, matrix, merged, met, metric_name, nearest, places, ranked, reach, squared
 from siftwave.tables import stored
 
 PIVOTS = 1024  # cells of a channel, at most
@@ -26,7 +26,6 @@ SAMPLE = 16  # vectors for each pivot that place the pivots
 BLOCK = 32_768  # queries that meet a shard in one task
 SHARD = BROADCAST  # numbers of a shard's vectors, at most
 WORTH = 0.3  # share of all pairs from which comparing blocks is quicker
-EPS = np.finfo(float).eps
 
 
 def space(x: np.ndarray, metric: str, queries: bool) -> np.ndarray:
@@ -43,13 +42,6 @@ def space(x: np.ndarray, metric: str, queries: bool) -> np.ndarray:
     return np.hstack([u, sides])
 
 
-def reach(distance: np.ndarray, metric: str, dims: int) -> np.ndarray:
-    """The Euclidean distance, rounded up, within which all vectors of such a distance lie."""
-    if metric == "l2":
-        return distance * (1 + 16 * EPS * (dims + 4))
-    return np.sqrt(2 * (np.maximum(distance, 0) + 16 * EPS * (dims + 4)))
-
-
 @dataclass(frozen=True)
 class Cells:
     """The pivots of a channel, and for each cell its number of vectors and their smallest and largest distance to the pivot."""

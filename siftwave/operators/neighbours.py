@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,9 @@ MATRIX = 2_000_000  # distances that a task holds at once
 SPREAD = 2000  # partitions that pairs of blocks are dealt over, at most
 LIGHT = 60_000  # numbers in a reference up to which queries of a sent one are too little work to be dealt out
 ROWS, TILE = 512, 1024  # queries and reference vectors of one matrix product
+GROUP, BOX = 2048, 1024  # queries that go through boxes together, and reference vectors of a box, at most
+IDLE = 0.6  # share of pairs from which boxes save less than their bounds take
+EPS = np.finfo(float).eps
 
 
 def scaler_stats(train: DataFrame) -> DataFrame:
@@ -103,6 +107,41 @@ def matrix(vectors) -> np.ndarray:
     return x
 
 
+def vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of lists as rows, without an object for each; ValueError as in matrix, or where lengths differ."""
+    lists = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) and column.num_chunks else column
+    if not len(lists):
+        return np.zeros((0, 0))
+    numbers, ends = lists.flatten(), np.diff(lists.offsets.to_numpy())
+    if lists.null_count or numbers.null_count or (ends != ends[0]).any():
+        raise ValueError("vectors of neighbours must be finite and of one length")
+    x = numbers.to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(lists), ends[0])
+    if not np.isfinite(x).all():
+        raise ValueError("vectors of neighbours must be finite")
+    return x
+
+
+def reach(distance: np.ndarray, metric: str, dims: int) -> np.ndarray:
+    """The Euclidean distance, rounded up, within which all vectors of such a distance lie."""
+    if metric == "l2":
+        return distance * (1 + 16 * EPS * (dims + 4))
+    return np.sqrt(2 * (np.maximum(distance, 0) + 16 * EPS * (dims + 4)))
+
+
+def boxed(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the rows of x, and where its runs of at most `size` rows begin, and end: halves along the widest dimension, and halves of these."""
+    runs, todo = [], [np.arange(len(x))]
+    while todo:
+        run = todo.pop()
+        if len(run) <= size or not x.shape[1]:
+            runs.append(run)
+            continue
+        own, half = x[run], len(run) // 2
+        along = np.argpartition(own[:, own.var(0).argmax()], half)
+        todo += [run[along[half:]], run[along[:half]]]
+    return np.concatenate(runs), np.cumsum([0, *map(len, runs)])
+
+
 class Sides:
     """Reference vectors y as products need them: for l2 around their mean and scaled to a length of at most 1, so that 32 bits tell them apart.
 
@@ -151,40 +190,48 @@ class Best:
         self.room, self.flags = np.empty(most, np.float32), np.empty(most + 8, bool)
         self.hits = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         self.waiting, self.n_waiting = [], 0
+        self._limited()
+
+    def _limited(self) -> None:
+        """What a product may be at most, by queries, in 32 bits and in doubles, rounded up."""
+        upto = (self.limit / self.sides.scale) ** 2 - self.xx if self.metric == "l2" else self.limit - 1
+        self.upto32 = np.nextafter((upto + self.off32).astype(np.float32), np.float32(np.inf))
+        self.upto = np.nextafter(upto + self.off * EPS, np.inf)
+        self.open = np.isinf(self.limit).any()
 
     def offer(self, lo: int, hi: int, rows: np.ndarray | None = None) -> None:
         """Vectors lo to hi for all queries, or for some."""
         for at in range(lo, hi, TILE):
             self._offer(at, min(hi, at + TILE), rows)
 
-    def _within(self, d: np.ndarray, off: np.ndarray, rows: np.ndarray | None) -> np.ndarray:
-        """Flat places of the products that are within their error of a query's limit."""
-        limit, xx, off = (a if rows is None else a[rows] for a in (self.limit, self.xx, off))
-        upto = ((limit / self.sides.scale) ** 2 - xx if self.metric == "l2" else limit - 1) + off
-        if d.shape[1] > self.take and np.isinf(limit).any():
-            upto = np.minimum(upto, np.partition(d, self.take - 1, axis=1)[:, self.take - 1] + off)
+    def _within(self, d: np.ndarray, upto: np.ndarray, off: np.ndarray, rows: np.ndarray | None) -> np.ndarray:
+        """Flat places of the products, a row for each vector, that are within their error of a query's limit."""
+        upto = upto if rows is None else upto[rows]
+        if self.open and d.shape[0] > self.take:
+            seen = np.partition(d.T, self.take - 1, axis=1)[:, self.take - 1] + (off if rows is None else off[rows])
+            upto = np.minimum(upto, np.nextafter(seen.astype(d.dtype), d.dtype.type(np.inf)))
         flags = self.flags[: -(-d.size // 8) * 8]
         flags[d.size :] = False
-        np.less_equal(d, np.nextafter(upto.astype(d.dtype), d.dtype.type(np.inf))[:, None], out=flags[: d.size].reshape(d.shape))  # rounded up
+        np.less_equal(d, upto, out=flags[: d.size].reshape(d.shape))
         words = np.flatnonzero(flags.view(np.uint64))  # few are set, so eight are looked at at once
-        at, bit = np.nonzero(flags.reshape(-1, 8)[words])
-        return words[at] * 8 + bit
+        bits = np.flatnonzero(flags.reshape(-1, 8)[words])
+        return words[bits >> 3] * 8 + (bits & 7)
 
     def _offer(self, lo: int, hi: int, rows: np.ndarray | None) -> None:
         left = self.left32 if rows is None else self.left32[rows]
-        d = np.matmul(left, self.sides.narrow[lo:hi].T, out=self.room[: len(left) * (hi - lo)].reshape(len(left), hi - lo))
-        found = self._within(d, self.off32, rows)
+        d = np.matmul(self.sides.narrow[lo:hi], left.T, out=self.room[: len(left) * (hi - lo)].reshape(hi - lo, len(left)))
+        found = self._within(d, self.upto32, self.off32, rows)
         if len(found) > 4 * self.take * len(left):
-            d = (self.left if rows is None else self.left[rows]) @ self.sides.wide(lo, hi).T
-            found = self._within(d, self.off * np.finfo(float).eps, rows)
+            d = self.sides.wide(lo, hi) @ (self.left if rows is None else self.left[rows]).T
+            found = self._within(d, self.upto, self.off * EPS, rows)
         if not len(found):
             return
-        r, c = np.divmod(found, hi - lo)
+        c, r = np.divmod(found, len(left))
         r, c = r if rows is None else rows[r], c + lo
         dist = measured(self.x[r], self.sides.y[c], self.metric)
-        near = dist <= self.limit[r]
+        near = np.flatnonzero(dist <= self.limit[r])
         self.waiting.append((r[near], c[near], dist[near]))
-        self.n_waiting += len(self.waiting[-1][0])
+        self.n_waiting += len(near)
         if self.n_waiting >= self.take * len(self.x):
             self.settle()
 
@@ -200,31 +247,92 @@ class Best:
             if ((d[order[1:]] == d[order[:-1]]) & (r[order[1:]] == r[order[:-1]])).any():
                 order = np.lexsort((self.key[c], d, r))
             r, c, d = r[order], c[order], d[order]
-            place = np.arange(len(r)) - np.searchsorted(r, r)
+            place = places(r) - 1
             kept = place < self.take
             last = place == self.take - 1
             self.limit[r[last]] = d[last]
             self.hits = r[kept], c[kept], d[kept]
+            self._limited()
         return self.hits
 
 
+class Reference:
+    """Reference vectors in boxes that hold BOX of them at most, as they are searched for the `take` nearest of any queries.
+
+    A query meets its nearest box, and then only boxes within its take-th distance so far.
+    In ten dimensions or fewer that leaves a part of the pairs that falls as the reference grows; where
+    a group met nearly all of them, as in many dimensions, later ones meet all without being told apart.
+    """
+
+    def __init__(self, y: np.ndarray, metric: str):
+        y = _unit(y) if metric == "cosine" else y
+        self.metric, self.boxes, self.met, self.pairs = metric, len(y) > 2 * BOX, 0, 0
+        self.order, self.ends = boxed(y, BOX) if self.boxes else (np.arange(len(y)), np.array([0, len(y)]))
+        y = y[self.order]
+        self.sides = Sides(y, metric)
+        self.low, self.high = (np.stack([f(y[i:j], axis=0) for i, j in zip(self.ends[:-1], self.ends[1:], strict=True)], axis=1) for f in (np.min, np.max)) if len(y) else (None, None)
+
+    def bounds(self, x: np.ndarray) -> np.ndarray:
+        """Lower bounds of the Euclidean distances of the rows of x, for cosine unit vectors, to all vectors of each box, but for rounding that `reach` covers."""
+        total, gap, further = np.zeros((len(x), self.low.shape[1])), *np.empty((2, len(x), self.low.shape[1]))
+        for at, low, high in zip(x.T, self.low, self.high, strict=True):
+            np.subtract(low, at[:, None], out=gap)
+            np.subtract(at[:, None], high, out=further)
+            np.maximum(gap, further, out=gap)
+            np.maximum(gap, 0, out=gap)
+            np.multiply(gap, gap, out=gap)
+            total += gap
+        return np.sqrt(total, out=total)
+
+    def search(self, x: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of x, rows of y and distances of the `take` nearest of each row of x, in that order; of equals the first in y."""
+        take, found = min(take, len(self.order)), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        x = _unit(x) if self.metric == "cosine" else x
+        near = boxed(x, GROUP)[0] if self.boxes else np.arange(len(x))
+        for at in range(0, len(x), GROUP):
+            own = near[at : at + GROUP]
+            best = Best(x[own], self.sides, self.order, take, self.metric)
+            if self.boxes:
+                self._by_boxes(best)
+            else:
+                best.offer(0, len(self.order))
+            r, c, d = best.settle()
+            found.append((own[r], self.order[c], d))
+        r, c, d = (np.concatenate(a) for a in zip(*found, strict=True))
+        back = np.argsort(r, kind="stable")
+        return r[back], c[back], d[back]
+
+    def _by_boxes(self, best: Best) -> None:
+        bound = np.ascontiguousarray(self.bounds(best.x).T)
+        # Each query's nearest box comes first, so that its limit is low before it meets any other.
+        home, mean = bound.argmin(0), bound.mean(1)
+        by_home = np.argsort(home, kind="stable")
+        for rows in np.split(by_home, np.flatnonzero(np.diff(home[by_home])) + 1):
+            self._meet(best, home[rows[0]], rows)
+        best.settle()
+        bound[home, np.arange(len(home))] = np.inf
+        for k in np.argsort(mean, kind="stable"):
+            self._meet(best, k, np.flatnonzero(bound[k] <= np.minimum(reach(best.limit, self.metric, best.x.shape[1]), np.finfo(float).max)))
+        self.pairs += len(best.x) * len(self.order)
+        self.boxes = self.met < IDLE * self.pairs
+
+    def _meet(self, best: Best, box: int, rows: np.ndarray) -> None:
+        if len(rows):
+            best.offer(self.ends[box], self.ends[box + 1], None if len(rows) == len(best.x) else rows)
+            self.met += len(rows) * int(self.ends[box + 1] - self.ends[box])
+
+
 def top_pairs(x: np.ndarray, y: np.ndarray, take: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of x, rows of y and distances of the `take` nearest of each row of x, in that order; of equals the first in y."""
-    take = min(take, len(y))
-    if metric == "cosine":
-        x, y = _unit(x), _unit(y)
-    sides, key, found = Sides(y, metric), np.arange(len(y)), []
-    for at in range(0, len(x), ROWS):
-        best = Best(x[at : at + ROWS], sides, key, take, metric)
-        best.offer(0, len(y))
-        r, c, d = best.settle()
-        found.append((r + at, c, d))
-    return tuple(np.concatenate(a) for a in zip(*found, strict=True))
+    return Reference(y, metric).search(x, take)
 
 
 def places(rows: np.ndarray) -> np.ndarray:
     """The place, from 1, of each entry among the equal ones of sorted rows."""
-    return np.arange(len(rows)) - np.searchsorted(rows, rows) + 1
+    if not len(rows):
+        return np.zeros(0, np.int64)
+    starts = np.append(np.flatnonzero(np.append(True, rows[1:] != rows[:-1])), len(rows))
+    return np.arange(1, len(rows) + 1) - np.repeat(starts[:-1], np.diff(starts))
 
 
 def merged(hits: pd.DataFrame, take: int) -> pd.DataFrame:
@@ -249,51 +357,64 @@ def nearest(queries: DataFrame, reference: DataFrame, k: int, metric: str = "l2"
     """
     metric, take = metric_name(metric), k + skip_first
     spark = queries.sparkSession
-    size = reference.select(F.sum(F.size("vec"))).first()[0] or 0
+    sizes = [r["n"] or 0 for r in reference.groupBy("channel").agg(F.sum(F.size("vec")).alias("n")).collect()]  # a row for each channel
+    size = sum(sizes)
     kinds = {f.name: f.dataType.simpleString() for f in reference.schema.fields}
     schema = "channel int, ord long, rank int, dist double, train_ord long" + "".join(f", {c} {kinds[c]}" for c in carry)
-    names = ["channel", "ord", "rank", "dist", "train_ord", *carry]
     fresh = lambda df, *more: df.select(*[F.col(n).alias(n) for n in ("channel", "ord", "vec", *more)])  # noqa: E731  both sides may come from one frame
 
-    def hits(a: pd.DataFrame, b: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
-        r, c, d = top_pairs(matrix(a["vec"]), y, take, metric)
-        out = {"channel": a["channel"].to_numpy()[r], "ord": a["ord"].to_numpy()[r], "rank": places(r), "dist": d, "train_ord": b["ord"].to_numpy()[c]}
-        found = pd.DataFrame(out | {n: b[n].to_numpy()[c] for n in carry})[names]
-        return merged(found, take) if a["ord"].duplicated().any() else found
+    def hits(a: pa.Table, b: pa.Table, y: Reference) -> pa.Table:
+        r, c, d = y.search(vectors(a["vec"]), take)
+        ords, train = a["ord"].to_numpy(), b["ord"].to_numpy()[c]
+        asked, same = ords[r], r
+        if len(np.unique(ords)) < len(ords):  # queries that share a place share ranks
+            at = np.lexsort((train, d, asked))
+            at = at[places(asked[at]) <= take]
+            r, c, d, asked, train = r[at], c[at], d[at], asked[at], train[at]
+            same = asked
+        out = {"channel": a["channel"].to_numpy()[r].astype(np.int32), "ord": asked, "rank": places(same).astype(np.int32), "dist": d, "train_ord": train}
+        return pa.table(out | {n: b[n].take(pa.array(c)) for n in carry})
 
-    none = pd.DataFrame(columns=names)
     r_blocks = 1
     if size <= BROADCAST:
-        table = fresh(reference, *carry).toPandas().sort_values("ord", ignore_index=True)
-        sides = {ch: (b.drop(columns="vec"), matrix(b["vec"])) for ch, b in table.groupby("channel")}
+        table = fresh(reference, *carry).toArrow().sort_by("ord")
+        sides = {}
+        for ch in table["channel"].unique().to_pylist():
+            own = table.filter(pa.compute.equal(table["channel"], ch)).combine_chunks()
+            sides[ch] = own.drop_columns(["vec"]), vectors(own["vec"])
         shared = spark.sparkContext.broadcast(sides)
 
-        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ready = {}
             for batch in batches:
-                for ch, a in batch.groupby("channel"):
+                channels = batch["channel"].to_numpy()
+                for ch in np.unique(channels):
                     if ch in shared.value:
-                        yield hits(a, *shared.value[ch])
+                        b, y = shared.value[ch]
+                        if ch not in ready:
+                            ready[ch] = Reference(y, metric)
+                        yield from hits(pa.table(batch.take(pa.array(np.flatnonzero(channels == ch)))), b, ready[ch]).to_batches()
 
         asked = fresh(queries)
         if size > LIGHT:
             asked = asked.repartition(min(SPREAD, 4 * spark.sparkContext.defaultParallelism), "channel", "ord")
-        found = asked.mapInPandas(search, schema)
+        found = asked.mapInArrow(search, schema)
     else:
         n = most(queries, F.lit(1))
         q_blocks = max(1, -(-n // BLOCK), min(PARTS, -(-n // PART)))
-        r_blocks = max(1, -(-most(reference, F.size("vec")) // BROADCAST))
+        r_blocks = -(-max(sizes) // (BROADCAST or max(sizes)))  # where none is sent, a channel is one block
         deal = lambda n: F.pmod(F.xxhash64("ord"), F.lit(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         left = fresh(queries).withColumn("qb", deal(q_blocks)).withColumn("rb", every(r_blocks))
         right = fresh(reference, *carry).withColumn("rb", deal(r_blocks)).withColumn("qb", every(q_blocks))
 
-        def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        def run(a: pa.Table, b: pa.Table) -> pa.Table:
             if not len(a) or not len(b):
-                return none
-            b = b.sort_values("ord", ignore_index=True)
-            return hits(a, b, matrix(b["vec"]))
+                return hits(a.slice(0, 0), b.slice(0, 0), Reference(np.zeros((0, 0)), metric))
+            b = b.take(pa.array(np.argsort(b["ord"].to_numpy(), kind="stable")))
+            return hits(a, b.drop_columns(["vec"]), Reference(vectors(b["vec"]), metric))
 
-        found = met(left, right, ["channel", "qb", "rb"], q_blocks * r_blocks * N_CHANNELS).applyInPandas(run, schema)
+        found = met(left, right, ["channel", "qb", "rb"], q_blocks * r_blocks * N_CHANNELS).applyInArrow(run, schema)
     return ranked(found, take, skip_first, size > BROADCAST and r_blocks == 1)
 
 

@@ -208,9 +208,10 @@ def _fc_sides(spark, sf_dir):
     split = _fc(spark, sf_dir)
     f = concat_features(split.select("ord", "id", "label", "x", "part"))
     train, test = f.where("part = 'train'"), f.where("part != 'train'")
-    stats = scaler_stats(train)
-    named = standardize(train, stats).withColumns({"train_id": F.col("id"), "train_label": F.col("label")})
-    return stored(nearest(standardize(test, stats), named, K, carry=("train_id", "train_label")), "neighbours"), split
+    stats = stored(scaler_stats(train), "stats")
+    named = stored(standardize(train, stats).select("channel", "ord", "vec", F.col("id").alias("train_id"), F.col("label").alias("train_label")), "train")
+    asked = stored(standardize(test, stats).select("channel", "ord", "vec"), "test")
+    return stored(nearest(asked, named, K, carry=("train_id", "train_label")), "neighbours"), split
 
 
 def fc_probs(vote):
