@@ -14,11 +14,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwave.operators.neighbours import BROADCAST, EPS, PART, PARTS, ROWS, Best, Sides, _unit, matrix, merged, met, metric_name, nearest, places, ranked, reach, squared
+from siftwave.operators.neighbours import BROADCAST, EPS, PART, PARTS, ROWS, Best, Sides, _unit, by_channel, matrix, met, metric_name, nearest, places, ranked, reach, same_places, squared, vectors
 from siftwave.tables import stored
 
 PIVOTS = 1024  # cells of a channel, at most
@@ -116,17 +116,16 @@ class MetricIndex:
             held[c] = pivots_of[side_by_side(pivots_of)]
         shared, metric = self.spark.sparkContext.broadcast(held), self.metric
 
-        def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for c, b in batch.groupby("channel"):
-                    x, at = space(matrix(b["vec"]), metric, False), shared.value[c]
-                    cell = np.concatenate([squared(x[i : i + 2048], at)[0].argmin(1) for i in range(0, len(x), 2048)])
-                    yield b.assign(cell=cell.astype(np.int32), r=np.sqrt(((x - at[cell]) ** 2).sum(1)))
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for c, b in by_channel(batches):
+                x, at = space(vectors(b["vec"]), metric, False), shared.value[c]
+                cell = np.concatenate([squared(x[i : i + 2048], at)[0].argmin(1) for i in range(0, len(x), 2048)])
+                yield from b.append_column("cell", pa.array(cell, pa.int32())).append_column("r", pa.array(np.sqrt(((x - at[cell]) ** 2).sum(1)))).to_batches()
 
         kinds = {f.name: f.dataType.simpleString() for f in reference.schema.fields}
         schema = ", ".join(f"{c} {kinds[c]}" for c in reference.columns) + ", cell int, r double"
         order = ["channel", "cell", "r"]
-        assigned = reference.mapInPandas(assign, schema)
+        assigned = reference.mapInArrow(assign, schema)
         self.cells = stored(assigned.repartitionByRange(*order).sortWithinPartitions(*order), "cells")
         about = self.cells.groupBy("channel", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("near"), F.max("r").alias("far")).toPandas()
         self.about = {}
@@ -148,16 +147,15 @@ class MetricIndex:
         """channel, ord, vec and shard: for the queries of known channels, that of their nearest pivot."""
         shared, shards, metric = self.shared, self.shards, self.metric
 
-        def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for c, a in batch.groupby("channel"):
-                    home, (first, parts) = _home(space(matrix(a["vec"]), metric, True), shared.value[c][0]), shards[c]
-                    yield a.assign(shard=(first[home] + a["ord"].to_numpy() % parts[home]).astype(np.int32))
+        def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for c, a in by_channel(batches):
+                home, (first, parts) = _home(space(vectors(a["vec"]), metric, True), shared.value[c][0]), shards[c]
+                yield from a.append_column("shard", pa.array(first[home] + a["ord"].to_numpy() % parts[home], pa.int32())).to_batches()
 
         asked = queries.select(*[F.col(c).alias(c) for c in ("channel", "ord", "vec")]).where(F.col("channel").isin([int(c) for c in self.about]))
         if self.whole:
             return asked.withColumn("shard", F.lit(0))
-        return stored(asked.mapInPandas(homes, "channel int, ord long, vec array<double>, shard int"), "homes")
+        return stored(asked.mapInArrow(homes, "channel int, ord long, vec array<double>, shard int"), "homes")
 
     def _met(self, asked: DataFrame, take: int, tell: bool = False) -> DataFrame:
         """channel, ord, rank, dist, train_ord and carried columns of what each shard has for the queries that are sent to it, by `reach` where they have one.
@@ -169,50 +167,60 @@ class MetricIndex:
         kinds = {f.name: f.dataType.simpleString() for f in self.cells.schema.fields}
         schema = "channel int, ord long, rank int, dist double, train_ord long" + "".join(f", {c} {kinds[c]}" for c in carry) + ", measured long"
         schema += ", vec array<double>, reach double, others array<int>, inside long" * tell
+        known = {"channel": pa.int32(), "ord": pa.int64(), "rank": pa.int32(), "dist": pa.float64(), "train_ord": pa.int64(), "measured": pa.int64(), "vec": pa.list_(pa.float64()), "reach": pa.float64(), "others": pa.list_(pa.int32()), "inside": pa.int64()}
         names = [f.split()[0] for f in schema.split(", ")]
-        whole_numbers = lambda v: pd.array(v, "Int64") if v.dtype.kind == "i" else v  # noqa: E731  nulls beside them
 
-        def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        def search(a: pa.Table, b: pa.Table) -> pa.Table:
+            types = {n: known[n] if n in known else b.schema.field(n).type for n in names}
+
+            def rows(n: int, **columns) -> pa.Table:
+                """n rows with these columns and nulls in the others."""
+                filled = {c: columns[c] if isinstance(columns.get(c), pa.ChunkedArray) else pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in types.items()}
+                return pa.table({c: v.cast(types[c]) for c, v in filled.items()})
+
             if not len(a) or not len(b):
-                return pd.DataFrame(columns=names)
-            channel, shard = a["channel"].iloc[0], a["shard"].iloc[0]
+                return rows(0)
+            channel, shard = a["channel"][0].as_py(), a["shard"][0].as_py()
             (cells, labels), (first, parts) = shared.value[channel], shards[channel]
-            order = np.lexsort((b["r"], b["cell"]))
-            r, y, b = b["r"].to_numpy()[order], matrix(b["vec"])[order], {n: b[n].to_numpy()[order] for n in ("cell", "ord", *carry)}
-            held, start = np.unique(np.searchsorted(labels, b["cell"]), return_index=True)
-            stop, x = np.append(start[1:], len(r)), matrix(a["vec"])
+            r, cell, places_of = b["r"].to_numpy(), b["cell"].to_numpy(), b["ord"].to_numpy()
+            order = np.lexsort((r, cell))
+            r, cell, places_of, y = r[order], cell[order], places_of[order], vectors(b["vec"])[order]
+            held, start = np.unique(np.searchsorted(labels, cell), return_index=True)
+            stop, x, ords = np.append(start[1:], len(r)), vectors(a["vec"]), a["ord"].to_numpy()
             points, (x, y) = space(x, metric, True), (x, y) if metric == "l2" else (_unit(x), _unit(y))
-            sides = Sides(y, metric)
+            sides, limits = Sides(y, metric), a["reach"].to_numpy() if "reach" in a.column_names else None
             near, hits, told, total = np.argsort(_home(points, cells), kind="stable"), [], [], 0
             for at in range(0, len(x), ROWS):
                 own = near[at : at + ROWS]
                 low, high, bound = cells.bounds(points[own])
-                best = Best(x[own], sides, b["ord"], take, metric, a["reach"].to_numpy()[own] if "reach" in a else None)
+                best = Best(x[own], sides, places_of, take, metric, None if limits is None else limits[own])
                 for i in np.argsort(bound[:, held].mean(0), kind="stable"):
                     k, lo, hi = held[i], start[i], stop[i]
                     within = reach(best.limit, metric, x.shape[1])
-                    rows = np.flatnonzero(bound[:, k] <= within)
-                    if len(rows):
-                        slack = 1e-9 * (1 + high[rows, k] + r[hi - 1])
-                        ends = (low[rows, k] - within[rows] - slack).min(), (high[rows, k] + within[rows] + slack).max()
+                    some = np.flatnonzero(bound[:, k] <= within)
+                    if len(some):
+                        slack = 1e-9 * (1 + high[some, k] + r[hi - 1])
+                        ends = (low[some, k] - within[some] - slack).min(), (high[some, k] + within[some] + slack).max()
                         lo, hi = lo + np.searchsorted(r[lo:hi], ends[0], "left"), lo + np.searchsorted(r[lo:hi], ends[1], "right")
-                        best.offer(lo, hi, None if len(rows) == len(own) else rows)
-                        total += max(0, hi - lo) * len(rows)
+                        best.offer(lo, hi, None if len(some) == len(own) else some)
+                        total += max(0, hi - lo) * len(some)
                 q, c, d = best.settle()
-                out = {"channel": channel, "ord": a["ord"].to_numpy()[own][q], "rank": places(q), "dist": d, "train_ord": pd.array(b["ord"][c], "Int64")}
-                hits.append(pd.DataFrame(out | {n: whole_numbers(b[n][c]) for n in carry}))
+                hits.append((ords[own][q], c, d, places(q)))
                 if tell:
                     inside = bound <= reach(best.limit, metric, x.shape[1])[:, None]
                     reached = np.zeros((len(own), first[-1] + parts[-1]), bool)
                     for k in np.flatnonzero(inside.any(0)):
                         reached[:, first[k] : first[k] + parts[k]] |= inside[:, k : k + 1]
                     reached[:, shard] = False
-                    told.append(pd.DataFrame({"channel": channel, "ord": a["ord"].to_numpy()[own], "vec": a["vec"].to_numpy()[own], "reach": best.limit, "others": [np.flatnonzero(o) for o in reached], "inside": inside @ cells.n}))
-            hits = pd.concat(hits, ignore_index=True)
-            hits = merged(hits, take) if a["ord"].duplicated().any() else hits
-            count = pd.DataFrame({"channel": [channel], "ord": a["ord"].to_numpy()[:1], "measured": [total]})
-            found = pd.concat([hits, *told, count], ignore_index=True).reindex(columns=names)
-            return found.assign(**{n: found[n].astype(object).where(found[n].notna(), None) for n in ("vec", "others") if tell})
+                    others = pa.ListArray.from_arrays(pa.array(np.append(0, reached.sum(1).cumsum()), pa.int32()), pa.array(np.nonzero(reached)[1], pa.int32()))
+                    told.append(rows(len(own), channel=np.full(len(own), channel), ord=ords[own], vec=a["vec"].take(pa.array(own)), reach=best.limit, others=pa.chunked_array([others]), inside=inside @ cells.n))
+            asked, c, d, rank = (np.concatenate(h) for h in zip(*hits, strict=True))
+            if len(np.unique(ords)) < len(ords):
+                at = same_places(asked, d, places_of[c], take)
+                asked, c, d = asked[at], c[at], d[at]
+                rank = places(asked)
+            found = rows(len(c), channel=np.full(len(c), channel), ord=asked, rank=rank, dist=d, train_ord=places_of[c], **{n: b[n].take(pa.array(order[c])) for n in carry})
+            return pa.concat_tables([found, *told, rows(1, channel=[channel], ord=ords[:1], measured=[total])])
 
         parts_of = lambda size: F.ceil(F.count(F.lit(1)) / size)
         grid = asked.groupBy("channel", "shard").agg(F.greatest(parts_of(BLOCK), F.least(F.lit(PARTS), parts_of(PART))).cast("int").alias("qs"))
@@ -222,7 +230,7 @@ class MetricIndex:
         right = right.join(F.broadcast(grid), ["channel", "shard"]).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
         # The small tables stand on both sides; columns of its own keep the sides apart.
         left, right = (side.select(*[F.col(c).alias(c) for c in side.columns if c not in ("qs", "first", "parts")]) for side in (left, right))
-        return met(left, right, ["channel", "shard", "q"], grid.agg(F.sum("qs")).first()[0] or 1).applyInPandas(search, schema)
+        return met(left, right, ["channel", "shard", "q"], grid.agg(F.sum("qs")).first()[0] or 1).applyInArrow(search, schema)
 
     def nearest(self, queries: DataFrame, k: int, skip_first: bool = False) -> DataFrame:
         """The rows of neighbours.nearest. `self.share` is the share of all pairs that were measured."""

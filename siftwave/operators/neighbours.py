@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -335,11 +334,18 @@ def places(rows: np.ndarray) -> np.ndarray:
     return np.arange(1, len(rows) + 1) - np.repeat(starts[:-1], np.diff(starts))
 
 
-def merged(hits: pd.DataFrame, take: int) -> pd.DataFrame:
-    """Hits of a channel with the ranks of all queries that share a place, `take` at most."""
-    hits = hits.sort_values(["ord", "dist", "train_ord"], kind="stable", ignore_index=True)
-    hits["rank"] = places(hits["ord"].to_numpy())
-    return hits[hits["rank"] <= take]
+def same_places(asked: np.ndarray, dist: np.ndarray, train: np.ndarray, take: int) -> np.ndarray:
+    """Which hits are the `take` nearest of all queries that share a place, in order."""
+    at = np.lexsort((train, dist, asked))
+    return at[places(asked[at]) <= take]
+
+
+def by_channel(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of each channel of each batch."""
+    for batch in batches:
+        channels = batch["channel"].to_numpy()
+        for c in np.unique(channels):
+            yield int(c), pa.table(batch.take(pa.array(np.flatnonzero(channels == c))))
 
 
 def nearest(queries: DataFrame, reference: DataFrame, k: int, metric: str = "l2", skip_first: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -368,8 +374,7 @@ def nearest(queries: DataFrame, reference: DataFrame, k: int, metric: str = "l2"
         ords, train = a["ord"].to_numpy(), b["ord"].to_numpy()[c]
         asked, same = ords[r], r
         if len(np.unique(ords)) < len(ords):  # queries that share a place share ranks
-            at = np.lexsort((train, d, asked))
-            at = at[places(asked[at]) <= take]
+            at = same_places(asked, d, train, take)
             r, c, d, asked, train = r[at], c[at], d[at], asked[at], train[at]
             same = asked
         out = {"channel": a["channel"].to_numpy()[r].astype(np.int32), "ord": asked, "rank": places(same).astype(np.int32), "dist": d, "train_ord": train}
@@ -386,14 +391,12 @@ def nearest(queries: DataFrame, reference: DataFrame, k: int, metric: str = "l2"
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ready = {}
-            for batch in batches:
-                channels = batch["channel"].to_numpy()
-                for ch in np.unique(channels):
-                    if ch in shared.value:
-                        b, y = shared.value[ch]
-                        if ch not in ready:
-                            ready[ch] = Reference(y, metric)
-                        yield from hits(pa.table(batch.take(pa.array(np.flatnonzero(channels == ch)))), b, ready[ch]).to_batches()
+            for ch, a in by_channel(batches):
+                if ch in shared.value:
+                    b, y = shared.value[ch]
+                    if ch not in ready:
+                        ready[ch] = Reference(y, metric)
+                    yield from hits(a, b, ready[ch]).to_batches()
 
         asked = fresh(queries)
         if size > LIGHT:
